@@ -30,9 +30,23 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.decontam import contamination_report
+
+    return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).drop("row", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_mpeg, op3_token_frames)}
+    return {f.__name__: f for f in (op1_media_mpeg, op3_token_frames, op6_template_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from jobloom.llm import mixing
+
+    return {"op10_mixing": mixing.ORACLE}
