@@ -114,12 +114,12 @@ sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY sou
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM sums),
 caps AS (SELECT *, ((source_rank - 1) % 3 + 1)::DOUBLE AS w, (3 * source_size)::DOUBLE AS cap FROM ranked),
 filled AS (
-  SELECT *, row_number() OVER (ORDER BY cap / w, source_rank) AS at,
+  SELECT *, row_number() OVER (ORDER BY cap / w, source_rank) AS pos,
     ((sum(source_size) OVER ())::BIGINT::DOUBLE
      - coalesce(sum(cap) OVER (ORDER BY cap / w, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY cap / w, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM caps),
-final AS (SELECT level FROM filled WHERE cap / w > level ORDER BY at LIMIT 1),
+final AS (SELECT level FROM filled WHERE cap / w > level ORDER BY pos LIMIT 1),
 plan AS (
   SELECT source, source_size, source_rank,
          coalesce(least(cap, (SELECT level FROM final) * w), cap) AS target
