@@ -1,10 +1,67 @@
-"""Corpus pipeline: toxicity, near-dedup, decontamination, mixing, token output."""
+"""Corpus pipeline: toxicity, near-dedup, decontamination, mixing, token output.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
+writes as Parquet to the shared folder and reads back as the next stage's
+documents.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobloom.llm._shared import materialize, scratch_path
+from jobloom.llm.decontam import decontaminate
+from jobloom.llm.mixing import mixed_documents
+from jobloom.llm.neardup import near_duplicates
+from jobloom.llm.queries import word_tokenizer
+from jobloom.llm.tokens import read_tokens, write_tokens
+from jobloom.llm.toxicity import without_toxic
+
+#: Fitting the toxicity model and writing token files are outside SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    """Apply the stages to ``documents``, each written as Parquet and reread."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the least id."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item in them."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, repeated as often as it takes them."""
+    return mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the token files."""
+    files = write_tokens(docs, scratch_path(spark, "tokens"), word_tokenizer())
+    return read_tokens(spark, files).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("token_output", write_token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

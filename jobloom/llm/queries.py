@@ -24,26 +24,76 @@ def op1_media_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
 
+def op2_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.secrets import secret_digest
+
+    return secret_digest(read(spark, sf_dir, "documents"))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.tokens import token_table
 
     return token_table(read(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.suffixes import repeat_digest
+
+    return repeat_digest(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.decontam import contamination_report
 
     return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.licenses import license_digest
+
+    return license_digest(read(spark, sf_dir, "documents"))
+
+
+def op8_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4).drop("key")
+
+
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.language_model import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.mixing import mix
 
     return mix(read(spark, sf_dir, "documents")).drop("row", "copies")
 
 
+OPERATORS = (
+    op1_media_mpeg,
+    op2_secret_field,
+    op3_token_frames,
+    op4_suffix_dedup,
+    op5_toxicity_neighbours,
+    op6_template_decontamination,
+    op7_license_rules,
+    op8_bottom_k_dedup,
+    op9_bloom_lm,
+    op10_mixing,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_mpeg, op3_token_frames, op6_template_decontamination, op10_mixing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
