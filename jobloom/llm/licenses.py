@@ -94,11 +94,15 @@ SINGLES = (
     ("proprietary", "proprietary", r"proprietary (?:and confidential|licen[cs]e|software)", 30),
     ("proprietary", "without permission", r"(?:may not|must not|no part .{1,60}?may) be (?:copied|reproduced|distributed) .{0,60}?without (?:prior )?(?:written )?permission", 30),
     ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?:-(?:19|20)?\d\d)?", 15),
-    ("unknown-license", "licensed under", r"(?:is )?licen[cs]ed under (?:the )?(?:terms of )?", 5),
+    ("unknown-license", "licensed under", r"licen[cs]ed under (?:the )?(?:terms of )?", 5),
     ("unknown-license", "released under", r"released under (?:the )?(?:terms of )?", 5),
 )
 
 
+#: Words that lead into a notice; a versioned or titled rule takes them in.
+LEAD = r"(?:(?:licen[cs]ed|released|distributed|available|published) under (?:the |a )?(?:terms of (?:the )?)?)?"
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -119,20 +123,20 @@ def rules() -> tuple[Rule, ...]:
         stem = re.escape(spdx)
         for v in versions:
             major = re.escape(v.removesuffix(".0")) + (r"(?:\.0)?" if v.endswith(".0") else "")
-            add(f"{label}-{v}", keyword, rf"{title}(?:,? version|,? v\.?)? ?{major}(?![\d.]*\d)", 90)
+            add(f"{label}-{v}", keyword, rf"{LEAD}{title}(?:,? version|,? v\.?)? ?{major}(?![\d.]*\d)", 90)
             add(f"{label}-{v}", spdx, rf"(?<![a-z]){stem}(?:-| |v| v){major}(?:-only|-or-later|\+)?(?![\d.]*\d)", 85)
             add(f"{label}-{v}", "spdx", rf"spdx-license-identifier: ?{stem}-{major}(?:-only|-or-later|\+)?(?![\w.]*\w)", 100)
         add(label, keyword, rf"(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{title}", 80)
-        add(label, keyword, rf"(?<![a-z]){title}", 60)
+        add(label, keyword, rf"(?<![a-z]){LEAD}{title}", 60)
         add(label, "spdx", rf"spdx-license-identifier: ?{stem}(?![\w-])", 95)
     for kind in CC_KINDS:
         words = "[ -]+".join(CC_WORDS[x] for x in kind.split("-"))
         for v in CC_VERSIONS:
-            add(f"cc-{kind}-{v}", "cc", rf"(?<![a-z])cc[ -]{kind}[ -]{re.escape(v)}(?![\d.]*\d)", 90)
-            add(f"cc-{kind}-{v}", "creative commons", rf"creative commons {words}[ -]*(?:international |licen[cs]e )*{re.escape(v)}", 90)
+            add(f"cc-{kind}-{v}", "cc", rf"(?<![a-z]){LEAD}cc[ -]{kind}[ -]{re.escape(v)}(?![\d.]*\d)", 90)
+            add(f"cc-{kind}-{v}", "creative commons", rf"{LEAD}creative commons {words}[ -]*(?:international |licen[cs]e )*{re.escape(v)}", 90)
             add(f"cc-{kind}-{v}", "creativecommons.org", rf"creativecommons\.org/licenses/{kind}/{re.escape(v)}", 95)
-        add(f"cc-{kind}", "cc", rf"(?<![a-z])cc[ -]{kind}(?![\w-])", 70)
-        add(f"cc-{kind}", "creative commons", rf"creative commons {words}(?![ -]*(?:non|share|no ?d))", 65)
+        add(f"cc-{kind}", "cc", rf"(?<![a-z]){LEAD}cc[ -]{kind}(?![\w-])", 70)
+        add(f"cc-{kind}", "creative commons", rf"{LEAD}creative commons {words}(?![ -]*(?:non|share|no ?d))", 65)
     for label, keyword, pattern, priority in SINGLES:
         add(label, keyword, pattern, priority)
     return tuple(out)

@@ -97,6 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from jobloom.llm import mixing
+    from jobloom.llm import mixing, neardup
 
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op8_bottom_k_dedup": neardup.ORACLE, "op10_mixing": mixing.ORACLE}

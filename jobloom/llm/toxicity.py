@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,12 +168,19 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        # the prefix before a word's first term character is enough to see that a text has no term
-        gate = re.compile("|".join(sorted({re.escape(t.rstrip("*")) for t in m.vocabulary}))) if m.vocabulary else None
+        gate = ahocorasick.Automaton()  # most texts hold no term anywhere, seen in one pass
+        for t in m.vocabulary:
+            gate.add_word(t.rstrip("*"), True)
+        gate.make_automaton()
+
+        def one(text: str) -> tuple[float, list[int]]:
+            found = m.vocabulary and next(gate.iter(text.lower()), None)
+            return m.score(text) if found else (m.prior, [])
+
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                got = [m.score(t) if gate and gate.search(t.lower()) else (m.prior, []) for t in texts_of(part.column(at)).to_pylist()]
+                got = [one(t) for t in texts_of(part.column(at)).to_pylist()]
                 cols = [*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, "score", "evidence"])
 
