@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from jobloom.operators import expressions, relational  # noqa: F401  registers
+from jobloom.plans import queries as plan_queries  # noqa: F401  registers
+from jobloom.registry import QUERIES, SQL, Query
+from jobloom.sources import queries as source_queries  # noqa: F401  registers
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
