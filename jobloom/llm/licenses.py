@@ -14,6 +14,7 @@ that stands first; very long texts are scanned whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -166,10 +167,13 @@ def detect(lowered: str) -> list[tuple[int, int, str, int]]:
         if m.end() > m.start()
     )
     kept: list[tuple[int, int, str, int]] = []
+    reach = 0  # the longest detection kept: none that starts earlier than that can contain another
     for p, _, start, _, end, label in found:
-        if not any(s <= start and end <= e for s, e, _, _ in kept):
-            kept.append((start, end, label, -p))
-    return sorted(kept)
+        near = kept[bisect_left(kept, (start - reach,)) : bisect_left(kept, (start + 1,))]
+        if not any(end <= e for _, e, _, _ in near):
+            insort(kept, (start, end, label, -p))
+            reach = max(reach, end - start)
+    return kept
 
 
 #: Base word characters: ASCII digits and letters, and all that is not ASCII.

@@ -275,17 +275,34 @@ def similar_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """(key, id, n_shingles, component_id, kept): one row a document."""
+    """(key, id, n_shingles, component_id, kept, chosen): one row a document.
+
+    ``kept`` says whether its id is its component's; ``chosen`` tells rows of
+    one id apart by their texts.
+    """
     signed = materialize(signatures(docs, id_col, text_col, width, k), "signed")
     classes = materialize(classes_of(signed), "classes")
     joined = similar_classes(docs, classes, id_col, text_col, width, percent, k)
     group = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "n", F.coalesce("component", "cid").alias("group"))
     rows = signed.drop("sketch").join(group, ["c1", "c2", "n"], "left")
-    least = rows.filter("group is not null").groupBy("group").agg(F.min("id").alias("least"))
-    named = rows.join(least, "group", "left").select("key", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
+    least = rows.filter("group is not null").groupBy("group").agg(first.alias("first")).select("group", "first.id", "first.key").withColumnsRenamed({"id": "least", "key": "chosen_key"})
+    named = rows.join(least, "group", "left").select("key", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce(F.col("key") == F.col("chosen_key"), F.lit(True)).alias("chosen"))
     return named.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, that of least id, all columns kept; rows with an empty set all stay.
+
+    Rows that share an id stay apart by their texts, and of rows with equal id
+    and text one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, percent).filter("chosen").select("key", (F.col("n_shingles") == 0).alias("bare")).distinct()
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_number"))
+    rows = keyed.join(found, keyed["_key"] == found["key"]).withColumn("_twin", F.when(F.col("bare"), F.col("_number")))
+    return rows.dropDuplicates(["_key", "_twin"]).select("_row.*")
+
+
 ORACLE = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w

@@ -63,7 +63,7 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.neardup import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"), width=4).drop("key")
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4).drop("key", "chosen")
 
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,18 @@ def test_copies_new_parameters_and_clean_texts(spark, items):
     assert found(spark, items, texts) == {0: "1", 1: "1", 2: "2", 3: "", 4: "3", 5: "6", 6: "", 7: "", 8: ""}
 
 
+def test_changed_words_and_repeated_values(spark):
+    items = spark.createDataFrame([(1, "the code of the safe is 5 5 6 6 7 7 and nobody but the old keeper of the house may open it"), (2, ITEMS[1][1])], "item_id long, text string")
+    texts = [
+        LEAD + "the code of the safe is 5 5 6 6 7 7 and nobody but the old keeper of the house may open it" + TAIL,
+        LEAD + "the code of the safe is 1 1 2 2 3 3 and nobody but the old keeper of the house may open it" + TAIL,
+        LEAD + "the code of the safe is 1 2 3 4 5 6 and nobody but the old keeper of the house may open it" + TAIL,
+        LEAD + ITEMS[1][1].replace("lazy", "sleepy") + TAIL,
+        LEAD + ITEMS[1][1][:40] + TAIL,
+    ]
+    assert found(spark, items, texts) == {0: "1", 1: "1", 2: "", 3: "2", 4: ""}
+
+
 def test_rows_of_the_fixture_are_clean_and_kept(spark, items):
     docs = table(spark)
     report = decontam.contamination_report(docs, items).collect()

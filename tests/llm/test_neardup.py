@@ -74,6 +74,25 @@ def test_no_documents(spark):
     assert run(spark, [], 4) == []
 
 
+def test_one_row_of_each_component_stays(spark):
+    data = rows()
+    docs = table(spark, data)
+    kept = neardup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    bare = [r for r in data if not shingles(r[1], 5)]
+    assert sum(not shingles(r.text, 5) for r in got) == len(bare)
+    groups = {g for i, _, g in brute(data, 5) if data and i not in {b[0] for b in bare}}
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got if shingles(r.text, 5)) == sorted(groups)
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    a, b = "one two three four five six seven", "completely other words stand in this text"
+    data = [(1, t, "en", "s", 1, 1, "x", "y") for t in (a, a, b, a + " ")] + [(2, b, "en", "s", 1, 1, "x", "y"), (3, None, "en", "s", 1, 1, "x", "y"), (3, None, "en", "s", 1, 1, "x", "y")]
+    got = neardup.without_near_duplicates(table(spark, data)).collect()
+    assert sorted((r.doc_id, (r.text or "").strip()) for r in got) == [(1, b), (1, a), (3, ""), (3, "")]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 10), (10, 9), (5, 5), (None, 4), (3, 1)] + [(100 + k, 101 + k) for k in range(40)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
