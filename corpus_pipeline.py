@@ -8,12 +8,11 @@ documents.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from jobloom.llm._shared import materialize, scratch_path
 from jobloom.llm.decontam import decontaminate
 from jobloom.llm.mixing import mixed_documents
-from jobloom.llm.neardup import near_duplicates
+from jobloom.llm.neardup import without_near_duplicates
 from jobloom.llm.queries import word_tokenizer
 from jobloom.llm.tokens import read_tokens, write_tokens
 from jobloom.llm.toxicity import without_toxic
@@ -29,9 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    return without_near_duplicates(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
