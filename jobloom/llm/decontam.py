@@ -145,3 +145,58 @@ def contamination_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     rows = _keyed(docs, id_col, text_col).drop("text").join(bad, ["k1", "k2"], "left")
     ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
     return rows.select(F.col("id").alias(id_col), F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def _sql_tokens(table: str, key: str) -> str:
+    """(key, tokens, vals) of a table's texts, in DuckDB."""
+    marks = NAME + NUMBER + UNIT
+    return f"""
+  SELECT {key}, list_filter(string_split_regex(regexp_replace(m, '([{marks}])[^{END}]*{END}', ' \\1 ', 'g'), '{SEPARATORS}'), lambda x: x <> '') AS tokens,
+    regexp_extract_all(m, '[{marks}]([^{END}]*){END}', 1) AS vals
+  FROM (SELECT {key}, regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{NAMES}', '\\1 {NAME}\\2{END} ', 'g')),
+      '{NUMBERS}', ' {NUMBER}\\1{END} ', 'g'), '({NUMBER}[^{END}]*{END}) {UNIT_AFTER}', '\\1 {UNIT}\\2{END} ', 'g') AS m
+    FROM {table})"""
+
+
+def _sql_slots(table: str, key: str) -> str:
+    marks = f"['{NAME}', '{NUMBER}', '{UNIT}']"
+    return f"""
+  SELECT {key}, slot_value, start, place - start AS inside, array_to_string(tokens[start + 1:start + width], ' ') AS win
+  FROM (SELECT *, unnest(range(greatest(0, place - width + 1), least(place, len(tokens) - width) + 1)) AS start
+    FROM (SELECT {key}, tokens, least(len(tokens), {WINDOW}) AS width, unnest(places) AS place, unnest(vals) AS slot_value
+      FROM (SELECT *, list_filter(range(len(tokens)), lambda i: list_contains({marks}, tokens[i + 1])) AS places FROM {table})))"""
+
+
+#: The same report in DuckDB, for tables whose ids are unique.
+ORACLE = f"""
+WITH theirs AS ({_sql_tokens("documents", "doc_id")}),
+ours AS (SELECT *, least(len(tokens), {WINDOW}) AS width FROM ({_sql_tokens("benchmark", "item_id")}) WHERE len(tokens) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, width, array_to_string(tokens[i + 1:i + width], ' ') AS win
+  FROM (SELECT *, unnest(range(len(tokens) - width + 1)) AS i FROM ours)),
+doc_windows AS (
+  SELECT DISTINCT doc_id, width, array_to_string(tokens[i + 1:i + width], ' ') AS win
+  FROM (SELECT doc_id, tokens, width, unnest(range(greatest(0, len(tokens) - width + 1))) AS i FROM theirs, (SELECT DISTINCT width FROM ours))),
+n_windows AS (SELECT w.item_id, count(*) AS n_windows, max(len(o.vals)) AS n_slots FROM item_windows w JOIN ours o USING (item_id) GROUP BY w.item_id),
+found AS (
+  SELECT doc_id, item_id, n / n_windows AS coverage, n_slots
+  FROM (SELECT d.doc_id, w.item_id, count(*) AS n FROM doc_windows d JOIN item_windows w USING (win, width) GROUP BY 1, 2) JOIN n_windows USING (item_id)
+  WHERE n / n_windows >= {SHARE}),
+slotted AS (SELECT t.* FROM theirs t WHERE doc_id IN (SELECT doc_id FROM found WHERE n_slots > 0)),
+our_slots AS ({_sql_slots("ours", "item_id")}),
+their_slots AS ({_sql_slots("slotted", "doc_id")}),
+aligned AS (
+  SELECT f.doc_id, f.item_id, d.start - b.start AS shift, count(DISTINCT b.start + b.inside) AS places, count(DISTINCT b.slot_value) AS ours,
+    count(DISTINCT d.slot_value) AS theirs, count(DISTINCT (b.slot_value, d.slot_value)) AS both_
+  FROM found f JOIN our_slots b USING (item_id) JOIN their_slots d ON d.doc_id = f.doc_id AND d.win = b.win AND d.inside = b.inside
+  WHERE f.n_slots > 0 GROUP BY 1, 2, 3),
+agreed AS (
+  SELECT doc_id, item_id, coalesce(2 * max(places) FILTER (both_ = ours AND both_ = theirs) >= max(places), false) AS agree
+  FROM aligned GROUP BY 1, 2),
+bad AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids, max(coverage) AS coverage
+  FROM found LEFT JOIN agreed USING (doc_id, item_id) WHERE coalesce(agree, true) GROUP BY doc_id)
+SELECT d.doc_id, b.ids IS NOT NULL AS contaminated, coalesce(len(b.ids), 0)::BIGINT AS n_items,
+  coalesce(array_to_string(b.ids, ','), '') AS item_ids, coalesce(b.coverage, 0.0)::DOUBLE AS coverage
+FROM documents d LEFT JOIN bad b USING (doc_id)
+"""

@@ -97,6 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from jobloom.llm import mixing, neardup
+    from jobloom.llm import decontam, mixing, neardup
 
-    return {"op8_bottom_k_dedup": neardup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op6_template_decontamination": decontam.ORACLE, "op8_bottom_k_dedup": neardup.ORACLE, "op10_mixing": mixing.ORACLE}
