@@ -9,6 +9,7 @@ from jobloom.functions import scalars as S
 from jobloom.functions.timing import SQL as PRELUDE
 from jobloom.operators import work as W
 from jobloom.operators.expressions import _LADDER_SQL, ladder
+from jobloom.operators.running import row_numbers, running_total
 from jobloom.registry import query, table
 
 # ---------------------------------------------------------------- joins
@@ -253,26 +254,29 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_ASSIGNED} SELECT a.slot, a.job_id, sum(CASE WHEN r = 1 THEN compile_cost ELSE 0 END + n_seeds * infer_cost) OVER (PARTITION BY a.slot ORDER BY a.shape, a.job_id ROWS UNBOUNDED PRECEDING)::BIGINT AS finish
 FROM (SELECT *, row_number() OVER (PARTITION BY slot, shape ORDER BY job_id) AS r FROM assigned) a JOIN costs USING (kind, shape)""")
 def prefix_finish(spark: SparkSession, d: str) -> DataFrame:
-    """Finish time of each job: compile once a group, then its inferences, running over the executor's queue."""
+    """Finish time of each job: compile once a group, then its inferences, running over the executor's queue.
+
+    A queue may be long, so its sum runs over many tasks.
+    """
     t = W.default(spark)
     a = assigned(spark, d)
-    first = F.row_number().over(Window.partitionBy("slot", "shape").orderBy("job_id")) == 1
-    rows = a.join(W.costs(W.executors(spark, d), a, t), ["kind", "shape"]).withColumn("cost", F.when(first, F.col("compile_cost")).otherwise(0) + F.col("n_seeds") * F.col("infer_cost"))
-    queue = Window.partitionBy("slot").orderBy("shape", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("slot", "job_id", F.sum("cost").over(queue).alias("finish"))
+    opening = a.groupBy("slot", "shape").agg(F.min("job_id").alias("opening"))
+    rows = a.join(W.costs(W.executors(spark, d), a, t), ["kind", "shape"]).join(opening, ["slot", "shape"])
+    cost = F.when(F.col("job_id") == F.col("opening"), F.col("compile_cost")).otherwise(0) + F.col("n_seeds") * F.col("infer_cost")
+    return running_total(rows.select("slot", "shape", "job_id", cost.alias("cost")), ["slot"], ["shape", "job_id"], "cost", "finish").select("slot", "job_id", "finish")
 
 
 @query("SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 4 AS slot FROM customer")
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return table(spark, d, "customer").select("c_custkey", ((F.row_number().over(w) - 1) % 4).cast("bigint").alias("slot"))
+    dealt = row_numbers(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], "n")
+    return dealt.select("c_custkey", ((F.col("n") - 1) % 4).alias("slot"))
 
 
 @query(f"""WITH {_ASSIGNED} SELECT slot AS victim, job_id, row_number() OVER (PARTITION BY slot ORDER BY shape DESC, job_id DESC) AS k FROM assigned""")
 def steal_order(spark: SparkSession, d: str) -> DataFrame:
     """Each victim's jobs from the last one; thieves go through all victims by (k, victim)."""
-    w = Window.partitionBy("slot").orderBy(F.desc("shape"), F.desc("job_id"))
-    return assigned(spark, d).select(F.col("slot").alias("victim"), "job_id", F.row_number().over(w).cast("bigint").alias("k"))
+    jobs = assigned(spark, d).select(F.col("slot").alias("victim"), "job_id", (-F.col("shape")).alias("wide"), (-F.col("job_id")).alias("late"))
+    return row_numbers(jobs, ["victim"], ["wide", "late"], "k").select("victim", "job_id", "k")
 
 
 @query("SELECT l_suppkey, l_returnflag, min(l_shipdate) AS first_at, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -318,9 +322,9 @@ def look_ahead(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, source || '-' || lang AS stem, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)""")
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
     """Suffixes _2, _3 and so on for repeated stems."""
-    stem = F.concat_ws("-", "source", "lang")
-    n = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.when(n == 1, stem).otherwise(F.concat_ws("_", stem, n)).alias("name"))
+    numbered = row_numbers(table(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"], "n")
+    stem, n = F.concat_ws("-", "source", "lang"), F.col("n")
+    return numbered.select("doc_id", F.when(n == 1, stem).otherwise(F.concat_ws("_", stem, n)).alias("name"))
 
 
 # ---------------------------------------------------------------- sorts, top-k, sets
@@ -343,7 +347,10 @@ def first_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, list_sort(list(o_orderkey), 'DESC')[1:5] AS newest FROM orders GROUP BY o_custkey")
 def load_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.slice(F.sort_array(F.collect_list("o_orderkey"), asc=False), 1, 5).alias("newest"))
+    """The five newest orders of each customer: a window limit drops the others before the shuffle."""
+    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
+    few = table(spark, d, "orders").select("o_custkey", "o_orderkey", newest.alias("n")).filter("n <= 5")
+    return few.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey"), asc=False).alias("newest"))
 
 
 @query(f"WITH {PRELUDE} SELECT shape FROM covered UNION SELECT unnest({_LADDER_SQL})::BIGINT")
