@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm._shared import materialize, scratch_path
 from jobloom.llm.decontam import decontaminate
 from jobloom.llm.mixing import mixed_documents
 from jobloom.llm.neardup import without_near_duplicates
 from jobloom.llm.queries import word_tokenizer
 from jobloom.llm.tokens import read_tokens, write_tokens
 from jobloom.llm.toxicity import without_toxic
+from jobloom.storage import materialize, scratch_path
 
 #: Fitting the toxicity model and writing token files are outside SQL.
 ORACLE_SQL = None
