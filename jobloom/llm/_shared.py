@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: byte-level NumPy kernels, shared storage.
+"""Helpers shared by the operators: byte-level NumPy kernels.
 
 The kernels work on slices of an Arrow batch, a few hundred kilobytes of text
 at a time, so a task's memory does not follow the size of its partition.
@@ -6,13 +6,11 @@ at a time, so a task's memory does not follow the size of its partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -21,36 +19,6 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-# ---------------------------------------------------------------- storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            found = jdir.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="jobloom-shared-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/jobloom/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage at a copy that survives the loss of any executor.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as ''."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import materialize
+from jobloom.operators.running import running_total
+from jobloom.storage import materialize
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -32,21 +33,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with the inclusive running sum of ``value`` in each group, in ``order``.
-
-    Materialised once sorted, so the partition numbers that the second level
-    builds on do not change when a task is run again.
-    """
-    ranged = materialize(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), out)
-    sums = ranged.groupBy(*groups, "_part").agg(F.sum(value).alias("_sum"))
-    ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
-    here = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn(out, F.sum(value).over(here))
-    return local.join(before, [*groups, "_part"]).withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
-
-
 def targets(sized: DataFrame) -> DataFrame:
     """(source, source_size, source_rank, target) from rows (source, size).
 

@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import hash_words, list_array, materialize, mix64, shingle_hashes, slices, texts_of
+from jobloom.llm._shared import hash_words, list_array, mix64, shingle_hashes, slices, texts_of
 from jobloom.llm.bits import build_bits, test
 from jobloom.llm.components import components
+from jobloom.storage import materialize
 
 K = 128
 BUCKETS = 1 << 17

@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import Rolling, materialize, mix64, slices, texts_of
+from jobloom.llm._shared import Rolling, mix64, slices, texts_of
 from jobloom.llm.bits import build_bits, test
+from jobloom.storage import materialize
 
 LENGTH = 200
 GRAM = 64

@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import LOWER, byte_view, scratch_path, slices, texts_of
+from jobloom.llm._shared import LOWER, byte_view, slices, texts_of
+from jobloom.storage import scratch_path
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
