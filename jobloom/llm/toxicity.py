@@ -3,7 +3,9 @@
 Terms are words and their first four to six characters (so inflected forms
 share a term).  The model is fitted on a bounded sample of labelled rows:
 
-* a vocabulary of the terms that tell the two labels apart best (chi-squared);
+* a vocabulary of the terms that tell the two labels apart best (chi-squared),
+  and one term that stands for all other words, so that a chance hit in a long
+  text is near other such texts and not near those full of hits;
 * an inverted index from term to (example, weight), cut into blocks of
   examples with the largest weight of each term in each block;
 * a calibration of the vote, from each example's vote among the others.
@@ -38,7 +40,10 @@ from jobloom.llm._shared import crc_mod, texts_of
 #: The bound of the sample that the model is fitted on: rows, taken by least hash.
 MAX_EXAMPLES = 6000
 MAX_TERMS = 1024
+#: A term's least chi-squared; in small samples, whose number of rows bounds it, a third of that.
 MIN_CHI2 = 30.0
+#: Weight of each word that holds no vocabulary term, beside weights of 1 and more of those that do.
+OTHER_WORDS = 0.05
 BLOCK = 128
 NEIGHBOURS = 25
 BINS = 10
@@ -47,14 +52,17 @@ PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def names_of(word: str) -> list[str]:
+    """A word's terms: itself and its prefixes."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+
+
 def terms(text: str) -> Counter:
     """Term counts of a text: its words, and the prefixes of longer words."""
     out: Counter = Counter()
     for word, n in Counter(WORD.findall(text.lower())).items():
-        out[word] += n
-        for k in PREFIXES:
-            if len(word) > k:
-                out[word[:k] + "*"] += n
+        for name in names_of(word):
+            out[name] += n
     return out
 
 
@@ -65,18 +73,20 @@ class Model:
     vocabulary: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    members: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the examples with a vocabulary term
     postings: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by block and term
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by term and block
     prior: float = 0.0
     bins: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, unit-length TF-IDF weights) of the vocabulary terms in a text."""
+        """(terms, unit-length TF-IDF weights) of a text's vocabulary terms and, as the last term, its other words."""
         have = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary)
         if not have:
             return np.zeros(0, np.int64), np.zeros(0)
-        at, n = np.array([x[0] for x in have]), np.array([x[1] for x in have], float)
-        w = (1 + np.log(n)) * self.idf[at]
+        others = sum(n for t, n in counts.items() if t[-1] != "*" and not any(x in self.vocabulary for x in names_of(t)))
+        at, n = np.array([*(x[0] for x in have), len(self.vocabulary)]), np.array([*(x[1] for x in have), others], float)
+        w = n * np.append(self.idf[at[:-1]], OTHER_WORDS)
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +98,14 @@ class Model:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or len(ids) == NEIGHBOURS and bound[b] < sims[-1] - 1e-12:
                 break
-            scores, lists = np.zeros(BLOCK), self.postings[b]
+            members, lists = self.members[b * BLOCK : (b + 1) * BLOCK], self.postings[b]
+            scores = np.zeros(len(members))
             for t, x in zip(at.tolist(), w.tolist(), strict=True):
                 who, weights = lists[t]
                 scores[who] += x * weights
-            if without // BLOCK == b:
-                scores[without % BLOCK] = 0
+            scores[members == without] = 0
             hit = np.flatnonzero(scores > 0)
-            ids, sims = np.concatenate((ids, hit + b * BLOCK)), np.concatenate((sims, scores[hit]))
+            ids, sims = np.concatenate((ids, members[hit])), np.concatenate((sims, scores[hit]))
             best = np.lexsort((ids, -np.round(sims, 12)))[:NEIGHBOURS]
             ids, sims = ids[best], sims[best]
         return ids, sims
@@ -129,17 +139,18 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     b = np.array([df[t] for t in names], float) - a
     c, d = n1 - a, n - n1 - b
     chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    chosen = [i for i in np.argsort(-chi2, kind="stable")[:MAX_TERMS] if chi2[i] >= MIN_CHI2 and a[i] * d[i] > b[i] * c[i]]
+    chosen = [i for i in np.argsort(-chi2, kind="stable")[:MAX_TERMS] if chi2[i] >= min(MIN_CHI2, n / 3) and a[i] * d[i] > b[i] * c[i]]
     model.vocabulary = {names[i]: k for k, i in enumerate(chosen)}
     model.idf = np.log((1 + n) / (1 + a[chosen] + b[chosen])) + 1 if chosen else np.zeros(0)
     vectors = [model.vector(c) for c in counted]
-    blocks = -(-n // BLOCK)
-    model.block_max = np.zeros((len(chosen), blocks))
+    model.members = np.flatnonzero([len(v[0]) > 0 for v in vectors])
+    blocks = -(-len(model.members) // BLOCK)
+    model.block_max = np.zeros((len(chosen) + 1, blocks))
     for k in range(blocks):
-        rows: list[list[tuple[int, float]]] = [[] for _ in chosen]
-        for r in range(k * BLOCK, min(n, (k + 1) * BLOCK)):
-            for t, w in zip(*(x.tolist() for x in vectors[r]), strict=True):
-                rows[t].append((r - k * BLOCK, w))
+        rows: list[list[tuple[int, float]]] = [[] for _ in range(len(chosen) + 1)]
+        for r, i in enumerate(model.members[k * BLOCK : (k + 1) * BLOCK].tolist()):
+            for t, w in zip(*(x.tolist() for x in vectors[i]), strict=True):
+                rows[t].append((r, w))
                 model.block_max[t, k] = max(model.block_max[t, k], w)
         model.postings.append([(np.array([x[0] for x in r], np.int64), np.array([x[1] for x in r])) for r in rows])
     # calibration: isotonic shares of label 1 by bins of the vote among the other examples

@@ -34,12 +34,12 @@ def model():
 def test_neighbours_are_exact(model):
     texts, _ = corpus()
     vectors = [model.vector(toxicity.terms(t)) for t in texts[:400]]
-    dense = np.zeros((400, len(model.vocabulary)))
+    dense = np.zeros((400, len(model.vocabulary) + 1))  # the last term stands for all other words
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
     for t in texts[400:]:
         at, w = model.vector(toxicity.terms(t))
-        q = np.zeros(len(model.vocabulary))
+        q = np.zeros(dense.shape[1])
         q[at] = w
         sims = dense @ q
         want = [i for i in np.lexsort((np.arange(400), -np.round(sims, 12))) if sims[i] > 0][: toxicity.NEIGHBOURS]
@@ -55,6 +55,12 @@ def test_held_out_accuracy_and_calibration(model):
     assert abs(scores.mean() - y.mean()) < 0.05 and scores.min() >= 0 and scores.max() <= 1
 
 
+def test_chance_hits_in_long_texts_score_low(model):
+    plain = " ".join(corpus(40, 9)[0])
+    assert model.score("zorgle blenkish quarpous zorgles")[0] > 0.8
+    assert model.score(plain.replace("zorgle", "x").replace("blenkish", "x").replace("quarpous", "x") + " zorgle")[0] <= model.score("zorgle")[0]
+
+
 def test_degenerate_models():
     assert toxicity.fit([], []).score("anything") == (0.0, [])
     assert toxicity.fit(["a", "b"], [1, 1]).score("a") == (1.0, [])
