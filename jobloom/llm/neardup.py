@@ -8,16 +8,24 @@ Candidates come from inverted lists of retained values.  Two sketches of sets
 with a Jaccard similarity of 0.8 share well over half of their values, so, in
 one global order, each has a shared value among its first ``s - c + 1`` of
 ``s``.  The order is by how common a value's bucket is, rarest first: lists of
-common passages hold no rows unless a text has little else.
-
-Within a list, the most central member is the hub, and only (hub, member)
-pairs are made: copies of one text need as many pairs as there are copies.
-Pairs whose union-sketch estimate lies far below the threshold are dropped;
-the others are confirmed on their full sets.  Lists that still join several
-components are gone through again with the next hub, and in the end by all
-pairs between their different components, so no link between components is
-lost.  Lists that are too long are split into salted parts whose hubs meet in
-a list of their own.
+common passages hold no rows unless a text has little else.  A pair is made in
+the list of its first shared value only: all values before that one differ, so
+their number bounds the overlap, and texts that share a passage but are
+otherwise different are not paired in that passage's lists.
+
+Within a list, the member with the fewest values before is the hub, and only
+(hub, member) pairs are made: copies of one text need as many pairs as there
+are copies.  Pairs whose union-sketch estimate lies far below the threshold
+are dropped; the others are confirmed on their full sets.
+
+Of lists that still join several components, short ones are compared member by
+member.  Members of long ones, such as the many versions of one text that
+differ in a few places each, are listed again by the rarest values of their
+full sets, where the bounds have no allowance for chance: versions with enough
+differences of their own stand in no list there, and the others go through
+hubs first and then, as far as their components differ, pair by pair, so no
+link between components is lost.  Lists that are too long are split into
+salted parts, and for the comparison into cells of two parts.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; a text with fewer words than a shingle has its whole sequence as
@@ -43,7 +51,14 @@ from jobloom.storage import materialize
 K = 128
 BUCKETS = 1 << 17
 LIST_PART = 20_000
-STAR_ROUNDS = 3
+#: Lists of at most so many members are compared member by member.
+SHORT = 64
+#: Rounds of hubs over the lists from full sets.
+STAR_ROUNDS = 2
+#: For lists from full sets, of which nothing is left out.
+WHOLE = 1 << 40
+#: Pairs that the last turn looks at in one step.
+STEP = 1 << 21
 BLOOM_BITS = 1 << 26
 #: Six standard deviations of the number of shared values in a union sketch at similarity 0.8.
 SLACK = 6
@@ -113,7 +128,7 @@ def _bucket_counts(classes: DataFrame) -> np.ndarray:
 
 
 def postings(classes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(v, salt, cid, n, central): the prefix of each class's sketch in global order."""
+    """(v, salt, cid, n, p): the prefix of each class's sketch in global order, ``p`` values standing before ``v``."""
     counts = classes.sparkSession.sparkContext.broadcast(_bucket_counts(classes))
     lengths = np.array([0, *(prefix_length(s, k, threshold) for s in range(1, k + 1))])
 
@@ -125,45 +140,104 @@ def postings(classes: DataFrame, k: int, threshold: float) -> DataFrame:
             v, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             owner = np.repeat(np.arange(len(size)), size)
             c = common[v & (BUCKETS - 1)]
-            central = np.bincount(owner, np.log2(c + 1.0), len(size)) / np.maximum(size, 1)
             order = np.lexsort((v, c, owner))
             rank = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
-            keep = order[rank < np.repeat(lengths[size], size)]
+            first = rank < np.repeat(lengths[size], size)
+            keep, rank = order[first], rank[first]
             own, parts = owner[keep], c[keep] // LIST_PART + 1
             part = 1 + mix64(cid[own].astype(np.uint64)) % parts.astype(np.uint64)
             salt = np.where(parts > 1, part, 0).astype(np.int32)  # 0: the list is whole
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(salt), pa.array(cid[own]), pa.array(n[own]), pa.array(central[own].astype(np.float32))], ["v", "salt", "cid", "n", "central"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(salt), pa.array(cid[own]), pa.array(n[own]), pa.array(rank.astype(np.int32))], ["v", "salt", "cid", "n", "p"])
+
+    return classes.select("cid", "n", "sketch").mapInArrow(post, "v long, salt int, cid long, n long, p int")
+
 
-    return classes.select("cid", "n", "sketch").mapInArrow(post, "v long, salt int, cid long, n long, central float")
+def possible(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Can sets of ``n`` and ``m`` values link, if ``p`` and ``q`` values stand before their first shared one?"""
+    shared = np.minimum(np.minimum(n, k) - p, np.minimum(m, k) - q)  # at most so many retained values
+    whole = (n <= k) & (m <= k)
+    enough = np.where(whole, (100 + percent) * shared >= percent * (n + m), shared >= least_shared(k, percent / 100))
+    return enough & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-def _stars(lists: DataFrame, threshold: float) -> DataFrame:
-    """Each list's members with its hub; near: another component, and sizes allow a link.
+def _stars(lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each list's members with its hub; near: another component, and a link is possible.
 
     The hub itself has a row only in a part of a split list.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, (0, 0, 0)
+        last, hub = None, (0, 0, 0, 0)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, salt, cid, n, comp = (batch.column(i).to_numpy() for i in range(5))
+            v, salt, cid, n, p, comp = (batch.column(i).to_numpy() for i in range(6))
             first = np.ones(len(cid), bool)
             first[1:] = (v[1:] != v[:-1]) | (salt[1:] != salt[:-1])
             first[0] = last != (v[0], salt[0])
             at = np.concatenate(([0], np.flatnonzero(first)))
-            heads = [x[at] for x in (cid, n, comp)]
+            heads = [x[at] for x in (cid, n, p, comp)]
             for x, y in zip(heads, hub, strict=True):
                 x[0] = y  # rows before the first new list belong to the one of the batch before
-            hc, hn, hp = (x[np.cumsum(first)] for x in heads)
-            last, hub = (v[-1], salt[-1]), (hc[-1], hn[-1], hp[-1])
-            near = ~first & (hp != comp) & (np.minimum(hn, n) >= threshold * np.maximum(hn, n))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(5), pa.array(hc), pa.array(near)], ["v", "cid", "n", "central", "hub", "near"])
+            hc, hn, hp, ho = (x[np.cumsum(first)] for x in heads)
+            last, hub = (v[-1], salt[-1]), (hc[-1], hn[-1], hp[-1], ho[-1])
+            near = ~first & (ho != comp) & possible(hn, hp, n, p, k, percent)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(hc), pa.array(near)], ["v", "cid", "n", "p", "hub", "near"])
             yield out.filter(pa.array(~first | (salt > 0)))
 
-    ordered = lists.repartition("v", "salt").sortWithinPartitions("v", "salt", F.desc("central"), "cid")
-    return ordered.select("v", "salt", "cid", "n", "comp", "central").mapInArrow(walk, "v long, cid long, n long, central float, hub long, near boolean")
+    ordered = lists.repartition("v", "salt").sortWithinPartitions("v", "salt", "p", "cid")
+    return ordered.select("v", "salt", "cid", "n", "p", "comp").mapInArrow(walk, "v long, cid long, n long, p int, hub long, near boolean")
+
+
+def _rest(lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): the possible pairs between different components in each list.
+
+    Members are sorted by size, so each is compared with those of up to 1.25
+    times its size only.  A list of several parts is dealt to cells of two
+    parts each, in which members of one meet those of the other.
+    """
+    parts = lists.groupBy("v").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
+    dealt = lists.join(parts, "v").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "cid", "p", "comp", "own")
+    names = ["v", "x", "y", "n", "cid", "p", "comp", "own"]
+
+    def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole lists, a bounded number of comparisons at a time."""
+        v, x, y, n, cid, p, comp, own = c
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        group = np.cumsum(new).astype(np.int64)
+        wide = np.int64(int(n.max()) * 2 + 2)
+        upto = np.searchsorted(group * wide + n, group * wide + n * 100 // percent, side="right")
+        count = upto - np.arange(len(n)) - 1
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP, side="right")))
+            i = np.repeat(np.arange(start, stop), count[start:stop])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[start:stop]) - count[start:stop], count[start:stop])
+            use = (comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & possible(n[i], p[i], n[j], p[j], k, percent)
+            i, j = i[use], j[use]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], ["a", "b"])
+            start = stop
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last list, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = [batch.column(i).to_numpy() for i in range(len(names))]
+            if held is not None:
+                c = [np.concatenate(z) for z in zip(held, c, strict=True)]
+            turns = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1]))
+            cut = int(turns[-1]) + 1 if len(turns) else 0
+            if cut:
+                yield from pairs([z[:cut] for z in c])
+            held = [z[cut:] for z in c]
+        if held is not None:
+            yield from pairs(held)
+
+    ordered = cells.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "n", "cid")
+    return ordered.select(*names).mapInArrow(walk, "a long, b long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -231,47 +305,72 @@ def classes_of(signed: DataFrame) -> DataFrame:
     return one.withColumn("cid", F.monotonically_increasing_id())
 
 
+def exact_lists(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(v, salt, cid, n, p, comp): the rarest values of the full sets of ``members`` (cid, comp).
+
+    A value that only one member has needs no list, but stands before the others.
+    """
+    sets = materialize(_full_sets(docs, classes, members.select("cid"), id_col, text_col, width), "sets")
+    values = sets.select("cid", F.explode("full").alias("v"))
+    counts = values.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = values.join(counts, "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("shared"))
+    n = F.size("full")
+    rows = sets.select("cid", n.cast("bigint").alias("n"), (n - F.ceil(n * percent / 100) + 1).cast("int").alias("prefix")).join(shared, "cid")
+    alone = (F.col("n") - F.size("shared")).cast("int")
+    few = rows.select("cid", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(F.col("prefix") - alone, F.lit(0))).alias("few"))
+    each = few.select("cid", "n", "alone", F.posexplode("few").alias("rank", "x"))
+    parts = F.floor(F.col("x.c") / LIST_PART).cast("int") + 1
+    salt = F.when(parts > 1, 1 + F.pmod(F.xxhash64("cid"), parts)).otherwise(0).cast("int")
+    return each.select(F.col("x.v").alias("v"), salt.alias("salt"), "cid", "n", (F.col("alone") + F.col("rank")).cast("int").alias("p")).join(members, "cid")
+
+
 def similar_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int) -> DataFrame:
     """(node, component) of all classes that a link joins to another."""
     spark: SparkSession = docs.sparkSession
     threshold = percent / 100
-    lists = postings(classes, k, threshold).withColumn("comp", F.col("cid"))
     links = comp = None
 
-    def follow(pairs: DataFrame) -> DataFrame | None:
-        """The confirmed links among the pairs, or None without any pair."""
-        likely = materialize(_estimated(pairs, classes, k, threshold), "likely")
+    def follow(pairs: DataFrame) -> None:
+        """Confirm the links among the pairs and join them to those found before."""
+        nonlocal links, comp
+        likely = materialize(_estimated(pairs.distinct(), classes, k, threshold), "likely")
         if likely.isEmpty():
-            return None
+            return
         needed = likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid"))).distinct()
         sets = _full_sets(docs, classes, needed, id_col, text_col, width)
-        return materialize(_confirmed(likely, sets, percent), "links")
-
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            stars = materialize(_stars(lists, threshold), "stars")
-            pairs = stars.filter("near").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
-        else:
-            x, y = lists.alias("x"), lists.alias("y")
-            near = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-            other = (F.col("x.v") == F.col("y.v")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = x.join(y, other & near).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-        found = follow(pairs)
-        if found is not None:
-            links = found if links is None else links.union(found)
-            comp = components(links)
-        if turn == STAR_ROUNDS:
-            break
-        # the next turn sees the lists that still join several components, without the hubs that met all members
-        rest = stars.select("v", F.lit(0).alias("salt"), "cid", "n", "central")
-        if comp is not None:
-            rest = rest.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        found = materialize(_confirmed(likely, sets, percent), "links")
+        links = found if links is None else links.union(found)
+        comp = components(links)
+
+    def hubs(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """(pairs with hubs, the lists without the hubs that met all members)."""
+        stars = materialize(_stars(lists, k, percent), "stars")
+        near = stars.filter("near").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b"))
+        return near, stars.select("v", F.lit(0).alias("salt"), "cid", "n", "p")
+
+    def split(lists: DataFrame) -> DataFrame:
+        """The lists that still join several components, with their members' number."""
+        if comp is None:
+            named = lists.withColumn("comp", F.col("cid"))
         else:
-            rest = rest.withColumn("comp", F.col("cid"))
-        spread = rest.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
-        lists = materialize(rest.join(spread, "v", "left_semi"), "lists")
-        if lists.isEmpty():
-            break
+            named = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        several = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("v", "members")
+        return materialize(named.join(several, "v"), "lists")
+
+    near, rest = hubs(postings(classes, k, threshold).withColumn("comp", F.col("cid")), k)
+    follow(near)
+    lists = split(rest)
+    pairs = _rest(lists.filter(F.col("members") <= SHORT), k, percent)
+    long = materialize(lists.filter(F.col("members") > SHORT).select("cid", "comp").distinct(), "long")
+    if long.isEmpty():
+        follow(pairs)
+    else:
+        lists = exact_lists(docs, classes, long, id_col, text_col, width, percent)
+        for turn in range(STAR_ROUNDS):
+            near, rest = hubs(lists, WHOLE)
+            follow(near if turn else near.union(pairs))
+            lists = split(rest).drop("members")
+        follow(_rest(lists, WHOLE, percent))
     return comp if comp is not None else spark.createDataFrame([], "node long, component long")
 
 

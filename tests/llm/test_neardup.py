@@ -65,6 +65,25 @@ def test_chains_and_groups(spark):
     assert run(spark, data, 5) == brute(data, 5)
 
 
+def test_versions_of_one_text(spark, monkeypatch):
+    """Members of long lists are listed again by their full sets: most versions differ too much from each other, some do not."""
+    monkeypatch.setattr(neardup, "SHORT", 3)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    data = []
+    for size in (90, 300):
+        base = [word() for _ in range(size)]
+        for i in range(50):
+            t = [*base]
+            for _ in range(rnd.choice([size // 60, size // 25, size // 15])):
+                t[rnd.randrange(size)] = word()
+            data.append((size * 100 + i, " ".join(t), "en", "s", 1, 1, "x", "y"))
+    want = brute(data, 4)
+    assert 10 < len({c for _, _, c in want}) < 100 and run(spark, data, 4) == want
+    monkeypatch.setattr(neardup, "LIST_PART", 5)
+    assert run(spark, data, 4) == want
+
+
 def test_long_lists_are_split(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LIST_PART", 5)
     assert run(spark, rows(), 4) == brute(rows(), 4)
