@@ -19,6 +19,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", "content")
 
 
+def _codes(seq: Column, kind: str, key: str) -> Column:
+    """The codes of a polymer's modifications, '' where one has none."""
+    mods = F.coalesce(F.try_variant_get(seq, f"$.{kind}.modifications", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(mods, lambda m: F.coalesce(F.try_variant_get(m, f"$.{key}", "string"), F.lit("")))
+
+
 def _sequence_tokens(seq: Column) -> Column:
     """(tokens, exact) of one single-key entity object."""
     ids = lambda kind: F.coalesce(F.size(F.try_variant_get(seq, f"$.{kind}.id", "array<string>")), F.lit(1))
@@ -29,8 +35,7 @@ def _sequence_tokens(seq: Column) -> Column:
     ligand = F.struct((n_ligand * F.greatest(ids("ligand"), F.lit(1))).cast("int").alias("tokens"), F.coalesce(F.forall(ccd, lambda c: F.try_element_at(atoms, c).isNotNull()), F.lit(False)).alias("exact"))
     out = F.when(F.try_variant_get(seq, "$.ligand", "variant").isNotNull(), ligand).otherwise(out)
     for kind, key in POLYMERS:
-        mods = F.transform(F.coalesce(F.try_variant_get(seq, f"$.{kind}.modifications", "array<variant>"), F.array().cast("array<variant>")), lambda m, key=key: F.coalesce(F.try_variant_get(m, f"$.{key}", "string"), F.lit("")))
-        extra = S.modification_extra(mods)
+        extra = S.modification_extra(_codes(seq, kind, key))
         n = (F.coalesce(F.length(F.try_variant_get(seq, f"$.{kind}.sequence", "string")), F.lit(0)) + extra["extra"]) * F.greatest(ids(kind), F.lit(1))
         out = F.when(F.try_variant_get(seq, f"$.{kind}", "variant").isNotNull(), F.struct(n.cast("int").alias("tokens"), extra["exact"].alias("exact"))).otherwise(out)
     return out
