@@ -14,7 +14,8 @@ ATOM_COUNTS = {
     "BTN": 16, "HEM": 43, "NAD": 44, "ATP": 31, "GTP": 32, "FAD": 53,
 }
 UNKNOWN_ATOMS = 20
-RESERVED_IDS = (".", "..", "_af3sched")
+#: Names that no job may take: folders, and the one that holds the engine's own state.
+RESERVED_IDS = (".", "..", "_jobloom")
 #: Spellings of booleans.
 TRUE_WORDS = ("true", "t", "yes", "y", "on", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "off", "0")

@@ -162,7 +162,7 @@ def entity_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT page_id, CASE WHEN url IS NULL THEN 'missing url' WHEN html IS NULL OR html = '' THEN 'empty page'
-  WHEN lower(regexp_replace(url, '.*/', '')) IN ('.', '..', '_af3sched') THEN 'reserved name' WHEN length(html) < 400 THEN 'too short' END AS reason FROM pages""")
+  WHEN lower(regexp_replace(url, '.*/', '')) IN ('.', '..', '_jobloom') THEN 'reserved name' WHEN length(html) < 400 THEN 'too short' END AS reason FROM pages""")
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     """The first failing rule is the message; accepted rows have none."""
     url, html = F.col("url"), F.col("html")
