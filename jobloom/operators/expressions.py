@@ -68,7 +68,7 @@ def integer_costs(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_orderkey, s AS s_ms, t[1] + t[2] - 2e0 * s AS r_ms, s > 0 AND abs(t[3] - t[4]) / s > 25e-2 AS contaminated,
   CASE WHEN s > 0 THEN s / 1e3 / 59.423::DOUBLE ELSE 1e0 END AS multiplier
 FROM (SELECT l_orderkey, t, (t[3] + t[4]) / 2e0 AS s FROM (
-  SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber) AS t FROM lineitem GROUP BY l_orderkey) WHERE len(t) = 4)""")
+  SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS t FROM lineitem GROUP BY l_orderkey) WHERE len(t) = 4)""")
 def probe_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Probe arithmetic over the orders that have exactly four lines."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("p"))
@@ -94,8 +94,8 @@ def free_chain_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", S.free_ids(used, F.lit(3)).alias("ids"))
 
 
-@query("""SELECT vec_id, list_transform(range(1, len(at) + 1), lambda i: at[i] - (CASE WHEN i > 1 THEN at[i - 1] ELSE 0 END) - 1) AS gaps, len(at)::BIGINT AS kept
-FROM (SELECT vec_id, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS at FROM embeddings)""")
+@query("""SELECT vec_id, list_transform(range(1, len(pos) + 1), lambda i: pos[i] - (CASE WHEN i > 1 THEN pos[i - 1] ELSE 0 END) - 1) AS gaps, len(pos)::BIGINT AS kept
+FROM (SELECT vec_id, list_filter(range(1, 65), lambda i: embedding[i] > 0) AS pos FROM embeddings)""")
 def gap_positions(spark: SparkSession, d: str) -> DataFrame:
     """Gaps between kept positions of each vector: an index-lambda difference within the array."""
     kept = F.transform("embedding", lambda x: x > 0)

@@ -36,10 +36,10 @@ dp AS (
       list_transform(range(1, len(d.cost) + 1), lambda i: CASE WHEN d.cost[i] >= 1000000000000000000 OR d.hist[i] = b.upto THEN 1000000000000000000 ELSE d.cost[i] + b.c + (b.upto - d.hist[i]) * b.f END) AS via
     FROM dp d JOIN base b ON b.kind = d.kind AND b.j = d.j + 1)),
 done AS (SELECT *, list_min(list_transform(range(1, len(cost) + 1), lambda i: CASE WHEN hist[i] = hist[-1] THEN cost[i] END)) AS best FROM dp WHERE j = (SELECT max(j) FROM base)),
-ends AS (SELECT *, list_min(list_filter(range(1, len(cost) + 1), lambda i: hist[i] = hist[-1] AND cost[i] = best)) AS at FROM done),
+ends AS (SELECT *, list_min(list_filter(range(1, len(cost) + 1), lambda i: hist[i] = hist[-1] AND cost[i] = best)) AS pos FROM done),
 walk AS (
-  SELECT kind, best, at, par FROM ends UNION ALL SELECT kind, best, par[at], par FROM walk WHERE par[at] > 0),
-plan AS (SELECT w.kind, w.best AS cost_us, e.shape FROM walk w JOIN ent e ON e.kind = w.kind AND e.j = w.at)"""
+  SELECT kind, best, pos, par FROM ends UNION ALL SELECT kind, best, par[pos], par FROM walk WHERE par[pos] > 0),
+plan AS (SELECT w.kind, w.best AS cost_us, e.shape FROM walk w JOIN ent e ON e.kind = w.kind AND e.j = w.pos)"""
 
 
 def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +57,8 @@ def single_plan(spark: SparkSession, d: str) -> DataFrame:
     return _planned(spark, d)[1].select("kind", "cost_us", F.array_join(F.col("shapes").cast("array<string>"), ",").alias("shapes"))
 
 
-@query(f"""WITH RECURSIVE {_PLAN} SELECT s.kind, s.at AS shape, sum(s.n_jobs)::BIGINT AS n_jobs, sum(s.units)::BIGINT AS n_inf FROM (
-  SELECT p.kind, u.n_jobs, u.units, min(p.shape) AS at FROM shapes u JOIN plan p ON p.shape >= u.shape GROUP BY p.kind, u.shape, u.n_jobs, u.units) s GROUP BY s.kind, s.at""")
+@query(f"""WITH RECURSIVE {_PLAN} SELECT s.kind, s.up AS shape, sum(s.n_jobs)::BIGINT AS n_jobs, sum(s.units)::BIGINT AS n_inf FROM (
+  SELECT p.kind, u.n_jobs, u.units, min(p.shape) AS up FROM shapes u JOIN plan p ON p.shape >= u.shape GROUP BY p.kind, u.shape, u.n_jobs, u.units) s GROUP BY s.kind, s.up""")
 def bucket_plan_report(spark: SparkSession, d: str) -> DataFrame:
     """Which buckets each kind of executor should compile, and what runs at each."""
     units, plan = _planned(spark, d)
