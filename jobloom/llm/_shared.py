@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -27,17 +28,34 @@ def crc_mod(col: Column, mod: int) -> Column:
 # ---------------------------------------------------------------- batches
 
 
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, to be handed to Python ``BATCH_ROWS`` rows at a time.
+
+    Spark's default of 10,000 whole texts a batch takes tens of megabytes on
+    both sides of each task.  Sets the session's limit, unless it is lower.
+    """
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return texts
+
+
 def texts_of(column: pa.Array) -> pa.Array:
-    """Text column of a batch as 64-bit-offset strings, null as ''."""
+    """Text column of a batch, null as ''; a copy only if there are nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.cast(pa.large_string()).fill_null("")
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
+    return column.fill_null("") if column.null_count else column
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a large_string array, offsets starting at 0."""
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if texts.buffers()[2] is None or not len(texts):
+    """(bytes, offsets) of a string array, offsets starting at 0."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if texts.buffers()[1] is None or not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if texts.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import LOWER, byte_view, texts_of, words_of
+from jobloom.llm._shared import LOWER, byte_view, in_small_batches, texts_of, words_of
 
 #: Fixed values of the contract: phrases and their labels.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -216,7 +216,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["id", *(f.split(" ")[0] for f in fields.split(", "))])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    return in_small_batches(rows).mapInArrow(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
 def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm._shared import in_small_batches
 from jobloom.storage import materialize
 
 UNIT = 64
@@ -226,7 +227,7 @@ def write_mpeg(df: DataFrame, id_col: str = "doc_id", value_col: str = "text") -
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(value_col).cast("binary").alias("value"))
-    return rows.mapInArrow(encode, f"id {kind}, media binary").withColumnRenamed("id", id_col)
+    return in_small_batches(rows).mapInArrow(encode, f"id {kind}, media binary").withColumnRenamed("id", id_col)
 
 
 def parse_mpeg(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -249,7 +250,7 @@ def parse_mpeg(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                 yield pa.RecordBatch.from_arrays(cols, ["id", *(f.split(" ")[0] for f in fields.split(", "))])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(decode, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    return in_small_batches(rows).mapInArrow(decode, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

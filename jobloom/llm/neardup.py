@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import hash_words, list_array, mix64, shingle_hashes, slices, texts_of
+from jobloom.llm._shared import hash_words, in_small_batches, list_array, mix64, shingle_hashes, slices, texts_of
 from jobloom.llm.bits import build_bits, test
 from jobloom.llm.components import components
 from jobloom.storage import materialize
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, k: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), sketch], ["key", "id", "n", "c1", "c2", "sketch"])
 
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sign, "key long, id long, n long, c1 long, c2 long, sketch array<long>")
+    return in_small_batches(rows).mapInArrow(sign, "key long, id long, n long, c1 long, c2 long, sketch array<long>")
 
 
 def _bucket_counts(classes: DataFrame) -> np.ndarray:
@@ -288,7 +288,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, id_col: s
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     p, q = _spots(F.xxhash64("key"))
     rows = rows.select("key", "text", p.alias("p"), q.alias("q"))
-    got = rows.mapInArrow(sets, "key long, full array<long>").join(reps, "key")
+    got = in_small_batches(rows).mapInArrow(sets, "key long, full array<long>").join(reps, "key")
     return got.groupBy("cid").agg(F.first("full").alias("full"))
 
 

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first four to six characters (so inflected forms
-share a term).  The model is fitted on a bounded sample of labelled rows:
+share a term).  The model is fitted on a bounded sample of labelled rows; the
+cluster counts the sample's terms, and the driver sees only those chosen:
 
 * a vocabulary of the terms that tell the two labels apart best (chi-squared),
   and one term that stands for all other words, so that a chance hit in a long
@@ -35,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import crc_mod, texts_of
+from jobloom.llm._shared import crc_mod, in_small_batches, texts_of
+from jobloom.llm.sampling import least_hash
+from jobloom.storage import materialize
 
-#: The bound of the sample that the model is fitted on: rows, taken by least hash.
+#: The bound of the sample that the model is fitted on: labelled rows, taken by least hash of id and label.
 MAX_EXAMPLES = 6000
 MAX_TERMS = 1024
 #: A term's least chi-squared; in small samples, whose number of rows bounds it, a third of that.
@@ -49,6 +52,8 @@ NEIGHBOURS = 25
 BINS = 10
 TOXIC_AT = 0.3
 PREFIXES = (4, 5, 6)
+#: Distinct terms that a task holds before it passes their counts on, and tasks that count.
+TALLY, PARTS = 100_000, 16
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,13 +62,20 @@ def names_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def terms(text: str) -> Counter:
-    """Term counts of a text: its words, and the prefixes of longer words."""
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for name in names_of(word):
-            out[name] += n
-    return out
+def terms(text: str) -> set[str]:
+    """The distinct terms of a text."""
+    return {t for word in set(WORD.findall(text.lower())) for t in names_of(word)}
+
+
+def chi2(df, df1, n, n1):
+    """(chi-squared, whether the term speaks for label 1) of document counts; numbers, arrays or columns."""
+    a, b = df1, df - df1
+    c, d = n1 - a, n - n1 - b
+    return n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d) + 1e-9), a * d > b * c
+
+
+def least_chi2(n: float) -> float:
+    return min(MIN_CHI2, n / 3)
 
 
 @dataclass
@@ -79,14 +91,23 @@ class Model:
     prior: float = 0.0
     bins: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, unit-length TF-IDF weights) of a text's vocabulary terms and, as the last term, its other words."""
-        have = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary)
-        if not have:
+    def count(self, text: str) -> tuple[list[int], list[int], int]:
+        """(a text's vocabulary terms, how often each stands there, the number of words that hold none)."""
+        have: Counter = Counter()
+        others = 0
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            known = [self.vocabulary[t] for t in names_of(word) if t in self.vocabulary]
+            for t in known:
+                have[t] += n
+            others += 0 if known else n
+        return sorted(have), [have[t] for t in sorted(have)], others
+
+    def vector(self, have: list[int], n: list[int], others: int) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, unit-length TF-IDF weights) of the vocabulary terms and, as the last term, all other words."""
+        if not len(have):
             return np.zeros(0, np.int64), np.zeros(0)
-        others = sum(n for t, n in counts.items() if t[-1] != "*" and not any(x in self.vocabulary for x in names_of(t)))
-        at, n = np.array([*(x[0] for x in have), len(self.vocabulary)]), np.array([*(x[1] for x in have), others], float)
-        w = n * np.append(self.idf[at[:-1]], OTHER_WORDS)
+        at = np.array([*have, len(self.vocabulary)])
+        w = np.array([*n, others], float) * np.append(self.idf[at[:-1]], OTHER_WORDS)
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -115,34 +136,36 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[int]]:
         """(calibrated score, the neighbours as evidence)."""
-        ids, sims = self.nearest(*self.vector(terms(text)))
+        ids, sims = self.nearest(*self.vector(*self.count(text)))
         if not len(ids):
             return self.prior, []
         return float(np.interp(self.vote(ids, sims), (np.arange(BINS) + 0.5) / BINS, self.bins)), ids.tolist()
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """The model of a sample of labelled texts."""
+    """The model of a few labelled texts, all on the driver."""
+    n, n1, df, df1 = len(texts), sum(labels), Counter(), Counter()
+    for text, label in zip(texts, labels, strict=True):
+        df.update(terms(text))
+        if label:
+            df1.update(terms(text))
+    if not 0 < n1 < n:
+        return build([], n, [], labels)
+    scored = sorted((-x, t) for t in df for x, toxic in [chi2(float(df[t]), float(df1[t]), float(n), float(n1))] if toxic and x >= least_chi2(n))
+    chosen = [(t, df[t]) for _, t in scored[:MAX_TERMS]]
+    names = Model(vocabulary={t: i for i, (t, _) in enumerate(chosen)})
+    return build(chosen, n, [names.count(t) for t in texts], labels)
+
+
+def build(chosen: list[tuple[str, int]], n: int, counted: list[tuple[list[int], list[int], int]], labels: list[int]) -> Model:
+    """Index and calibration from the chosen terms (term, examples that hold it) and the examples' counts of them."""
     y, model = np.array(labels, float), Model()
     model.labels, model.prior = y, float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return model
-    counted = [terms(t) for t in texts]
-    n, n1 = len(y), y.sum()
-    df, df1 = Counter(), Counter()
-    for c, label in zip(counted, labels, strict=True):
-        df.update(c.keys())
-        if label:
-            df1.update(c.keys())
-    names = sorted(df)
-    a = np.array([df1[t] for t in names], float)
-    b = np.array([df[t] for t in names], float) - a
-    c, d = n1 - a, n - n1 - b
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    chosen = [i for i in np.argsort(-chi2, kind="stable")[:MAX_TERMS] if chi2[i] >= min(MIN_CHI2, n / 3) and a[i] * d[i] > b[i] * c[i]]
-    model.vocabulary = {names[i]: k for k, i in enumerate(chosen)}
-    model.idf = np.log((1 + n) / (1 + a[chosen] + b[chosen])) + 1 if chosen else np.zeros(0)
-    vectors = [model.vector(c) for c in counted]
+    model.vocabulary = {t: i for i, (t, _) in enumerate(chosen)}
+    model.idf = np.log((1 + n) / (1 + np.array([x for _, x in chosen], float))) + 1
+    vectors = [model.vector(*c) for c in counted]
     model.members = np.flatnonzero([len(v[0]) > 0 for v in vectors])
     blocks = -(-len(model.members) // BLOCK)
     model.block_max = np.zeros((len(chosen) + 1, blocks))
@@ -165,13 +188,6 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def sample(labelled: DataFrame, text_col: str, label_col: str, limit: int = MAX_EXAMPLES) -> tuple[list[str], list[int]]:
-    """At most ``limit`` labelled rows, those of least text hash; bounded on the driver too."""
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    got = rows.orderBy(F.xxhash64("text"), "text", "label").limit(limit).collect()
-    return [r.text for r in got], [int(r.label > 0) for r in got]
-
-
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` and ``evidence`` (examples' numbers)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -196,13 +212,53 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, "score", "evidence"])
 
     schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(None).cast("array<bigint>").alias("evidence")).schema
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = MAX_EXAMPLES) -> Model:
+    """The model of at most ``limit`` labelled rows that are not held out (crc32 of the id modulo 4 is not 2).
+
+    The sample is taken from the labels, and only its rows meet the texts, so
+    no text is shuffled.
+    """
+    spark = docs.sparkSession
+    train = labels.filter((crc_mod(F.col(id_col), 4) != 2) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label"))
+    chosen = spark.createDataFrame(least_hash(train, [F.col("_id").isNotNull()], limit)[0], train.schema)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = materialize(texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").distinct(), "examples")  # the chosen ids are at most ``limit``
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_label"), F.lit(0)).alias("n1")).first()
+    n, n1 = int(size.n), int(size.n1)
+    if not 0 < n1 < n:
+        return build([], n, [], [1] * n1 + [0] * (n - n1))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((t, label) for t in terms(text))
+                if len(seen) > TALLY:
+                    yield _tallied(seen)
+                    seen.clear()
+        yield _tallied(seen)
+
+    counts = rows.select("_text", "_label").repartition(PARTS).transform(in_small_batches).mapInArrow(tally, "term string, label int, n long").groupBy("term").agg(F.sum("n").cast("double").alias("df"), F.sum(F.col("n") * F.col("label")).cast("double").alias("df1"))
+    value, toxic = chi2(F.col("df"), F.col("df1"), F.lit(float(n)), F.lit(float(n1)))
+    best = counts.select("term", "df", value.alias("chi2"), toxic.alias("toxic")).filter(F.col("toxic") & (F.col("chi2") >= least_chi2(n))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
+    terms_ = [(r.term, int(r.df)) for r in best.collect()]
+    names = Model(vocabulary={t: i for i, (t, _) in enumerate(terms_)})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [names.count(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64())], ["id", "label", "have", "n", "others"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    counted = in_small_batches(rows).mapInArrow(read, f"id {kind}, label int, have array<long>, n array<long>, others long").orderBy("id", "label", "have", "n", "others").collect()
+    return build(terms_, n, [(r.have, r.n, r.others) for r in counted], [r.label for r in counted])
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model of the labelled rows that are not held out (crc32 of the id modulo 4 is not 2)."""
-    train = labels.filter(crc_mod(F.col(id_col), 4) != 2).select(id_col, F.col(label_col).alias("_label"))
-    return fit(*sample(docs.select(id_col, F.col(text_col).alias("_text")).join(train, id_col), "_text", "_label"))
+def _tallied(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "label", "n"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -215,6 +271,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The documents that are not predicted toxic, all columns kept."""
     model = fit_on(docs, labels, id_col, text_col, label_col)
-    named = docs.select(F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
-    rows = score_texts(named, model, "_text").filter(F.col("score") < TOXIC_AT)
-    return rows.select("_row.*")
+    places = [f"c{i}" for i in range(len(docs.columns))]  # the columns' own names may clash with the score's
+    rows = score_texts(docs.toDF(*places), model, places[docs.columns.index(text_col)]).filter(F.col("score") < TOXIC_AT)
+    return rows.select(*places).toDF(*docs.columns)

@@ -33,12 +33,12 @@ def model():
 
 def test_neighbours_are_exact(model):
     texts, _ = corpus()
-    vectors = [model.vector(toxicity.terms(t)) for t in texts[:400]]
+    vectors = [model.vector(*model.count(t)) for t in texts[:400]]
     dense = np.zeros((400, len(model.vocabulary) + 1))  # the last term stands for all other words
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
     for t in texts[400:]:
-        at, w = model.vector(toxicity.terms(t))
+        at, w = model.vector(*model.count(t))
         q = np.zeros(dense.shape[1])
         q[at] = w
         sims = dense @ q
@@ -81,6 +81,16 @@ def test_columns_and_split(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in got if not got[i].predicted}
 
 
+def test_cluster_and_driver_fit_the_same_model(spark):
+    texts, labels = corpus()
+    data = [(i, t, "en", "s", 1, 1, "x", "y") for i, t in enumerate(texts)]
+    lab = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    a, b = toxicity.fit_on(table(spark, data), lab), toxicity.fit([texts[i] for i in train], [labels[i] for i in train])
+    assert a.vocabulary == b.vocabulary and np.allclose(a.idf, b.idf) and np.allclose(a.bins, b.bins) and a.prior == b.prior
+    assert all(a.score(t) == b.score(t) for t in texts)
+
+
 def test_edge_rows(spark):
     lab = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(table(spark), lab).collect()
