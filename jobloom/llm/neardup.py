@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import hash_words, in_small_batches, list_array, mix64, shingle_hashes, slices, texts_of
+from jobloom.llm._shared import freed, hash_words, in_small_batches, list_array, mix64, shingle_hashes, slices, texts_of
 from jobloom.llm.bits import build_bits, test
 from jobloom.llm.components import components
 from jobloom.storage import materialize
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, k: int =
     """(key, id, n_shingles, c1, c2, sketch): one row a document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for i, j, h, off in _shingles(texts_of(batch.column(2)), width):
                 n = np.diff(off)
                 c1, c2 = _digests(h, off)
@@ -244,7 +244,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) -
     """The pairs whose union-sketch estimate does not rule the threshold out."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             a, b = batch.column(2), batch.column(3)
             out = []
             for x, y in zip(a, b, strict=True):
@@ -279,7 +279,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, id_col: s
     bits = spark.sparkContext.broadcast(build_bits(spots, BLOOM_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             p, q = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             batch = batch.filter(pa.array(test(bits.value, p) & test(bits.value, q)))
             for i, j, h, off in _shingles(texts_of(batch.column(1)), width):

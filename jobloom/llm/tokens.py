@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import LOWER, byte_view, slices, texts_of
+from jobloom.llm._shared import LOWER, byte_view, freed, in_small_batches, slices, texts_of
 from jobloom.storage import scratch_path
 
 #: Fixed values of the zstandard seekable format.
@@ -241,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             done.append((part, k, f"part-{part:06d}-{k:04d}.zst", len(writer.index), sum(x[3] for x in writer.index)))
             writer, held, k = FrameWriter(), 0, k + 1
 
-        for batch in batches:
+        for batch in freed(batches):
             doc_ids, texts = batch.column(0).fill_null(NULL_ID).to_pylist(), texts_of(batch.column(1))
             for i, j, _, _ in slices(texts, 4 << 20):
                 ids, off = encoder.encode(texts.slice(i, j - i))
@@ -256,30 +256,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sorted_rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    made = sorted_rows.mapInArrow(encode, "part long, k long, name string, n_docs long, n_tokens long").collect()
+    made = in_small_batches(sorted_rows).mapInArrow(encode, "part long, k long, name string, n_docs long, n_tokens long").collect()
     return [TokenFile(f"{path}/{r.name}", r.n_docs, r.n_tokens) for r in sorted(made, key=lambda r: (r.part, r.k))]
 
 
 def read_tokens(spark: SparkSession, files: list[TokenFile], wanted: list[int] | None = None) -> DataFrame:
     """(doc_id, start, ids): ``start`` counts the ids of all documents before it."""
-    starts = np.concatenate(([0], np.cumsum([f.n_tokens for f in files]))).tolist() if files else [0]
-    paths, only = [f.path for f in files], None if wanted is None else set(wanted)
+    starts, only = np.cumsum([0, *(f.n_tokens for f in files)]).tolist(), None if wanted is None else set(wanted)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                source, name = fs.FileSystem.from_uri(paths[k])
+            for path, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                source, name = fs.FileSystem.from_uri(path)
                 with source.open_input_file(name) as f:
                     out: list[tuple[int, int, bytes]] = []
                     for doc_id, start, raw in FrameReader(f).documents(only):
-                        out.append((doc_id, start + starts[k], raw))
+                        out.append((doc_id, start + before, raw))
                         if len(out) == 512:
                             yield _rows(out)
                             out = []
                     if out:
                         yield _rows(out)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    # a row a file, so a task carries its own files' names only
+    each = spark.createDataFrame([(k, f.path, starts[k]) for k, f in enumerate(files)], "k long, path string, before long")
+    return each.repartitionByRange(max(1, len(files)), "k").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import crc_mod, in_small_batches, texts_of
+from jobloom.llm._shared import crc_mod, freed, in_small_batches, texts_of
 from jobloom.llm.sampling import least_hash
 from jobloom.storage import materialize
 
@@ -204,7 +204,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             found = m.vocabulary and next(gate.iter(text.lower()), None)
             return m.score(text) if found else (m.prior, [])
 
-        for batch in batches:
+        for batch in freed(batches):
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 got = [one(t) for t in texts_of(part.column(at)).to_pylist()]
@@ -233,7 +233,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in freed(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.update((t, label) for t in terms(text))
                 if len(seen) > TALLY:
@@ -248,7 +248,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = Model(vocabulary={t: i for i, (t, _) in enumerate(terms_)})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             got = [names.count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.int64())], ["id", "label", "have", "n", "others"])
 
