@@ -1,18 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of all words of the training documents, and of all bigrams of the most
-frequent words, are summed over the cluster, quantised to
-``1 + floor(log_b count)`` levels and stored, level by level, in a Bloom filter
-whose size is bounded by a parameter (Talbot and Osborne, "Smoothed Bloom
-Filter Language Models", 2007).  Where a corpus has more n-grams than the
-filter can hold at its error rate, it holds those from a least level on, and
-the others back off, so the error rate is the same at every size.  The filter
-is blocked: all probes of one n-gram lie in one segment, so each task builds
-whole segments from the n-grams dealt to it, and only the finished bits travel
-to the driver and on to the workers.
+Counts of all words and all bigrams of the training documents are summed over
+the cluster, quantised to ``1 + floor(log_b count)`` levels and stored, level by
+level, in a Bloom filter (Talbot and Osborne, "Smoothed Bloom Filter Language
+Models", 2007).  The broadcast filter has a bounded size; where a corpus has
+more n-grams than it can hold at its error rate, it holds those from a least
+level on.  A probe that ends below that level decides nothing, and the n-gram is
+joined with its quantised count by a shuffle, so none is left out at any size.
+The filter is blocked: all probes of one n-gram lie in one segment, so each task
+builds whole segments from the n-grams dealt to it, and only the finished bits
+travel to the driver and on to the workers.
 
 A word's probability is its bigram count, read by repeated membership probes,
-smoothed with a Dirichlet prior of unigram probabilities read the same way.
+smoothed with a Dirichlet prior of unigram probabilities read the same way.  The
+histories of a text are its tokens in another order, so the logarithm splits
+into a term of each word and a term of each bigram that was seen.
 
 Beside it stands the exact add-one unigram score.  Counts of the most frequent
 words (a bounded table) are broadcast; all other words of a document are
@@ -25,11 +27,12 @@ as '' for the split; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm._shared import combine, crc_mod, hash_words, mix64, slices, texts_of
@@ -43,15 +46,13 @@ LOG_BASE = 1.5
 MAX_LEVEL = 64
 PROBES = 3
 SEGMENT_BITS = 1 << 20
-#: The filter never exceeds so many bits (32 MB), whatever the corpus.
+#: The broadcast filter never exceeds so many bits (32 MB), whatever the corpus.
 MAX_BITS = 1 << 28
 BITS_PER_KEY = 16
 #: Stored (n-gram, level, probe) triples a bit at most: a probe of an empty place hits with a chance of 0.3.
 LOAD = 0.35
 #: At most so many of the most frequent words are broadcast for the exact counts.
 HEAD_WORDS = 250_000
-#: Bigrams of the so many most frequent words are counted, so their number is bounded.
-BIGRAM_WORDS = 8192
 #: Distinct keys that a task holds before it passes their counts on.
 TALLY = 2_000_000
 DIRICHLET = 2000.0
@@ -107,7 +108,7 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits, self.segments = bits, len(bits) * 8 // SEGMENT_BITS
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         level, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(open_) and level[open_[0]] < MAX_LEVEL:
             p = positions(keys[open_], level[open_] + 1, self.segments)
@@ -116,7 +117,16 @@ class Filter:
                 hit &= (self.bits[row >> 3] >> (row & 7).astype(np.uint8)) & 1 == 1
             open_ = open_[hit]
             level[open_] += 1
-        return level_value(level)
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return level_value(self.levels(keys))
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,15 +181,9 @@ def is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return sorted_keys[at] == keys, at
 
 
-def bigram_counts(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, n), summed within tasks only: bigrams of two of the ``frequent`` words (sorted unigram keys)."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
-
-    def keys(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        use = is_in(shared.value, mix64(tokens ^ UNIGRAM).view(np.int64))[0] & is_in(shared.value, mix64(before ^ UNIGRAM).view(np.int64))[0]
-        return combine([before[use], tokens[use]])
-
-    return _tallied(rows, keys)
+def bigram_counts(rows: DataFrame) -> DataFrame:
+    """(key, n): exact counts of all bigrams of the training rows."""
+    return materialize(_tallied(rows, lambda tokens, before: combine([before, tokens])).groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
 
 
 def head_words(unigrams: DataFrame, limit: int) -> pa.Table:
@@ -198,26 +202,36 @@ def head_words(unigrams: DataFrame, limit: int) -> pa.Table:
     return unigrams.select("key", "n").filter(step >= least if least is not None else F.lit(False)).toArrow()
 
 
-def least_count(counts: DataFrame, n_bits: int) -> int:
-    """The least count of an n-gram that a filter of ``n_bits`` stores, by the load that results."""
-    level = F.least(1 + F.floor(F.log("n") / F.log(F.lit(LOG_BASE)) + 1e-9), F.lit(MAX_LEVEL)).cast("long")
-    keys = {r.level: r.keys for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("keys")).collect()}  # at most MAX_LEVEL rows
-    load, least = 0.0, max(keys, default=1)
+def level_column(n: Column) -> Column:
+    return F.least(1 + F.floor(F.log(n) / F.log(F.lit(LOG_BASE)) + 1e-9), F.lit(MAX_LEVEL)).cast("int")
+
+
+def n_segments(n_keys: int, max_bits: int) -> int:
+    return min(1 << max(0, (n_keys * BITS_PER_KEY // SEGMENT_BITS).bit_length()), max_bits // SEGMENT_BITS)
+
+
+def least_level(counts: DataFrame, n_bits: int) -> int:
+    """The least level of an n-gram that a filter of ``n_bits`` stores, by the load that results."""
+    keys = {r.level: r.keys for r in counts.groupBy(level_column(F.col("n")).alias("level")).agg(F.count("*").alias("keys")).collect()}  # at most MAX_LEVEL rows
+    load, least = 0.0, max(keys, default=0) + 1
     for at in sorted(keys, reverse=True):
         load += keys[at] * at * PROBES
         if load > LOAD * n_bits:
-            break
+            return least
         least = at
-    return int(np.ceil(LOG_BASE ** (least - 1) - 1e-6))
+    return 1
 
 
-def build_filter(counts: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> np.ndarray:
+def build_filter(counts: DataFrame, n_keys: int, max_bits: int = MAX_BITS, least: int | None = None) -> np.ndarray:
     """The filter's bits from rows (key, n), keys distinct; one shuffle by the segment of a key.
 
-    Its size follows the number of keys up to ``max_bits``.
+    Its size follows the number of keys up to ``max_bits``; it holds the keys
+    from level ``least`` on, by default the least that fits.
     """
     spark = counts.sparkSession
-    segments = min(1 << max(0, (n_keys * BITS_PER_KEY // SEGMENT_BITS).bit_length()), max_bits // SEGMENT_BITS)
+    segments = n_segments(n_keys, max_bits)
+    if least is None:
+        least = least_level(counts, segments * SEGMENT_BITS)
     seg = F.pmod(F.shiftrightunsigned("key", 40), F.lit(segments))
     n_parts = max(1, min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -235,7 +249,7 @@ def build_filter(counts: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> np
         for s, own in have.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
-    stored = counts.filter(F.col("n") >= least_count(counts, segments * SEGMENT_BITS)).select("key", "n")
+    stored = counts.filter(level_column(F.col("n")) >= least).select("key", "n")
     made = stored.repartition(n_parts, seg).mapInArrow(fill, "segment long, bits binary")
     bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     for r in made.collect():  # at most max_bits / 8 bytes
@@ -244,67 +258,108 @@ def build_filter(counts: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> np
     return bits
 
 
+def word_term(c, share: float):
+    """A word's part of the score, by its quantised count."""
+    return np.log10(DIRICHLET * (c + 1) / share) - np.log10(c + DIRICHLET)
+
+
+def pair_term(cb, c, share: float):
+    """What a bigram's quantised count adds, by its word's; 0 for one that was not seen."""
+    return np.log10(1.0 + cb * share / (DIRICHLET * (c + 1)))
+
+
+def _in_documents(doc: np.ndarray, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, count) of each distinct (text, n-gram)."""
+    _, first, m = np.unique(doc * size + which, return_index=True, return_counts=True)
+    return first, m
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row a document."""
     spark = docs.sparkSession
     rows = _pieces(docs, id_col, text_col)
-    unigrams = unigram_counts(rows)
+    unigrams, bigrams = unigram_counts(rows), bigram_counts(rows)
     totals = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = int(totals.n), int(totals.v)
     head = head_words(unigrams, HEAD_WORDS)
-    often = np.lexsort((head["key"].to_numpy(), -head["n"].to_numpy()))[:BIGRAM_WORDS]
-    frequent = np.sort(head["key"].to_numpy()[often])
-    bigrams = materialize(bigram_counts(rows, frequent).groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
-    bits = build_filter(unigrams.union(bigrams), vocabulary + bigrams.count(), max_bits)
+    counts, n_keys = unigrams.union(bigrams), vocabulary + bigrams.count()
+    least = least_level(counts, n_segments(n_keys, max_bits) * SEGMENT_BITS)
+    bits = build_filter(counts, n_keys, max_bits, least)
+    _release(spark)
     order = np.argsort(head["key"].to_numpy())
-    shared = spark.sparkContext.broadcast((bits, frequent, head["key"].to_numpy()[order], head["n"].to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((bits, head["key"].to_numpy()[order], head["n"].to_numpy()[order]))
     share = float(n_train + vocabulary + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_, frequent_, head_keys, head_counts = shared.value
+        bits_, head_keys, head_counts = shared.value
         model = Filter(bits_)
+        values = level_value(np.arange(MAX_LEVEL + 1))
+        of_word, of_pair = word_term(values, share), pair_term(values[:, None], values[None, :], share)
         for batch in batches:
             for i, j, data, off in slices(texts_of(batch.column(3))):
                 tokens, doc, bounds = tokens_of(data, off)
-                before = histories(tokens, bounds)
-                uni, bi = keys_of(tokens, before)
-                history = mix64(before ^ UNIGRAM)
+                uni, bi = keys_of(tokens, histories(tokens, bounds))
                 # each distinct key is probed once a slice
-                ku, iu = np.unique(np.concatenate((uni, history)), return_inverse=True)
-                cu = model.counts(ku)[iu]
+                ku, iu = np.unique(uni, return_inverse=True)
                 kb, ib = np.unique(bi, return_inverse=True)
-                c, h = cu[: len(uni)], np.where(is_in(frequent_, history.view(np.int64))[0], cu[len(uni) :], 0.0)
-                both = (h > 0) & is_in(frequent_, uni.view(np.int64))[0]
-                cb = np.where(both, np.minimum(model.counts(kb)[ib], h), 0.0)
-                p = (cb + DIRICHLET * (c + 1) / share) / (h + DIRICHLET)
-                total = np.add.reduceat(np.log10(p), bounds[:-1])
+                known, at = is_in(head_keys, ku.view(np.int64))
+                exact = head_counts[at] if len(head_keys) else np.zeros(len(ku), np.int64)
+                # levels of words; -1 where neither the filter nor the head decides
+                lu = model.levels(ku)
+                if least > 1:
+                    lu = np.where(lu >= least, lu, np.where(known, levels(exact), -1))
+                c = lu[iu]
+                h = np.empty_like(c)
+                h[1:] = c[:-1]
+                h[bounds[:-1]] = c[bounds[1:] - 1]
+                # no bigram is more frequent than its words
+                b = np.minimum(model.levels(kb)[ib], np.minimum(c, h))
+                settled = b >= (least if least > 1 else 0)
+                terms = np.where(c >= 0, of_word[c], 0.0) + np.where(settled, of_pair[b, c], 0.0)
+                total = np.add.reduceat(terms, bounds[:-1])
                 # exact counts: the head here, the tail by a join
-                known, at = is_in(head_keys, uni.view(np.int64))
-                exact = head_counts[at] if len(head_keys) else np.zeros(len(uni))
                 logs = np.where(known, np.log10((exact + 1.0) / share), 0.0)
-                base, hits = np.add.reduceat(logs, bounds[:-1]), np.add.reduceat(known.astype(np.int64), bounds[:-1])
+                base, hits = np.add.reduceat(logs[iu], bounds[:-1]), np.add.reduceat(known[iu].astype(np.int64), bounds[:-1])
                 n = j - i
                 meta = [batch.column(k).slice(i, n) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*meta, pa.array(np.diff(bounds)), pa.array(hits), pa.array(base), pa.array(total), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-                rest = np.flatnonzero(~known)
-                if len(rest):
-                    order = np.lexsort((uni[rest], doc[rest]))
-                    d, k = doc[rest][order], uni[rest][order]
-                    new = np.ones(len(d), bool)
-                    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-                    at = np.flatnonzero(new)
-                    m = np.diff(np.concatenate((at, [len(d)])))
-                    row = batch.column(0).to_numpy()[i + d[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(at), meta[1].type), pa.nulls(len(at), pa.bool_()), pa.array(m), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.float64()), pa.array(k[at].view(np.int64)), pa.array(m)], names)
-
-    names = ["row", "id", "held", "n_tokens", "n_known", "base", "score", "key", "m"]
+                whole = [*meta, pa.array(np.diff(bounds)), pa.array(hits), pa.array(base), pa.array(total)]
+                yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(n, t) for t in rest_types)], names)
+                for open_, which, size, keys in ((~known[iu], iu, len(ku), None), (~settled, ib, len(kb), bi)):
+                    rest = np.flatnonzero(open_)
+                    if len(rest):
+                        first, m = _in_documents(doc[rest], which[rest], size)
+                        at = rest[first]
+                        level = c[at]
+                        # a pair whose word's count is read already needs no join for it
+                        word = pa.array(uni[at].view(np.int64), mask=None if keys is None else level >= 0)
+                        pair = pa.nulls(len(at), pa.int64()) if keys is None else pa.array(keys[at].view(np.int64))
+                        none = [pa.nulls(len(at), x.type) for x in whole[1:]]
+                        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[i + doc[at]]), *none, word, pair, pa.array(values[level], mask=level < 0), pa.array(m)], names)
+
+    rest_types = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    names = ["row", "id", "held", "n_tokens", "n_known", "base", "score", "word", "pair", "c", "m"]
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(score, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, key long, m long"), "scored")
-    tail = scored.filter("key is not null").select("row", "key", "m")
-    found = tail.join(unigrams.withColumnRenamed("n", "c"), "key", "left")
-    logs = F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(share))
-    by_row = found.groupBy("row").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("more_known"))
-    whole = scored.filter("key is null").join(by_row, "row", "left")
+    scored = materialize(rows.mapInArrow(score, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, word long, pair long, c double, m long"), "scored")
+    quantised = F.array(*(F.lit(float(x)) for x in level_value(np.arange(MAX_LEVEL + 1))))
+    value = lambda n: F.when(n.isNull(), 0.0).otherwise(quantised[level_column(n)])
+    tail = scored.select("row", "word", "pair", "c", "m")
+    found = tail.filter("word is not null").join(unigrams.select(F.col("key").alias("word"), "n"), "word", "left")
+    read = value(F.col("n"))
+    logs = F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(share))
+    term = F.col("m") * (F.log10(F.lit(DIRICHLET) * (read + 1) / F.lit(share)) - F.log10(read + F.lit(DIRICHLET)))
+    by_word = found.filter("pair is null").select("row", logs.alias("more"), F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("more_known"), F.when(F.col("c").isNull(), term).otherwise(0.0).alias("more_score"))
+    if least > 1:
+        open_pairs = materialize(found.filter("pair is not null and n is not null").select("row", "pair", read.alias("c"), "m"), "open")
+        _release(spark)
+        pairs = tail.filter("pair is not null and word is null").select("row", "pair", "c", "m").union(open_pairs)
+        below = bigrams.filter(level_column(F.col("n")) < least).select(F.col("key").alias("pair"), value(F.col("n")).alias("cb"))
+        seen = pairs.join(below, "pair")
+        raised = F.col("m") * F.log10(1.0 + F.col("cb") * F.lit(share) / (F.lit(DIRICHLET) * (F.col("c") + 1)))
+        by_pair = materialize(seen.groupBy("row").agg(F.sum(raised).alias("raised")), "raised")
+        _release(spark)
+        by_word = by_word.union(by_pair.select("row", F.lit(0.0), F.lit(0).cast("long"), "raised"))
+    by_row = by_word.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_known", "more_score")))
+    whole = scored.filter("word is null and pair is null").join(by_row, "row", "left")
     return whole.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
@@ -312,5 +367,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

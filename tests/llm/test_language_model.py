@@ -82,6 +82,48 @@ def test_bigrams_raise_the_score_of_known_text(spark):
     assert abs(got[ids[0]].base_score - got[ids[1]].base_score) < 1e-9 and got[ids[0]].score > got[ids[1]].score
 
 
+def exact_scores(data):
+    """Scores by quantised counts of all words and bigrams, without a filter."""
+    uni, bi = Counter(), Counter()
+    for r in data:
+        if not held(r[0]):
+            ts = tokens(r[1])
+            uni.update(ts)
+            bi.update(zip([None, *ts[:-1]], ts, strict=True))
+    value = lambda n: float(lm.level_value(lm.levels(np.array([n])))[0]) if n else 0.0
+    share = sum(uni.values()) + len(uni) + 1
+    out = []
+    for r in data:
+        ts = tokens(r[1])
+        pairs = zip([None, *ts[:-1]], ts, strict=True)
+        p = [(value(bi[h, t]) + lm.DIRICHLET * (value(uni[t]) + 1) / share) / (value(uni[h]) + lm.DIRICHLET) for h, t in pairs]
+        out.append((-1 if r[0] is None else r[0], sum(math.log10(x) for x in p)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("head", [250_000, 20, 0])
+@pytest.mark.parametrize("load", [None, 0.002, 0.0])
+def test_scores_do_not_depend_on_what_the_filter_holds(spark, monkeypatch, head, load):
+    """With all n-grams in the filter, the frequent ones, or none, and all bigrams counted."""
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    if load is not None:
+        monkeypatch.setattr(lm, "LOAD", load)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.score_documents(table(spark)).collect())
+    for g, w in zip(got, exact_scores(rows()), strict=True):
+        assert g[0] == w[0] and abs(g[1] - w[1]) < 1e-6 + 0.002 * abs(w[1])  # a false positive only raises a count
+
+
+def test_bigrams_of_rare_words_count(spark):
+    """The words are behind more than 8,192 others by frequency."""
+    common = " ".join(f"w{k} w{k}" for k in range(9000))
+    ids = [i for i in range(1000, 2000) if held(i)][:2]
+    train = [i for i in range(1000) if not held(i)][:2]
+    data = [(train[0], common, "en", "s", 1, 1, "x", "y"), (train[1], "zeta eta theta iota", "en", "s", 1, 1, "x", "y")]
+    data += [(ids[0], "zeta eta theta iota", "en", "s", 1, 1, "x", "y"), (ids[1], "iota theta eta zeta", "en", "s", 1, 1, "x", "y")]
+    got = {r.doc_id: r.score for r in lm.score_documents(table(spark, data)).collect()}
+    assert got[ids[0]] > got[ids[1]] + 0.5
+
+
 def test_empty_tables(spark):
     assert lm.score_documents(table(spark, [])).count() == 0
     only_held = next(i for i in range(100) if held(i))
