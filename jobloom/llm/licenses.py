@@ -2,7 +2,9 @@
 
 Hundreds of regular expressions, written as families (name, title, versions)
 times forms of notice, are gated by a keyword prefilter: a rule runs only on
-texts that contain its keyword.  Overlapping detections are resolved by
+texts that contain its keyword, which every match of the rule contains.  Rules
+read the text with each run of white space, and of line ends and the comment
+marks behind them, as one space; places are those of the text itself.  Overlapping detections are resolved by
 priority, then length: a detection inside one of at least its priority is
 dropped.
 
@@ -14,7 +16,7 @@ that stands first; very long texts are scanned whole.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -93,9 +95,9 @@ SINGLES = (
     ("wtfpl", "wtfpl", r"\bwtfpl\b", 70),
     ("proprietary", "all rights reserved", r"all rights reserved", 20),
     ("proprietary", "proprietary", r"proprietary (?:and confidential|licen[cs]e|software)", 30),
-    ("proprietary", "without permission", r"(?:may not|must not|no part .{1,60}?may) be (?:copied|reproduced|distributed) .{0,60}?without (?:prior )?(?:written )?permission", 30),
+    ("proprietary", "permission", r"(?:may not|must not|no part .{1,60}?may) be (?:copied|reproduced|distributed) .{0,60}?without (?:prior )?(?:written )?permission", 30),
     ("copyright", "copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?:-(?:19|20)?\d\d)?", 15),
-    ("unknown-license", "licensed under", r"licen[cs]ed under (?:the )?(?:terms of )?", 5),
+    ("unknown-license", "ed under", r"licen[cs]ed under (?:the )?(?:terms of )?", 5),
     ("unknown-license", "released under", r"released under (?:the )?(?:terms of )?", 5),
 )
 
@@ -151,12 +153,29 @@ def _gates() -> tuple[tuple[str, tuple[Rule, ...]], ...]:
     return tuple((k, tuple(v)) for k, v in by.items())
 
 
+#: What reads as one space: line ends with the comment marks of the next lines, and white space other than a single space.
+_GAP = re.compile(r"[^\S\n]*+\n\s*+(?:(?://+!?|/?\*+/?|#+|;+|%+|<!--+|--+>?)\s*+)*+|\s{2,}+|[^\S ]")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """(text with each gap as one space, places behind the gaps there, what to add to places from there on)."""
+    parts, at, shift, upto, removed = [], [], [], 0, 0
+    for m in _GAP.finditer(text):
+        parts.append(text[upto : m.start()])
+        upto = m.end()
+        at.append(m.start() - removed + 1)
+        removed += m.end() - m.start() - 1
+        shift.append(removed)
+    return " ".join([*parts, text[upto:]]), at, shift
+
+
 def detect(lowered: str) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the detections that stand, in order.
 
     One detection suppresses another that lies inside it (or equals it) and
     has no higher priority.
     """
+    lowered, at, shift = folded(lowered)
     order = {id(r): k for k, r in enumerate(rules())}
     found = sorted(
         (-r.priority, m.start() - m.end(), m.start(), order[id(r)], m.end(), r.label)
@@ -173,7 +192,12 @@ def detect(lowered: str) -> list[tuple[int, int, str, int]]:
         if not any(end <= e for _, e, _, _ in near):
             insort(kept, (start, end, label, -p))
             reach = max(reach, end - start)
-    return kept
+
+    def place(p: int) -> int:
+        k = bisect_right(at, p)
+        return p + shift[k - 1] if k else p
+
+    return [(place(start), place(end - 1) + 1, label, p) for start, end, label, p in kept]
 
 
 #: Base word characters: ASCII digits and letters, and all that is not ASCII.

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
+from re import _constants as c
+from re import _parser
 
 import pytest
 
@@ -69,3 +72,62 @@ def test_no_detection_lies_inside_a_better_one():
     found = licenses.detect(" ".join(TEXTS).lower())
     for a in found:
         assert not any(b is not a and b[0] <= a[0] and a[1] <= b[1] and b[3] >= a[3] for b in found)
+
+
+def matching(tree, rnd, short):
+    """A text that the parsed pattern matches, look-arounds aside."""
+    out = []
+    for op, arg in tree:
+        if op is c.LITERAL:
+            out.append(chr(arg))
+        elif op is c.ANY:
+            out.append("x")
+        elif op is c.IN:
+            kind, value = rnd.choice(arg)
+            out.append(chr(value if kind is c.LITERAL else value[0]) if kind is not c.CATEGORY else "7")
+        elif op is c.BRANCH:
+            out.append(matching(rnd.choice(arg[1]), rnd, short))
+        elif op is c.SUBPATTERN:
+            out.append(matching(arg[-1], rnd, short))
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            least, most, inner = arg
+            out += [matching(inner, rnd, short) for _ in range(least if short else rnd.randint(least, min(most, least + 2)))]
+        elif op is c.CATEGORY:
+            out.append("7")
+        else:
+            assert op in (c.ASSERT, c.ASSERT_NOT, c.AT), op
+    return "".join(out)
+
+
+def test_each_match_contains_its_keyword():
+    rnd = random.Random(3)
+    for r in licenses.rules():
+        tree = _parser.parse(r.pattern.pattern)
+        for k in range(40):
+            text = matching(tree, rnd, k == 0)
+            assert r.pattern.search(text), (r.pattern.pattern, text)
+            assert r.keyword in text, (r.pattern.pattern, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("no part of this may be copied in any form without prior written permission", {"proprietary"}),
+        ("it may not be copied without written permission", {"proprietary"}),
+        ("it must not be distributed without prior permission", {"proprietary"}),
+        ("licenced under terms of your choice", {"unknown-license"}),
+        ("# Licensed under the Apache\n# License, Version\n#   2.0", {"apache-2.0"}),
+        (" * Permission is hereby granted, free of\r\n * charge, to any  person\tobtaining a copy", {"mit"}),
+        ("// licensed under the GNU General\n//\n// Public License, version 3.", {"gpl-3.0"}),
+        ("<!-- neither the name of the firm nor\n     the names of its contributors may be used -->", {"bsd-3-clause"}),
+    ],
+)
+def test_usual_wordings_and_wrapped_notices(text, labels):
+    assert {d[2] for d in licenses.detect(text.lower())} == labels
+
+
+def test_places_are_those_of_the_text_itself():
+    notice = "Licensed under the\n *  Apache License,\n * Version 2.0"
+    text = f"é \n\n\t /* {notice}; and  more\n\n of it: GPL-3.0\n"
+    assert [text[s:e] for s, e, _, _ in licenses.detect(text.lower())] == [notice, "GPL-3.0"]
+    assert licenses.folded("a  b\n# c") == ("a b c", [2, 4], [1, 3])
