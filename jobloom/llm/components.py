@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """(node, component): each linked node with the least node reachable from it.
 
     Nodes without a link have no row; links to oneself and repeated links
-    count for nothing; null ends are dropped.
+    count for nothing; null ends are dropped.  Contractions that are not stable
+    after ``most_rounds`` raise an error, as their stars may be split components.
     """
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna().filter("a <> b").distinct()
     before = None
@@ -43,5 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if now[0] == 0 or tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())

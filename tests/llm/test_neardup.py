@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from jobloom.llm import neardup
 from jobloom.llm.components import components
 from tests.llm.fixtures import rows, table
@@ -117,3 +119,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 8} | {100 + k: 100 for k in range(41)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_that_are_not_stable_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not stable after 1 rounds"):
+        components(chain, most_rounds=1)
+    assert {r.component for r in components(chain).collect()} == {0}
