@@ -3,15 +3,23 @@
 A text's numbers, names and units become typed placeholders; windows of five
 template tokens are hash-joined with those of the benchmark.  An item is found
 in a document when at least half of its windows are, which leaves room for a
-few changed words.  For items with placeholders, the values behind them must
-then map one to one along an alignment that covers most of the slots found, so
-a question with other numbers or names in it is caught, and a chance mixture of
-the same templates is not.
+few changed words, or when ``RUN`` of them stand there one behind the other,
+which finds passages of an item.  For items with placeholders, the values behind
+them must then map one to one along an alignment that covers most of the slots
+found, so a question with other numbers or names in it is caught, and a chance
+mixture of the same templates is not.
+
+Capitalised words are names wherever they stand, unless they are function words
+(``STARTERS``); numbers are digits or number words.
 
 Defined results: a null or empty text matches nothing, nor does an item
 without tokens; an item of fewer than five tokens is one window of its whole
 sequence; rows with equal id and text are one document and get equal results;
-empty tables give no rows or no matches; extra columns are not read.
+items with equal id are one item of all their windows; of a window that an item
+repeats, the first place counts for runs; very long texts are read whole; ids
+are of any type that can be compared; empty tables give no rows or no matches;
+extra columns are not read and, where documents are kept, come back as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +31,11 @@ from jobloom.storage import materialize
 
 WINDOW = 5
 SHARE = 0.5
+#: So many windows in a row, 13 tokens, make an item found.
+RUN = 9
 #: Benchmarks of up to so many windows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
-NAME, NUMBER, UNIT, END = "\ue001", "\ue002", "\ue003", "\ue004"
+NAME, NUMBER, UNIT, END, GUARD = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 #: Unit words, longest first where one begins another.
 UNITS = (
     "kilometres kilometers kilometre kilometer km centimetres centimeters cm millimetres millimeters mm metres meters metre meter "
@@ -33,15 +43,30 @@ UNITS = (
     "litres liters litre liter ml hours hour minutes minute seconds second days day weeks week months month years year "
     "dollars dollar euros euro cents cent percent degrees degree mph kmh watts watt kw"
 ).split()
-NAMES = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
-NUMBERS = r"([0-9]+(?:[.,:/][0-9]+)*)"
+#: Function words that begin sentences and are no names.
+STARTERS = (
+    "The A An If When While What Which Who Whose How Why Where There Here In On At For From To Of By With Without And But Or So As Is Are Was Were Do Does Did "
+    "Has Have Had Can Could Will Would Should May Must Each Every All Some Many Most Both No Not Then Than This That These Those It Its He She They We You "
+    "His Her Their Our Your My After Before Since During Until Find Given Let Suppose Calculate Determine Compute Consider "
+    "Der Die Das Ein Eine Wenn Wie Was Wer Im Und Le La Les Un Une Des Si Quand Que Qui Dans Et El Los Las Una Cuando En Y"
+).split()
+#: Number words; "one" is left out, as it is a pronoun too.
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen"
+).split()
+GUARDED = r"(^|[^\p{L}\p{N}])(" + "|".join(dict.fromkeys(STARTERS)) + r")([^\p{L}\p{N}]|$)"
+#: The repeated groups are possessive: nothing follows them, and Java's matcher recurses once a repetition of others.
+NAMES = r"(^|[^\p{L}\p{N}" + GUARD + r"])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
+NUMBERS = r"([0-9]+(?:[.,:/][0-9]+)*+|\b(?:" + "|".join(NUMBER_WORDS) + r")\b)"
 UNIT_AFTER = r" ?\b(" + "|".join(UNITS) + r")\b"
 SEPARATORS = r"[^\p{L}\p{M}\p{N}" + NAME + NUMBER + UNIT + "]+"
 
 
 def marked(text: Column) -> Column:
     """The text, lower-cased, each slot between its type's mark and an end mark."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, rf"$1 {NAME}$2{END} ")
+    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), GUARDED, rf"$1{GUARD}$2$3")
+    named = F.regexp_replace(guarded, NAMES, rf"$1 {NAME}$2{END} ")
     numbered = F.regexp_replace(F.lower(named), NUMBERS, rf" {NUMBER}$1{END} ")
     return F.regexp_replace(numbered, f"({NUMBER}[^{END}]*{END}) {UNIT_AFTER}", rf"$1 {UNIT}$2{END} ")
 
@@ -57,9 +82,20 @@ def slot_values(marked_text: Column) -> Column:
 
 
 def windows(tokens: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` tokens, by start."""
+    """(at, window): starts and hashes of all runs of ``width`` tokens."""
     last = F.size(tokens) - width
-    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, width))))
+    return F.when(last < 0, F.array().cast("array<struct<at:int,window:bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("window"))))
+
+
+def longest_run(places: Column) -> Column:
+    """The length of the longest run of consecutive numbers in a set of them."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"] + 1, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.sort_array(places), start, step, lambda s: s["best"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,7 +109,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     bench = bench.withColumn("width", F.least(F.size("tokens"), F.lit(WINDOW)))
     widths = sorted(r.width for r in bench.select("width").distinct().collect())  # five values at most
     if not widths:
-        return docs.sparkSession.createDataFrame([], "k1 long, k2 int, item long, coverage double, n_slots long")
+        item = items.schema[item_col].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"k1 long, k2 int, item {item}, coverage double, n_slots long")
 
     def by_width(column: str) -> Column:
         out = F.lit(None)
@@ -81,18 +118,21 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             out = F.when(F.col("width") == w, windows(F.col(column), w)).otherwise(out)
         return out
 
-    rows = bench.select("item", F.size("values").cast("long").alias("n_slots"), F.posexplode(by_width("tokens")).alias("at", "window"))
-    n_windows = rows.groupBy("item").agg(F.countDistinct("window").alias("n_windows"), F.max("n_slots").alias("n_slots"))
+    rows = bench.select("item", F.size("values").cast("long").alias("n_slots"), F.inline(by_width("tokens")))
+    rows = rows.groupBy("item", "window").agg(F.min("at").alias("at"), F.max("n_slots").alias("n_slots"))
+    n_windows = rows.groupBy("item").agg(F.count("*").alias("n_windows"), F.max("n_slots").alias("n_slots"))
     small = rows.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
 
     keyed = _keyed(docs, id_col, text_col)
     tokens = keyed.select("k1", "k2", template_tokens(marked(F.col("text"))).alias("tokens"))
-    runs = tokens.select("k1", "k2", F.explode(F.concat(*(windows(F.col("tokens"), w) for w in widths))).alias("window"))
-    hits = runs.join(hint(rows.select("item", "window").distinct()), "window")
-    found = hits.groupBy("k1", "k2", "item").agg(F.countDistinct("window").alias("n"))
+    runs = tokens.select("k1", "k2", F.inline(F.concat(*(windows(F.col("tokens"), w) for w in widths))))
+    hits = runs.join(hint(rows.select("item", "window", F.col("at").alias("place"))), "window")
+    # an alignment holds at most the windows of one item
+    aligned = hits.groupBy("k1", "k2", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    found = aligned.groupBy("k1", "k2", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n"), F.max(longest_run(F.col("places"))).alias("run"))
     share = F.col("n") / F.col("n_windows")
-    return found.join(hint(n_windows), "item").filter(share >= SHARE).select("k1", "k2", "item", share.alias("coverage"), "n_slots")
+    return found.join(hint(n_windows), "item").filter((share >= SHARE) | (F.col("run") >= RUN)).select("k1", "k2", "item", share.alias("coverage"), "n_slots")
 
 
 def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -133,28 +173,27 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no benchmark item is found, all columns kept."""
-    k = {"k1": F.xxhash64(F.col(id_col), F.col(text_col)), "k2": F.hash(F.col(text_col), F.col(id_col))}
-    named = docs.select("*", k["k1"].alias("_k1"), k["k2"].alias("_k2"))
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.hash(F.col(text_col), F.col(id_col)).alias("k2"), F.struct(*docs.columns).alias("row"))
     bad = contamination(docs, items, id_col, text_col, item_col, item_text)
-    return named.join(bad, (named["_k1"] == bad["k1"]) & (named["_k2"] == bad["k2"]), "left_anti").select(*docs.columns)
+    return keyed.join(bad.select("k1", "k2"), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: contaminated, how many items and which, the largest coverage."""
     bad = contamination(docs, items, id_col, text_col)
     rows = _keyed(docs, id_col, text_col).drop("text").join(bad, ["k1", "k2"], "left")
-    ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
-    return rows.select(F.col("id").alias(id_col), F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    ids = F.coalesce(F.col("item_ids").cast("array<string>"), F.array().cast("array<string>"))
+    return rows.select(F.col("id").alias(id_col), F.col("item_ids").isNotNull().alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def _sql_tokens(table: str, key: str) -> str:
-    """(key, tokens, vals) of a table's texts, in DuckDB."""
-    marks = NAME + NUMBER + UNIT
+    """(key, tokens, vals) of a table's texts, in DuckDB, whose matcher has and needs no possessive groups."""
+    marks, names, numbers = NAME + NUMBER + UNIT, NAMES.replace("*+", "*"), NUMBERS.replace("*+", "*")
     return f"""
   SELECT {key}, list_filter(string_split_regex(regexp_replace(m, '([{marks}])[^{END}]*{END}', ' \\1 ', 'g'), '{SEPARATORS}'), lambda x: x <> '') AS tokens,
     regexp_extract_all(m, '[{marks}]([^{END}]*){END}', 1) AS vals
-  FROM (SELECT {key}, regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{NAMES}', '\\1 {NAME}\\2{END} ', 'g')),
-      '{NUMBERS}', ' {NUMBER}\\1{END} ', 'g'), '({NUMBER}[^{END}]*{END}) {UNIT_AFTER}', '\\1 {UNIT}\\2{END} ', 'g') AS m
+  FROM (SELECT {key}, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{GUARDED}', '\\1{GUARD}\\2\\3', 'g'), '{names}', '\\1 {NAME}\\2{END} ', 'g')),
+      '{numbers}', ' {NUMBER}\\1{END} ', 'g'), '({NUMBER}[^{END}]*{END}) {UNIT_AFTER}', '\\1 {UNIT}\\2{END} ', 'g') AS m
     FROM {table})"""
 
 
@@ -172,16 +211,23 @@ ORACLE = f"""
 WITH theirs AS ({_sql_tokens("documents", "doc_id")}),
 ours AS (SELECT *, least(len(tokens), {WINDOW}) AS width FROM ({_sql_tokens("benchmark", "item_id")}) WHERE len(tokens) > 0),
 item_windows AS (
-  SELECT DISTINCT item_id, width, array_to_string(tokens[i + 1:i + width], ' ') AS win
-  FROM (SELECT *, unnest(range(len(tokens) - width + 1)) AS i FROM ours)),
+  SELECT item_id, width, win, min(i) AS place
+  FROM (SELECT item_id, width, i, array_to_string(tokens[i + 1:i + width], ' ') AS win FROM (SELECT *, unnest(range(len(tokens) - width + 1)) AS i FROM ours))
+  GROUP BY ALL),
 doc_windows AS (
-  SELECT DISTINCT doc_id, width, array_to_string(tokens[i + 1:i + width], ' ') AS win
+  SELECT doc_id, width, i, array_to_string(tokens[i + 1:i + width], ' ') AS win
   FROM (SELECT doc_id, tokens, width, unnest(range(greatest(0, len(tokens) - width + 1))) AS i FROM theirs, (SELECT DISTINCT width FROM ours))),
 n_windows AS (SELECT w.item_id, count(*) AS n_windows, max(len(o.vals)) AS n_slots FROM item_windows w JOIN ours o USING (item_id) GROUP BY w.item_id),
+hits AS (SELECT DISTINCT doc_id, item_id, place, i - place AS shift FROM doc_windows JOIN item_windows USING (win, width)),
+shared AS (SELECT doc_id, item_id, count(DISTINCT place) AS n FROM hits GROUP BY ALL),
+stretches AS (
+  SELECT doc_id, item_id, count(*) AS run
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY place) AS island FROM hits)
+  GROUP BY doc_id, item_id, shift, island),
 found AS (
   SELECT doc_id, item_id, n / n_windows AS coverage, n_slots
-  FROM (SELECT d.doc_id, w.item_id, count(*) AS n FROM doc_windows d JOIN item_windows w USING (win, width) GROUP BY 1, 2) JOIN n_windows USING (item_id)
-  WHERE n / n_windows >= {SHARE}),
+  FROM shared JOIN n_windows USING (item_id) JOIN (SELECT doc_id, item_id, max(run) AS run FROM stretches GROUP BY ALL) USING (doc_id, item_id)
+  WHERE n / n_windows >= {SHARE} OR run >= {RUN}),
 slotted AS (SELECT t.* FROM theirs t WHERE doc_id IN (SELECT doc_id FROM found WHERE n_slots > 0)),
 our_slots AS ({_sql_slots("ours", "item_id")}),
 their_slots AS ({_sql_slots("slotted", "doc_id")}),

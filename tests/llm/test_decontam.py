@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from jobloom.llm import decontam
@@ -54,6 +56,58 @@ def test_changed_words_and_repeated_values(spark):
     assert found(spark, items, texts) == {0: "1", 1: "1", 2: "", 3: "2", 4: ""}
 
 
+def test_names_and_number_words_anywhere(spark):
+    items = spark.createDataFrame([(1, "Tom has 5 pens. Tom buys 3 more. Tom gives 2 to Ann."), (2, ITEMS[1][1])], "item_id long, text string")
+    texts = [
+        LEAD + "Mary has 8 pens. Mary buys 4 more. Mary gives 6 to Joe." + TAIL,
+        LEAD + "Mary has eight pens. Mary buys four more. Mary gives six to Joe." + TAIL,
+        LEAD + "Mary has 8 pens. Lucy buys 4 more. Peter gives 6 to Joe." + TAIL,
+    ]
+    assert found(spark, items, texts) == {0: "1", 1: "1", 2: ""}
+
+
+def test_passages_of_an_item(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [LEAD + " ".join(words[20:33]) + TAIL, LEAD + " ".join(words[20:32]) + TAIL, " ".join(w + " x" * (k % 6 == 5) for k, w in enumerate(words[:40]))]
+    assert found(spark, items, texts) == {0: "1", 1: "", 2: ""}
+
+
+def test_long_runs_of_names_numbers_and_starters(spark, items):
+    texts = ["Berta " * 20_000, "1." * 40_000 + "1", "The " * 20_000, "five " * 20_000, LEAD + ITEMS[1][1] + " Berta" * 20_000]
+    assert found(spark, items, texts) == {0: "", 1: "", 2: "", 3: "", 4: "2"}
+
+
+def test_planted_items_with_other_values_are_found(spark):
+    """Recall over generated questions with other names, numbers and units, and clean texts of the same words."""
+    rnd = random.Random(3)
+    names, units = ["Tom", "Mary", "Ann Lee", "Joe", "Lucy", "Peter Fox"], ["km", "hours", "kg", "dollars"]
+    stock = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))) for _ in range(300)]
+
+    def question(parts, who, values, unit):
+        return " ".join(p if p is not None else f"{who} has {v} {unit} and" for p, v in zip(parts, values))
+
+    items, texts, want = [], [], {}
+    for i in range(40):
+        parts = [None if k % 9 == 4 else rnd.choice(stock) for k in range(30)]
+        low, values = rnd.sample(names, 2), [rnd.randint(2, 10**6) for _ in parts]
+        unit = rnd.sample(units, 2)
+        items.append((i, question(parts, low[0], values, unit[0])))
+        texts.append(LEAD + question(parts, low[1], [v + 7 for v in values], unit[1]) + TAIL)
+        texts.append(" ".join(rnd.sample(stock, 60)))
+        want |= {2 * i: str(i), 2 * i + 1: ""}
+    got = found(spark, spark.createDataFrame(items, "item_id long, text string"), texts)
+    assert sum(got[k] == v for k, v in want.items() if v) >= 38 and all(got[k] == "" for k, v in want.items() if not v)
+
+
+def test_columns_with_clashing_names_and_text_ids(spark):
+    docs = spark.createDataFrame([("a", LEAD + ITEMS[1][1], 1, 2, "r"), ("b", LEAD, 3, 4, "r")], "doc_id string, text string, k1 int, _k1 int, row string")
+    items = spark.createDataFrame([("x", ITEMS[1][1])], "item_id string, text string")
+    assert [tuple(r) for r in decontam.decontaminate(docs, items).collect()] == [("b", LEAD, 3, 4, "r")]
+    assert sorted(r.item_ids for r in decontam.contamination_report(docs, items).collect()) == ["", "x"]
+    assert decontam.contamination_report(docs, items.limit(0)).filter("contaminated").count() == 0
+
+
 def test_rows_of_the_fixture_are_clean_and_kept(spark, items):
     docs = table(spark)
     report = decontam.contamination_report(docs, items).collect()
