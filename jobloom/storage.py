@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a single machine; a cluster,
+    whose machines would not see each other's, raises an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             found = jdir.get()
+        elif not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="jobloom-shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -32,4 +39,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` returned, once nothing will read them again."""
+    for df in tables:
+        path = df.__dict__.get("_scratch") if df is not None else None
+        if path:
+            spark = df.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files and broadcasts of finished queries, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
