@@ -1,50 +1,89 @@
-"""Connected components of a link table, as alternating star contractions.
+"""Connected components of a link table, as a contraction of stars.
 
-Each round runs a small-star and a large-star step (Kiveris et al., "Connected
-Components in MapReduce and Beyond", 2014): every node links its neighbours to
-its least neighbour.  Both are a grouped minimum with map-side combination and
-one join, so no node's neighbourhood is gathered anywhere; the number of
-rounds grows with the logarithm of the number of nodes.
+Each task first contracts the links it holds: every node points to the least
+node that its task knows to be connected with it.  So a node has at most one
+row a task, and no node's neighbourhood is gathered anywhere.  A round then
+brings the rows of each node together, contracts them again, and has every node
+point to what its root points to (pointer jumping, a grouped minimum and one
+join); rounds end when nothing changes, and their number grows with the
+logarithm of the longest chain between tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.storage import materialize
+from jobloom.storage import discard, materialize
+
+#: Rows that a task contracts at most.
+TASK_ROWS = 1 << 20
 
 
+def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node connected with it) of all nodes that are not the least."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    leaf = root != np.arange(len(nodes))
+    return nodes[leaf], nodes[root[leaf]]
 
-def _large(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in stars_of(a, b)], ["a", "b"])
 
-def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a")
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= TASK_ROWS:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
-    """(node, component): each linked node with the least node reachable from it.
+    """(node, component): each linked node with the least node reachable from it, as a written table.
 
     Nodes without a link have no row; links to oneself and repeated links
     count for nothing; null ends are dropped.  Contractions that are not stable
     after ``most_rounds`` raise an error, as their stars may be split components.
     """
-    edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna().filter("a <> b").distinct()
-    before = None
+    spark = links.sparkSession
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna().filter("a <> b")
+    edges, before = materialize(ends.mapInArrow(_contract, "a long, b long"), "stars"), None
     for _ in range(most_rounds):
-        edges = materialize(_small(_large(edges)), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now[0] == 0 or tuple(now) == before:
             break
         before = tuple(now)
+        parts = max(least_parts, -(-now[0] // (TASK_ROWS // 2)))
+        met = materialize(edges.repartition(parts, "a").mapInArrow(_contract, "a long, b long"), "met")
+        up = met.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "b")
+        jumped = materialize(met.join(up, "b", "left").select("a", F.coalesce("root", "b").alias("b")), "stars")
+        discard(met, edges)
+        edges = jumped
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
+    out = materialize(leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct()), "components")
+    discard(edges)
+    return out

@@ -29,9 +29,11 @@ salted parts, and for the comparison into cells of two parts.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; a text with fewer words than a shingle has its whole sequence as
-its one shingle; repeated rows link with each other and, having the same id,
-are all kept or all not; a null id is never the least of a component with
-another id; an empty table gives no rows.
+its one shingle; very long texts are read whole; repeated rows link with each
+other and, having the same id, are all kept or all not; a null id is never the
+least of a component with another id; ids are whole numbers (others raise
+Spark's cast error); an empty table gives no rows; extra columns are not read
+and, where documents are kept, come back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,11 +48,13 @@ from pyspark.sql import functions as F
 from jobloom.llm._shared import freed, hash_words, in_small_batches, list_array, mix64, shingle_hashes, slices, texts_of
 from jobloom.llm.bits import build_bits, test
 from jobloom.llm.components import components
-from jobloom.storage import materialize
+from jobloom.storage import discard, materialize, release
 
 K = 128
 BUCKETS = 1 << 17
 LIST_PART = 20_000
+#: Members of one part of a list that is compared member by member.
+REST_PART = 512
 #: Lists of at most so many members are compared member by member.
 SHORT = 64
 #: Rounds of hubs over the lists from full sets.
@@ -196,7 +200,7 @@ def _rest(lists: DataFrame, k: int, percent: int) -> DataFrame:
     times its size only.  A list of several parts is dealt to cells of two
     parts each, in which members of one meet those of the other.
     """
-    parts = lists.groupBy("v").agg(F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
+    parts = lists.groupBy("v").agg(F.ceil(F.count("*") / REST_PART).cast("int").alias("parts"))
     dealt = lists.join(parts, "v").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = dealt.select("v", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "cid", "p", "comp", "own")
     names = ["v", "x", "y", "n", "cid", "p", "comp", "own"]
@@ -300,17 +304,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """(cid, n, c1, c2, key, sketch): one row for each distinct set that is not empty."""
-    one = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"))
+    """(cid, n, c1, c2, key, sketch, first): one row for each distinct set that is not empty, with its least row."""
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")
+    one = signed.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), first)
     return one.withColumn("cid", F.monotonically_increasing_id())
 
 
-def exact_lists(docs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """(v, salt, cid, n, p, comp): the rarest values of the full sets of ``members`` (cid, comp).
+def exact_lists(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(v, salt, cid, n, p, comp): the rarest values of the full sets (cid, full) of ``members`` (cid, comp).
 
     A value that only one member has needs no list, but stands before the others.
     """
-    sets = materialize(_full_sets(docs, classes, members.select("cid"), id_col, text_col, width), "sets")
     values = sets.select("cid", F.explode("full").alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
     shared = values.join(counts, "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("shared"))
@@ -328,25 +332,27 @@ def similar_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col:
     """(node, component) of all classes that a link joins to another."""
     spark: SparkSession = docs.sparkSession
     threshold = percent / 100
-    links = comp = None
+    comp: DataFrame | None = None
 
     def follow(pairs: DataFrame) -> None:
-        """Confirm the links among the pairs and join them to those found before."""
-        nonlocal links, comp
+        """Confirm the links among the pairs and join them to the components found before."""
+        nonlocal comp
         likely = materialize(_estimated(pairs.distinct(), classes, k, threshold), "likely")
-        if likely.isEmpty():
-            return
-        needed = likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid"))).distinct()
-        sets = _full_sets(docs, classes, needed, id_col, text_col, width)
-        found = materialize(_confirmed(likely, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        comp = components(links)
-
-    def hubs(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """(pairs with hubs, the lists without the hubs that met all members)."""
+        if not likely.isEmpty():
+            needed = likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid"))).distinct()
+            sets = _full_sets(docs, classes, needed, id_col, text_col, width)
+            found = materialize(_confirmed(likely, sets, percent), "links")
+            before = comp
+            comp = components(found if before is None else found.union(before.toDF("a", "b")))
+            discard(found, before)
+        discard(likely)
+        release(spark)
+
+    def hubs(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs with hubs, the lists without the hubs that met all members, the table of both)."""
         stars = materialize(_stars(lists, k, percent), "stars")
         near = stars.filter("near").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b"))
-        return near, stars.select("v", F.lit(0).alias("salt"), "cid", "n", "p")
+        return near, stars.select("v", F.lit(0).alias("salt"), "cid", "n", "p"), stars
 
     def split(lists: DataFrame) -> DataFrame:
         """The lists that still join several components, with their members' number."""
@@ -357,20 +363,26 @@ def similar_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col:
         several = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("v", "members")
         return materialize(named.join(several, "v"), "lists")
 
-    near, rest = hubs(postings(classes, k, threshold).withColumn("comp", F.col("cid")), k)
+    near, rest, stars = hubs(postings(classes, k, threshold).withColumn("comp", F.col("cid")), k)
     follow(near)
-    lists = split(rest)
-    pairs = _rest(lists.filter(F.col("members") <= SHORT), k, percent)
-    long = materialize(lists.filter(F.col("members") > SHORT).select("cid", "comp").distinct(), "long")
+    first = split(rest)
+    discard(stars)
+    pairs = _rest(first.filter(F.col("members") <= SHORT), k, percent)
+    long = materialize(first.filter(F.col("members") > SHORT).select("cid", "comp").distinct(), "long")
     if long.isEmpty():
         follow(pairs)
+        discard(first, long)
     else:
-        lists = exact_lists(docs, classes, long, id_col, text_col, width, percent)
+        sets = materialize(_full_sets(docs, classes, long.select("cid"), id_col, text_col, width), "sets")
+        lists = exact_lists(sets, long, percent)
         for turn in range(STAR_ROUNDS):
-            near, rest = hubs(lists, WHOLE)
+            near, rest, stars = hubs(lists, WHOLE)
             follow(near if turn else near.union(pairs))
+            before = None if turn == 0 else lists
             lists = split(rest).drop("members")
+            discard(stars, before, *((first, long, sets) if turn == 0 else ()))
         follow(_rest(lists, WHOLE, percent))
+        discard(lists)
     return comp if comp is not None else spark.createDataFrame([], "node long, component long")
 
 
@@ -378,17 +390,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(key, id, n_shingles, component_id, kept, chosen): one row a document.
 
     ``kept`` says whether its id is its component's; ``chosen`` tells rows of
-    one id apart by their texts.
+    one id apart by their texts.  The least row is found for each class before
+    it is for each component, and rows with an empty set meet no other, so no
+    group of copies is gathered.
     """
     signed = materialize(signatures(docs, id_col, text_col, width, k), "signed")
     classes = materialize(classes_of(signed), "classes")
     joined = similar_classes(docs, classes, id_col, text_col, width, percent, k)
-    group = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "n", F.coalesce("component", "cid").alias("group"))
-    rows = signed.drop("sketch").join(group, ["c1", "c2", "n"], "left")
-    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))
-    least = rows.filter("group is not null").groupBy("group").agg(first.alias("first")).select("group", "first.id", "first.key").withColumnsRenamed({"id": "least", "key": "chosen_key"})
-    named = rows.join(least, "group", "left").select("key", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce(F.col("key") == F.col("chosen_key"), F.lit(True)).alias("chosen"))
-    return named.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    grouped = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "n", "first", F.coalesce("component", "cid").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("first").alias("least"))
+    of_class = materialize(grouped.join(least, "group").select("c1", "c2", "n", F.col("least.id").alias("least"), F.col("least.key").alias("chosen_key")), "groups")
+    discard(joined)
+    release(docs.sparkSession)
+    rows = signed.drop("sketch")
+    named = rows.filter("n > 0").join(of_class, ["c1", "c2", "n"]).select("key", "id", "n", "least", (F.col("key") == F.col("chosen_key")).alias("chosen"))
+    bare = rows.filter("n = 0").select("key", "id", "n", F.col("id").alias("least"), F.lit(True).alias("chosen"))
+    out = named.union(bare).select("key", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "chosen")
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -398,9 +416,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     and text one stays.
     """
     found = near_duplicates(docs, id_col, text_col, width, percent).filter("chosen").select("key", (F.col("n_shingles") == 0).alias("bare")).distinct()
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_number"))
-    rows = keyed.join(found, keyed["_key"] == found["key"]).withColumn("_twin", F.when(F.col("bare"), F.col("_number")))
-    return rows.dropDuplicates(["_key", "_twin"]).select("_row.*")
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = keyed.join(found, "key").withColumn("twin", F.when(F.col("bare"), F.col("number")))
+    return rows.dropDuplicates(["key", "twin"]).select("row.*")
 
 
 ORACLE = """
