@@ -3,40 +3,52 @@
 Counts of all words and all bigrams of the training documents are summed over
 the cluster, quantised to ``1 + floor(log_b count)`` levels and stored, level by
 level, in a Bloom filter (Talbot and Osborne, "Smoothed Bloom Filter Language
-Models", 2007).  The broadcast filter has a bounded size; where a corpus has
-more n-grams than it can hold at its error rate, it holds those from a least
-level on.  A probe that ends below that level decides nothing, and the n-gram is
-joined with its quantised count by a shuffle, so none is left out at any size.
+Models", 2007).  The broadcast filter has a bounded size and holds the n-grams
+from a least level on, at least level 2; a probe that ends below that level
+decides nothing.  What it does not hold is exchanged exactly, so none is left
+out at any size:
+
+1. Texts are dealt into blocks of about ``BLOCK_BYTES``.  Each block sends its
+   distinct n-grams with their counts in it, so a row stands for all places of
+   an n-gram in a block, and a hot n-gram has a row a block at most.
+2. Sorted by n-gram, the rows are summed.  One row of each n-gram feeds the
+   filter and the table of frequent words; a row goes back to each block whose
+   own count does not tell the whole one (the rows of n-grams that occur in one
+   block only, by far the most, do not).
+3. Each block meets its rows and is scored.
+
 The filter is blocked: all probes of one n-gram lie in one segment, so each task
 builds whole segments from the n-grams dealt to it, and only the finished bits
 travel to the driver and on to the workers.
 
 A word's probability is its bigram count, read by repeated membership probes,
-smoothed with a Dirichlet prior of unigram probabilities read the same way.  The
-histories of a text are its tokens in another order, so the logarithm splits
-into a term of each word and a term of each bigram that was seen.
-
-Beside it stands the exact add-one unigram score.  Counts of the most frequent
-words (a bounded table) are broadcast; all other words of a document are
-joined with their counts by word hash, summed by document and word before.
+smoothed with a Dirichlet prior of unigram probabilities read the same way:
+``(low(pair) + D * p(word)) / (high(history) + D)``, where ``low`` and ``high``
+are the ends of a level, and ``p(word)`` is normalised over the levels of all
+words.  So the probabilities of all words behind a history sum to at most 1, up
+to the filter's false positives.  The base score is the exact add-one unigram
+score, from exact counts.
 
 Defined results: a null or empty text is one end token; with no training
-documents all counts, N and V are 0, every probability is 1 and scores are 0; repeated rows are scored each; a null id counts
-as '' for the split; extra columns are not read.
+documents all counts, N and V are 0, every probability is 1 and scores are 0;
+very long texts are scored whole, each in a block of its own if need be; ties
+have no effect, as nothing is ranked; repeated rows are scored each; a null id
+counts as '' for the split; an empty table gives no rows; extra columns are not
+read.
 """
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import combine, crc_mod, hash_words, mix64, slices, texts_of
-from jobloom.storage import materialize
+from jobloom.llm._shared import byte_view, combine, crc_mod, freed, hash_words, in_small_batches, mix64, slices, texts_of
+from jobloom.storage import discard, materialize, release
 
 #: Stands for the end of a text, and for the start as a history.
 END = np.uint64(0x656E642D6F662D74)
@@ -53,8 +65,10 @@ BITS_PER_KEY = 16
 LOAD = 0.35
 #: At most so many of the most frequent words are broadcast for the exact counts.
 HEAD_WORDS = 250_000
-#: Distinct keys that a task holds before it passes their counts on.
-TALLY = 2_000_000
+#: Bytes of text in a block, or one longer text.
+BLOCK_BYTES = 4 << 20
+#: Block numbers of rows that go to no block: an n-gram's count, how many n-grams have a level, the sum of word counts.
+WHOLE, LEVEL, TOKENS = -1, -2, -3
 DIRICHLET = 2000.0
 
 
@@ -79,8 +93,9 @@ def histories(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def keys_of(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unigram keys, bigram keys)."""
-    return mix64(tokens ^ UNIGRAM), combine([before, tokens])
+    """(unigram keys, bigram keys); the last bit tells which."""
+    one = np.uint64(1)
+    return mix64(tokens ^ UNIGRAM) & ~one, combine([before, tokens]) | one
 
 
 def positions(keys: np.ndarray, level: np.ndarray, segments: int) -> np.ndarray:
@@ -95,11 +110,17 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(LOG_BASE) + 1e-9), MAX_LEVEL).astype(np.int64)
 
 
-def level_value(level: np.ndarray) -> np.ndarray:
-    """The middle of a level's whole counts, 0 for level 0."""
+def level_ends(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) whole count of each level, 0 for level 0."""
     first = np.ceil(LOG_BASE ** (np.maximum(level, 1) - 1.0) - 1e-6)
     last = np.maximum(first, np.ceil(LOG_BASE ** np.maximum(level, 1.0) - 1e-6) - 1)
-    return np.where(level > 0, (first + last) / 2, 0.0)
+    return np.where(level > 0, first, 0.0), np.where(level > 0, last, 0.0)
+
+
+def level_value(level: np.ndarray) -> np.ndarray:
+    """The middle of a level's whole counts, 0 for level 0."""
+    first, last = level_ends(level)
+    return (first + last) / 2
 
 
 class Filter:
@@ -123,54 +144,113 @@ class Filter:
         return level_value(self.levels(keys))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries, which it does once their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, id, held, text): the documents, dealt into blocks in the order they are read."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, size = TaskContext.get().partitionId() << 24, 0
+        for batch in freed(batches):
+            ends = size + byte_view(texts_of(batch.column(2)))[1][1:]
+            if batch.num_rows:
+                size = int(ends[-1])
+            # a text belongs to the block that its last byte falls in
+            block = pa.array(first + np.maximum(ends - 1, 0) // BLOCK_BYTES)
+            yield pa.RecordBatch.from_arrays([block, *batch.columns], ["block", "id", "held", "text"])
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     held = crc_mod(F.col(id_col), 7) == 2
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
+    return materialize(in_small_batches(rows).mapInArrow(deal, f"block long, id {kind}, held boolean, text string"), "pieces")
 
 
-class Tally:
-    """Sums of 64-bit keys, passed on when there are too many."""
+def tally(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """(distinct keys, their counts in texts that are not held out, each slice's places and keys)."""
+    parts, seen = [], []
+    for i, j, data, off in slices(texts):
+        tokens, doc, bounds = tokens_of(data, off)
+        uni, bi = keys_of(tokens, histories(tokens, bounds))
+        keys, which = np.unique(np.concatenate((uni, bi)), return_inverse=True)
+        weight = np.tile(~held[i:j][doc], 2)
+        parts.append((keys, np.bincount(which, weight, len(keys)).astype(np.int64)))
+        seen.append((i, j, bounds, keys, which))
+    return *_summed(parts), seen
 
-    def __init__(self):
-        self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray) -> pa.RecordBatch | None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.size += len(self.parts[-1][0])
-        return self.flush() if self.size > TALLY else None
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
-    def flush(self) -> pa.RecordBatch:
-        keys, n = (np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, (np.uint64, np.int64)[k]) for k in range(2))
-        self.parts, self.size = [], 0
-        k, inverse = np.unique(keys, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.bincount(inverse, n, len(k)).astype(np.int64))], ["key", "n"])
 
-
-def _tallied(rows: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, n) over the training rows, summed within tasks; ``keys`` maps (tokens, histories) to keys."""
+def block_counts(rows: DataFrame) -> DataFrame:
+    """(key, block, n): the n-grams of each block and their training counts there; n may be 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in batches:
-            for _, _, data, off in slices(texts_of(batch.column(0))):
-                tokens, _, bounds = tokens_of(data, off)
-                full = tally.add(keys(tokens, histories(tokens, bounds)))
-                if full is not None:
-                    yield full
-        yield tally.flush()
-
-    return rows.filter("not held").select("text").mapInArrow(count, "key long, n long")
+        have, parts = None, []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = _summed(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), have, np.int64)), pa.array(n)], ["key", "block", "n"])
+
+        for batch in freed(batches):
+            block, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if parts and block[i] != have:
+                    yield flush()
+                have = int(block[i])
+                keys, n, _ = tally(texts_of(batch.column(2).slice(i, j - i)), held[i:j])
+                parts.append((keys, n))
+        if parts:
+            yield flush()
+
+    return in_small_batches(rows.select("block", "held", "text")).mapInArrow(count, "key long, block long, n long")
+
+
+def whole_counts(counts: DataFrame) -> DataFrame:
+    """(key, block, n) from the blocks' counts: sums, and the answers to blocks that cannot know them."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last key, which may go on in the next batch
+        stats, tokens = np.zeros(2 * (MAX_LEVEL + 1), np.int64), 0
+
+        def made(key: np.ndarray, block: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            nonlocal tokens
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            at = np.flatnonzero(new)
+            total = np.add.reduceat(n, at)
+            level, word = np.where(total > 0, levels(total), 0), (key[at] & 1) == 0
+            stats[:] += np.bincount(2 * level + word, minlength=len(stats))
+            tokens += int(total[word].sum())
+            first = total > 1
+            of = np.cumsum(new) - 1
+            all_, own = level[of], np.where(n > 0, levels(n), 0)
+            answer = (all_ != own) | word[of] & (total[of] != n)
+            cols = (np.concatenate((key[at][first], key[answer])), np.concatenate((np.full(first.sum(), WHOLE), block[answer])), np.concatenate((total[first], total[of][answer])))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "block", "n"])
 
-
-def unigram_counts(rows: DataFrame) -> DataFrame:
-    """(key, n): exact counts of all tokens of the training rows."""
-    return materialize(_tallied(rows, lambda tokens, _: mix64(tokens ^ UNIGRAM)).groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
+        for batch in batches:
+            c = [batch.column(i).to_numpy() for i in range(3)]
+            if held is not None:
+                c = [np.concatenate(z) for z in zip(held, c, strict=True)]
+            turns = np.flatnonzero(c[0][1:] != c[0][:-1])
+            cut = int(turns[-1]) + 1 if len(turns) else 0
+            if cut:
+                yield made(*(z[:cut] for z in c))
+            held = [z[cut:] for z in c]
+        if held is not None and len(held[0]):
+            yield made(*held)
+        at = np.flatnonzero(stats)
+        ends = (np.append(at, 0), np.append(np.full(len(at), LEVEL), TOKENS), np.append(stats[at], tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["key", "block", "n"])
+
+    ordered = counts.repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(walk, "key long, block long, n long")
 
 
 def is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,25 +261,21 @@ def is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return sorted_keys[at] == keys, at
 
 
-def bigram_counts(rows: DataFrame) -> DataFrame:
-    """(key, n): exact counts of all bigrams of the training rows."""
-    return materialize(_tallied(rows, lambda tokens, before: combine([before, tokens])).groupBy("key").agg(F.sum("n").alias("n")), "bigrams")
-
+def counts_of(sorted_keys: np.ndarray, n: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The count of each key, 0 for one that is not among the sorted ones."""
+    known, at = is_in(sorted_keys, keys)
+    return np.where(known, n[at], 0) if len(n) else np.zeros(len(keys), np.int64)
 
-def head_words(unigrams: DataFrame, limit: int) -> pa.Table:
-    """(key, n) of the most frequent words, by a least count so chosen that they are at most ``limit``.
 
-    The least count comes from a histogram of logarithms, a few thousand rows
-    at most, so no task sorts or gathers more than it returns.
-    """
-    step = F.floor(F.log("n") * 100).cast("long")
-    histogram = sorted(((r.step, r.words) for r in unigrams.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    upto, least = 0, None
-    for at, words in histogram:
-        if upto + words > limit:
+def head_level(words: dict[int, int], limit: int) -> int:
+    """The least level from which on words are broadcast: at most ``limit`` words."""
+    upto, least = 0, MAX_LEVEL + 1
+    for at in sorted(words, reverse=True):
+        upto += words[at]
+        if upto > limit or at < 2:
             break
-        upto, least = upto + words, at
-    return unigrams.select("key", "n").filter(step >= least if least is not None else F.lit(False)).toArrow()
+        least = at
+    return least
 
 
 def level_column(n: Column) -> Column:
@@ -210,28 +286,25 @@ def n_segments(n_keys: int, max_bits: int) -> int:
     return min(1 << max(0, (n_keys * BITS_PER_KEY // SEGMENT_BITS).bit_length()), max_bits // SEGMENT_BITS)
 
 
-def least_level(counts: DataFrame, n_bits: int) -> int:
-    """The least level of an n-gram that a filter of ``n_bits`` stores, by the load that results."""
-    keys = {r.level: r.keys for r in counts.groupBy(level_column(F.col("n")).alias("level")).agg(F.count("*").alias("keys")).collect()}  # at most MAX_LEVEL rows
-    load, least = 0.0, max(keys, default=0) + 1
+def least_level(keys: dict[int, int], n_bits: int) -> int:
+    """The least level of an n-gram that a filter of ``n_bits`` stores, by the load that results from the numbers of n-grams by level; 2 at least."""
+    load, least = 0.0, max(keys, default=1) + 1
     for at in sorted(keys, reverse=True):
         load += keys[at] * at * PROBES
-        if load > LOAD * n_bits:
-            return least
+        if load > LOAD * n_bits or at < 2:
+            break
         least = at
-    return 1
+    return least
 
 
-def build_filter(counts: DataFrame, n_keys: int, max_bits: int = MAX_BITS, least: int | None = None) -> np.ndarray:
+def build_filter(counts: DataFrame, n_keys: int, least: int = 1, max_bits: int = MAX_BITS) -> np.ndarray:
     """The filter's bits from rows (key, n), keys distinct; one shuffle by the segment of a key.
 
     Its size follows the number of keys up to ``max_bits``; it holds the keys
-    from level ``least`` on, by default the least that fits.
+    from level ``least`` on.
     """
     spark = counts.sparkSession
     segments = n_segments(n_keys, max_bits)
-    if least is None:
-        least = least_level(counts, segments * SEGMENT_BITS)
     seg = F.pmod(F.shiftrightunsigned("key", 40), F.lit(segments))
     n_parts = max(1, min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -258,114 +331,71 @@ def build_filter(counts: DataFrame, n_keys: int, max_bits: int = MAX_BITS, least
     return bits
 
 
-def word_term(c, share: float):
-    """A word's part of the score, by its quantised count."""
-    return np.log10(DIRICHLET * (c + 1) / share) - np.log10(c + DIRICHLET)
-
-
-def pair_term(cb, c, share: float):
-    """What a bigram's quantised count adds, by its word's; 0 for one that was not seen."""
-    return np.log10(1.0 + cb * share / (DIRICHLET * (c + 1)))
-
-
-def _in_documents(doc: np.ndarray, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first place, count) of each distinct (text, n-gram)."""
-    _, first, m = np.unique(doc * size + which, return_index=True, return_counts=True)
-    return first, m
+def log_probabilities(word: np.ndarray, history: np.ndarray, pair: np.ndarray, share: float) -> np.ndarray:
+    """log10 of the smoothed probability of words by the levels of their counts."""
+    first, last = (x.astype(float) for x in level_ends(np.arange(MAX_LEVEL + 1)))
+    prior = ((first + last) / 2 + 1) / share
+    return np.log10((first[pair] + DIRICHLET * prior[word]) / (last[history] + DIRICHLET))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row a document."""
     spark = docs.sparkSession
-    rows = _pieces(docs, id_col, text_col)
-    unigrams, bigrams = unigram_counts(rows), bigram_counts(rows)
-    totals = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_train, vocabulary = int(totals.n), int(totals.v)
-    head = head_words(unigrams, HEAD_WORDS)
-    counts, n_keys = unigrams.union(bigrams), vocabulary + bigrams.count()
-    least = least_level(counts, n_segments(n_keys, max_bits) * SEGMENT_BITS)
-    bits = build_filter(counts, n_keys, max_bits, least)
-    _release(spark)
-    order = np.argsort(head["key"].to_numpy())
-    shared = spark.sparkContext.broadcast((bits, head["key"].to_numpy()[order], head["n"].to_numpy()[order]))
+    rows = pieces(docs, id_col, text_col)
+    whole = materialize(whole_counts(block_counts(rows)), "counts")
+    release(spark)
+    words, pairs, n_train = {}, {}, 0  # by level, so these rows are few
+    for r in whole.filter(F.col("block") <= LEVEL).groupBy("block", "key").agg(F.sum("n").alias("n")).collect():
+        if r.block == TOKENS:
+            n_train = int(r.n)
+        elif r.key >= 2:
+            (words if r.key % 2 else pairs)[r.key // 2] = int(r.n)
+    vocabulary, n_keys = sum(words.values()), sum(words.values()) + sum(pairs.values())
+    by_level = {k: words.get(k, 0) + pairs.get(k, 0) for k in words | pairs}
+    frequent = head_level(words, HEAD_WORDS)
+    least = least_level(by_level, n_segments(n_keys, max_bits) * SEGMENT_BITS)
+    level, is_word = level_column(F.col("n")), F.pmod("key", F.lit(2)) == 0
+    sums = whole.filter(F.col("block") == WHOLE).select("key", "n")
+    bits = build_filter(sums, n_keys, least, max_bits)
+    head = sums.filter(is_word & (level >= frequent)).toArrow()  # at most HEAD_WORDS rows
+    order = np.argsort(head["key"].to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((bits, head["key"].to_numpy().view(np.uint64)[order], head["n"].to_numpy()[order]))
     share = float(n_train + vocabulary + 1)
+    prior_share = sum(n * (float(level_value(np.array([k]))[0]) + 1) for k, n in words.items()) + 1
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         bits_, head_keys, head_counts = shared.value
         model = Filter(bits_)
-        values = level_value(np.arange(MAX_LEVEL + 1))
-        of_word, of_pair = word_term(values, share), pair_term(values[:, None], values[None, :], share)
-        for batch in batches:
-            for i, j, data, off in slices(texts_of(batch.column(3))):
-                tokens, doc, bounds = tokens_of(data, off)
-                uni, bi = keys_of(tokens, histories(tokens, bounds))
-                # each distinct key is probed once a slice
-                ku, iu = np.unique(uni, return_inverse=True)
-                kb, ib = np.unique(bi, return_inverse=True)
-                known, at = is_in(head_keys, ku.view(np.int64))
-                exact = head_counts[at] if len(head_keys) else np.zeros(len(ku), np.int64)
-                # levels of words; -1 where neither the filter nor the head decides
-                lu = model.levels(ku)
-                if least > 1:
-                    lu = np.where(lu >= least, lu, np.where(known, levels(exact), -1))
-                c = lu[iu]
-                h = np.empty_like(c)
-                h[1:] = c[:-1]
-                h[bounds[:-1]] = c[bounds[1:] - 1]
-                # no bigram is more frequent than its words
-                b = np.minimum(model.levels(kb)[ib], np.minimum(c, h))
-                settled = b >= (least if least > 1 else 0)
-                terms = np.where(c >= 0, of_word[c], 0.0) + np.where(settled, of_pair[b, c], 0.0)
-                total = np.add.reduceat(terms, bounds[:-1])
-                # exact counts: the head here, the tail by a join
-                logs = np.where(known, np.log10((exact + 1.0) / share), 0.0)
-                base, hits = np.add.reduceat(logs[iu], bounds[:-1]), np.add.reduceat(known[iu].astype(np.int64), bounds[:-1])
-                n = j - i
-                meta = [batch.column(k).slice(i, n) for k in range(3)]
-                whole = [*meta, pa.array(np.diff(bounds)), pa.array(hits), pa.array(base), pa.array(total)]
-                yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(n, t) for t in rest_types)], names)
-                for open_, which, size, keys in ((~known[iu], iu, len(ku), None), (~settled, ib, len(kb), bi)):
-                    rest = np.flatnonzero(open_)
-                    if len(rest):
-                        first, m = _in_documents(doc[rest], which[rest], size)
-                        at = rest[first]
-                        level = c[at]
-                        # a pair whose word's count is read already needs no join for it
-                        word = pa.array(uni[at].view(np.int64), mask=None if keys is None else level >= 0)
-                        pair = pa.nulls(len(at), pa.int64()) if keys is None else pa.array(keys[at].view(np.int64))
-                        none = [pa.nulls(len(at), x.type) for x in whole[1:]]
-                        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[i + doc[at]]), *none, word, pair, pa.array(values[level], mask=level < 0), pa.array(m)], names)
-
-    rest_types = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-    names = ["row", "id", "held", "n_tokens", "n_known", "base", "score", "word", "pair", "c", "m"]
+        texts = texts.combine_chunks()
+        held = texts["held"].to_numpy()
+        keys, own, seen = tally(texts_of(texts["text"]), held)
+        told, n = answers["key"].to_numpy().view(np.uint64), answers["n"].to_numpy()
+        order = np.argsort(told)
+        told, n = told[order], n[order]
+        known, at = is_in(told, keys)
+        exact = np.where(known, n[at], own) if len(told) else own
+        known, at = is_in(head_keys, keys)
+        exact = np.where(known, head_counts[at], exact) if len(head_keys) else exact
+        level = model.levels(keys)
+        level = np.where(level >= least, level, np.where(exact > 0, levels(exact), 0))
+        base_log = np.log10((exact + 1.0) / share)
+        out = [[], [], [], []]
+        for i, j, bounds, some, which in seen:
+            at = np.searchsorted(keys, some)[which]
+            uni, bi = at[: bounds[-1]], at[bounds[-1] :]
+            word = level[uni]
+            history = np.empty_like(word)
+            history[1:] = word[:-1]
+            history[bounds[:-1]] = word[bounds[1:] - 1]
+            # no pair is more frequent than its words
+            pair = np.minimum(level[bi], np.minimum(word, history))
+            terms = log_probabilities(word, history, pair, prior_share)
+            for x, values in zip(out, (np.diff(bounds), np.add.reduceat((exact[uni] > 0).astype(np.int64), bounds[:-1]), np.add.reduceat(base_log[uni], bounds[:-1]), np.add.reduceat(terms, bounds[:-1])), strict=True):
+                x.append(values)
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.table([texts["id"], texts["held"], *(pa.array(c) for c in columns)], ["id", "held", "n_tokens", "n_known", "base", "score"])
+
+    answers = whole.filter((F.col("block") >= 0) & ((level < least) | is_word & (level < frequent)))
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(score, f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, word long, pair long, c double, m long"), "scored")
-    quantised = F.array(*(F.lit(float(x)) for x in level_value(np.arange(MAX_LEVEL + 1))))
-    value = lambda n: F.when(n.isNull(), 0.0).otherwise(quantised[level_column(n)])
-    tail = scored.select("row", "word", "pair", "c", "m")
-    found = tail.filter("word is not null").join(unigrams.select(F.col("key").alias("word"), "n"), "word", "left")
-    read = value(F.col("n"))
-    logs = F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(share))
-    term = F.col("m") * (F.log10(F.lit(DIRICHLET) * (read + 1) / F.lit(share)) - F.log10(read + F.lit(DIRICHLET)))
-    by_word = found.filter("pair is null").select("row", logs.alias("more"), F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("more_known"), F.when(F.col("c").isNull(), term).otherwise(0.0).alias("more_score"))
-    if least > 1:
-        open_pairs = materialize(found.filter("pair is not null and n is not null").select("row", "pair", read.alias("c"), "m"), "open")
-        _release(spark)
-        pairs = tail.filter("pair is not null and word is null").select("row", "pair", "c", "m").union(open_pairs)
-        below = bigrams.filter(level_column(F.col("n")) < least).select(F.col("key").alias("pair"), value(F.col("n")).alias("cb"))
-        seen = pairs.join(below, "pair")
-        raised = F.col("m") * F.log10(1.0 + F.col("cb") * F.lit(share) / (F.lit(DIRICHLET) * (F.col("c") + 1)))
-        by_pair = materialize(seen.groupBy("row").agg(F.sum(raised).alias("raised")), "raised")
-        _release(spark)
-        by_word = by_word.union(by_pair.select("row", F.lit(0.0), F.lit(0).cast("long"), "raised"))
-    by_row = by_word.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "more_known", "more_score")))
-    whole = scored.filter("word is null and pair is null").join(by_row, "row", "left")
-    return whole.select(
-        F.col("id").alias(id_col),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
+    return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -55,22 +56,35 @@ def test_filter_reads_quantised_counts(spark):
 def test_size_is_bounded(spark):
     df = spark.createDataFrame([(k * 7919, 1) for k in range(3000)], "key long, n long")
     assert len(lm.build_filter(df, 10**9, max_bits=1 << 21)) == (1 << 21) // 8
+    assert lm.least_level({1: 10**9, 2: 10**8, 9: 1000}, 1 << 21) == 9 and lm.least_level({1: 50, 2: 10}, 1 << 21) == 2
 
 
 def test_full_filters_hold_the_most_frequent(spark):
     keys = np.random.default_rng(3).integers(-(2**62), 2**62, 300_000)
     df = spark.range(len(keys)).select(F.xxhash64("id").alias("key"), F.when(F.col("id") < 5000, 40).otherwise(1).cast("long").alias("n"))
-    f = lm.Filter(lm.build_filter(df, len(keys), max_bits=1 << 20))
+    f = lm.Filter(lm.build_filter(df, len(keys), lm.least_level({1: 295_000, 10: 5000}, 1 << 20), 1 << 20))
     rows_ = df.toArrow()
     got, n = f.counts(rows_["key"].to_numpy().view(np.uint64)), rows_["n"].to_numpy()
     assert (got[n == 40] >= 30).all() and (got[n == 1] > 0).mean() < 0.05
 
 
-def test_head_words_are_the_most_frequent(spark):
-    df = spark.range(1, 2001).select(F.col("id").alias("key"), F.col("id").alias("n"))
-    for limit in (0, 1, 100, 5000):
-        got = lm.head_words(df, limit)["n"].to_pylist()
-        assert len(got) <= limit and sorted(got) == list(range(2001 - len(got), 2001)) and (limit < 100 or len(got) >= 0.9 * min(limit, 2000))
+def test_head_words_are_the_most_frequent():
+    words = {1: 5000, 2: 900, 3: 80, 7: 20}
+    assert [lm.head_level(words, n) for n in (0, 19, 20, 100, 999, 1000, 10**6)] == [lm.MAX_LEVEL + 1] * 2 + [7, 3, 3, 2, 2]
+
+
+def test_probabilities_sum_to_at_most_one():
+    """Of all words behind each history, and of a word that was never seen."""
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(40)]
+    ts = [rnd.choices(vocabulary, [1 / (1 + k) for k in range(40)])[0] for _ in range(3000)]
+    uni, bi = Counter(ts), Counter(zip(ts, ts[1:]))
+    level = lambda n: int(lm.levels(np.array([n]))[0]) if n else 0
+    share = sum(float(lm.level_value(np.array([level(n)]))[0]) + 1 for n in uni.values()) + 1
+    for h in [*vocabulary, "unseen"]:
+        rows_ = [(level(uni[w]), level(uni[h]), min(level(bi[h, w]), level(uni[w]), level(uni[h]))) for w in [*vocabulary, "unseen"]]
+        p = 10 ** lm.log_probabilities(*(np.array(c) for c in zip(*rows_)), share)
+        assert 0.3 < p.sum() <= 1 + 1e-9
 
 
 def test_bigrams_raise_the_score_of_known_text(spark):
@@ -90,22 +104,25 @@ def exact_scores(data):
             ts = tokens(r[1])
             uni.update(ts)
             bi.update(zip([None, *ts[:-1]], ts, strict=True))
-    value = lambda n: float(lm.level_value(lm.levels(np.array([n])))[0]) if n else 0.0
-    share = sum(uni.values()) + len(uni) + 1
+    level = lambda n: int(lm.levels(np.array([n]))[0]) if n else 0
+    ends = lambda n: [float(x[0]) for x in lm.level_ends(np.array([level(n)]))]
+    prior = lambda n: sum(ends(n)) / 2 + 1
+    share = sum(prior(n) for n in uni.values()) + 1
     out = []
     for r in data:
         ts = tokens(r[1])
         pairs = zip([None, *ts[:-1]], ts, strict=True)
-        p = [(value(bi[h, t]) + lm.DIRICHLET * (value(uni[t]) + 1) / share) / (value(uni[h]) + lm.DIRICHLET) for h, t in pairs]
+        p = [(ends(bi[h, t])[0] + lm.DIRICHLET * prior(uni[t]) / share) / (ends(uni[h])[1] + lm.DIRICHLET) for h, t in pairs]
         out.append((-1 if r[0] is None else r[0], sum(math.log10(x) for x in p)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("head", [250_000, 20, 0])
+@pytest.mark.parametrize("block", [4 << 20, 2000])
 @pytest.mark.parametrize("load", [None, 0.002, 0.0])
-def test_scores_do_not_depend_on_what_the_filter_holds(spark, monkeypatch, head, load):
-    """With all n-grams in the filter, the frequent ones, or none, and all bigrams counted."""
-    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+def test_scores_do_not_depend_on_what_the_filter_holds(spark, monkeypatch, block, load):
+    """With all repeated n-grams in the filter, the frequent ones, or none, in large and small blocks."""
+    monkeypatch.setattr(lm, "HEAD_WORDS", 20)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
     if load is not None:
         monkeypatch.setattr(lm, "LOAD", load)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.score_documents(table(spark)).collect())
