@@ -8,14 +8,16 @@ from a least level on, at least level 2; a probe that ends below that level
 decides nothing.  What it does not hold is exchanged exactly, so none is left
 out at any size:
 
-1. Texts are dealt into blocks of about ``BLOCK_BYTES``.  Each block sends its
-   distinct n-grams with their counts in it, so a row stands for all places of
-   an n-gram in a block, and a hot n-gram has a row a block at most.
-2. Sorted by n-gram, the rows are summed.  One row of each n-gram feeds the
-   filter and the table of frequent words; a row goes back to each block whose
-   own count does not tell the whole one (the rows of n-grams that occur in one
-   block only, by far the most, do not).
-3. Each block meets its rows and is scored.
+1. Texts are dealt into blocks of about ``BLOCK_BYTES``.  The n-grams of a
+   share of the key space are counted first; they tell, to within a little, how
+   many n-grams have each level, and so what the filter can hold.
+2. Each block sends its distinct n-grams with their counts in it, so an entry
+   stands for all places of an n-gram in a block, and a hot n-gram has one
+   entry a block at most.  Entries travel as packed runs of ascending keys.
+3. The entries of one range of keys are summed.  N-grams from the least level
+   on go to the filter, frequent words to a table; an entry of any other goes
+   back to each block whose own count does not tell the whole one.
+4. Each block meets its entries and is scored.
 
 The filter is blocked: all probes of one n-gram lie in one segment, so each task
 builds whole segments from the n-grams dealt to it, and only the finished bits
@@ -39,7 +41,7 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +68,11 @@ LOAD = 0.35
 #: At most so many of the most frequent words are broadcast for the exact counts.
 HEAD_WORDS = 250_000
 #: Bytes of text in a block, or one longer text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Block numbers of rows that go to no block: an n-gram's count, how many n-grams have a level, the sum of word counts.
 WHOLE, LEVEL, TOKENS = -1, -2, -3
+#: The share of the key space that is counted to choose levels, and entries that one range of keys has, about.
+SAMPLE, RANGE = 64, 1 << 20
 DIRICHLET = 2000.0
 
 
@@ -145,7 +149,7 @@ class Filter:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, id, held, text): the documents, dealt into blocks in the order they are read."""
+    """(block, id, held, text): the documents, as a written table, dealt into blocks in the order they are read."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,73 +188,131 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(which, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
-def block_counts(rows: DataFrame) -> DataFrame:
-    """(key, block, n): the n-grams of each block and their training counts there; n may be 0."""
+def by_block(batches: Iterator[pa.RecordBatch], counted: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, distinct keys, counts) of runs of rows (block, held, text) of one block."""
+    have, parts = None, []
+    for batch in freed(batches):
+        block, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if i == j:
+                continue
+            if parts and block[i] != have:
+                yield have, *_summed(parts)
+                parts = []
+            have = int(block[i])
+            parts.append(counted(texts_of(batch.column(2).slice(i, j - i)), held[i:j]))
+    if parts:
+        yield have, *_summed(parts)
+
+
+def sampled_counts(rows: DataFrame) -> tuple[dict[int, int], dict[int, int], int]:
+    """(words by level, pairs by level, entries of all blocks), estimated from one of ``SAMPLE`` parts of the key space."""
+
+    def some(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for i, j, data, off in slices(texts):
+            tokens, doc, bounds = tokens_of(data, off)
+            keys, weight = np.concatenate(keys_of(tokens, histories(tokens, bounds))), np.tile(~held[i:j][doc], 2)
+            use = (keys >> np.uint64(1)) % np.uint64(SAMPLE) == 0
+            k, which = np.unique(keys[use], return_inverse=True)
+            parts.append((k, np.bincount(which, weight[use], len(k)).astype(np.int64)))
+        return _summed(parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, parts = None, []
+        for _, keys, n in by_block(batches, some):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-        def flush() -> pa.RecordBatch:
-            keys, n = _summed(parts)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), have, np.int64)), pa.array(n)], ["key", "block", "n"])
+    counts = in_small_batches(rows.select("block", "held", "text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
+    level = F.when(F.col("n") > 0, level_column(F.col("n"))).otherwise(0)
+    words, pairs, entries = {}, {}, 0
+    for r in counts.groupBy(level.alias("level"), F.pmod("key", F.lit(2)).alias("kind")).agg(F.count("*").alias("keys"), F.sum("entries").alias("entries")).collect():  # two rows a level
+        entries += r.entries * SAMPLE
+        if r.level:
+            (pairs if r.kind else words)[r.level] = r["keys"] * SAMPLE
+    return words, pairs, entries
 
-        for batch in freed(batches):
-            block, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-            for i, j in zip(edges, edges[1:], strict=False):
-                if i == j:
-                    continue
-                if parts and block[i] != have:
-                    yield flush()
-                have = int(block[i])
-                keys, n, _ = tally(texts_of(batch.column(2).slice(i, j - i)), held[i:j])
-                parts.append((keys, n))
-        if parts:
-            yield flush()
 
-    return in_small_batches(rows.select("block", "held", "text")).mapInArrow(count, "key long, block long, n long")
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as the byte planes of their differences; the upper ones are zeros."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+ENTRIES = "part int, block long, keys binary, n binary"
+
+
+def block_counts(rows: DataFrame, parts: int) -> DataFrame:
+    """(part, block, keys, n): the n-grams of each block by range of keys, and their training counts there; they may be 0."""
+    width = np.uint64((1 << 64) // parts + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, keys, n in by_block(batches, lambda texts, held: tally(texts, held)[:2]):
+            part, first = np.unique(keys // width, return_index=True)
+            ends = [*first[1:].tolist(), len(keys)]
+            runs = [(packed(keys[i:j]), n[i:j].astype(np.uint32).tobytes()) for i, j in zip(first.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), block, np.int64)), pa.array([r[0] for r in runs], pa.binary()), pa.array([r[1] for r in runs], pa.binary())], ["part", "block", "keys", "n"])
+
+    return in_small_batches(rows.select("block", "held", "text")).mapInArrow(count, ENTRIES)
 
 
-def whole_counts(counts: DataFrame) -> DataFrame:
-    """(key, block, n) from the blocks' counts: sums, and the answers to blocks that cannot know them."""
+def whole_counts(counts: DataFrame, parts: int, least: int, frequent: int) -> DataFrame:
+    """(block, key, n, keys, sums): whole counts of n-grams from their levels on, statistics, and the answers to blocks as packed runs."""
+    names = ["block", "key", "n", "keys", "sums"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last key, which may go on in the next batch
         stats, tokens = np.zeros(2 * (MAX_LEVEL + 1), np.int64), 0
 
-        def made(key: np.ndarray, block: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def plain(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(key), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(n), none, none], names)
+
+        def made(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             nonlocal tokens
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            at = np.flatnonzero(new)
-            total = np.add.reduceat(n, at)
-            level, word = np.where(total > 0, levels(total), 0), (key[at] & 1) == 0
+            runs = [unpacked(r[1]) for r in held]
+            n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in held]).astype(np.int64)
+            keys, of = np.unique(np.concatenate(runs), return_inverse=True)
+            total = np.bincount(of, n, len(keys)).astype(np.int64)
+            level, word = np.where(total > 0, levels(total), 0), keys & np.uint64(1) == 0
             stats[:] += np.bincount(2 * level + word, minlength=len(stats))
             tokens += int(total[word].sum())
-            first = total > 1
-            of = np.cumsum(new) - 1
-            all_, own = level[of], np.where(n > 0, levels(n), 0)
-            answer = (all_ != own) | word[of] & (total[of] != n)
-            cols = (np.concatenate((key[at][first], key[answer])), np.concatenate((np.full(first.sum(), WHOLE), block[answer])), np.concatenate((total[first], total[of][answer])))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "block", "n"])
-
+            some = (level >= least) | word & (level >= frequent)
+            yield plain(WHOLE, keys[some].view(np.int64), total[some])
+            # a word that is frequent is read from the table, and an n-gram from the least level on from the filter
+            asked = np.where(word, level < max(least, frequent), level < least)
+            differs = (level[of] != np.where(n > 0, levels(n), 0)) | word[of] & (total[of] != n)
+            answer = asked[of] & differs
+            edges = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+            to, out_keys, out_sums = [], [], []
+            for (block, _, _), i, j in zip(held, edges.tolist(), edges[1:].tolist(), strict=False):
+                use = of[i:j][answer[i:j]]
+                if len(use):
+                    to.append(block)
+                    out_keys.append(packed(keys[use]))
+                    out_sums.append(total[use].astype("<i8").tobytes())
+            if to:
+                none = pa.nulls(len(to), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), none, none, pa.array(out_keys, pa.binary()), pa.array(out_sums, pa.binary())], names)
+
+        last, held = None, []
         for batch in batches:
-            c = [batch.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                c = [np.concatenate(z) for z in zip(held, c, strict=True)]
-            turns = np.flatnonzero(c[0][1:] != c[0][:-1])
-            cut = int(turns[-1]) + 1 if len(turns) else 0
-            if cut:
-                yield made(*(z[:cut] for z in c))
-            held = [z[cut:] for z in c]
-        if held is not None and len(held[0]):
-            yield made(*held)
+            for part, block, keys, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != last and held:
+                    yield from made(held)
+                    held = []
+                last = part
+                held.append((block, keys, n))
+        if held:
+            yield from made(held)
         at = np.flatnonzero(stats)
-        ends = (np.append(at, 0), np.append(np.full(len(at), LEVEL), TOKENS), np.append(stats[at], tokens))
-        yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["key", "block", "n"])
+        yield plain(LEVEL, at, stats[at])
+        yield plain(TOKENS, np.zeros(1, np.int64), np.array([tokens]))
 
-    ordered = counts.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(walk, "key long, block long, n long")
+    ordered = counts.repartition(parts, "part").sortWithinPartitions("part")
+    return ordered.mapInArrow(walk, "block long, key long, n long, keys binary, sums binary")
 
 
 def is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,12 +323,6 @@ def is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return sorted_keys[at] == keys, at
 
 
-def counts_of(sorted_keys: np.ndarray, n: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The count of each key, 0 for one that is not among the sorted ones."""
-    known, at = is_in(sorted_keys, keys)
-    return np.where(known, n[at], 0) if len(n) else np.zeros(len(keys), np.int64)
-
-
 def head_level(words: dict[int, int], limit: int) -> int:
     """The least level from which on words are broadcast: at most ``limit`` words."""
     upto, least = 0, MAX_LEVEL + 1
@@ -297,14 +353,12 @@ def least_level(keys: dict[int, int], n_bits: int) -> int:
     return least
 
 
-def build_filter(counts: DataFrame, n_keys: int, least: int = 1, max_bits: int = MAX_BITS) -> np.ndarray:
+def build_filter(counts: DataFrame, segments: int, least: int = 1) -> np.ndarray:
     """The filter's bits from rows (key, n), keys distinct; one shuffle by the segment of a key.
 
-    Its size follows the number of keys up to ``max_bits``; it holds the keys
-    from level ``least`` on.
+    It has ``segments`` segments and holds the keys from level ``least`` on.
     """
     spark = counts.sparkSession
-    segments = n_segments(n_keys, max_bits)
     seg = F.pmod(F.shiftrightunsigned("key", 40), F.lit(segments))
     n_parts = max(1, min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -325,7 +379,7 @@ def build_filter(counts: DataFrame, n_keys: int, least: int = 1, max_bits: int =
     stored = counts.filter(level_column(F.col("n")) >= least).select("key", "n")
     made = stored.repartition(n_parts, seg).mapInArrow(fill, "segment long, bits binary")
     bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in made.collect():  # at most max_bits / 8 bytes
+    for r in made.collect():  # one row a segment
         at = r.segment * SEGMENT_BITS // 8
         bits[at : at + SEGMENT_BITS // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
@@ -342,22 +396,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row a document."""
     spark = docs.sparkSession
     rows = pieces(docs, id_col, text_col)
-    whole = materialize(whole_counts(block_counts(rows)), "counts")
+    words, pairs, entries = sampled_counts(rows)
+    by_level = {k: words.get(k, 0) + pairs.get(k, 0) for k in words | pairs}
+    segments = n_segments(sum(by_level.values()), max_bits)
+    least, frequent = least_level(by_level, segments * SEGMENT_BITS), head_level(words, HEAD_WORDS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE))
+    whole = materialize(whole_counts(block_counts(rows, parts), parts, least, frequent), "counts")
     release(spark)
-    words, pairs, n_train = {}, {}, 0  # by level, so these rows are few
-    for r in whole.filter(F.col("block") <= LEVEL).groupBy("block", "key").agg(F.sum("n").alias("n")).collect():
+    words, n_train = {}, 0
+    for r in whole.filter(F.col("block").isin(LEVEL, TOKENS)).groupBy("block", "key").agg(F.sum("n").alias("n")).collect():  # two rows a level
         if r.block == TOKENS:
             n_train = int(r.n)
-        elif r.key >= 2:
-            (words if r.key % 2 else pairs)[r.key // 2] = int(r.n)
-    vocabulary, n_keys = sum(words.values()), sum(words.values()) + sum(pairs.values())
-    by_level = {k: words.get(k, 0) + pairs.get(k, 0) for k in words | pairs}
-    frequent = head_level(words, HEAD_WORDS)
-    least = least_level(by_level, n_segments(n_keys, max_bits) * SEGMENT_BITS)
-    level, is_word = level_column(F.col("n")), F.pmod("key", F.lit(2)) == 0
+        elif r.key % 2 and r.key > 1:
+            words[r.key // 2] = int(r.n)
+    vocabulary, level, is_word = sum(words.values()), level_column(F.col("n")), F.pmod("key", F.lit(2)) == 0
+    if sum(n for k, n in words.items() if k >= frequent) > 2 * HEAD_WORDS:
+        raise RuntimeError("the sampled levels of words are far from the counted ones")
     sums = whole.filter(F.col("block") == WHOLE).select("key", "n")
-    bits = build_filter(sums, n_keys, least, max_bits)
-    head = sums.filter(is_word & (level >= frequent)).toArrow()  # at most HEAD_WORDS rows
+    bits = build_filter(sums, segments, least)
+    head = sums.filter(is_word & (level >= frequent)).toArrow()  # at most twice HEAD_WORDS rows
     order = np.argsort(head["key"].to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast((bits, head["key"].to_numpy().view(np.uint64)[order], head["n"].to_numpy()[order]))
     share = float(n_train + vocabulary + 1)
@@ -369,7 +426,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = texts.combine_chunks()
         held = texts["held"].to_numpy()
         keys, own, seen = tally(texts_of(texts["text"]), held)
-        told, n = answers["key"].to_numpy().view(np.uint64), answers["n"].to_numpy()
+        told = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in answers["keys"].to_pylist())])
+        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in answers["sums"].to_pylist())])
         order = np.argsort(told)
         told, n = told[order], n[order]
         known, at = is_in(told, keys)
@@ -395,7 +453,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table([texts["id"], texts["held"], *(pa.array(c) for c in columns)], ["id", "held", "n_tokens", "n_known", "base", "score"])
 
-    answers = whole.filter((F.col("block") >= 0) & ((level < least) | is_word & (level < frequent)))
+    answers = whole.filter(F.col("block") >= 0).select("block", "keys", "sums")
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
     return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

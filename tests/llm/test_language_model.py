@@ -36,6 +36,7 @@ def brute(data):
 def test_base_scores_match_brute_force(spark, monkeypatch, head):
     """With all words in the broadcast table, some, or none."""
     monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "SAMPLE", 1)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_documents(table(spark)).collect())
     for g, w in zip(got, brute(rows()), strict=True):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and g[6] < 0
@@ -44,7 +45,7 @@ def test_base_scores_match_brute_force(spark, monkeypatch, head):
 def test_filter_reads_quantised_counts(spark):
     counts = [(int(k), 1 + int(k) % 300) for k in np.random.default_rng(1).integers(-(2**62), 2**62, 4000)]
     df = spark.createDataFrame([(k, 1) for k, n in counts for _ in range(2)] + [(k, n - 2) for k, n in counts if n > 2], "key long, n long")
-    f = lm.Filter(lm.build_filter(df.groupBy("key").agg(F.sum("n").alias("n")), 4000))
+    f = lm.Filter(lm.build_filter(df.groupBy("key").agg(F.sum("n").alias("n")), lm.n_segments(4000, lm.MAX_BITS)))
     want = np.array([max(n, 2) for _, n in counts])
     got = f.counts(np.array([k for k, _ in counts], np.int64).view(np.uint64))
     low, high = lm.LOG_BASE ** np.floor(np.log(want) / np.log(lm.LOG_BASE) - 1e-9), want * lm.LOG_BASE
@@ -53,16 +54,20 @@ def test_filter_reads_quantised_counts(spark):
     assert (f.counts(other) > 0).mean() < 0.05
 
 
-def test_size_is_bounded(spark):
-    df = spark.createDataFrame([(k * 7919, 1) for k in range(3000)], "key long, n long")
-    assert len(lm.build_filter(df, 10**9, max_bits=1 << 21)) == (1 << 21) // 8
+def test_size_is_bounded():
+    assert lm.n_segments(10**9, 1 << 21) == 2 and lm.n_segments(0, lm.MAX_BITS) == 1
     assert lm.least_level({1: 10**9, 2: 10**8, 9: 1000}, 1 << 21) == 9 and lm.least_level({1: 50, 2: 10}, 1 << 21) == 2
 
 
+def test_packed_keys_come_back():
+    keys = np.unique(np.random.default_rng(4).integers(0, 2**64 - 1, 5000, dtype=np.uint64))
+    assert (lm.unpacked(lm.packed(keys)) == keys).all() and len(lm.unpacked(lm.packed(keys[:0]))) == 0
+
+
 def test_full_filters_hold_the_most_frequent(spark):
     keys = np.random.default_rng(3).integers(-(2**62), 2**62, 300_000)
     df = spark.range(len(keys)).select(F.xxhash64("id").alias("key"), F.when(F.col("id") < 5000, 40).otherwise(1).cast("long").alias("n"))
-    f = lm.Filter(lm.build_filter(df, len(keys), lm.least_level({1: 295_000, 10: 5000}, 1 << 20), 1 << 20))
+    f = lm.Filter(lm.build_filter(df, 1, lm.least_level({1: 295_000, 10: 5000}, 1 << 20)))
     rows_ = df.toArrow()
     got, n = f.counts(rows_["key"].to_numpy().view(np.uint64)), rows_["n"].to_numpy()
     assert (got[n == 40] >= 30).all() and (got[n == 1] > 0).mean() < 0.05
@@ -122,6 +127,8 @@ def exact_scores(data):
 def test_scores_do_not_depend_on_what_the_filter_holds(spark, monkeypatch, block, load):
     """With all repeated n-grams in the filter, the frequent ones, or none, in large and small blocks."""
     monkeypatch.setattr(lm, "HEAD_WORDS", 20)
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    monkeypatch.setattr(lm, "RANGE", 1000)
     monkeypatch.setattr(lm, "BLOCK_BYTES", block)
     if load is not None:
         monkeypatch.setattr(lm, "LOAD", load)
