@@ -55,10 +55,18 @@ NUMBER_WORDS = (
     "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen"
 ).split()
-GUARDED = r"(^|[^\p{L}\p{N}])(" + "|".join(dict.fromkeys(STARTERS)) + r")([^\p{L}\p{N}]|$)"
+
+
+def _by_letter(words: list[str]) -> str:
+    """The words as alternatives, sorted under their first letters, which the matcher rules out one by one."""
+    return "|".join(f"{c}(?:{'|'.join(dict.fromkeys(w[1:] for w in words if w[0] == c))})" for c in dict.fromkeys(w[0] for w in words))
+
+
+CAPITAL = r"(?=\p{Lu})"
+GUARDED = r"(^|[^\p{L}\p{N}])" + CAPITAL + "(" + _by_letter(STARTERS) + r")([^\p{L}\p{N}]|$)"
 #: The repeated groups are possessive: nothing follows them, and Java's matcher recurses once a repetition of others.
 NAMES = r"(^|[^\p{L}\p{N}" + GUARD + r"])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
-NUMBERS = r"([0-9]+(?:[.,:/][0-9]+)*+|\b(?:" + "|".join(NUMBER_WORDS) + r")\b)"
+NUMBERS = r"([0-9]+(?:[.,:/][0-9]+)*+|\b(?:" + _by_letter(NUMBER_WORDS) + r")\b)"
 UNIT_AFTER = r" ?\b(" + "|".join(UNITS) + r")\b"
 SEPARATORS = r"[^\p{L}\p{M}\p{N}" + NAME + NUMBER + UNIT + "]+"
 
@@ -81,10 +89,15 @@ def slot_values(marked_text: Column) -> Column:
     return F.regexp_extract_all(marked_text, F.lit(f"[{NAME}{NUMBER}{UNIT}]([^{END}]*){END}"), 1)
 
 
-def windows(tokens: Column, width: int) -> Column:
-    """(at, window): starts and hashes of all runs of ``width`` tokens."""
-    last = F.size(tokens) - width
-    return F.when(last < 0, F.array().cast("array<struct<at:int,window:bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("window"))))
+def windows(hashes: Column, width: int) -> Column:
+    """(at, window): starts and hashes of all runs of ``width`` tokens, from the tokens' hashes."""
+    last = F.size(hashes) - width
+    run = lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(width))).alias("window"))
+    return F.when(last < 0, F.array().cast("array<struct<at:int,window:bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run))
+
+
+def hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def longest_run(places: Column) -> Column:
@@ -105,7 +118,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(k1, k2, item, coverage, n_slots): the benchmark items found in each document."""
-    bench = items.select(F.col(item_col).alias("item"), template_tokens(marked(F.col(item_text))).alias("tokens"), slot_values(marked(F.col(item_text))).alias("values")).filter(F.size("tokens") > 0).distinct()
+    bench = items.select(F.col(item_col).alias("item"), hashed(template_tokens(marked(F.col(item_text)))).alias("tokens"), slot_values(marked(F.col(item_text))).alias("values")).filter(F.size("tokens") > 0).distinct()
     bench = bench.withColumn("width", F.least(F.size("tokens"), F.lit(WINDOW)))
     widths = sorted(r.width for r in bench.select("width").distinct().collect())  # five values at most
     if not widths:
@@ -125,7 +138,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     hint = F.broadcast if small else (lambda df: df)
 
     keyed = _keyed(docs, id_col, text_col)
-    tokens = keyed.select("k1", "k2", template_tokens(marked(F.col("text"))).alias("tokens"))
+    tokens = keyed.select("k1", "k2", hashed(template_tokens(marked(F.col("text")))).alias("tokens"))
     runs = tokens.select("k1", "k2", F.inline(F.concat(*(windows(F.col("tokens"), w) for w in widths))))
     hits = runs.join(hint(rows.select("item", "window", F.col("at").alias("place"))), "window")
     # an alignment holds at most the windows of one item
@@ -187,12 +200,12 @@ def contamination_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
 
 
 def _sql_tokens(table: str, key: str) -> str:
-    """(key, tokens, vals) of a table's texts, in DuckDB, whose matcher has and needs no possessive groups."""
-    marks, names, numbers = NAME + NUMBER + UNIT, NAMES.replace("*+", "*"), NUMBERS.replace("*+", "*")
+    """(key, tokens, vals) of a table's texts, in DuckDB, whose matcher has and needs neither possessive groups nor looks ahead."""
+    marks, guarded, names, numbers = NAME + NUMBER + UNIT, GUARDED.replace(CAPITAL, ""), NAMES.replace("*+", "*"), NUMBERS.replace("*+", "*")
     return f"""
   SELECT {key}, list_filter(string_split_regex(regexp_replace(m, '([{marks}])[^{END}]*{END}', ' \\1 ', 'g'), '{SEPARATORS}'), lambda x: x <> '') AS tokens,
     regexp_extract_all(m, '[{marks}]([^{END}]*){END}', 1) AS vals
-  FROM (SELECT {key}, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{GUARDED}', '\\1{GUARD}\\2\\3', 'g'), '{names}', '\\1 {NAME}\\2{END} ', 'g')),
+  FROM (SELECT {key}, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{guarded}', '\\1{GUARD}\\2\\3', 'g'), '{names}', '\\1 {NAME}\\2{END} ', 'g')),
       '{numbers}', ' {NUMBER}\\1{END} ', 'g'), '({NUMBER}[^{END}]*{END}) {UNIT_AFTER}', '\\1 {UNIT}\\2{END} ', 'g') AS m
     FROM {table})"""
 
