@@ -52,9 +52,14 @@ def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Unused memory of Arrow and C goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def texts_of(column: pa.Array) -> pa.Array:

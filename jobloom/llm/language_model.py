@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import byte_view, combine, crc_mod, freed, hash_words, in_small_batches, mix64, slices, texts_of
+from jobloom.llm._shared import byte_view, combine, crc_mod, freed, give_back, hash_words, in_small_batches, mix64, slices, texts_of
 from jobloom.storage import discard, materialize, release
 
 #: Stands for the end of a text, and for the start as a history.
@@ -451,6 +451,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for x, values in zip(out, (np.diff(bounds), np.add.reduceat((exact[uni] > 0).astype(np.int64), bounds[:-1]), np.add.reduceat(base_log[uni], bounds[:-1]), np.add.reduceat(terms, bounds[:-1])), strict=True):
                 x.append(values)
         columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        del seen, keys, own, told, n, exact, level, base_log
+        give_back()
         return pa.table([texts["id"], texts["held"], *(pa.array(c) for c in columns)], ["id", "held", "n_tokens", "n_known", "base", "score"])
 
     answers = whole.filter(F.col("block") >= 0).select("block", "keys", "sums")

@@ -12,8 +12,10 @@ is spread over many tasks.
 
 Defined results: a null or text without words has size 0, takes 0 words and is
 never repeated; the null source comes last; ties of the shuffle key are
-ordered by id and then by row; repeated rows are separate documents; an empty
-table mixes to an empty table; extra columns are not read.
+ordered by id and then by row; repeated rows are separate documents; very long
+texts count whole; an empty table mixes to an empty table; extra columns are
+not read and, where documents are mixed, come back as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -85,10 +87,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mix(numbered, id_col, text_col, source_col, "_row").filter("copies > 0").select(F.col("row").alias("_row"), "copies")
-    often = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return often.select(*docs.columns)
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+    columns = {"id": id_col, "text": text_col, "source": source_col}
+    plain = numbered.select("row", *(F.col("doc").getField(c).alias(n) for n, c in columns.items()))
+    taken = mix(plain, "id", "text", "source", "row").filter("copies > 0").select("row", "copies")
+    often = numbered.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return often.select("doc.*")
 
 
 ORACLE = """

@@ -10,11 +10,15 @@ files or, with ``wanted``, decompresses only the frames of requested ids.
 
 Defined results: a null or empty text has only the end id; repeated ids stay
 in one file next to each other, each row with its own entry; a null id sorts
-first; an empty table writes no file and reads as no rows.
+first, and so does -2**63, which stands for it in a file and reads as null; ids
+are whole numbers (others raise Spark's cast error); very long texts are encoded
+whole, in one frame; an empty table writes no file and reads as no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +44,20 @@ MEMO_WORDS = 800_000
 NULL_ID = -(1 << 63)
 
 
+#: Texts that an encoding by words must give the same ids for as one of whole texts.
+PROBES = (
+    "Plain words, and MORE of them.", " two  spaces\tand\n\nlines \r\n", "it's we'll DON'T o'clock 'quoted'", "a1b2 3.14 10,000 x=y+z", "Été naïve ß İ ﬁ e\u0301", "日本語 text 한국어 русский",
+    "<|endoftext|> <b>x</b> a<b", "e-mail@host.org https://a.b/c?d=1#e", "## *bold* _it_ `code` ~~ $$$ ...", "CamelCase snake_case UPPER",
+)
+
+
+def _kinds(part: dict | None) -> set[str]:
+    """The types of a tokenizer file's part and of those inside it."""
+    if not part:
+        return set()
+    return {part.get("type")} | {k for x in part.get("normalizers", ()) for k in _kinds(x)}
+
+
 class TokenFile(NamedTuple):
     path: str
     n_docs: int
@@ -51,7 +69,9 @@ class WordEncoder:
 
     For a tokenizer that lower-cases, and whose pre-tokenizer splits at white
     space and between letters and punctuation, this gives the ids of encoding
-    the whole text.  The memo is dropped when full.
+    the whole text.  Whether one does is read from its file and tried on
+    ``PROBES``; with any other, whole texts are encoded.  The memo is dropped
+    when full.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -59,6 +79,16 @@ class WordEncoder:
 
         self.tok, self.end = Tokenizer.from_file(path), end_id
         self.clear()
+        self.by_word = True
+        if "Lowercase" not in _kinds(json.loads(self.tok.to_str()).get("normalizer")):
+            self.by_word = False
+        else:
+            ids, off = self.encode(pa.array(PROBES, pa.large_string()))
+            self.by_word = all(ids[off[i] : off[i + 1] - 1].tolist() == self._whole(t) for i, t in enumerate(PROBES))
+            self.clear()
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
         self.memo, self.used = {"": 0}, 0
@@ -87,6 +117,10 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text), the end id behind each text."""
+        if not self.by_word:
+            ids = [[*self._whole(t), self.end] for t in texts.to_pylist()]
+            off = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(off[-1])), off
         if len(self.memo) > MEMO_WORDS:
             self.clear()
         parts = pc.split_pattern(_loosened(texts), " ")

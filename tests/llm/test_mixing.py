@@ -69,3 +69,9 @@ def test_documents_are_repeated(spark):
         want[r.doc_id] += r.copies
     assert Counter({k: v for k, v in want.items() if v}).total() == got.total()
     assert mixing.mixed_documents(table(spark)).columns == table(spark).columns
+
+
+def test_columns_with_clashing_names_come_back(spark):
+    df = spark.createDataFrame([(i, "one two three", "a", 7, 8, 9, 10, 11) for i in range(20)], "doc_id long, text string, source string, row long, _row long, copies int, doc int, size long")
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns and {tuple(r)[1:] for r in got.collect()} == {("one two three", "a", 7, 8, 9, 10, 11)}

@@ -37,6 +37,16 @@ def test_special_texts(encoder, text):
     assert ids.tolist() == direct(encoder, text)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    enc = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 1)
+    texts = [*tokens.PROBES, "Hello  World\n", ""]
+    ids, off = enc.encode(pa.array(texts, pa.large_string()))
+    assert not enc.by_word and [ids[off[i] : off[i + 1]].tolist() for i in range(len(texts))] == [direct(enc, t) for t in texts]
+    assert tokens.WordEncoder(word_tokenizer(), 1).by_word
+
+
 def test_files_and_random_access(monkeypatch):
     monkeypatch.setattr(tokens, "FRAME_BYTES", 256)
     w = tokens.FrameWriter()
