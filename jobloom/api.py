@@ -12,6 +12,7 @@ from jobloom.functions.timing import Timing, default_timing, table_array
 from jobloom.operators import work as W
 from jobloom.operators.running import row_numbers
 from jobloom.plans.multi import plan_multi
+from jobloom.plans.single import compiled_shapes
 from jobloom.sources.documents import scan
 from jobloom.sources.records import expand, read_records
 
@@ -24,16 +25,20 @@ def timing_of(jobs: DataFrame, timing: DataFrame | None = None) -> Timing:
 
 
 def plan(jobs: DataFrame, executors: DataFrame, timing: DataFrame | None = None, policy: str = "search", seeds: int = 4, moves: int = 60) -> DataFrame:
-    """(slot, kind, shape, job_id, tokens, n_seeds): each job once, on one executor, at the smallest shape that holds it.
+    """(slot, kind, shape, job_id, tokens, n_seeds): each job once, on one executor.
 
     ``jobs`` (job_id, tokens, n_seeds), ``executors`` (slot, kind, compile_us,
     infer_us).  ``search`` places types of jobs by seeded searches, then deals
     each type's jobs, in the order of size and id, to the executors' shares;
-    ``round_robin`` deals jobs in that order one by one.
+    each executor compiles the cheapest choice of shapes for its own jobs, and
+    these run at the smallest of them that holds each, so ``report`` gives the
+    loads that were planned.  ``round_robin`` deals jobs in that order one by
+    one, each at the smallest shape that holds it.
     """
     t = timing_of(jobs, timing)
     work = W.covered(jobs.select("job_id", "tokens", "n_seeds"), t)
     slots = executors.select("slot", "kind")
+    costs = W.costs(executors, work, t)
     if policy == "round_robin":
         # executors are hardware: a table of bounded size, numbered in one task
         dealt = slots.select("slot", "kind", (F.row_number().over(Window.orderBy("slot")) - 1).cast("bigint").alias("ord"))
@@ -41,14 +46,20 @@ def plan(jobs: DataFrame, executors: DataFrame, timing: DataFrame | None = None,
         placed = row_numbers(work, [], ["tokens", "job_id"], "n").join(F.broadcast(n)).withColumn("ord", (F.col("n") - 1) % F.col("n_slots")).join(dealt, "ord")
     elif policy == "search":
         types = work.groupBy("shape", "n_seeds").agg(F.count("*").alias("n_jobs"))
-        shares = plan_multi(types, W.costs(executors, types, t), slots, seeds, moves)
+        shares = plan_multi(types, costs, slots, seeds, moves)
         by = Window.partitionBy("shape", "n_seeds").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
         ranges = shares.select("slot", "shape", "n_seeds", "n_jobs", F.sum("n_jobs").over(by).alias("upto"))
         inside = (F.col("n") > F.col("upto") - F.col("n_jobs")) & (F.col("n") <= F.col("upto"))
         placed = row_numbers(work, ["shape", "n_seeds"], ["tokens", "job_id"], "n").join(ranges, ["shape", "n_seeds"]).filter(inside).join(slots, "slot")
     else:
         raise ValueError(f"no policy {policy}")
-    return placed.select("slot", "kind", "shape", "job_id", "tokens", "n_seeds")
+    if policy == "round_robin":
+        return placed.select("slot", "kind", "shape", "job_id", "tokens", "n_seeds")
+    placed = placed.select("slot", "kind", F.col("shape").alias("cover"), "job_id", "tokens", "n_seeds")
+    loads = placed.groupBy("slot", "kind", F.col("cover").alias("shape")).agg(F.sum("n_seeds").alias("units"))
+    compiled = compiled_shapes(loads, costs).select("slot", "shapes")
+    at = F.try_element_at(F.filter("shapes", lambda s: s >= F.col("cover")), F.lit(1))
+    return placed.join(compiled, "slot").select("slot", "kind", at.alias("shape"), "job_id", "tokens", "n_seeds")
 
 
 def report(placed: DataFrame, executors: DataFrame, timing: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobloom.operators import expressions, extras, relational  # noqa: F401  registers
+from jobloom.operators import expressions, extras, more, relational  # noqa: F401  registers
 from jobloom.plans import queries as plan_queries  # noqa: F401  registers
 from jobloom.registry import QUERIES, SQL, Query
 from jobloom.sources import queries as source_queries  # noqa: F401  registers

@@ -125,3 +125,13 @@ def batch_sizes(n: Column) -> Column:
     """Distinct moves of a type: one, a half, all, a quarter, three quarters."""
     sizes = F.array(F.lit(1).cast("bigint"), F.floor(n / 2), n.cast("bigint"), F.floor(n / 4), F.floor(n * 3 / 4))
     return F.array_distinct(F.filter(sizes, lambda x: x > 0))
+
+
+#: What the driver's context needs, and the share that is taken where that cannot be spared.
+RESERVED_BYTES, SMALL_MEMORY_FRACTION = 640 << 20, 0.95
+
+
+def memory_fraction(memory_bytes: Column) -> Column:
+    """The share of an executor's memory to claim: all but the reserve, to four digits; a fixed share up to twice the reserve."""
+    rest = F.round((memory_bytes - RESERVED_BYTES) / memory_bytes, 4)
+    return F.when(memory_bytes <= 2 * RESERVED_BYTES, SMALL_MEMORY_FRACTION).otherwise(rest)

@@ -128,12 +128,11 @@ def seed_expansion(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sequence(base, base + base % 3).alias("seeds"))
 
 
-@query("""SELECT slot, memory_gb, CASE WHEN memory_gb >= 40 THEN 0.95 WHEN memory_gb >= 20 THEN 0.9 ELSE 0.85 END::DOUBLE AS fraction
-FROM (SELECT s_suppkey AS slot, 12 + (s_suppkey % 5) * 12 AS memory_gb FROM supplier)""")
+@query("""SELECT slot, memory_bytes, CASE WHEN memory_bytes <= 1342177280 THEN 0.95 ELSE round((memory_bytes - 671088640) / memory_bytes, 4) END::DOUBLE AS fraction
+FROM (SELECT s_suppkey AS slot, (s_suppkey % 60)::BIGINT * 268435456 AS memory_bytes FROM supplier)""")
 def memory_fractions(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("memory_gb")
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slot"), (F.lit(12) + (F.col("s_suppkey") % 5) * 12).alias("memory_gb"))
-    return rows.withColumn("fraction", F.when(m >= 40, 0.95).when(m >= 20, 0.9).otherwise(0.85))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slot"), ((F.col("s_suppkey") % 60).cast("bigint") * (1 << 28)).alias("memory_bytes"))
+    return rows.withColumn("fraction", S.memory_fraction(F.col("memory_bytes")))
 
 
 @query("""SELECT o_custkey, '[' || repeat('#', f) || repeat('-', 20 - f) || ']' AS bar, done, total FROM (

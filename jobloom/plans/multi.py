@@ -8,15 +8,15 @@ are rows, run in parallel, and the best is kept by its sorted loads.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INF = 10**18
-EXACT_JOBS = 10
+#: Inputs of at most so many jobs and executors are planned exactly, unless that takes more than so many steps.
+EXACT_JOBS, EXACT_EXECUTORS, EXACT_STEPS = 12, 8, 200_000
 
 
 class Costs:
@@ -53,43 +53,44 @@ def load(costs: Costs, kind: int, types: list[tuple[int, int, int]], counts: lis
 
 
 def exact(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], n_classes: int) -> list[list[int]]:
-    """The optimum by a table over subsets of jobs: for tiny inputs only."""
-    jobs = [t for t, (_, _, n) in enumerate(types) for _ in range(n)]
-    full = (1 << len(jobs)) - 1
-
-    def cost(kind: int, mask: int) -> int:
-        counts = [0] * len(types)
-        for j, t in enumerate(jobs):
-            counts[t] += mask >> j & 1
-        return load(costs, kind, types, counts, n_classes)
-
-    best, choice = [cost(kinds[0], m) for m in range(full + 1)], []
-    for kind in kinds[1:]:
-        own = [cost(kind, m) for m in range(full + 1)]
-        new, picked = [INF] * (full + 1), [0] * (full + 1)
-        for mask in range(full + 1):
-            s = mask
-            while True:
-                v = max(best[mask ^ s], own[s])
-                if v < new[mask]:
-                    new[mask], picked[mask] = v, s
-                if not s:
-                    break
-                s = (s - 1) & mask
-        best = new
-        choice.append(picked)
-    masks, rest = [], full
-    for picked in reversed(choice):
-        masks.append(picked[rest])
-        rest ^= picked[rest]
-    masks.append(rest)
-    out = []
-    for m in reversed(masks):
-        counts = [0] * len(types)
-        for j, t in enumerate(jobs):
-            counts[t] += m >> j & 1
-        out.append(counts)
-    return out
+    """The least makespan by branch and bound over single jobs, the largest first: for tiny inputs only.
+
+    A load never falls when a job is added, so a branch whose largest load
+    reaches the best makespan is cut; of executors of one kind with equal jobs
+    one is tried.  The best plan so far is returned after ``EXACT_STEPS``.
+    """
+    order = [t for t in sorted(range(len(types)), key=lambda t: (-types[t][0], -types[t][1])) for _ in range(types[t][2])]
+    state = [[0] * len(types) for _ in kinds]
+    price = lambda g: load(costs, kinds[g], types, state[g], n_classes)
+    best, found, steps = INF, [list(c) for c in state], 0
+    stack: list[tuple[int, int, int]] = [(0, -1, -1)]  # (jobs placed, type and executor of the last one; -1: take it back)
+    path: list[tuple[int, int]] = []
+    while stack and steps < EXACT_STEPS:
+        placed, t, g = stack.pop()
+        while len(path) >= max(placed, 1):
+            old_t, old_g = path.pop()
+            state[old_g][old_t] -= 1
+        if placed:
+            state[g][t] += 1
+            path.append((t, g))
+            steps += 1
+            if price(g) >= best:
+                continue
+        if placed == len(order):
+            top = max(price(k) for k in range(len(kinds)))
+            if top < best:
+                best, found = top, [list(c) for c in state]
+            continue
+        nxt, seen, tries = order[placed], set(), []
+        for k, kind in enumerate(kinds):
+            alike = (kind, tuple(state[k]))
+            if alike not in seen:
+                seen.add(alike)
+                state[k][nxt] += 1
+                tries.append((price(k), k))
+                state[k][nxt] -= 1
+        stack += [(placed + 1, nxt, k) for cost, k in sorted(tries, reverse=True) if cost < best]
+    return found
 
 
 def proportional(speeds: list[float], types: list[tuple[int, int, int]]) -> list[list[int]]:
@@ -133,7 +134,7 @@ def descend(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], s
 
 def search(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], n_classes: int, seed: int, moves: int = 60) -> tuple[list[int], list[list[int]]]:
     """(loads, counts by executor and type) of one seeded search."""
-    if sum(n for _, _, n in types) <= EXACT_JOBS and len(kinds) <= 4:
+    if sum(n for _, _, n in types) <= EXACT_JOBS and len(kinds) <= EXACT_EXECUTORS:
         state = exact(costs, kinds, types, n_classes)
         return [load(costs, k, types, c, n_classes) for k, c in zip(kinds, state, strict=True)], state
     every = tuple(sum(s * n for c, s, n in types if c == k) for k in range(n_classes))
@@ -171,34 +172,30 @@ def plan_multi(types: DataFrame, costs: DataFrame, executors: DataFrame, seeds:
     return found.join(F.broadcast(best), "seed").drop("seed", "key")
 
 
-def share_tails(queues: dict[int, list[tuple[int, int, int, int]]], cost: dict[tuple[int, int], tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
-    """Jobs that idle executors would take over, as (job, shape), in order.
+def share_tails(jobs: DataFrame, compile_cost: Callable[[Column, Column], Column], infer_cost: Callable[[Column, Column], Column]) -> DataFrame:
+    """(grp, thief, k, job, shape): the jobs of other executors that each idle executor would take over, in order.
 
-    ``queues``: slot to (job, tokens, seeds, shape) in run order; ``cost``:
-    (slot, shape) to (compile, inference).  A thief goes through the others'
-    jobs from the last one, in turn, and takes one if it would finish it
-    sooner than its owner.
+    ``jobs`` (grp, slot, job, tokens, n_seeds, shape), run by shape and then
+    job; costs are given by slot and shape.  A thief looks at the last jobs of
+    all others, then at those before them, and takes one if it would finish it
+    sooner than its owner.  Finish times are running sums; a thief's choices
+    are a fold over its ordered candidates, which are a group's jobs.
     """
-    finish, spent = {}, {}
-    for slot, queue in queues.items():
-        t, seen = 0, set()
-        for job, _, seeds, shape in queue:
-            comp, inf = cost[slot, shape]
-            t += (0 if shape in seen else comp) + seeds * inf
-            seen.add(shape)
-            finish[job] = t
-        spent[slot] = t
-    out: dict[int, list[tuple[int, int]]] = {}
-    for slot, queue in queues.items():
-        others = [list(reversed(q)) for s, q in queues.items() if s != slot]
-        compiled, t, taken = {x[3] for x in queue}, spent[slot], []
-        for job, tokens, seeds, shape in chain.from_iterable([o[k] for o in others if k < len(o)] for k in range(max(map(len, others), default=0))):
-            at = min((s for s in compiled if s >= tokens), default=shape)
-            comp, inf = cost[slot, at]
-            done = t + (0 if at in compiled else comp) + seeds * inf
-            if done < finish[job]:
-                taken.append((job, at))
-                compiled.add(at)
-                t = done
-        out[slot] = taken
-    return out
+    run = Window.partitionBy("grp", "slot").orderBy("shape", "job")
+    first = F.row_number().over(Window.partitionBy("grp", "slot", "shape").orderBy("job")) == 1
+    cost = F.when(first, compile_cost(F.col("slot"), F.col("shape"))).otherwise(0) + F.col("n_seeds") * infer_cost(F.col("slot"), F.col("shape"))
+    timed = jobs.withColumn("cost", cost).select("*", F.sum("cost").over(run).alias("finish"), F.row_number().over(Window.partitionBy("grp", "slot").orderBy(F.desc("shape"), F.desc("job"))).alias("depth"))
+    one = F.struct("depth", "slot", "job", "tokens", "n_seeds", "shape", "finish")
+    listed = timed.groupBy("grp").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    thieves = timed.groupBy("grp", F.col("slot").alias("thief")).agg(F.max("finish").alias("free"), F.collect_set("shape").alias("own"))
+    start = F.struct(F.col("free").alias("t"), F.col("own").alias("compiled"), F.array().cast("array<struct<job:bigint,shape:bigint>>").alias("taken"))
+
+    def look(s: Column, x: Column) -> Column:
+        ready = F.array_min(F.filter(s["compiled"], lambda c: c >= x["tokens"]))
+        at = F.coalesce(ready, x["shape"])
+        done = s["t"] + F.when(ready.isNull(), compile_cost(F.col("thief"), at)).otherwise(0) + x["n_seeds"] * infer_cost(F.col("thief"), at)
+        take = F.struct(done.alias("t"), F.array_union(s["compiled"], F.array(at)).alias("compiled"), F.array_append(s["taken"], F.struct(x["job"].alias("job"), at.alias("shape"))).alias("taken"))
+        return F.when((x["slot"] != F.col("thief")) & (done < x["finish"]), take).otherwise(s)
+
+    folded = thieves.join(listed, "grp").select("grp", "thief", F.aggregate("all", start, look, lambda s: s["taken"]).alias("taken"))
+    return folded.select("grp", "thief", F.posexplode("taken").alias("k", "x")).select("grp", "thief", F.col("k").cast("bigint").alias("k"), "x.job", "x.shape")

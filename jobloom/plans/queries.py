@@ -139,22 +139,9 @@ def search_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def shared_tails(spark: SparkSession, d: str) -> DataFrame:
-    """What idle executors would take over: each customer's orders over four executors.
-
-    A thief's next step depends on all before, so the fold runs inside a
-    group; a customer's orders are few.
-    """
-    import pandas as pd
-
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    shape = (F.floor(F.col("o_totalprice") / 65536) + 1) * 64
-    rows = orders.select(F.col("o_custkey").alias("customer"), (F.col("o_orderkey") % 4).alias("slot"), F.col("o_orderkey").alias("job"), F.floor("o_totalprice").cast("bigint").alias("price"), shape.cast("bigint").alias("shape"))
-
-    def steal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["slot", "shape", "job"])
-        queues = {s: [(j, sh, 1 + p % 5, sh) for j, p, sh in zip(g["job"], g["price"], g["shape"], strict=True)] for s, g in pdf.groupby("slot")}
-        cost = {(s, sh): (1000 * (s + 1), sh * (s + 2)) for s in queues for sh in set(pdf["shape"])}
-        out = [(pdf["customer"].iloc[0], s, k, j, sh) for s, taken in multi.share_tails(queues, cost).items() for k, (j, sh) in enumerate(taken)]
-        return pd.DataFrame(out, columns=["customer", "thief", "k", "job", "shape"]).astype("int64")
-
-    return rows.groupBy("customer").applyInPandas(steal, "customer long, thief long, k long, job long, shape long")
+    """What idle executors would take over: each customer's orders over four executors."""
+    price = F.floor("o_totalprice").cast("bigint")
+    shape = ((F.floor(F.col("o_totalprice") / 65536) + 1) * 64).cast("bigint")
+    jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("grp"), (F.col("o_orderkey") % 4).alias("slot"), F.col("o_orderkey").alias("job"), shape.alias("tokens"), (1 + price % 5).alias("n_seeds"), shape.alias("shape"))
+    got = multi.share_tails(jobs, lambda slot, _: 1000 * (slot + 1), lambda slot, shape: shape * (slot + 2))
+    return got.withColumnRenamed("grp", "customer")

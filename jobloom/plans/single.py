@@ -105,3 +105,38 @@ def groups(units: DataFrame, plan: DataFrame) -> DataFrame:
     chosen = plan.select("kind", "shapes")
     placed = units.crossJoin(F.broadcast(chosen)).withColumn("at", F.try_element_at(F.filter("shapes", lambda s: s >= F.col("shape")), F.lit(1)))
     return placed.groupBy("kind", F.col("at").alias("shape")).agg(F.sum("n_jobs").alias("n_jobs"), F.sum("units").alias("n_inf"))
+
+
+def compiled_shapes(loads: DataFrame, costs: DataFrame) -> DataFrame:
+    """(slot, load, shapes): the cheapest shapes for each executor to compile, and what its jobs then cost.
+
+    ``loads`` (slot, kind, shape, units) are the units placed on each executor
+    by class.  Any shape with costs is a candidate; the table has a row an
+    executor and shape, whatever the number of jobs.
+    """
+    slots = loads.select("slot", "kind").distinct().join(costs, "kind")
+    own = loads.groupBy("slot", "shape").agg(F.sum("units").alias("units"))
+    upto = F.sum(F.coalesce("units", F.lit(0))).over(Window.partitionBy("slot").orderBy("shape").rowsBetween(Window.unboundedPreceding, 0))
+    hist = slots.join(own, ["slot", "shape"], "left").select("slot", F.struct("shape", upto.alias("upto"), "compile_cost", "infer_cost").alias("e"))
+    folded = hist.groupBy("slot").agg(F.array_sort(F.collect_list("e")).alias("e")).withColumn("c", choose(F.col("e")))
+    return folded.select("slot", F.col("c.end.cost").alias("load"), follow(F.col("c.dp"), F.col("c.end.at"), F.col("e.shape")).alias("shapes"))
+
+
+#: The reference inference time of the fluid bound's executor, in microseconds.
+BOUND_US = 10**9
+
+
+def fluid_bound(executors: DataFrame, work: DataFrame, timing: Timing) -> DataFrame:
+    """(bound_us): no plan of ``work`` (tokens, n_seeds) over ``executors`` is faster.
+
+    All executors are one of their total speed, with the least ratio of
+    compilation to inference among them, and jobs may be split.
+    """
+    ends = executors.agg(F.min(F.col("compile_us").cast("double") / F.col("infer_us")).alias("rho"), F.sum(F.lit(1.0) / F.col("infer_us")).alias("inv"))
+    covered = work.select(timing.cover(F.col("tokens")).alias("shape"), "n_seeds")
+    units = covered.groupBy("shape").agg(F.sum("n_seeds").alias("units"))
+    one = units.join(F.broadcast(ends))  # one row
+    costs = one.select(F.lit(0).alias("kind"), "shape", timing.compile_us(F.round(F.col("rho") * BOUND_US).cast("bigint"), F.col("shape")).alias("compile_cost"), timing.inference_us(F.lit(BOUND_US).cast("bigint"), F.col("shape")).alias("infer_cost"))
+    loads = units.select(F.lit(0).alias("slot"), F.lit(0).alias("kind"), "shape", "units")
+    least = compiled_shapes(loads, costs).select("load")
+    return least.join(F.broadcast(ends)).select(F.floor(F.col("load") / (F.lit(float(BOUND_US)) * F.col("inv")) * (1 - 1e-5)).cast("bigint").alias("bound_us"))

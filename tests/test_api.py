@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from jobloom import api
+from jobloom.plans.multi import Costs, plan_multi
 
 
 @pytest.fixture
@@ -46,3 +47,27 @@ def test_execute_sees_jobs_in_order(tables):
 
     got = api.execute(api.plan(jobs, executors, policy="round_robin"), run, "slot long, job_id long, place long").collect()
     assert len(got) == 60 and len({r.slot for r in got}) == 3
+
+
+def test_reported_loads_are_the_planned_ones(spark):
+    """Compiling is so dear that executors compile few shapes, and jobs run at those."""
+    jobs = spark.createDataFrame([(i, 100 + 300 * i, 1 + i % 2) for i in range(12)], "job_id long, tokens long, n_seeds long")
+    executors = spark.createDataFrame([(0, 0, 10**9, 500_000), (1, 1, 10**9, 900_000), (2, 0, 10**9, 500_000)], "slot long, kind long, compile_us long, infer_us long")
+    t = api.timing_of(jobs)
+    placed = api.plan(jobs, executors, seeds=2)
+    rows = placed.collect()
+    assert sorted(r.job_id for r in rows) == list(range(12)) and all(r.shape >= r.tokens for r in rows)
+    got = {r.slot: r.load for r in api.report(placed, executors).groupBy("slot").agg({"total_us": "sum"}).toDF("slot", "load").collect()}
+    work = api.W.covered(jobs, t)
+    costs = api.W.costs(executors, work, t)
+    table = {(r.kind, r.shape): (r.compile_cost, r.infer_cost) for r in costs.collect()}
+    shapes, kind = sorted({s for _, s in table}), {0: 0, 1: 1, 2: 0}
+    cover = {r.job_id: r["shape"] for r in work.collect()}
+    for slot, load in got.items():
+        own = [r for r in rows if r.slot == slot]
+        units = tuple(sum(r.n_seeds for r in own if cover[r.job_id] == s) for s in shapes)
+        c = Costs([[table[kind[slot], s][0] for s in shapes]], [[table[kind[slot], s][1] for s in shapes]])
+        assert load == c.of(0, units)
+    types = work.groupBy("shape", "n_seeds").agg({"*": "count"}).toDF("shape", "n_seeds", "n_jobs")
+    planned = {r.slot: r.load for r in plan_multi(types, costs, executors.select("slot", "kind"), 2, 60).collect()}
+    assert planned == got

@@ -113,10 +113,65 @@ def test_plan_multi_lies_between_bounds(spark, sf):
     assert got[0].makespan >= hardest
 
 
-def test_steals_finish_sooner():
-    queues = {0: [(1, 100, 4, 128), (2, 100, 4, 128), (3, 200, 9, 256)], 1: [(4, 90, 1, 128)]}
-    cost = {(s, sh): (10, sh // 8) for s in queues for sh in (128, 256)}
-    assert multi.share_tails(queues, cost) == {0: [], 1: [(3, 256)]} or multi.share_tails(queues, cost)[1]
+def test_exact_plans_of_many_executors_are_no_worse_than_searched_ones():
+    rnd = random.Random(12)
+    for _ in range(4):
+        costs, kinds, types, n = instance(rnd, 12, 8)
+        state = multi.exact(costs, kinds, types, n)
+        top = max(multi.load(costs, k, types, c, n) for k, c in zip(kinds, state, strict=True))
+        loads, _ = multi.descend(costs, kinds, types, multi.proportional([1.0] * 8, types), n, random.Random(0), 60)
+        assert top <= max(loads) and [sum(c[t] for c in state) for t in range(len(types))] == [m for _, _, m in types]
+
+
+def test_no_plan_is_below_the_fluid_bound(spark):
+    from jobloom import api
+
+    jobs = spark.createDataFrame([(i, 100 + 37 * i % 1500, 1 + i % 3) for i in range(30)], "job_id long, tokens long, n_seeds long")
+    executors = spark.createDataFrame([(k, k % 2, 10**7 * (1 + k % 2), 500_000 * (1 + k % 2)) for k in range(3)], "slot long, kind long, compile_us long, infer_us long")
+    bound = single.fluid_bound(executors, jobs, api.timing_of(jobs)).first().bound_us
+    got = api.report(api.plan(jobs, executors, seeds=2), executors).groupBy("slot").agg(F.sum("total_us").alias("load")).agg(F.max("load")).first()[0]
+    assert 0 < bound <= got <= 2 * bound
+
+
+def plain_steals(queues, compile_cost, infer_cost):
+    """The rule read off step by step: finish times, then candidates from the tails inwards."""
+    finish, end = {}, {}
+    for slot, q in queues.items():
+        now = 0
+        for i, (job, tokens, seeds, shape) in enumerate(q):
+            now += seeds * infer_cost(slot, shape) + (0 if any(x[3] == shape for x in q[:i]) else compile_cost(slot, shape))
+            finish[job] = end[slot] = now
+    out = []
+    for thief, q in queues.items():
+        ready, now, k = {x[3] for x in q}, end[thief], 0
+        for depth in range(1, 1 + max(map(len, queues.values()))):
+            for slot in sorted(queues):
+                if slot == thief or depth > len(queues[slot]):
+                    continue
+                job, tokens, seeds, shape = queues[slot][-depth]
+                fits = [s for s in ready if s >= tokens]
+                at = min(fits) if fits else shape
+                then = now + seeds * infer_cost(thief, at) + (0 if fits else compile_cost(thief, at))
+                if then < finish[job]:
+                    out.append((thief, k, job, at))
+                    now, k = then, k + 1
+                    ready.add(at)
+    return sorted(out)
+
+
+def test_shared_tails_match_the_rule(spark):
+    rnd = random.Random(4)
+    comp, inf = (lambda slot, _: 50 * (slot + 1)), (lambda slot, shape: shape * (slot + 1))
+    rows, want = [], []
+    for grp in range(12):
+        jobs = sorted((rnd.randrange(3), (shape := rnd.choice([64, 128, 256])), grp * 100 + j, shape - rnd.randint(0, 60), rnd.randint(1, 6)) for j in range(rnd.randint(1, 14)))
+        queues = {}
+        for slot, shape, job, tokens, seeds in jobs:
+            rows.append((grp, slot, job, tokens, seeds, shape))
+            queues.setdefault(slot, []).append((job, tokens, seeds, shape))
+        want += [(grp, *x) for x in plain_steals(queues, comp, inf)]
+    df = spark.createDataFrame(rows, "grp long, slot long, job long, tokens long, n_seeds long, shape long")
+    assert sorted(map(tuple, multi.share_tails(df, comp, inf).collect())) == want and want
 
 
 @pytest.mark.parametrize(("tokens", "want"), [(1, 64), (64, 64), (65, 128), (5120, 5120), (5121, 5184)])
