@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,7 +46,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.llm.toxicity import toxicity
 
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    scored = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    nearest = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["example"], F.round(e["cosine"], 6))), ",")
+    return scored.withColumn("evidence", nearest)
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

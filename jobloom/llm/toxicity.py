@@ -4,9 +4,9 @@ Terms are words and their first four to six characters (so inflected forms
 share a term).  The model is fitted on a bounded sample of labelled rows; the
 cluster counts the sample's terms, and the driver sees only those chosen:
 
-* a vocabulary of the terms that tell the two labels apart best (chi-squared),
-  and one term that stands for all other words, so that a chance hit in a long
-  text is near other such texts and not near those full of hits;
+* a vocabulary of all terms that tell the two labels apart (chi-squared), and
+  one term that stands for all other words, so that a chance hit in a long text
+  is near other such texts and not near those full of hits;
 * an inverted index from term to (example, weight), cut into blocks of
   examples with the largest weight of each term in each block;
 * a calibration of the vote, from each example's vote among the others.
@@ -14,13 +14,16 @@ cluster counts the sample's terms, and the driver sees only those chosen:
 A text is scored against its ``NEIGHBOURS`` nearest examples.  The blocks'
 upper bounds (sum of query weight times block maximum) are taken in descending
 order; blocks that cannot beat the current last neighbour are skipped, so the
-neighbours are exact.  Votes are weighted by similarity.
+neighbours are exact.  Votes are weighted by similarity, and the neighbours
+stand beside the score as its evidence: their ids and cosines.
 
 Defined results: a null or empty text, and any text without a vocabulary term,
 has no neighbour and gets the calibrated share of label 1 among such examples;
 without labelled rows, or with one label only, the score is that label's share
 (0 without rows); ties between neighbours go to the lower example; repeated
-rows get equal scores; only the text column is an input of a score.
+rows get equal scores; very long texts are scored whole; an empty table gives no
+rows; extra columns are not read and, where documents are kept, come back as
+they are, whatever their names; only the text column is an input of a score.
 """
 
 from __future__ import annotations
@@ -42,7 +45,6 @@ from jobloom.storage import materialize
 
 #: The bound of the sample that the model is fitted on: labelled rows, taken by least hash of id and label.
 MAX_EXAMPLES = 6000
-MAX_TERMS = 1024
 #: A term's least chi-squared; in small samples, whose number of rows bounds it, a third of that.
 MIN_CHI2 = 30.0
 #: Weight of each word that holds no vocabulary term, beside weights of 1 and more of those that do.
@@ -88,6 +90,7 @@ class Model:
     members: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the examples with a vocabulary term
     postings: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # by block and term
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # by term and block
+    ids: list[str] = field(default_factory=list)  # the examples' ids, as text
     prior: float = 0.0
     bins: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -134,12 +137,12 @@ class Model:
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         return float((sims * self.labels[ids]).sum() / sims.sum())
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """(calibrated score, the neighbours as evidence)."""
+    def score(self, text: str) -> tuple[float, list[dict]]:
+        """(calibrated score, the neighbours' ids and cosines as evidence)."""
         ids, sims = self.nearest(*self.vector(*self.count(text)))
         if not len(ids):
             return self.prior, []
-        return float(np.interp(self.vote(ids, sims), (np.arange(BINS) + 0.5) / BINS, self.bins)), ids.tolist()
+        return float(np.interp(self.vote(ids, sims), (np.arange(BINS) + 0.5) / BINS, self.bins)), [{"example": self.ids[i], "cosine": float(x)} for i, x in zip(ids.tolist(), sims, strict=True)]
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -152,14 +155,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not 0 < n1 < n:
         return build([], n, [], labels)
     scored = sorted((-x, t) for t in df for x, toxic in [chi2(float(df[t]), float(df1[t]), float(n), float(n1))] if toxic and x >= least_chi2(n))
-    chosen = [(t, df[t]) for _, t in scored[:MAX_TERMS]]
+    chosen = [(t, df[t]) for _, t in scored]
     names = Model(vocabulary={t: i for i, (t, _) in enumerate(chosen)})
     return build(chosen, n, [names.count(t) for t in texts], labels)
 
 
-def build(chosen: list[tuple[str, int]], n: int, counted: list[tuple[list[int], list[int], int]], labels: list[int]) -> Model:
+def build(chosen: list[tuple[str, int]], n: int, counted: list[tuple[list[int], list[int], int]], labels: list[int], ids: list | None = None) -> Model:
     """Index and calibration from the chosen terms (term, examples that hold it) and the examples' counts of them."""
     y, model = np.array(labels, float), Model()
+    model.ids = [str(x) for x in (range(len(labels)) if ids is None else ids)]
     model.labels, model.prior = y, float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return model
@@ -189,7 +193,7 @@ def build(chosen: list[tuple[str, int]], n: int, counted: list[tuple[list[int],
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` and ``evidence`` (examples' numbers)."""
+    """All rows and columns of ``docs`` with ``score`` and ``evidence`` (examples' ids, cosines)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -200,7 +204,9 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             gate.add_word(t.rstrip("*"), True)
         gate.make_automaton()
 
-        def one(text: str) -> tuple[float, list[int]]:
+        kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())]))
+
+        def one(text: str) -> tuple[float, list[dict]]:
             found = m.vocabulary and next(gate.iter(text.lower()), None)
             return m.score(text) if found else (m.prior, [])
 
@@ -208,10 +214,10 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 got = [one(t) for t in texts_of(part.column(at)).to_pylist()]
-                cols = [*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.list_(pa.int64()))]
+                cols = [*part.columns, pa.array([g[0] for g in got]), pa.array([g[1] for g in got], kind)]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, "score", "evidence"])
 
-    schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(None).cast("array<bigint>").alias("evidence")).schema
+    schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<example:string,cosine:double>>").alias("evidence")).schema
     return in_small_batches(docs).mapInArrow(run, schema)
 
 
@@ -243,7 +249,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = rows.select("_text", "_label").repartition(PARTS).transform(in_small_batches).mapInArrow(tally, "term string, label int, n long").groupBy("term").agg(F.sum("n").cast("double").alias("df"), F.sum(F.col("n") * F.col("label")).cast("double").alias("df1"))
     value, toxic = chi2(F.col("df"), F.col("df1"), F.lit(float(n)), F.lit(float(n1)))
-    best = counts.select("term", "df", value.alias("chi2"), toxic.alias("toxic")).filter(F.col("toxic") & (F.col("chi2") >= least_chi2(n))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
+    best = counts.select("term", "df", value.alias("chi2"), toxic.alias("toxic")).filter(F.col("toxic") & (F.col("chi2") >= least_chi2(n))).orderBy(F.desc("chi2"), "term")  # no more than the sample's terms
     terms_ = [(r.term, int(r.df)) for r in best.collect()]
     names = Model(vocabulary={t: i for i, (t, _) in enumerate(terms_)})
 
@@ -254,7 +260,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = rows.schema["_id"].dataType.simpleString()
     counted = in_small_batches(rows).mapInArrow(read, f"id {kind}, label int, have array<long>, n array<long>, others long").orderBy("id", "label", "have", "n", "others").collect()
-    return build(terms_, n, [(r.have, r.n, r.others) for r in counted], [r.label for r in counted])
+    return build(terms_, n, [(r.have, r.n, r.others) for r in counted], [r.label for r in counted], [r.id for r in counted])
 
 
 def _tallied(seen: Counter) -> pa.RecordBatch:
@@ -262,10 +268,10 @@ def _tallied(seen: Counter) -> pa.RecordBatch:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, held_out, score, predicted, n_neighbours): one row a document."""
+    """(id, held_out, score, predicted, evidence): one row a document."""
     model = fit_on(docs, labels, id_col, text_col, label_col)
     rows = score_texts(docs.select(F.col(id_col), F.col(text_col).alias("_text")), model, "_text")
-    return rows.select(id_col, (crc_mod(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), F.size("evidence").cast("long").alias("n_neighbours"))
+    return rows.select(id_col, (crc_mod(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -88,7 +88,11 @@ def test_cluster_and_driver_fit_the_same_model(spark):
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
     a, b = toxicity.fit_on(table(spark, data), lab), toxicity.fit([texts[i] for i in train], [labels[i] for i in train])
     assert a.vocabulary == b.vocabulary and np.allclose(a.idf, b.idf) and np.allclose(a.bins, b.bins) and a.prior == b.prior
-    assert all(a.score(t) == b.score(t) for t in texts)
+    named = lambda got: (got[0], [{**e, "example": str(train[int(e["example"])])} for e in got[1]])
+    assert all(a.score(t) == named(b.score(t)) for t in texts)
+    # what the cluster returns is what the plain model gives, evidence included
+    got = {r.doc_id: (r.score, [e.asDict() for e in r.evidence]) for r in toxicity.toxicity(table(spark, data), lab).collect()}
+    assert got == {i: named(b.score(t)) for i, t in enumerate(texts)} and any(e for _, e in got.values())
 
 
 def test_edge_rows(spark):
