@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns and a linear-chain conditional random field.
 
 The field tags tokens (runs of ``[A-Za-z0-9+/_.-]``) as begin, inside or
-outside of a secret.  Tokens that can bear one hold a digit and have at least
-eight characters; all others are fixed to outside, so a text falls into
-independent runs of open tokens, and Viterbi decoding of each run is the exact
-decoding of the whole text.  Features are a token's shape, its neighbouring
-words, and the file's.
+outside of a secret.  Tokens of six characters and more are open to it, but
+for the cue words themselves; shorter ones are fixed to outside, so a text
+falls into independent runs of open tokens, and Viterbi decoding of each run is
+the exact decoding of the whole text.  Features are a token's shape, its
+neighbouring words, and the file's.
 
 The field is trained here, by gradient ascent on the conditional likelihood,
-on a bounded sample of texts whose tags come from the fixed patterns.
+on a bounded sample of texts whose tags come from the fixed patterns, and on
+respelled copies of their secrets, as the patterns alone would teach the field
+only the alphabets that they know.
 
 Defined results: a null or empty text has no spans; a corpus without any base
 span trains no field, and only base spans are found; repeated rows get equal
@@ -18,10 +20,12 @@ spans; spans are in code points, end exclusive; texts are scanned whole.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -41,15 +45,19 @@ KINDS = ("assign", "access", "hex", "crf")
 
 #: The bound of the sample that the field is trained on: texts with base spans, and as many without.
 MAX_TEXTS = 400
-MIN_LENGTH = 8
-EPOCHS = 40
-RATE = 0.5
-L2 = 1e-3
+#: Of the runs without a secret in these texts at most so many are trained on, weighted for the others.
+MAX_RUNS = 2000
+#: The least length of a secret, as in the contract.
+MIN_LENGTH = 6
+EPOCHS = 80
+RATE = 0.1
+L2 = 1e-2
 TAGS = 3  # begin, inside, outside
-_DIGITS = re.compile("[0-9]+")
-_TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
-_WORD_BEFORE = re.compile(r"([A-Za-z_]+|[^\sA-Za-z0-9_])\s*$")
-_WORD_AFTER = re.compile(r"\s*([A-Za-z_]+|[^\sA-Za-z0-9_])")
+_LEXEME = re.compile(r"([A-Za-z0-9+/_.-]+)|(\w+)|([^\s\w])")
+_CUES = frozenset("password passwd secret token api_key apikey key auth bearer credential credentials pwd access id phone tel card mail http https example com".split())
+
+#: A token in its place: start, end, and the kinds of the three lexemes before it and of the one behind it.
+Place = tuple[int, int, tuple[str, str, str, str]]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,61 +71,57 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def open_tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of all tokens that can bear a secret."""
-    out, upto = [], 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < upto:
-            continue
-        s, e = m.span()
-        while s > upto and text[s - 1] in _TOKEN_CHARS:
-            s -= 1
-        while e < len(text) and text[e] in _TOKEN_CHARS:
-            e += 1
-        upto = e
-        if e - s >= MIN_LENGTH:
-            out.append((s, e))
-    return out
-
-
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Open tokens with no fixed token between them: white space and quotes may stand there."""
-    out: list[list[tuple[int, int]]] = []
-    for t in open_tokens(text):
-        if out and not text[out[-1][-1][1] : t[0]].strip(" \t\r\n\"'"):
-            out[-1].append(t)
-        else:
-            out.append([t])
-    return out
-
-
-def _shape(token: str) -> list[str]:
-    classes = "".join(k for k, ok in (("l", any(c.islower() for c in token)), ("U", any(c.isupper() for c in token)), ("p", any(c in "+/_.-" for c in token))) if ok)
-    alphabet = "hex" if all(c in "0123456789abcdef" for c in token) else "HEX" if all(c in "0123456789ABCDEF" for c in token) else "num" if all(c in "0123456789.-+" for c in token) else "alnum" if token.isalnum() else "other"
+@lru_cache(1 << 16)
+def _kind(token: str) -> str:
+    """A token as a neighbour: a cue word, another word, a number or a mark."""
+    low = token.lower().strip("+/_.-")
+    return low if low in _CUES else "word" if token[0].isalpha() else "number" if any(c.isdigit() for c in token) else token[0]
+
+
+def runs(text: str) -> list[list[Place]]:
+    """Open tokens with no fixed lexeme between them: white space and quotes may stand there."""
+    lexemes = [(m.start(), m.lastindex, m[0]) for m in _LEXEME.finditer(text)]
+    kinds = ["", "", "", *(_kind(w) if g == 1 else "letters" if g == 2 else w for _, g, w in lexemes), ""]
+    out: list[list[Place]] = []
+    run: list[Place] = []
+    for i, (s, g, w) in enumerate(lexemes):
+        if g == 1 and len(w) >= MIN_LENGTH and (bare := w.rstrip(".")) and len(bare) >= MIN_LENGTH and kinds[i + 3] not in _CUES:
+            run.append((s, s + len(bare), (kinds[i + 2], kinds[i + 1], kinds[i], kinds[i + 4])))
+        elif run and w != '"' and w != "'":
+            out.append(run)
+            run = []
+    return [*out, run] if run else out
+
+
+@lru_cache(1 << 16)
+def _shape(token: str) -> tuple[str, ...]:
+    lower, upper = any(c.islower() for c in token), any(c.isupper() for c in token)
+    classes = "".join(k for k, ok in (("l", lower), ("U", upper), ("p", any(c in "+/_.-" for c in token))) if ok)
+    alphabet = "hex" if all(c in "0123456789abcdef" for c in token) else "HEX" if all(c in "0123456789ABCDEF" for c in token) else "num" if all(c in "0123456789.-+" for c in token) else "alpha" if token.isalpha() else "alnum" if token.isalnum() else "other"
     digits = sum(c.isdigit() for c in token)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
+    inner = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:], strict=False))
     n = min(len(token), 64) // 4
-    return [f"classes={classes}", f"alphabet={alphabet}", f"length={n}", f"alphabet,length={alphabet},{min(n, 6)}", f"digits={digits * 4 // len(token)}", f"turns={min(turns, 8)}", f"head={token[:4] if token[:4].isupper() and token[:4].isalpha() else ''}", f"dots={min(token.count('.'), 4)}", f"dashes={min(token.count('-'), 3)}"]
+    word = alphabet in ("alpha", "hex") and not digits and not inner
+    head = token[:4] if digits and token[:4].isupper() and token[:4].isalpha() else ""
+    return ("bias", f"word={word}", f"classes={classes}", f"alphabet={alphabet}", f"length={n}", f"alphabet,length={alphabet},{min(n, 6)}", f"digits={digits * 4 // len(token)},{digits > 0}", f"turns={min(turns, 8)}", f"humps={min(inner, 3)}", f"head={head}", f"dots={min(token.count('.'), 4)}", f"dashes={min(token.count('-'), 3)}")
 
 
-def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
-    """Each token's features: shape, neighbours, file."""
-    file = [f"file_size={len(text).bit_length()}", f"file_keyword={bool(re.search('[Pp]assw|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey', text))}", f"file_assign={'=' in text}"]
-    out = []
-    for k, (s, e) in enumerate(run):
-        left, right = text[max(0, s - 48) : s], text[e : e + 48]
-        before = []
-        for _ in range(3):
-            m = _WORD_BEFORE.search(left)
-            before.append(m[1].lower()[:16] if m else "")
-            left = left[: m.start()] if m else ""
-        m = _WORD_AFTER.match(right)
-        known = [w if w in _CUES else "word" if w[:1].isalpha() else w for w in before]
-        out.append(["bias", *_shape(text[s:e]), f"prev={known[0]}", f"prev2={known[1]}", f"prev3={known[2]}", f"prev,prev2={known[0]},{known[1]}", f"next={m[1] if m and not m[1][0].isalpha() else 'word' if m else ''}", f"place={min(k, 3)}", *file])
-    return out
+@lru_cache(1 << 16)
+def _neighbours(near: tuple[str, str, str, str], place: int) -> tuple[str, ...]:
+    a, b, c, after = near
+    return (f"prev={a}", f"prev2={b}", f"prev3={c}", f"prev,prev2={a},{b}", f"cue={any(x in _CUES for x in (a, b, c))}", f"next={after}", f"place={place}")
 
 
-_CUES = frozenset("password passwd secret token api_key apikey key auth bearer credential credentials pwd access id phone tel card mail http https example com".split())
+def _file(text: str) -> tuple[str, ...]:
+    keyword = bool(re.search("[Pp]assw|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey", text))
+    return (f"file_size={len(text).bit_length()}", f"file_keyword={keyword}", f"file_assign={'=' in text}")
+
+
+def features(text: str, run: list[Place]) -> list[list[str]]:
+    """Each token's features, equally many: shape, neighbours, file."""
+    file = _file(text)
+    return [[*_shape(text[s:e]), *_neighbours(near, min(k, 3)), *file] for k, (s, e, near) in enumerate(run)]
 
 
 @dataclass
@@ -128,9 +132,41 @@ class Field:
     unary: np.ndarray = field(default_factory=lambda: np.zeros((0, TAGS)))
     pair: np.ndarray = field(default_factory=lambda: np.zeros((TAGS, TAGS)))
 
+    memo: dict = field(default_factory=dict)
+
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         return np.array([self.unary[[self.index[f] for f in r if f in self.index]].sum(axis=0) for r in rows])
 
+    def _lead(self, key: object, names: tuple[str, ...]) -> float:
+        """How far a part of a token's features may lift begin or inside above outside; remembered under ``key``."""
+        if len(self.memo) >= 1 << 16:
+            self.memo.clear()
+        a, b, c = self.scores([list(names)])[0].tolist()
+        self.memo[key] = max(a, b) - c
+        return self.memo[key]
+
+    def candidates(self, text: str) -> Iterator[list[Place]]:
+        """The runs whose best tags are not surely all outside.
+
+        A stretch of n tokens inside gains at most (n + 1) times what the best
+        pair of tags is above outside-outside; where every token alone loses
+        twice that, no stretch can pay.
+        """
+        gain = 2 * max(0.0, float(self.pair[_FORBIDDEN == 0].max() - self.pair[2, 2])) + 1e-9
+        least, known = -gain - self._lead(None, _file(text)), self.memo
+        for run in runs(text):
+            for k, (s, e, near) in enumerate(run):
+                word = text[s:e]
+                key = (e - s >> 2, not word.strip("abcdef")) if word.islower() and word.isalpha() else word  # plain words of one shape
+                if (a := known.get(key)) is None:
+                    a = self._lead(key, _shape(word))
+                place = (near, k if k < 3 else 3)
+                if (b := known.get(place)) is None:
+                    b = self._lead(place, _neighbours(*place))
+                if a + b >= least:
+                    yield run
+                    break
+
     def viterbi(self, rows: list[list[str]]) -> list[int]:
         """The best tags of a run; both of its ends touch a token fixed to outside."""
         u = self.scores(rows)
@@ -152,70 +188,120 @@ _FORBIDDEN = np.zeros((TAGS, TAGS))
 _FORBIDDEN[2, 1] = -1e6
 
 
-def train(examples: list[tuple[list[list[str]], list[int]]]) -> Field:
-    """Maximum conditional likelihood by gradient ascent with per-weight steps (AdaGrad)."""
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    m = x.max(axis=axis)
+    return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
+
+
+def train(examples: list[tuple[list[list[str]], list[int]]], weights: list[float] | None = None) -> Field:
+    """Maximum conditional likelihood by gradient ascent with steps scaled by each weight's recent gradients, runs of one length at a time."""
     model = Field(pair=_FORBIDDEN.copy())
     if not any(t != 2 for _, tags in examples for t in tags):
         return model
-    for rows, _ in examples:
-        for r in rows:
-            for f in r:
-                model.index.setdefault(f, len(model.index))
-    coded = [([np.array([model.index[f] for f in r]) for r in rows], np.array(tags)) for rows, tags in examples]
+    weights = weights or [1.0] * len(examples)
+    lengths: dict[int, list[tuple[list[list[int]], list[int], float]]] = {}
+    for (rows, tags), w in zip(examples, weights, strict=True):
+        coded = [[model.index.setdefault(f, len(model.index)) for f in r] for r in rows]
+        lengths.setdefault(len(tags), []).append((coded, tags, w))
+    groups = [tuple(np.array(x) for x in zip(*g, strict=True)) for g in lengths.values()]
     model.unary = np.zeros((len(model.index), TAGS))
-    su, sp = np.full_like(model.unary, 1e-6), np.full_like(model.pair, 1e-6)
-    lse = lambda x, axis: (m := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
-    for _ in range(EPOCHS):
+    share = sum((np.eye(TAGS)[tags].sum(axis=1) * w[:, None]).sum(axis=0) for _, tags, w in groups)
+    model.unary[model.index.get("bias", 0)] = np.log((share + 0.5) / (share.sum() + 1.5))
+    mean = [np.zeros_like(model.unary), np.zeros_like(model.pair)]
+    square = [np.zeros_like(model.unary), np.zeros_like(model.pair)]
+    for epoch in range(1, EPOCHS + 1):
         gu, gp = -L2 * model.unary, np.zeros_like(model.pair)
-        for rows, tags in coded:
-            u = np.array([model.unary[r].sum(axis=0) for r in rows])
-            n = len(u)
-            fwd, bwd = np.zeros((n, TAGS)), np.zeros((n, TAGS))
-            fwd[0], bwd[-1] = u[0] + model.pair[2], model.pair[:, 2]
+        for at, tags, w in groups:
+            u = model.unary[at].sum(axis=2)
+            n, each = u.shape[1], w[:, None]
+            fwd, bwd = np.zeros_like(u), np.zeros_like(u)
+            fwd[:, 0], bwd[:, -1] = u[:, 0] + model.pair[2], model.pair[:, 2]
             for i in range(1, n):
-                fwd[i] = lse(fwd[i - 1][:, None] + model.pair, 0) + u[i]
+                fwd[:, i] = _lse(fwd[:, i - 1, :, None] + model.pair, 1) + u[:, i]
             for i in range(n - 2, -1, -1):
-                bwd[i] = lse(model.pair + (u[i + 1] + bwd[i + 1])[None, :], 1)
-            z = lse(fwd[-1] + bwd[-1], 0)
-            marginal = np.exp(fwd + bwd - z)
+                bwd[:, i] = _lse(model.pair + (u[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
+            z = _lse(fwd[:, -1] + bwd[:, -1], 1)
+            marginal = np.exp(fwd + bwd - z[:, None, None])
             gold = np.eye(TAGS)[tags]
-            for r, d in zip(rows, gold - marginal, strict=True):
-                gu[r] += d
-            path = [2, *tags.tolist(), 2]
-            for a, b in zip(path, path[1:], strict=False):
-                gp[a, b] += 1
-            gp[2] -= marginal[0]
-            gp[:, 2] -= marginal[-1]
+            off = (gold - marginal) * w[:, None, None]
+            for t in range(TAGS):
+                gu[:, t] += np.bincount(at.ravel(), np.repeat(off[..., t].ravel(), at.shape[2]), len(gu))
+            gp[2] += off[:, 0].sum(axis=0)
+            gp[:, 2] += off[:, -1].sum(axis=0)
             for i in range(1, n):
-                gp -= np.exp(fwd[i - 1][:, None] + model.pair + (u[i] + bwd[i])[None, :] - z)
-        gu, gp = gu / len(coded), gp / len(coded)
-        su, sp = su + gu * gu, sp + gp * gp
-        model.unary += RATE * gu / np.sqrt(su)
-        model.pair += RATE * np.where(_FORBIDDEN < 0, 0, gp / np.sqrt(sp))
+                joint = np.exp(fwd[:, i - 1, :, None] + model.pair + (u[:, i] + bwd[:, i])[:, None, :] - z[:, None, None])
+                gp += (gold[:, i - 1] * each).T @ gold[:, i] - (joint * w[:, None, None]).sum(axis=0)
+        for k, (x, g) in enumerate(((model.unary, gu), (model.pair, np.where(_FORBIDDEN < 0, 0, gp)))):
+            mean[k] = 0.9 * mean[k] + 0.1 * g
+            square[k] = 0.99 * square[k] + 0.01 * g * g
+            x += RATE * (mean[k] / (1 - 0.9**epoch)) / (np.sqrt(square[k] / (1 - 0.99**epoch)) + 1e-6)
     return model
 
 
-def tagged(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """(features, tags) of each run, tagged by the base spans."""
-    spans, out, at = base_spans(text), [], 0
+def _tags(run: list[Place], spans: list[tuple[int, int, str]], ends: list[int]) -> list[int]:
+    """The tags of a run's tokens by ``spans``, whose ends' running maxima are ``ends``."""
+    tags, inside = [], None
+    for s, e, _ in run:
+        first = bisect_left(ends, s + 1)
+        hit = next((k for k in range(first, bisect_left(spans, (e,))) if s < spans[k][1]), None)
+        tags.append(2 if hit is None else 1 if hit == inside else 0)
+        inside = hit
+    return tags
+
+
+def tagged(text: str, spans: list[tuple[int, int, str]] | None = None) -> list[tuple[list[list[str]], list[int]]]:
+    """(features, tags) of each run, tagged by the given spans or by the base spans."""
+    spans = base_spans(text) if spans is None else spans
     ends = list(accumulate((b for _, b, _ in spans), max))
-    for run in runs(text):
-        tags, inside = [], None
-        for s, e in run:
-            while at < len(spans) and ends[at] <= s:  # tokens stand in order
-                at += 1
-            hit = next((k for k in range(at, bisect_left(spans, (e,))) if s < spans[k][1]), None)
-            tags.append(2 if hit is None else 1 if hit == inside else 0)
-            inside = hit
-        out.append((features(text, run), tags))
-    return out
+    return [(features(text, run), _tags(run, spans, ends)) for run in runs(text)]
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "pwd", "Password", "Token")
+#: (alphabet, least and largest length) of respelled secrets.
+SPELLINGS = ((_LETTERS, 12, 28), ("abcdefghijklmnopqrstuvwxyz0123456789", 6, 12), (_LETTERS + "0123456789+/", 16, 40))
+
+
+def respelled(text: str, rnd: random.Random) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """Copies of a text with other keywords and values in place of its own, some joined by "is", and their spans."""
+    hits = [m for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_LENGTH]
+    for alphabet, least, most in SPELLINGS if hits else ():
+        out, spans, upto = "", [], 0
+        for m in hits:
+            value = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(least, most)))
+            out += text[upto : m.start(1)] + rnd.choice(KEYWORDS) + (" is " if rnd.random() < 0.5 else text[m.end(1) : m.start(2)])
+            spans.append((len(out), len(out) + len(value), "assign"))
+            out += value
+            upto = m.end(2)
+        yield out + text[upto:], spans
+
+
+def fit_texts(texts: list[str], most: int = MAX_RUNS) -> Field:
+    """A field from all runs with secrets, their respelled copies, and at most ``most`` of the other runs."""
+    rnd = random.Random(7)
+    hold, plain = [], []
+    for text in sorted(texts):
+        spans = base_spans(text)
+        ends = list(accumulate((b for _, b, _ in spans), max))
+        for run in runs(text):
+            tags = _tags(run, spans, ends)
+            if any(t != 2 for t in tags):
+                hold.append(((features(text, run), tags), 1.0))
+            else:
+                plain.append((text, run))
+        for copy, known in respelled(text, rnd):
+            hold += [(x, 0.5) for x in tagged(copy, known) if any(t != 2 for t in x[1])]
+    kept = plain if len(plain) <= most else rnd.sample(plain, most)
+    rest = [((features(text, run), [2] * len(run)), len(plain) / len(kept)) for text, run in kept]
+    both = hold + rest
+    return train([x for x, _ in both], [w for _, w in both])
 
 
 def crf_spans(text: str, model: Field) -> list[tuple[int, int, str]]:
     """Begin and inside runs as spans."""
     out: list[tuple[int, int, str]] = []
-    for run in runs(text):
-        for (s, e), tag in zip(run, model.viterbi(features(text, run)), strict=True):
+    for run in model.candidates(text):
+        for (s, e, _), tag in zip(run, model.viterbi(features(text, run)), strict=True):
             if tag == 0:
                 out.append((s, e, "crf"))
             elif tag == 1 and out:
@@ -237,8 +323,8 @@ def fit(docs: DataFrame, text_col: str = "text", limit: int = MAX_TEXTS) -> Fiel
     """A field from ``limit`` texts with base spans and as many others with digits, each of least hash."""
     rows = docs.select(F.col(text_col).alias("text")).filter(F.length("text") > 0)
     likely = F.col("text").rlike(r"AKIA[A-Z0-9]{16}|(?<![0-9a-f])[0-9a-f]{24}") | F.lower("text").rlike(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=]""")
-    other = ~likely & F.col("text").rlike("[0-9]{3}")
-    return train([x for part in least_hash(rows, [likely, other], limit) for r in part for x in tagged(r.text)])
+    other = ~likely & F.col("text").rlike("[0-9]{3}")  # numbers that are no secrets
+    return fit_texts([r.text for part in least_hash(rows, [likely, other], limit) for r in part])
 
 
 def scan_secrets(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -85,6 +85,29 @@ def test_field_adds_what_patterns_miss(model):
     assert secrets.base_spans(text) == [] and secrets.crf_spans(text, model)
 
 
+def test_skipped_runs_are_all_outside(model):
+    for t in [*planted(40, 3), *(r[1] or "" for r in rows())]:
+        looked_at = list(model.candidates(t))
+        assert all(set(model.viterbi(secrets.features(t, run))) == {2} for run in secrets.runs(t) if run not in looked_at)
+
+
+def test_secrets_without_digits_and_short_ones():
+    model = secrets.fit_texts(planted(), 300)
+    found = lambda t: [t[s:e] for s, e, _ in secrets.crf_spans(t, model)]
+    assert found("abc the password is CorrectHorseBatteryStaple, dede fafa") == ["CorrectHorseBatteryStaple"]
+    assert found("gabe dad pwd h4x0r1 gabe dad") == ["h4x0r1"]
+    assert found("the secret garden gabedabe, password forgotten bedad") == []
+    assert sum(bool(found(t)) for t in planted(80, 21) if not secrets.base_spans(t)) <= 2
+
+
+def test_respelled_copies_hold_their_spans():
+    rnd = random.Random(1)
+    for copy, spans in secrets.respelled('x password="abcdef12" y token: zzzzzzzz', rnd):
+        assert copy.startswith("x ") and " y " in copy and len(spans) == 2
+        assert all(re.fullmatch("[A-Za-z0-9+/]+", copy[s:e]) for s, e, _ in spans)
+    assert list(secrets.respelled("nothing here", rnd)) == []
+
+
 def test_query_columns(spark):
     data = rows() + [(1000 + i, t, "en", "s", 1, 1, "x", "y") for i, t in enumerate([*TEXTS, *planted()])]
     got = secrets.secret_digest(table(spark, data)).collect()
