@@ -81,7 +81,7 @@ def _kind(token: str) -> str:
 def runs(text: str) -> list[list[Place]]:
     """Open tokens with no fixed lexeme between them: white space and quotes may stand there."""
     lexemes = [(m.start(), m.lastindex, m[0]) for m in _LEXEME.finditer(text)]
-    kinds = ["", "", "", *(_kind(w) if g == 1 else "letters" if g == 2 else w for _, g, w in lexemes), ""]
+    kinds = ["", "", "", *((low if (low := w.lower()) in _CUES else "word") if g == 1 and w.isalpha() else _kind(w) if g == 1 else "letters" if g == 2 else w for _, g, w in lexemes), ""]
     out: list[list[Place]] = []
     run: list[Place] = []
     for i, (s, g, w) in enumerate(lexemes):
@@ -113,6 +113,7 @@ def _neighbours(near: tuple[str, str, str, str], place: int) -> tuple[str, ...]:
     return (f"prev={a}", f"prev2={b}", f"prev3={c}", f"prev,prev2={a},{b}", f"cue={any(x in _CUES for x in (a, b, c))}", f"next={after}", f"place={place}")
 
 
+@lru_cache(4)
 def _file(text: str) -> tuple[str, ...]:
     keyword = bool(re.search("[Pp]assw|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey", text))
     return (f"file_size={len(text).bit_length()}", f"file_keyword={keyword}", f"file_assign={'=' in text}")
@@ -290,7 +291,11 @@ def fit_texts(texts: list[str], most: int = MAX_RUNS) -> Field:
             else:
                 plain.append((text, run))
         for copy, known in respelled(text, rnd):
-            hold += [(x, 0.5) for x in tagged(copy, known) if any(t != 2 for t in x[1])]
+            upto = [e for _, e, _ in known]  # in order, and apart
+            for run in runs(copy):
+                tags = _tags(run, known, upto)
+                if any(t != 2 for t in tags):
+                    hold.append(((features(copy, run), tags), 0.5))
     kept = plain if len(plain) <= most else rnd.sample(plain, most)
     rest = [((features(text, run), [2] * len(run)), len(plain) / len(kept)) for text, run in kept]
     both = hold + rest
