@@ -19,12 +19,16 @@ from jobloom.sources.records import expand, read_records
 __all__ = ["execute", "expand", "plan", "read_records", "report", "scan", "timing_of"]
 
 
+#: Seeded searches and the most moves of each, by effort.
+EFFORTS = {0: (1, 10), 1: (4, 60), 2: (16, 400)}
+
+
 def timing_of(jobs: DataFrame, timing: DataFrame | None = None) -> Timing:
     """Cost expressions of a timing table (bucket, inf, comp), or of the default one."""
     return Timing(table_array(default_timing(jobs.sparkSession) if timing is None else timing))
 
 
-def plan(jobs: DataFrame, executors: DataFrame, timing: DataFrame | None = None, policy: str = "search", seeds: int = 4, moves: int = 60) -> DataFrame:
+def plan(jobs: DataFrame, executors: DataFrame, timing: DataFrame | None = None, policy: str = "search", seeds: int | None = None, moves: int | None = None, effort: int = 1) -> DataFrame:
     """(slot, kind, shape, job_id, tokens, n_seeds): each job once, on one executor.
 
     ``jobs`` (job_id, tokens, n_seeds), ``executors`` (slot, kind, compile_us,
@@ -32,9 +36,13 @@ def plan(jobs: DataFrame, executors: DataFrame, timing: DataFrame | None = None,
     each type's jobs, in the order of size and id, to the executors' shares;
     each executor compiles the cheapest choice of shapes for its own jobs, and
     these run at the smallest of them that holds each, so ``report`` gives the
-    loads that were planned.  ``round_robin`` deals jobs in that order one by
+    loads that were planned.  ``effort`` (0, 1, 2) stands for how many searches
+    there are and how long each goes on, unless that is given.  ``round_robin`` deals jobs in that order one by
     one, each at the smallest shape that holds it.
     """
+    if effort not in EFFORTS:
+        raise ValueError(f"no effort {effort}")
+    seeds, moves = (x if given is None else given for given, x in zip((seeds, moves), EFFORTS[effort], strict=True))
     t = timing_of(jobs, timing)
     work = W.covered(jobs.select("job_id", "tokens", "n_seeds"), t)
     slots = executors.select("slot", "kind")

@@ -8,6 +8,7 @@ are rows, run in parallel, and the best is kept by its sorted loads.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,32 +18,57 @@ from pyspark.sql import functions as F
 INF = 10**18
 #: Inputs of at most so many jobs and executors are planned exactly, unless that takes more than so many steps.
 EXACT_JOBS, EXACT_EXECUTORS, EXACT_STEPS = 12, 8, 200_000
+#: Costs that are remembered at once, and halvings of a deadline's interval.
+MEMO, HALVINGS = 1 << 16, 10
+#: What the moves of one search may cost, in pairs of classes that are looked at.
+CELLS = 1_000_000
 
 
 class Costs:
-    """Least cost of an executor kind for given units by class; memoised."""
+    """Least cost of an executor kind for given units by class; memoised.
+
+    Only classes that hold units are looked at: a compiled shape serves a
+    stretch of them, and lies below the next one that it does not serve.
+    """
 
     def __init__(self, compile_cost: list[list[int]], infer_cost: list[list[int]]):
-        self.compile, self.infer, self.memo = compile_cost, infer_cost, {}
+        self.compile, self.infer, self.memo, self.worth, self.cells = compile_cost, infer_cost, {}, {}, 0
 
     def of(self, kind: int, units: tuple[int, ...]) -> int:
-        if (kind, units) not in self.memo:
-            comp, inf = self.compile[kind], self.infer[kind]
-            last = max((k for k, u in enumerate(units) if u), default=-1)
-            upto, best, ends = 0, [], 0 if last < 0 else INF
-            hist = []
-            for k in range(len(units) if last >= 0 else 0):
-                upto += units[k]
-                hist.append(upto)
-                cost = comp[k] + upto * inf[k] if upto else INF
-                for i in range(k):
-                    if hist[i] < upto and best[i] < INF:
-                        cost = min(cost, best[i] + comp[k] + (upto - hist[i]) * inf[k])
-                best.append(cost)
-                if k >= last:
-                    ends = min(ends, cost)
-            self.memo[kind, units] = ends
-        return self.memo[kind, units]
+        return self.of_used(kind, [(k, u) for k, u in enumerate(units) if u], len(units))
+
+    def of_used(self, kind: int, used: list[tuple[int, int]], n_classes: int) -> int:
+        """The same from the classes that hold units, in order."""
+        key = (kind, *used)
+        if key not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            best = [0]  # the least cost of the first classes in use
+            for b in range(len(used)):
+                best.append(self.with_last(kind, used[: b + 1], best, used[b + 1][0] if b + 1 < len(used) else n_classes))
+            self.memo[key] = best[-1]
+            self.cells += len(used) ** 2
+        return self.memo[key]
+
+    def with_last(self, kind: int, used: list[tuple[int, int]], best: list[int], below: int) -> int:
+        """The least cost of classes in use, from those of all fewer first ones; the last one's shape is below the given one."""
+        at = [(c, i) for s, c, i in self._worthwhile(kind, used[-1][0], len(self.compile[kind])) if s < below]
+        upto, least = 0, INF
+        for a in range(len(used) - 1, -1, -1):
+            upto += used[a][1]
+            least = min(least, best[a] + min(c + upto * i for c, i in at))
+        return least
+
+    def _worthwhile(self, kind: int, first: int, n_classes: int) -> list[tuple[int, int, int]]:
+        """(shape, compilation, inference) from a class on, without shapes that a smaller one of these equals or beats in both."""
+        if (kind, first) not in self.worth:
+            kept: list[tuple[int, int, int]] = []
+            for s in range(first, n_classes):
+                c, i = self.compile[kind][s], self.infer[kind][s]
+                if not any(x <= c and y <= i for _, x, y in kept):
+                    kept.append((s, c, i))
+            self.worth[kind, first] = kept
+        return self.worth[kind, first]
 
 
 def load(costs: Costs, kind: int, types: list[tuple[int, int, int]], counts: list[int], n_classes: int) -> int:
@@ -106,15 +132,70 @@ def proportional(speeds: list[float], types: list[tuple[int, int, int]]) -> list
     return out
 
 
+def contiguous(costs: Costs, kinds: list[int], order: list[int], types: list[tuple[int, int, int]], n_classes: int) -> list[list[int]]:
+    """Neighbouring classes dealt together, so that each executor compiles few shapes.
+
+    Executors, in the given order, take types in the order of class, each as
+    many jobs as it ends by a deadline.  A load never falls when a job is
+    added, so the least deadline by which all jobs find a place is bracketed
+    by doubling, then halved down to a thousandth.
+    """
+    line = sorted(range(len(types)), key=lambda t: types[t][:2])
+
+    def dealt(deadline: int) -> list[list[int]] | None:
+        state = [[0] * len(types) for _ in kinds]
+        at, left = 0, types[line[0]][2]
+        for g in order:
+            used: list[tuple[int, int]] = []
+            best: list[int] = []  # the least cost of the first classes in use
+            while at < len(line):
+                cls, seeds, _ = types[line[at]]
+                if not used or used[-1][0] != cls:
+                    best.append(costs.with_last(kinds[g], used, best, cls) if used else 0)
+                    used.append((cls, 0))
+                have = used[-1][1]
+                cost = lambda n: costs.with_last(kinds[g], [*used[:-1], (cls, have + n * seeds)], best, n_classes)  # noqa: B023, E731
+                n = left if cost(left) <= deadline else bisect_right(range(1, left), deadline, key=cost)
+                state[g][line[at]] += n
+                used[-1] = (cls, have + n * seeds)
+                left -= n
+                if left:
+                    break
+                at += 1
+                left = types[line[at]][2] if at < len(line) else 0
+            if at == len(line):
+                return state
+        return None
+
+    every = [0] * n_classes
+    for cls, seeds, n in types:
+        every[cls] += seeds * n
+    high = max(1, min(costs.of(k, tuple(every)) for k in set(kinds)) // len(kinds))
+    while (found := dealt(high)) is None:
+        high *= 2
+    low = high // 2
+    for _ in range(HALVINGS):
+        middle = (low + high) // 2
+        if (better := dealt(middle)) is None:
+            low = middle
+        else:
+            high, found = middle, better
+    return found
+
+
 def descend(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], state: list[list[int]], n_classes: int, rng: random.Random, moves: int) -> tuple[list[int], list[list[int]]]:
-    """Moves of one type from the most loaded executor to another, kept if the sorted loads fall."""
+    """Moves of one type from the most loaded executor to another, kept if the sorted loads fall, up to ``moves`` and ``CELLS``."""
     loads = [load(costs, k, types, c, n_classes) for k, c in zip(kinds, state, strict=True)]
+    most = costs.cells + CELLS
     for _ in range(moves):
+        if costs.cells > most:
+            break
         a = max(range(len(loads)), key=lambda g: (loads[g], -g))
         tried = [(t, b, n) for t in range(len(types)) if state[a][t] for b in range(len(loads)) if b != a for n in {1, state[a][t] // 2, state[a][t]} if n]
-        rng.shuffle(tried)
         better = None
-        for t, b, n in tried[:400]:
+        for t, b, n in rng.sample(tried, min(len(tried), 400)):
+            if costs.cells > most:
+                break
             state[a][t] -= n
             state[b][t] += n
             la, lb = (load(costs, kinds[g], types, state[g], n_classes) for g in (a, b))
@@ -133,14 +214,26 @@ def descend(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], s
 
 
 def search(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], n_classes: int, seed: int, moves: int = 60) -> tuple[list[int], list[list[int]]]:
-    """(loads, counts by executor and type) of one seeded search."""
+    """(loads, counts by executor and type) of one seeded search.
+
+    Of each four seeds one starts from shares by speed, the others from
+    contiguous deals: executors by their ratio of compilation to inference,
+    slow ones first, fast ones first.  From the fifth on, speeds and orders vary.
+    """
     if sum(n for _, _, n in types) <= EXACT_JOBS and len(kinds) <= EXACT_EXECUTORS:
         state = exact(costs, kinds, types, n_classes)
         return [load(costs, k, types, c, n_classes) for k, c in zip(kinds, state, strict=True)], state
     every = tuple(sum(s * n for c, s, n in types if c == k) for k in range(n_classes))
     rng = random.Random(seed)
-    speeds = [1.0 / max(costs.of(k, every), 1) * (1 if seed == 0 else rng.uniform(0.8, 1.25)) for k in kinds]
-    return descend(costs, kinds, types, proportional(speeds, types), n_classes, rng, moves)
+    varied = [1.0 if seed < 4 else rng.uniform(0.8, 1.25) for _ in kinds]
+    whole = {k: max(costs.of(k, every), 1) for k in set(kinds)}
+    if seed % 4 == 1:
+        start = proportional([v / whole[k] for k, v in zip(kinds, varied, strict=True)], types)
+    else:
+        least = {k: sum(costs.compile[k]) / max(sum(costs.infer[k]), 1) for k in set(kinds)}
+        rank = {0: lambda k: least[k], 2: lambda k: -whole[k], 3: lambda k: whole[k]}[seed % 4]
+        start = contiguous(costs, kinds, sorted(range(len(kinds)), key=lambda g: (rank(kinds[g]) * varied[g], g)), types, n_classes)
+    return descend(costs, kinds, types, start, n_classes, rng, moves)
 
 
 def plan_multi(types: DataFrame, costs: DataFrame, executors: DataFrame, seeds: int = 4, moves: int = 60) -> DataFrame:

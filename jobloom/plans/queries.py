@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.timing import SQL as PRELUDE
-from jobloom.functions.scalars import ceil_multiple
 from jobloom.operators import work as W
 from jobloom.operators.expressions import _LADDER_SQL, LADDER
 from jobloom.plans import multi, single
@@ -127,13 +126,10 @@ def exact_makespan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs by type on each executor, from seeded searches in parallel; one row for the whole plan's quality a slot."""
+    """Jobs by type on each executor, from seeded searches in parallel; types are the smallest shapes that hold the jobs."""
     t = W.default(spark)
     execs = W.executors(spark, d)
-    c = W.covered(W.jobs(spark, d), t)
-    # classes of 1024 above the table keep the search small; costs are those of the covering class
-    wide = c.withColumn("shape", F.when(F.col("shape") <= 1024, ceil_multiple(F.col("shape"), 256)).otherwise(ceil_multiple(F.col("shape"), 1024)))
-    types = wide.groupBy("shape", "n_seeds").agg(F.count("*").alias("n_jobs"))
+    types = W.covered(W.jobs(spark, d), t).groupBy("shape", "n_seeds").agg(F.count("*").alias("n_jobs"))
     return multi.plan_multi(types, W.costs(execs, types, t), execs)
 
 

@@ -38,6 +38,14 @@ def test_search_is_not_slower_than_round_robin(tables):
         api.plan(jobs, executors, policy="other")
 
 
+def test_more_effort_plans_no_worse(tables):
+    jobs, executors = tables
+    top = [api.report(api.plan(jobs, executors, effort=e), executors).groupBy("slot").agg({"total_us": "sum"}).toDF("slot", "load").agg({"load": "max"}).first()[0] for e in (0, 1, 2)]
+    assert top[0] >= top[1] >= top[2] > 0
+    with pytest.raises(ValueError):
+        api.plan(jobs, executors, effort=3)
+
+
 def test_execute_sees_jobs_in_order(tables):
     jobs, executors = tables
 

@@ -99,6 +99,36 @@ def test_search_keeps_all_jobs_and_improves_its_seed():
         assert multi.search(costs, kinds, types, n, 1) == multi.search(costs, kinds, types, n, 1)
 
 
+def test_contiguous_deals_are_the_best_of_their_order():
+    """Whole jobs in the order of class, cut between executors: no cut is more than a thousandth better."""
+    rnd = random.Random(10)
+    for _ in range(20):
+        costs, kinds, types, n = instance(rnd, rnd.randint(3, 9), 3)
+        order = rnd.sample(range(3), 3)
+        state = multi.contiguous(costs, kinds, order, types, n)
+        assert [sum(c[t] for c in state) for t in range(len(types))] == [m for _, _, m in types]
+        line = [t for t, (_, _, m) in enumerate(types) for _ in range(m)]
+        best = min(
+            max(multi.load(costs, kinds[g], types, [part.count(t) for t in range(len(types))], n) for g, part in zip(order, (line[:a], line[a:b], line[b:]), strict=True))
+            for a in range(len(line) + 1)
+            for b in range(a, len(line) + 1)
+        )
+        got = max(multi.load(costs, k, types, c, n) for k, c in zip(kinds, state, strict=True))
+        assert best <= got <= best * 1.002 + 1
+
+
+def test_search_meets_the_bound_on_four_executors(spark):
+    """300 jobs over shapes as fine as the table's: at most a fifth above the fluid bound."""
+    from jobloom import api
+
+    rnd = random.Random(11)
+    jobs = spark.createDataFrame([(i, rnd.randint(60, 3000), rnd.randint(1, 5)) for i in range(300)], "job_id long, tokens long, n_seeds long")
+    executors = spark.createDataFrame([(k, k % 2, 20_000_000, 50_000_000 * (1 + k % 2)) for k in range(4)], "slot long, kind long, compile_us long, infer_us long")
+    bound = single.fluid_bound(executors, jobs, api.timing_of(jobs)).first().bound_us
+    got = api.report(api.plan(jobs, executors), executors).groupBy("slot").agg(F.sum("total_us").alias("load")).agg(F.max("load")).first()[0]
+    assert 0 < bound <= got <= 1.2 * bound
+
+
 def test_plan_multi_lies_between_bounds(spark, sf):
     t = Timing(table_array(default_timing(spark)))
     execs = W.executors(spark, sf)
