@@ -1,4 +1,4 @@
-"""The ten corpus operators bound to the whole ``documents`` table."""
+"""The corpus operators bound to the whole tables they are meant for."""
 
 from __future__ import annotations
 
@@ -81,6 +81,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).drop("row", "copies")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.clustering import cluster_digest
+
+    return cluster_digest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.warc import warc_digest
+
+    return warc_digest(read(spark, sf_dir, "pages"))
+
+
+def op13_rope_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.llm.infill import infill_digest
+
+    return infill_digest(read(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_media_mpeg,
     op2_secret_field,
@@ -92,6 +110,9 @@ OPERATORS = (
     op8_bottom_k_dedup,
     op9_bloom_lm,
     op10_mixing,
+    op11_delta_lloyd,
+    op12_warc_chunks,
+    op13_rope_infill,
 )
 
 
@@ -100,6 +121,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from jobloom.llm import decontam, mixing, neardup
-
-    return {"op6_template_decontamination": decontam.ORACLE, "op8_bottom_k_dedup": neardup.ORACLE, "op10_mixing": mixing.ORACLE}
+    from jobloom.llm import clustering, decontam, infill, mixing, neardup, warc
+
+    return {
+        "op6_template_decontamination": decontam.ORACLE,
+        "op8_bottom_k_dedup": neardup.ORACLE,
+        "op10_mixing": mixing.ORACLE,
+        "op11_delta_lloyd": clustering.ORACLE,
+        "op12_warc_chunks": warc.ORACLE,
+        "op13_rope_infill": infill.ORACLE,
+    }
