@@ -6,6 +6,7 @@ from jobloom.operators import expressions, extras, more, relational  # noqa: F40
 from jobloom.plans import queries as plan_queries  # noqa: F401  registers
 from jobloom.registry import QUERIES, SQL, Query
 from jobloom.sources import queries as source_queries  # noqa: F401  registers
+from jobloom.streaming import queries as stream_queries  # noqa: F401  registers
 
 
 def queries() -> dict[str, Query]:

@@ -1,14 +1,12 @@
 from __future__ import annotations
 
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import scalars as S
 from jobloom.sources import documents, ledger, records
-from jobloom.streaming import progress, tail
 
 LADDER = [128, 256, 512]
 
@@ -118,31 +116,3 @@ def test_scalars(spark):
     assert [one(S.exit_code(F.lit(c))) for c in (0, 3, -9)] == [0, 3, 137]
     with pytest.raises(Exception):  # noqa: B017
         one(S.bucket_for(F.lit(-1).cast("bigint"), rungs))
-
-
-def test_tail_and_progress(spark, tmp_path):
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    line = lambda **k: json.dumps(k) + "\n"
-    (logs / "gpu0.jsonl").write_text(line(event="job_start", ts=1.0, job="a", shape=128) + "broken\n" + '{"event":"job_d')
-    reader = tail.LogTailReader(str(logs), "earliest")
-    rows, at = reader.read(reader.initialOffset())
-    assert len(list(rows)) == 2
-    with (logs / "gpu0.jsonl").open("a") as f:
-        f.write('one","ts":2.0,"job":"a","shape":128}\n' + line(event="job_skip", ts=3.0, job="z"))
-    rows, end = reader.read(at)
-    assert [json.loads(x[1])["event"] for x in rows] == ["job_done", "job_skip"]
-    assert len(list(reader.readBetweenOffsets(at, end))) == 2 and not list(reader.read(end)[0])
-    assert tail.LogTailReader(str(logs), "latest").initialOffset() == end
-
-    spark.dataSource.register(tail.LogTail)
-    stream = progress.events(spark.readStream.format("jsonl_tail").option("path", str(logs)).load())
-    q = progress.progress(stream).writeStream.format("memory").queryName("progress_rows").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
-    try:
-        until = time.time() + 60
-        while time.time() < until and not spark.sql("select * from progress_rows").count():
-            time.sleep(1)
-        r = spark.sql("select * from progress_rows order by done desc").first()
-        assert (r.slot, r.done, r.current, r.shape, r.stale) == ("gpu0", 1, "a", 128, False)
-    finally:
-        q.stop()
