@@ -11,13 +11,14 @@ import random
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INF = 10**18
-#: Inputs of at most so many jobs and executors are planned exactly, unless that takes more than so many steps.
-EXACT_JOBS, EXACT_EXECUTORS, EXACT_STEPS = 12, 8, 200_000
+#: Inputs of at most so many jobs are planned exactly: 3 ** 12 pairs of disjoint sets an executor.
+EXACT_JOBS = 12
 #: Costs that are remembered at once, and halvings of a deadline's interval.
 MEMO, HALVINGS = 1 << 16, 10
 #: What the moves of one search may cost, in pairs of classes that are looked at.
@@ -52,14 +53,14 @@ class Costs:
 
     def with_last(self, kind: int, used: list[tuple[int, int]], best: list[int], below: int) -> int:
         """The least cost of classes in use, from those of all fewer first ones; the last one's shape is below the given one."""
-        at = [(c, i) for s, c, i in self._worthwhile(kind, used[-1][0], len(self.compile[kind])) if s < below]
+        at = [(c, i) for s, c, i in self.worthwhile(kind, used[-1][0], len(self.compile[kind])) if s < below]
         upto, least = 0, INF
         for a in range(len(used) - 1, -1, -1):
             upto += used[a][1]
             least = min(least, best[a] + min(c + upto * i for c, i in at))
         return least
 
-    def _worthwhile(self, kind: int, first: int, n_classes: int) -> list[tuple[int, int, int]]:
+    def worthwhile(self, kind: int, first: int, n_classes: int) -> list[tuple[int, int, int]]:
         """(shape, compilation, inference) from a class on, without shapes that a smaller one of these equals or beats in both."""
         if (kind, first) not in self.worth:
             kept: list[tuple[int, int, int]] = []
@@ -78,58 +79,71 @@ def load(costs: Costs, kind: int, types: list[tuple[int, int, int]], counts: lis
     return costs.of(kind, tuple(units))
 
 
+def subset_costs(costs: Costs, kind: int, jobs: list[tuple[int, int]]) -> np.ndarray:
+    """The least cost of each set of jobs (class, seeds; by class), a bit a job.
+
+    The last shape of a choice serves a set's jobs from some job on, the shapes
+    before it the others, whose cost is known.
+    """
+    n = len(jobs)
+    units = np.zeros(1 << n, np.int64)
+    best = np.zeros(1 << n, np.int64)
+    for k, (cls, seeds) in enumerate(jobs):
+        low = np.arange(1 << k)
+        own = low | 1 << k
+        units[own] = units[low] + seeds
+        shapes = costs.worthwhile(kind, cls, len(costs.compile[kind]))
+        least = np.full(1 << k, INF, np.int64)
+        for i in range(k + 1):
+            rest = low & (1 << i) - 1
+            served = units[own] - units[rest]
+            at = np.min([c + served * f for _, c, f in shapes], axis=0)
+            least = np.minimum(least, best[rest] + at)
+        best[own] = least
+    return best
+
+
 def exact(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], n_classes: int) -> list[list[int]]:
-    """The least makespan by branch and bound over single jobs, the largest first: for tiny inputs only.
+    """A plan of the least makespan, for a few jobs and any number of executors.
 
-    A load never falls when a job is added, so a branch whose largest load
-    reaches the best makespan is cut; of executors of one kind with equal jobs
-    one is tried.  The best plan so far is returned after ``EXACT_STEPS``.
+    Executors take sets of jobs one after another: the best makespan of all
+    jobs in a set over the first executors follows from the sets that the last
+    of them may take, and from what is known of the others.
     """
-    order = [t for t in sorted(range(len(types)), key=lambda t: (-types[t][0], -types[t][1])) for _ in range(types[t][2])]
-    state = [[0] * len(types) for _ in kinds]
-    price = lambda g: load(costs, kinds[g], types, state[g], n_classes)
-    best, found, steps = INF, [list(c) for c in state], 0
-    stack: list[tuple[int, int, int]] = [(0, -1, -1)]  # (jobs placed, type and executor of the last one; -1: take it back)
-    path: list[tuple[int, int]] = []
-    while stack and steps < EXACT_STEPS:
-        placed, t, g = stack.pop()
-        while len(path) >= max(placed, 1):
-            old_t, old_g = path.pop()
-            state[old_g][old_t] -= 1
-        if placed:
-            state[g][t] += 1
-            path.append((t, g))
-            steps += 1
-            if price(g) >= best:
-                continue
-        if placed == len(order):
-            top = max(price(k) for k in range(len(kinds)))
-            if top < best:
-                best, found = top, [list(c) for c in state]
-            continue
-        nxt, seen, tries = order[placed], set(), []
-        for k, kind in enumerate(kinds):
-            alike = (kind, tuple(state[k]))
-            if alike not in seen:
-                seen.add(alike)
-                state[k][nxt] += 1
-                tries.append((price(k), k))
-                state[k][nxt] -= 1
-        stack += [(placed + 1, nxt, k) for cost, k in sorted(tries, reverse=True) if cost < best]
-    return found
+    jobs = [t for t in sorted(range(len(types)), key=lambda t: types[t][:2]) for _ in range(types[t][2])]
+    by_kind = {k: subset_costs(costs, k, [types[t][:2] for t in jobs]) for k in set(kinds)}
+    size = 1 << len(jobs)
+    sets = np.arange(size)
+    top, taken = by_kind[kinds[0]], [sets]
+    for kind in kinds[1:]:
+        own, new, took = by_kind[kind], top.copy(), np.zeros(size, np.int64)
+        for mine in range(1, size):
+            rest = sets[(sets & mine) == 0]
+            with_mine = np.maximum(top[rest], own[mine])
+            better = with_mine < new[rest | mine]
+            new[rest[better] | mine], took[rest[better] | mine] = with_mine[better], mine
+        top = new
+        taken.append(took)
+    state, left = [[0] * len(types) for _ in kinds], size - 1
+    for g in range(len(kinds) - 1, -1, -1):
+        mine = int(taken[g][left])
+        for bit, t in enumerate(jobs):
+            state[g][t] += mine >> bit & 1
+        left ^= mine
+    return state
 
 
 def proportional(speeds: list[float], types: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Each type dealt by speed, largest remainders first."""
-    total, out = sum(speeds), [[0] * len(types) for _ in speeds]
-    for t, (_, _, n) in enumerate(types):
-        ideal = [n * s / total for s in speeds]
-        whole = [int(x) for x in ideal]
-        for g in sorted(range(len(speeds)), key=lambda g: (whole[g] - ideal[g], g))[: n - sum(whole)]:
-            whole[g] += 1
-        for g, n_g in enumerate(whole):
-            out[g][t] = n_g
-    return out
+    """Each type dealt by speed: executors own stretches of the unit interval, and jobs lie on it evenly.
+
+    The jobs of different types are shifted against each other, so types of a
+    single job do not all fall to one executor.
+    """
+    ends = np.cumsum(speeds) / sum(speeds)
+    ends[-1] = 1.0
+    phase = np.arange(len(types)) * 0.6180339887498949 % 1.0
+    marks = np.floor(np.outer(ends, [n for _, _, n in types]) + phase).astype(int)
+    return np.diff(marks, axis=0, prepend=np.floor(phase)[None, :].astype(int)).tolist()
 
 
 def contiguous(costs: Costs, kinds: list[int], order: list[int], types: list[tuple[int, int, int]], n_classes: int) -> list[list[int]]:
@@ -213,6 +227,11 @@ def descend(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], s
     return loads, state
 
 
+def few(types: list[tuple[int, int, int]]) -> bool:
+    """Whether there are so few jobs that all deals can be compared."""
+    return sum(n for _, _, n in types) <= EXACT_JOBS
+
+
 def search(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], n_classes: int, seed: int, moves: int = 60) -> tuple[list[int], list[list[int]]]:
     """(loads, counts by executor and type) of one seeded search.
 
@@ -220,7 +239,7 @@ def search(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], n_
     contiguous deals: executors by their ratio of compilation to inference,
     slow ones first, fast ones first.  From the fifth on, speeds and orders vary.
     """
-    if sum(n for _, _, n in types) <= EXACT_JOBS and len(kinds) <= EXACT_EXECUTORS:
+    if few(types):
         state = exact(costs, kinds, types, n_classes)
         return [load(costs, k, types, c, n_classes) for k, c in zip(kinds, state, strict=True)], state
     every = tuple(sum(s * n for c, s, n in types if c == k) for k in range(n_classes))
@@ -260,6 +279,7 @@ def plan_multi(types: DataFrame, costs: DataFrame, executors: DataFrame, seeds:
                 key = ",".join(f"{x:019d}" for x in sorted(loads, reverse=True))
                 yield pd.DataFrame([(int(seed), key, slots[g], shapes[c], s, n, loads[g], max(loads)) for g, counts in enumerate(state) for (c, s, _), n in zip(coded, counts, strict=True) if n], columns=["seed", "key", "slot", "shape", "n_seeds", "n_jobs", "load", "makespan"])
 
+    seeds = 1 if few(coded) or len(slots) == 1 else seeds  # a single answer
     found = spark.range(0, seeds, 1, seeds).mapInPandas(run, "seed long, key string, slot long, shape long, n_seeds long, n_jobs long, load long, makespan long").persist()
     best = found.agg(F.min(F.struct("key", "seed"))["seed"].alias("seed"))
     return found.join(F.broadcast(best), "seed").drop("seed", "key")

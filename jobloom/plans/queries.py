@@ -89,23 +89,75 @@ def candidate_shapes_tiles(spark: SparkSession, d: str) -> DataFrame:
     return single.candidate_shapes(W.jobs(spark, d), W.default(spark), "tiles")
 
 
-@query(f"""WITH {PRELUDE}, best AS (SELECT c.shape, c.n_seeds, min(k.compile_cost + c.n_seeds * k.infer_cost) AS cost
-  FROM (SELECT shape, max(n_seeds) AS n_seeds FROM covered GROUP BY shape) c JOIN costs k ON k.shape >= c.shape GROUP BY 1, 2)
+#: (kind, shape, compile_cost, infer_cost) of all candidates.
+_COSTS = f"""{_FREE}, cfactors AS (
+  SELECT c.shape, CASE WHEN c.shape > 5120
+      THEN greatest(1e0 + 33e-2 * (c.shape / 1024e0 - 1e0) + 42e-2 * ((c.shape / 1024e0) * (c.shape / 1024e0) - 1e0)
+                    + 27e-2 * ((c.shape / 1024e0) * (c.shape / 1024e0) * (c.shape / 1024e0) - 1e0), 1e-6)
+      ELSE t.inf END AS inf, coalesce(t.comp, (SELECT comp FROM timing WHERE bucket = 5120)) AS comp
+  FROM cand c LEFT JOIN timing t ON t.bucket = c.shape),
+ccosts AS (SELECT k.kind, f.shape, greatest(0, round_even(k.compile_us * f.comp, 0)::BIGINT) AS compile_cost, greatest(1, round_even(k.infer_us * f.inf, 0)::BIGINT) AS infer_cost FROM kinds k CROSS JOIN cfactors f)"""
+
+
+@query(f"""WITH {_COSTS}, best AS (SELECT c.shape, c.n_seeds, min(k.compile_cost + c.n_seeds * k.infer_cost) AS cost
+  FROM (SELECT shape, max(n_seeds) AS n_seeds FROM covered GROUP BY shape) c JOIN ccosts k ON k.shape >= c.shape GROUP BY 1, 2)
 SELECT max(cost) AS job_bound_us FROM best""")
 def job_lower_bound(spark: SparkSession, d: str) -> DataFrame:
-    """No plan is faster than the hardest job on its best executor at any shape that holds it.
-
-    Classes meet costs from their shape upwards: suffix minima over a bounded ladder.
-    """
+    """No plan is faster than the hardest job on its best executor at any candidate shape that holds it."""
     t = W.default(spark)
-    c = W.covered(W.jobs(spark, d), t)
-    hardest = c.groupBy("shape").agg(F.max("n_seeds").alias("n_seeds"))
-    costs = W.costs(W.executors(spark, d), hardest, t).withColumnRenamed("shape", "at")
-    runs = hardest.join(F.broadcast(costs), F.col("at") >= F.col("shape"))
-    best = runs.groupBy("shape", "n_seeds").agg(F.min(F.col("compile_cost") + F.col("n_seeds") * F.col("infer_cost")).alias("cost"))
-    return best.agg(F.max("cost").alias("job_bound_us"))
+    jobs = W.jobs(spark, d)
+    return single.job_bound(W.covered(jobs, t), W.costs(W.executors(spark, d), single.candidate_shapes(jobs, t), t))
 
 
+def _folded(entries: str) -> str:
+    """The fold over (key, j, shape, upto, c, f) in SQL: (key, best) and the shapes of the best choice."""
+    return f"""{entries},
+base AS (SELECT *, CASE WHEN upto > 0 THEN c + upto * f ELSE 1000000000000000000 END AS alone FROM ent),
+dp AS (
+  SELECT key, 1::BIGINT AS j, [alone] AS cost, [upto] AS hist, [0::BIGINT] AS par FROM base WHERE j = 1
+  UNION ALL
+  SELECT key, j, list_append(cost, least(alone, list_min(via))), list_append(hist, upto),
+    list_append(par, CASE WHEN alone <= list_min(via) THEN 0 ELSE list_position(via, list_min(via))::BIGINT END)
+  FROM (SELECT d.key, b.j, d.cost, d.hist, d.par, b.alone, b.upto,
+      list_transform(range(1, len(d.cost) + 1), lambda i: CASE WHEN d.cost[i] >= 1000000000000000000 OR d.hist[i] = b.upto THEN 1000000000000000000 ELSE d.cost[i] + b.c + (b.upto - d.hist[i]) * b.f END) AS via
+    FROM dp d JOIN base b ON b.key = d.key AND b.j = d.j + 1)),
+done AS (SELECT *, list_min(list_transform(range(1, len(cost) + 1), lambda i: CASE WHEN hist[i] = hist[-1] THEN cost[i] END)) AS best FROM dp WHERE j = (SELECT max(j) FROM base)),
+ends AS (SELECT *, list_min(list_filter(range(1, len(cost) + 1), lambda i: hist[i] = hist[-1] AND cost[i] = best)) AS pos FROM done),
+walk AS (SELECT key, best, pos, par FROM ends UNION ALL SELECT key, best, par[pos], par FROM walk WHERE par[pos] > 0),
+plan AS (SELECT w.key, w.best, e.shape FROM walk w JOIN ent e ON e.key = w.key AND e.j = w.pos)"""
+
+
+@query(f"""WITH RECURSIVE {_folded(f'''{_COSTS},
+ends2 AS (SELECT min(compile_us::DOUBLE / infer_us) AS rho, sum(1e0 / infer_us) AS inv FROM executors),
+ent AS (SELECT 0 AS key, row_number() OVER (ORDER BY f.shape) AS j, f.shape, (sum(coalesce(s.units, 0)) OVER (ORDER BY f.shape))::BIGINT AS upto,
+  greatest(0, round_even(round(e.rho * 1000000000)::BIGINT * f.comp, 0)::BIGINT) AS c, greatest(1, round_even(1000000000 * f.inf, 0)::BIGINT) AS f
+  FROM cfactors f CROSS JOIN ends2 e LEFT JOIN shapes s ON s.shape = f.shape)''')}
+SELECT floor(best / (1e9 * inv) * (1e0 - 1e-5))::BIGINT AS bound_us FROM done CROSS JOIN ends2""")
+def fluid_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The bound that holds for any plan over all executors: one of their total speed, jobs split at will."""
+    t = W.default(spark)
+    return single.fluid_bound(W.executors(spark, d), W.jobs(spark, d), t)
+
+
+@query(f"""WITH RECURSIVE {_folded(f'''{_COSTS},
+dealt AS (SELECT c.*, e.slot, e.kind FROM (SELECT *, (row_number() OVER (ORDER BY tokens, job_id) - 1) % (SELECT count(*) FROM executors) AS o FROM covered) c
+  JOIN (SELECT slot, kind, row_number() OVER (ORDER BY slot) - 1 AS o FROM executors) e USING (o)),
+own AS (SELECT slot, kind, shape, sum(n_seeds)::BIGINT AS units FROM dealt GROUP BY ALL),
+ent AS (SELECT s.slot AS key, row_number() OVER (PARTITION BY s.slot ORDER BY k.shape) AS j, k.shape, (sum(coalesce(o.units, 0)) OVER (PARTITION BY s.slot ORDER BY k.shape))::BIGINT AS upto,
+  k.compile_cost AS c, k.infer_cost AS f FROM (SELECT DISTINCT slot, kind FROM own) s JOIN ccosts k ON k.kind = s.kind LEFT JOIN own o ON o.slot = s.slot AND o.shape = k.shape)''')}
+SELECT slot, up AS shape, count(*) AS n_jobs, sum(n_seeds)::BIGINT AS n_inf, any_value(best) AS load FROM (
+  SELECT j.slot, j.job_id, j.n_seeds, min(p.shape) AS up, any_value(p.best) AS best FROM dealt j JOIN plan p ON p.key = j.slot AND p.shape >= j.shape GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def realised_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs dealt one by one, each executor compiling its cheapest choice of all candidates: what runs at each shape, and the load."""
+    from jobloom import api
+
+    jobs, execs = W.jobs(spark, d), W.executors(spark, d)
+    t = W.default(spark)
+    costs = W.costs(execs, single.candidate_shapes(jobs, t), t)
+    dealt = api.dealt(W.covered(jobs, t), execs.select("slot", "kind"))
+    placed, loads = api.realised(dealt, costs)
+    got = placed.groupBy("slot", "shape").agg(F.count("*").alias("n_jobs"), F.sum("n_seeds").alias("n_inf"))
+    return got.join(loads.select("slot", "load"), "slot")
 
 
 @query("""WITH n AS (SELECT l_orderkey, list(l_quantity::BIGINT ORDER BY l_linenumber) AS q FROM lineitem GROUP BY l_orderkey),
@@ -126,11 +178,11 @@ def exact_makespan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs by type on each executor, from seeded searches in parallel; types are the smallest shapes that hold the jobs."""
+    """Jobs by type on each executor, from seeded searches in parallel; a type's shape is the smallest candidate that holds its jobs, priced at all of them."""
     t = W.default(spark)
-    execs = W.executors(spark, d)
-    types = W.covered(W.jobs(spark, d), t).groupBy("shape", "n_seeds").agg(F.count("*").alias("n_jobs"))
-    return multi.plan_multi(types, W.costs(execs, types, t), execs)
+    execs, jobs = W.executors(spark, d), W.jobs(spark, d)
+    types = W.covered(jobs, t).groupBy("shape", "n_seeds").agg(F.count("*").alias("n_jobs"))
+    return multi.plan_multi(types, W.costs(execs, single.candidate_shapes(jobs, t), t), execs)
 
 
 @query()

@@ -1,19 +1,26 @@
 """One executor: which shapes to compile at the least total cost.
 
 The costs depend on the units (job runs) of each class only, so jobs are
-summed by class first; what is left is a small array an executor kind, and
-the choice is a fold over it, in native expressions.
+summed by class first; what is left is a small table an executor kind, a row a
+candidate shape, and the choice is a fold over it, vectorised in its task.
+
+A class is the smallest candidate that holds a job.  Costs need not rise with
+the shape, so any candidate from a job's class on may be the one to compile,
+also one that is no job's class: plans and bounds look at all of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.timing import Timing
 
 #: A cost that stands for "impossible".
-INF = 10**18
+INF = 1 << 62
+MODES = ("free", "ladder", "list", "tiles")
 
 
 def candidate_shapes(work: DataFrame, timing: Timing, mode: str = "free", ladder: list[int] | None = None, tile: int = 64, tile_max: int = 5120) -> DataFrame:
@@ -24,6 +31,8 @@ def candidate_shapes(work: DataFrame, timing: Timing, mode: str = "free", ladder
     explicit ladder; tiles: multiples of ``tile``.  Larger jobs get multiples
     of 64, or under ``list`` the largest job's own size.
     """
+    if mode not in MODES:
+        raise ValueError(f"no bucket mode {mode}")
     spark = work.sparkSession
     if mode in ("free", "ladder"):
         own = work.select(timing.cover(F.col("tokens")).alias("shape")).distinct()
@@ -47,43 +56,60 @@ def candidate_shapes(work: DataFrame, timing: Timing, mode: str = "free", ladder
     return ends.filter("hi is not null").select(F.explode(F.array_distinct(F.array_append(all_, top))).alias("shape"))
 
 
-def choose(entries: Column) -> Column:
-    """(cost_us, shapes) of the cheapest choice.
-
-    ``entries``: array of (shape, upto, compile_cost, infer_cost) by shape,
-    ``upto`` the units of all jobs that fit.  A fold keeps for each shape the
-    least cost of a choice that ends there, and the shape before it; ties go
-    to the earlier one.  The last shape must hold the largest job.
-    """
-    inf = F.lit(INF).cast("bigint")
-    empty = F.array().cast("array<struct<cost:bigint,par:int,upto:bigint>>")
-
-    def step(dp: Column, e: Column) -> Column:
-        first = F.struct(F.when(e["upto"] > 0, e["compile_cost"] + e["upto"] * e["infer_cost"]).otherwise(inf).alias("cost"), F.lit(-1).alias("par"))
-
-        def after(d: Column, i: Column) -> Column:
-            more = e["upto"] - d["upto"]
-            return F.struct(F.when((d["cost"] >= inf) | (more == 0), inf).otherwise(d["cost"] + e["compile_cost"] + more * e["infer_cost"]).alias("cost"), i.cast("int").alias("par"))
-
-        best = F.array_min(F.concat(F.array(first), F.transform(dp, after)))
-        return F.array_append(dp, F.struct(best["cost"].alias("cost"), best["par"].alias("par"), e["upto"].alias("upto")))
-
-    dp = F.aggregate(entries, empty, step)
-    total = F.element_at(entries, -1)["upto"]
-    ends = F.filter(F.transform(dp, lambda d, i: F.struct(d["cost"].alias("cost"), i.cast("int").alias("at"), d["upto"].alias("upto"))), lambda x: x["upto"] == total)
-    return F.struct(dp.alias("dp"), F.array_min(F.transform(ends, lambda x: F.struct(x["cost"], x["at"]))).alias("end"))
-
+def job_class(work: DataFrame, timing: Timing, mode: str = "free", ladder: list[int] | None = None, tile: int = 64, tile_max: int = 5120) -> DataFrame:
+    """``work`` (tokens, ...) with ``shape``, the smallest of its ``candidate_shapes`` that holds each job."""
+    if mode in ("free", "ladder"):  # every job's own cover is a candidate
+        return work.withColumn("shape", timing.cover(F.col("tokens")))
+    top = work.agg(F.max("tokens").alias("_top"))  # one row
+    rungs = F.array(*(F.lit(x).cast("bigint") for x in sorted(ladder or []))).cast("array<bigint>")
+    if mode == "list":
+        shape = F.coalesce(F.try_element_at(F.filter(rungs, lambda b: b >= F.col("tokens")), F.lit(1)), F.col("_top"))
+    else:
+        up = lambda c: F.ceil(F.greatest(c, F.lit(1)) / tile) * tile
+        shape = F.when(F.col("tokens") <= tile_max, up(F.col("tokens"))).otherwise(up(F.col("_top")))
+    return work.join(F.broadcast(top)).withColumn("shape", shape.cast("bigint")).drop("_top")
 
-def follow(dp: Column, end: Column, shapes: Column) -> Column:
-    """The chosen shapes, ascending, from the fold's parents."""
-    init = F.struct(end.alias("at"), F.array().cast("array<bigint>").alias("out"))
 
-    def back(state: Column, _: Column) -> Column:
-        ok = state["at"] >= 0
-        out = F.when(ok, F.array_prepend(state["out"], F.get(shapes, state["at"]))).otherwise(state["out"])
-        return F.struct(F.when(ok, F.get(dp, state["at"])["par"]).otherwise(F.lit(-1)).alias("at"), out.alias("out"))
+def best_choice(shapes: np.ndarray, upto: np.ndarray, compile_cost: np.ndarray, infer_cost: np.ndarray) -> tuple[int, list[int]]:
+    """(cost, shapes) of the cheapest choice among ascending shapes; ``upto`` counts the units of all jobs that fit.
 
-    return F.aggregate(dp, init, back, lambda s: s["out"])
+    For each shape the least cost of a choice that ends there, from those that
+    end before it; ties go to the fewer, then the smaller shapes.
+    """
+    if not len(upto) or upto[-1] <= 0:
+        return 0, []
+    if int(upto[-1]) * int(infer_cost.max()) + int(compile_cost.astype(object).sum()) >= INF:
+        upto, compile_cost, infer_cost = (x.astype(object) for x in (upto, compile_cost, infer_cost))  # beyond a long: whole numbers of any size
+    n = len(upto)
+    cost, before = np.full(n, INF, upto.dtype), np.full(n, -1)
+    some = upto > 0
+    cost[some] = compile_cost[some] + upto[some] * infer_cost[some]
+    for j in np.flatnonzero(some):
+        i = np.flatnonzero(some[:j] & (upto[:j] < upto[j]))
+        if len(i):
+            via = cost[i] + compile_cost[j] + (upto[j] - upto[i]) * infer_cost[j]
+            k = int(np.argmin(via))
+            if via[k] < cost[j]:
+                cost[j], before[j] = via[k], i[k]
+    ends = np.flatnonzero(upto == upto[-1])
+    at = int(ends[np.argmin(cost[ends])])
+    total, chosen = int(cost[at]), []
+    while at >= 0:
+        chosen.append(int(shapes[at]))
+        at = int(before[at])
+    return total, chosen[::-1]
+
+
+def cheapest_choices(rows: DataFrame, key: str) -> DataFrame:
+    """(key, cost_us, shapes) from (key, shape, upto, compile_cost, infer_cost): a row a candidate, so a group is a bounded table."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["shape"].to_numpy())
+        cost, chosen = best_choice(*(table[c].to_numpy()[order] for c in ("shape", "upto", "compile_cost", "infer_cost")))
+        return pa.table({key: table[key].slice(0, 1), "cost_us": pa.array([cost], pa.int64()), "shapes": pa.array([chosen], pa.list_(pa.int64()))})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, *(F.col(c).cast("bigint") for c in ("shape", "upto", "compile_cost", "infer_cost"))).groupBy(key).applyInArrow(fold, f"{key} {kind}, cost_us bigint, shapes array<bigint>")
 
 
 def plan_single(units: DataFrame, shapes: DataFrame, costs: DataFrame) -> DataFrame:
@@ -95,9 +121,7 @@ def plan_single(units: DataFrame, shapes: DataFrame, costs: DataFrame) -> DataFr
     """
     upto = F.sum(F.coalesce("units", F.lit(0))).over(Window.orderBy("shape"))
     hist = shapes.join(units.select("shape", "units"), "shape", "left").select("shape", upto.alias("upto"))
-    rows = costs.join(hist, "shape").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("shape", "upto", "compile_cost", "infer_cost"))).alias("e"))
-    folded = rows.withColumn("c", choose(F.col("e")))
-    return folded.select("kind", F.col("c.end.cost").alias("cost_us"), follow(F.col("c.dp"), F.col("c.end.at"), F.col("e.shape")).alias("shapes"))
+    return cheapest_choices(costs.join(hist, "shape"), "kind")
 
 
 def groups(units: DataFrame, plan: DataFrame) -> DataFrame:
@@ -117,26 +141,42 @@ def compiled_shapes(loads: DataFrame, costs: DataFrame) -> DataFrame:
     slots = loads.select("slot", "kind").distinct().join(costs, "kind")
     own = loads.groupBy("slot", "shape").agg(F.sum("units").alias("units"))
     upto = F.sum(F.coalesce("units", F.lit(0))).over(Window.partitionBy("slot").orderBy("shape").rowsBetween(Window.unboundedPreceding, 0))
-    hist = slots.join(own, ["slot", "shape"], "left").select("slot", F.struct("shape", upto.alias("upto"), "compile_cost", "infer_cost").alias("e"))
-    folded = hist.groupBy("slot").agg(F.array_sort(F.collect_list("e")).alias("e")).withColumn("c", choose(F.col("e")))
-    return folded.select("slot", F.col("c.end.cost").alias("load"), follow(F.col("c.dp"), F.col("c.end.at"), F.col("e.shape")).alias("shapes"))
+    hist = slots.join(own, ["slot", "shape"], "left").select("slot", "shape", upto.alias("upto"), "compile_cost", "infer_cost")
+    return cheapest_choices(hist, "slot").withColumnRenamed("cost_us", "load")
 
 
 #: The reference inference time of the fluid bound's executor, in microseconds.
 BOUND_US = 10**9
 
 
-def fluid_bound(executors: DataFrame, work: DataFrame, timing: Timing) -> DataFrame:
-    """(bound_us): no plan of ``work`` (tokens, n_seeds) over ``executors`` is faster.
+def fluid_bound(executors: DataFrame, work: DataFrame, timing: Timing, shapes: DataFrame | None = None) -> DataFrame:
+    """(bound_us): no plan of ``work`` (tokens, n_seeds) over ``executors`` is faster, whichever of the ``shapes`` it compiles.
 
     All executors are one of their total speed, with the least ratio of
-    compilation to inference among them, and jobs may be split.
+    compilation to inference among them, and jobs may be split.  ``shapes`` are
+    the candidates of ``work``, whose column ``shape`` is then each job's class;
+    by default those of mode "free".
     """
+    classed = work if shapes is not None else job_class(work, timing)
+    shapes = candidate_shapes(work, timing) if shapes is None else shapes
     ends = executors.agg(F.min(F.col("compile_us").cast("double") / F.col("infer_us")).alias("rho"), F.sum(F.lit(1.0) / F.col("infer_us")).alias("inv"))
-    covered = work.select(timing.cover(F.col("tokens")).alias("shape"), "n_seeds")
-    units = covered.groupBy("shape").agg(F.sum("n_seeds").alias("units"))
-    one = units.join(F.broadcast(ends))  # one row
+    units = classed.groupBy("shape").agg(F.sum("n_seeds").alias("units"))
+    one = shapes.select("shape").join(F.broadcast(ends))  # one row
     costs = one.select(F.lit(0).alias("kind"), "shape", timing.compile_us(F.round(F.col("rho") * BOUND_US).cast("bigint"), F.col("shape")).alias("compile_cost"), timing.inference_us(F.lit(BOUND_US).cast("bigint"), F.col("shape")).alias("infer_cost"))
     loads = units.select(F.lit(0).alias("slot"), F.lit(0).alias("kind"), "shape", "units")
     least = compiled_shapes(loads, costs).select("load")
     return least.join(F.broadcast(ends)).select(F.floor(F.col("load") / (F.lit(float(BOUND_US)) * F.col("inv")) * (1 - 1e-5)).cast("bigint").alias("bound_us"))
+
+
+def job_bound(classed: DataFrame, costs: DataFrame) -> DataFrame:
+    """(job_bound_us): no plan is faster than its hardest job on the best executor, at any candidate that holds it.
+
+    ``classed`` (shape, n_seeds), ``costs`` (kind, shape, ...) of all candidates
+    on usable executors.  The hardest job of each class meets the costs from
+    its class upwards: both are bounded tables.
+    """
+    hardest = classed.groupBy("shape").agg(F.max("n_seeds").alias("n_seeds"))
+    at = costs.select(F.col("shape").alias("at"), "compile_cost", "infer_cost").distinct()
+    runs = hardest.join(at, F.col("at") >= F.col("shape"))
+    best = runs.groupBy("shape", "n_seeds").agg(F.min(F.col("compile_cost") + F.col("n_seeds") * F.col("infer_cost")).alias("cost"))
+    return best.agg(F.max("cost").alias("job_bound_us"))

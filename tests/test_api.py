@@ -67,7 +67,7 @@ def test_reported_loads_are_the_planned_ones(spark):
     assert sorted(r.job_id for r in rows) == list(range(12)) and all(r.shape >= r.tokens for r in rows)
     got = {r.slot: r.load for r in api.report(placed, executors).groupBy("slot").agg({"total_us": "sum"}).toDF("slot", "load").collect()}
     work = api.W.covered(jobs, t)
-    costs = api.W.costs(executors, work, t)
+    costs = api.W.costs(executors, api.candidate_shapes(jobs, t), t)
     table = {(r.kind, r.shape): (r.compile_cost, r.infer_cost) for r in costs.collect()}
     shapes, kind = sorted({s for _, s in table}), {0: 0, 1: 1, 2: 0}
     cover = {r.job_id: r["shape"] for r in work.collect()}
@@ -79,3 +79,35 @@ def test_reported_loads_are_the_planned_ones(spark):
     types = work.groupBy("shape", "n_seeds").agg({"*": "count"}).toDF("shape", "n_seeds", "n_jobs")
     planned = {r.slot: r.load for r in plan_multi(types, costs, executors.select("slot", "kind"), 2, 60).collect()}
     assert planned == got
+
+
+def test_executors_are_chosen_and_checked(tables, spark):
+    jobs, executors = tables
+    slots = lambda e, **k: {r.slot for r in api.plan(jobs, e, seeds=1, moves=5, **k).collect()}
+    assert slots(executors, only=[0, 2]) == {0, 2}
+    with pytest.raises(ValueError, match=r"\[7\]"):
+        api.plan(jobs, executors, only=[0, 7])
+    broken = executors.unionByName(spark.createDataFrame([(3, 3, 10, 0), (4, 4, -1, 5)], executors.schema))
+    assert slots(broken) == {0, 1, 2}
+
+
+def test_a_contaminated_measurement_deals_jobs_one_by_one(tables):
+    jobs, executors = tables
+    from pyspark.sql import functions as F
+
+    marked = executors.withColumn("contaminated", F.col("slot") == 1)
+    planner = api.Planner(jobs, marked)
+    meta = planner.metadata().first()
+    assert (meta.policy, meta.stage, meta.contaminated, meta.n_jobs) == ("round_robin", "round_robin", True, 60)
+    assert sorted(map(tuple, planner.placed().collect())) == sorted(map(tuple, api.plan(jobs, executors, policy="round_robin").collect()))
+    assert not api.Planner(jobs, executors.withColumn("contaminated", F.lit(False))).contaminated
+
+
+def test_metadata_of_a_plan(tables):
+    jobs, executors = tables
+    planner = api.Planner(jobs, executors, seeds=1, moves=5)
+    meta = planner.metadata().first()
+    loads = {r.slot: r.load for r in planner.report().groupBy("slot").agg({"total_us": "sum"}).toDF("slot", "load").collect()}
+    assert meta.makespan_us == max(loads.values()) >= meta.lower_bound_us > 0
+    assert (meta.stage, meta.n_jobs, meta.n_inf) == ("search", 60, sum(r.n_seeds for r in jobs.collect()))
+    assert [tuple(x) for x in meta.compiles_per_executor] == sorted((r.slot, r.n) for r in planner.report().groupBy("slot").count().toDF("slot", "n").collect())

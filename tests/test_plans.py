@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,16 +42,15 @@ def test_single_plan_matches_brute_force(spark):
         cases.append((k, shapes, units, comp, inf))
     rows = [(k, s, sum(u[: i + 1]), c, f) for k, ss, u, cs, fs in cases for i, (s, c, f) in enumerate(zip(ss, cs, fs, strict=True))]
     df = spark.createDataFrame(rows, "kind long, shape long, upto long, compile_cost long, infer_cost long")
-    e = df.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("shape", "upto", "compile_cost", "infer_cost"))).alias("e")).withColumn("c", single.choose(F.col("e")))
-    got = {r.kind: r for r in e.select("kind", F.col("c.end.cost").alias("cost"), single.follow(F.col("c.dp"), F.col("c.end.at"), F.col("e.shape")).alias("shapes")).collect()}
+    got = {r.kind: r for r in single.cheapest_choices(df, "kind").collect()}
     for k, shapes, units, comp, inf in cases:
-        assert got[k].cost == cheapest(shapes, units, comp, inf)
+        assert got[k].cost_us == cheapest(shapes, units, comp, inf)
         lo, cost = 0, 0
         for s in got[k].shapes:
             n = sum(u for x, u in zip(shapes, units, strict=True) if lo < x <= s)
             cost += comp[shapes.index(s)] + n * inf[shapes.index(s)]
             lo = s
-        assert cost == got[k].cost
+        assert cost == got[k].cost_us
 
 
 def test_costs_object_agrees_with_the_fold():
@@ -143,14 +143,95 @@ def test_plan_multi_lies_between_bounds(spark, sf):
     assert got[0].makespan >= hardest
 
 
-def test_exact_plans_of_many_executors_are_no_worse_than_searched_ones():
+def test_exact_plans_of_many_executors(spark):
+    """Twelve jobs on eight executors: no worse than a search, all jobs placed, in little time; equal to enumeration on three."""
     rnd = random.Random(12)
     for _ in range(4):
         costs, kinds, types, n = instance(rnd, 12, 8)
+        began = time.process_time()
         state = multi.exact(costs, kinds, types, n)
+        assert time.process_time() - began < 4
         top = max(multi.load(costs, k, types, c, n) for k, c in zip(kinds, state, strict=True))
         loads, _ = multi.descend(costs, kinds, types, multi.proportional([1.0] * 8, types), n, random.Random(0), 60)
         assert top <= max(loads) and [sum(c[t] for c in state) for t in range(len(types))] == [m for _, _, m in types]
+    for _ in range(8):
+        costs, kinds, types, n = instance(rnd, rnd.randint(1, 6), 3)
+        jobs = [t for t, (_, _, m) in enumerate(types) for _ in range(m)]
+        price = lambda deal: max(multi.load(costs, k, types, [sum(1 for j, g in zip(jobs, deal, strict=True) if (j, g) == (t, e)) for t in range(len(types))], n) for e, k in enumerate(kinds))  # noqa: B023, E731
+        state = multi.exact(costs, kinds, types, n)
+        assert max(multi.load(costs, k, types, c, n) for k, c in zip(kinds, state, strict=True)) == min(map(price, itertools.product(range(3), repeat=len(jobs))))
+
+
+def test_subset_costs_equal_the_fold():
+    rnd = random.Random(13)
+    for _ in range(10):
+        costs, _, types, n = instance(rnd, 7, 1)
+        jobs = [(c, s) for c, s, m in types for _ in range(m)]
+        got = multi.subset_costs(costs, 0, jobs)
+        for mask in range(1 << len(jobs)):
+            units = [0] * n
+            for b, (c, s) in enumerate(jobs):
+                units[c] += s * (mask >> b & 1)
+            assert got[mask] == costs.of(0, tuple(units))
+
+
+def test_proportional_deals_whole_types_by_speed():
+    state = multi.proportional([3.0, 1.0, 0.5], [(0, 1, 900), (1, 1, 1), (2, 5, 1), (3, 1, 0), (4, 2, 7)])
+    assert [sum(c) for c in zip(*state, strict=True)] == [900, 1, 1, 0, 7]
+    assert [c[0] for c in state] == [600, 200, 100] and min(map(min, state)) >= 0
+
+
+def test_a_shape_that_no_job_has_may_be_the_cheapest(spark):
+    """Costs need not rise with the shape: the plan compiles 76 for a job of 72, and both bounds stay below it."""
+    from jobloom import api
+
+    timing = spark.createDataFrame([(72, 1.0, 1.2), (76, 1.01, 0.9), (1024, 5.0, 1.0)], "bucket long, inf double, comp double")
+    jobs = spark.createDataFrame([("a", 72, 1), ("b", 76, 1)], "job_id string, tokens long, n_seeds long")
+    executors = spark.createDataFrame([(0, 0, 80_000_000, 1_000), (1, 0, 80_000_000, 1_000)], "slot long, kind long, compile_us long, infer_us long")
+    for work in (jobs, jobs.filter("job_id = 'a'").unionByName(jobs.filter("job_id = 'b'").withColumn("n_seeds", F.lit(3).cast("long")))):
+        for policy, many in (("search", 2), ("search", 1)):
+            planner = api.Planner(work, executors.filter(F.col("slot") < many), timing, policy)
+            placed = planner.placed().collect()
+            assert {r.job_id: r["shape"] for r in placed} == {"a": 76, "b": 76}
+            meta = planner.metadata().first()
+            assert 0 < meta.lower_bound_us <= meta.makespan_us
+            assert meta.floor_us >= 72_001_010 and meta.stage == "exact"
+    t = api.timing_of(jobs, timing)
+    only = jobs.filter("job_id = 'a'")
+    classed, shapes = single.job_class(only, t, "list", [72, 76]), single.candidate_shapes(jobs, t)
+    costs = W.costs(executors, shapes, t)
+    assert single.job_bound(classed, costs).first().job_bound_us == 72_001_010
+    assert single.fluid_bound(executors.limit(1), classed, t, shapes).first().bound_us <= 72_001_010
+    placed, loads = api.realised(classed.withColumn("slot", F.lit(0)).withColumn("kind", F.lit(0)), costs)
+    assert loads.first().load == 72_001_010 and placed.first()["shape"] == 76
+
+
+@pytest.mark.parametrize(("mode", "ladder"), [("free", None), ("ladder", [256, 512, 4096]), ("list", [100, 700, 900]), ("tiles", None)])
+def test_classes_are_the_smallest_candidates(spark, mode, ladder):
+    from jobloom import api
+
+    jobs = spark.createDataFrame([(i, n, 1) for i, n in enumerate([1, 64, 65, 100, 101, 513, 899, 901, 4999, 5120, 5121, 9000])], "job_id long, tokens long, n_seeds long")
+    for work in (jobs, jobs.filter("tokens <= 600"), jobs.filter("tokens > 5120"), jobs.filter("tokens < 0")):
+        t = api.timing_of(jobs)
+        shapes = sorted(r["shape"] for r in single.candidate_shapes(work, t, mode, ladder).collect())
+        for r in single.job_class(work, t, mode, ladder).collect():
+            assert r["shape"] == min(s for s in shapes if s >= r.tokens)
+    with pytest.raises(ValueError, match="no bucket mode"):
+        single.candidate_shapes(jobs, t, "other")
+
+
+def test_bounds_hold_and_plans_are_near_on_tables_that_are_not_monotone(spark):
+    from jobloom import api
+
+    rnd = random.Random(14)
+    for trial in range(3):
+        timing = spark.createDataFrame([(b, rnd.uniform(0.5, 1.5) * b / 1024, rnd.uniform(0.5, 1.5)) for b in range(64, 1088, 64)], "bucket long, inf double, comp double")
+        jobs = spark.createDataFrame([(i, rnd.randint(1, 1300), rnd.randint(1, 5)) for i in range(rnd.randint(3, 40))], "job_id long, tokens long, n_seeds long")
+        executors = spark.createDataFrame([(k, k % 2, rnd.randint(0, 10**7), 10**6 * (1 + k % 2)) for k in range(3)], "slot long, kind long, compile_us long, infer_us long")
+        kinds = executors.groupBy("kind").agg(F.first("compile_us").alias("compile_us"))
+        executors = executors.drop("compile_us").join(kinds, "kind")
+        meta = api.Planner(jobs, executors, timing, seeds=2, bucket_mode=("free", "tiles", "list")[trial], buckets=[300, 800]).metadata().first()
+        assert 0 < meta.lower_bound_us <= meta.makespan_us <= 3 * meta.lower_bound_us
 
 
 def test_no_plan_is_below_the_fluid_bound(spark):
