@@ -48,9 +48,10 @@ class Timing:
 
     def __init__(self, rows: list[tuple[int, float, float]]):
         self.max = rows[-1][0]
-        self.buckets = F.array(*(F.lit(r[0]).cast("bigint") for r in rows))
-        self.inf = F.create_map(*(F.lit(x) for r in rows for x in (r[0], r[1])))
-        self.comp = F.create_map(*(F.lit(x) for r in rows for x in (r[0], r[2])))
+        # one expression text each: thousands of literals one by one would take longer to send than to run
+        self.buckets = F.expr(f"array({', '.join(f'{b}L' for b, _, _ in rows)})")
+        self.inf = F.expr(f"map({', '.join(f'{b}, {float(x)!r}D' for b, x, _ in rows)})")
+        self.comp = F.expr(f"map({', '.join(f'{b}, {float(x)!r}D' for b, _, x in rows)})")
 
     def snap(self, n: Column) -> Column:
         """The next bucket, at most the table's largest."""
