@@ -15,10 +15,11 @@ from jobloom.operators.running import row_numbers
 from jobloom.plans.multi import EXACT_JOBS, plan_multi
 from jobloom.plans.single import candidate_shapes, compiled_shapes, fluid_bound, job_bound, job_class
 from jobloom.sources.documents import scan
-from jobloom.sources.records import expand, read_records
+from jobloom.sources.records import expand, read_records, read_template
+from jobloom.sources.writer import DocumentSink
 from jobloom.storage import materialize
 
-__all__ = ["Planner", "execute", "expand", "plan", "read_records", "report", "scan", "timing_of"]
+__all__ = ["Planner", "execute", "expand", "plan", "read_records", "read_template", "report", "scan", "timing_of", "write_documents"]
 
 POLICIES = ("search", "round_robin")
 #: Seeded searches and the most moves of each, by effort.
@@ -163,3 +164,9 @@ def execute(placed: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[p
     ``fn`` takes and gives batches, so a queue of any length is never held whole.
     """
     return placed.repartition("slot").sortWithinPartitions("slot", "shape", "job_id").mapInPandas(fn, schema)
+
+
+def write_documents(expanded: DataFrame, path: str, overwrite: bool = False, strict: bool = False) -> None:
+    """Write (name, document) rows as one JSON file each, in a folder a task; wrong records are reported, the others written."""
+    expanded.sparkSession.dataSource.register(DocumentSink)
+    expanded.write.format("documents").option("path", path).option("strict", str(strict).lower()).mode("overwrite" if overwrite else "append").save()

@@ -14,25 +14,30 @@ from pyspark.sql import functions as F
 from jobloom.storage import materialize
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with the inclusive running sum of ``value`` in each group, in ``order``.
+def running_totals(df: DataFrame, groups: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with inclusive running sums in each group, in ``order``: ``values`` has the column to sum by the name of its sum.
 
     ``groups`` and ``order`` together should tell rows apart.  Materialised
     once sorted, so the partition numbers that the second level builds on do
     not change when a task is run again.
     """
-    ranged = materialize(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), out)
-    sums = ranged.groupBy(*groups, "_part").agg(F.sum(value).alias("_sum"))
+    ranged = materialize(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()), next(iter(values)))
+    sums = ranged.groupBy(*groups, "_part").agg(*(F.sum(v).alias(f"_sum_{out}") for out, v in values.items()))
     ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    before = sums.select(*groups, "_part", *(F.coalesce(F.sum(f"_sum_{out}").over(ahead), F.lit(0)).alias(f"_before_{out}") for out in values))
     here = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn(out, F.sum(value).over(here)).alias("r")
+    local = ranged.withColumns({out: F.sum(v).over(here) for out, v in values.items()}).alias("r")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, "_part"]]
     both: Column = same[0]
     for x in same[1:]:
         both &= x
     kept = [F.col(f"r.{c}") for c in df.columns]
-    return local.join(before.alias("b"), both).select(*kept, (F.col(f"r.{out}") + F.col("b._before")).alias(out))
+    return local.join(before.alias("b"), both).select(*kept, *((F.col(f"r.{out}") + F.col(f"b._before_{out}")).alias(out) for out in values))
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with the inclusive running sum of ``value`` in each group, in ``order``."""
+    return running_totals(df, groups, order, {out: value})
 
 
 def row_numbers(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions import scalars as S
+from jobloom.operators.naming import unique_names
+from jobloom.operators.running import running_totals
 
 KINDS = ("protein", "rna", "dna", "ligand")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, text) of whole text files, lines from 1."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), F.trim("text").alias("text"))
+    """(path, block, at, text, one): the lines of text files of any size.
+
+    Spark's text source cuts large files into byte ranges and gives each line
+    to the range in which it begins; (block, at) orders a file's lines: the
+    range's first byte, and the line's place in its task.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return raw.select("path", "block", "at", F.trim("value").alias("text"), F.lit(1).cast("bigint").alias("one"))
 
 
 def read_fasta(spark: SparkSession, path: str, kind: str = "protein") -> DataFrame:
-    """(kind, id_hint, payload, description, count, line): a record starts at each ``>``; text before the first is an error."""
-    by = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _lines(spark, path).filter("text <> ''").withColumn("n", F.sum(F.when(F.col("text").startswith(">"), 1).otherwise(0)).over(by))
+    """(kind, id_hint, payload, description, count, line): a record starts at each ``>``; text before the first is an error.
+
+    Records and lines are numbered by running sums over all ranges of a file,
+    so a record may lie across any number of them; its own lines meet in one row.
+    """
+    if kind not in KINDS or kind == "ligand":
+        raise ValueError(f"no sequences of kind {kind}")
+    head = F.col("text").startswith(">").cast("bigint")
+    rows = running_totals(_lines(spark, path).withColumn("head", head), ["path"], ["block", "at"], {"n": "head", "line": "one"}).filter("text <> ''")
     rows = rows.withColumn("n", F.when(F.col("n") == 0, F.raise_error(F.lit("sequence before the first header")).cast("bigint")).otherwise(F.col("n")))
     parts = rows.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("p"))
     header = F.trim(F.substring(F.element_at("p", 1)["text"], 2, 1 << 20))
@@ -28,11 +43,10 @@ def read_fasta(spark: SparkSession, path: str, kind: str = "protein") -> DataFra
 
 
 def read_smiles(spark: SparkSession, path: str) -> DataFrame:
-    """One ligand a line: SMILES and an optional name; ``#`` comments; unnamed ones are ``lig`` and their number."""
-    rows = _lines(spark, path).filter((F.col("text") != "") & ~F.col("text").startswith("#"))
-    n = F.row_number().over(Window.partitionBy("path").orderBy("line"))
-    parts = F.split("text", r"\s+", 2)
-    return rows.select(F.lit("ligand").alias("kind"), F.coalesce(F.get(parts, F.lit(1)), F.concat(F.lit("lig"), n)).alias("id_hint"), F.get(parts, F.lit(0)).alias("payload"), F.lit("").alias("description"), F.lit(1).alias("count"), "line")
+    """One ligand a line: SMILES and an optional name; ``#`` comments; an unnamed one is ``lig`` and its line."""
+    rows = running_totals(_lines(spark, path), ["path"], ["block", "at"], {"line": "one"}).filter((F.col("text") != "") & ~F.col("text").startswith("#"))
+    parts = F.split("text", r"\s+", 3)
+    return rows.select(F.lit("ligand").alias("kind"), F.coalesce(F.get(parts, F.lit(1)), F.concat(F.lit("lig"), "line")).alias("id_hint"), F.get(parts, F.lit(0)).alias("payload"), F.lit("").alias("description"), F.lit(1).alias("count"), "line")
 
 
 def read_table(spark: SparkSession, path: str, default_kind: str = "protein", sep: str = ",") -> DataFrame:
@@ -59,7 +73,7 @@ def read_table(spark: SparkSession, path: str, default_kind: str = "protein", se
 def read_records(spark: SparkSession, path: str, default_kind: str = "protein") -> DataFrame:
     """Records by the file's suffix."""
     suffix = path.rsplit(".", 1)[-1].lower()
-    if suffix in ("fa", "fasta", "faa", "fna"):
+    if suffix in ("fa", "fasta", "faa", "fna", "fas"):
         return read_fasta(spark, path, default_kind)
     if suffix in ("smi", "smiles"):
         return read_smiles(spark, path)
@@ -68,12 +82,41 @@ def read_records(spark: SparkSession, path: str, default_kind: str = "protein")
     raise ValueError(f"no reader for .{suffix} files")
 
 
-def expand(template: str, used: list[str], stem: str, records: DataFrame) -> DataFrame:
-    """(name, document): the template with each record's entity appended, its chains under free ids.
+def check_template(text: str) -> dict:
+    """A template as an object: it needs ``modelSeeds``, and a list of ``sequences`` if any."""
+    template = json.loads(text)
+    if not isinstance(template, dict):
+        raise ValueError("a template must be a JSON object")
+    if "modelSeeds" not in template:
+        raise ValueError("template is missing modelSeeds")
+    if not isinstance(template.setdefault("sequences", []), list):
+        raise ValueError("a template's sequences must be a list")
+    return template
+
+
+def read_template(spark: SparkSession, path: str) -> dict:
+    """The template in a file: one small document."""
+    return check_template(spark.read.text(path, wholetext=True).first().value)
+
+
+def used_ids(template: dict) -> list[str]:
+    """The ids of a template's entities, each a text or a list of them; parts of another form have none."""
+    bodies = [next(iter(x.values())) for x in template.get("sequences") or [] if isinstance(x, dict) and x]
+    ids = [b.get("id") for b in bodies if isinstance(b, dict)]
+    return sorted({str(x) for i in ids for x in (i if isinstance(i, list) else [i] if i else [])})
+
+
+def expand(template: str | dict, used: list[str] | None, stem: str, records: DataFrame) -> DataFrame:
+    """(name, document, line): the template under each record's name, with the record's entity appended, its chains under free ids.
 
-    ``template`` is a JSON object with a ``sequences`` array; ``used`` its ids.
-    Equal names get the suffixes _2, _3 and so on.
+    ``template`` is a JSON object (``check_template``); ``used`` are ids that
+    no chain may have, by default the template's own.  Equal names get the
+    suffixes _2, _3 and so on, the next that no name has.
     """
+    template = check_template(json.dumps(template) if isinstance(template, dict) else template)
+    used = used_ids(template) if used is None else used
+    others = json.dumps({k: v for k, v in template.items() if k not in ("name", "sequences")})[1:-1]
+    before = "".join(json.dumps(x) + "," for x in template["sequences"])
     ids = S.free_ids(F.array(*map(F.lit, used)) if used else F.array().cast("array<string>"), F.col("count"))
     one = F.when(F.size(ids) == 1, F.concat(F.lit('"'), F.element_at(ids, 1), F.lit('"'))).otherwise(F.to_json(ids))
     quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1 << 30)  # noqa: E731  {"x":...} without its head, still with }
@@ -85,11 +128,10 @@ def expand(template: str, used: list[str], stem: str, records: DataFrame) -> Dat
         .otherwise(F.concat(F.lit('"sequence":'), value(F.col("payload")), F.lit(',"modifications":[],"unpairedMsa":""'), F.when(F.col("kind") == "protein", F.lit(',"pairedMsa":"","templates":[]')).otherwise("")))
     )
     entity = F.concat(F.lit('{"'), F.col("kind"), F.lit('":{"id":'), one, F.lit(","), body, F.lit("}}"))
-    head, tail = template.rstrip().rstrip("}"), "}"
-    at = head.rindex("]")
-    sep = "" if head[:at].rstrip().endswith("[") else ","
+    value = lambda c: F.regexp_replace(F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":', ""), r"\}$", "")
     base = F.concat(F.lit(f"{stem}__"), S.sanitise(F.col("id_hint")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("line" if "line" in records.columns else "payload"))
-    rows = records.withColumn("base", base).withColumn("n", n)
-    name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", "n"))
-    return rows.select(name.alias("name"), F.concat(F.lit(head[:at] + sep), entity, F.lit(head[at:] + tail)).alias("document"))
+    order = "line" if "line" in records.columns else "payload"
+    rows = unique_names(records.withColumn("base", base), "base", [order, "payload"], "name")
+    document = F.concat(F.lit('{"name":'), value(F.col("name")), F.lit(f",{others}" + f',"sequences":[{before}'), entity, F.lit("]}"))
+    line = F.col("line") if "line" in records.columns else F.lit(None).cast("int").alias("line")
+    return rows.select("name", document.alias("document"), line)

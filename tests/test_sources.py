@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import scalars as S
-from jobloom.sources import documents, ledger, records
+from jobloom.sources import documents, ledger, records, writer
 
 LADDER = [128, 256, 512]
 
@@ -72,7 +72,7 @@ def test_record_files(spark, tmp_path):
     got = [(r.id_hint, r.payload, r.description, r.line) for r in records.read_records(spark, str(tmp_path / "r.fasta")).orderBy("line").collect()]
     assert got == [("one", "ACDEFG", "one first", 2), ("two", "", "two", 6), ("three", "A", "three x", 7)]
     (tmp_path / "l.smi").write_text("# comment\nCCO ethanol\n\nC\n")
-    assert [(r.id_hint, r.payload) for r in records.read_records(spark, str(tmp_path / "l.smi")).orderBy("line").collect()] == [("ethanol", "CCO"), ("lig2", "C")]
+    assert [(r.id_hint, r.payload) for r in records.read_records(spark, str(tmp_path / "l.smi")).orderBy("line").collect()] == [("ethanol", "CCO"), ("lig4", "C")]
     (tmp_path / "t.csv").write_text("ID,Sequence,SMILES,CCD_codes,Type,Count\np,ACD,,,RNA,2\nq,,CCO,,,\nr,,,ATP,ligand,1\n")
     assert [(r.kind, r.payload, r["count"]) for r in records.read_records(spark, str(tmp_path / "t.csv")).orderBy("id_hint").collect()] == [("rna", "ACD", 2), ("ligand", "CCO", 1), ("ligand", "ATP", 1)]
     for bad in ("x,ACD,CCO,,,1", "x,ACD,,,peptide,1", "x,ACD,,,,0", "x,ACD,,,,1.5", "x,,,,,1"):
@@ -116,3 +116,89 @@ def test_scalars(spark):
     assert [one(S.exit_code(F.lit(c))) for c in (0, 3, -9)] == [0, 3, 137]
     with pytest.raises(Exception):  # noqa: B017
         one(S.bucket_for(F.lit(-1).cast("bigint"), rungs))
+
+
+def test_records_across_byte_ranges(spark, tmp_path):
+    """Small ranges cut lines and records; numbers and texts are those of the whole file."""
+    text, want, line = "", [], 1
+    for k in range(60):
+        body = ["ACDEFGHIKL"[: 1 + (k + j) % 10] for j in range(k % 7)]
+        text += f">rec{k} of {k}\n" + "".join(b + "\n" for b in body) + ("\n" if k % 3 == 0 else "")
+        want.append((f"rec{k}", "".join(body), line))
+        line += 1 + len(body) + (k % 3 == 0)
+    (tmp_path / "big.fasta").write_text(text)
+    (tmp_path / "big.smi").write_text("".join(f"C{'C' * (k % 9)} n{k} rest\n" if k % 4 else "O\n" for k in range(80)))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("200", "0"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        assert spark.read.text(str(tmp_path / "big.fasta")).rdd.getNumPartitions() >= 4
+        got = records.read_records(spark, str(tmp_path / "big.fasta"), "rna").orderBy("line").collect()
+        assert [(r.id_hint, r.payload, r.line) for r in got] == want and {r.kind for r in got} == {"rna"}
+        smi = records.read_records(spark, str(tmp_path / "big.smi")).orderBy("line").collect()
+        assert [(r.id_hint, r.line) for r in smi] == [(f"n{k}" if k % 4 else f"lig{k + 1}", k + 1) for k in range(80)]
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    (tmp_path / "e.fasta").write_text("")
+    assert records.read_records(spark, str(tmp_path / "e.fasta")).collect() == []
+    with pytest.raises(ValueError, match="ligand"):
+        records.read_fasta(spark, str(tmp_path / "big.fasta"), "ligand")
+    (tmp_path / "bad.fasta").write_text("ACD\n>x\n")
+    with pytest.raises(Exception, match="before the first header"):
+        records.read_records(spark, str(tmp_path / "bad.fasta")).collect()
+
+
+def test_documents_are_written_and_wrong_records_reported(spark, tmp_path):
+    spark.dataSource.register(writer.DocumentSink)
+    rows = [(f"n{k}", json.dumps({"k": k}), k) for k in range(20)] + [("bad", "{", 20), ("list", "[1]", 21), (None, "{}", 22), ("none", None, 23), ("../up", "{}", 24), ("_hidden", "{}", 25)]
+    df = spark.createDataFrame(rows, "name string, document string, line int").repartition(3)
+    out = tmp_path / "out"
+
+    def save(rows, mode="append", **options):
+        w = rows.write.format("documents").option("path", str(out)).mode(mode)
+        for k, v in options.items():
+            w = w.option(k, v)
+        w.save()
+
+    save(df)
+    found = {p.stem: json.loads(p.read_text()) for p in out.glob("part-*/n*.json")}
+    assert found == {f"n{k}": {"k": k} for k in range(20)} and len(list(out.glob("part-*"))) == 3
+    report = json.loads((out / "_report.json").read_text())
+    assert (report["written"], report["wrong"]) == (20, 6)
+    errors = {e["line"]: e["error"] for p in out.glob("part-*/_errors.jsonl") for e in map(json.loads, p.read_text().splitlines())}
+    assert set(errors) == set(range(20, 26)) and errors[21] == "not a JSON object" and errors[25] == "unusable name"
+    before = sorted(p.name for p in out.rglob("*"))
+    with pytest.raises(Exception, match="not a JSON object|not JSON|no document|unusable name"):
+        save(df, strict="true")
+    assert sorted(p.name for p in out.rglob("*")) == before
+    with pytest.raises(Exception, match="no column"):
+        save(df.select("name"))
+    save(df.filter("line < 2"), mode="overwrite")
+    assert sorted(p.stem for p in out.glob("part-*/*.json")) == ["n0", "n1"]
+    jobs, _ = documents.scan(spark, str(out / "part-*"), LADDER)
+    assert jobs.count() == 0  # these documents have no jobs' fields
+
+
+def test_templates_are_checked_and_expanded_documents_scan(spark, tmp_path):
+    from jobloom import api
+
+    for text, why in (("[1]", "JSON object"), ('{"name": "x"}', "modelSeeds"), ('{"modelSeeds": [1], "sequences": 3}', "a list")):
+        (tmp_path / "t.txt").write_text(text)
+        with pytest.raises(ValueError, match=why):
+            records.read_template(spark, str(tmp_path / "t.txt"))
+    template = {"name": "base", "modelSeeds": [7], "dialect": "x", "sequences": [protein(3, ["A", "C"]), 5, {}, {"rna": "odd"}, {"ligand": {"id": 4}}]}
+    assert records.used_ids(template) == ["4", "A", "C"]
+    template["sequences"] = [protein(3, ["A", "C"])]
+    (tmp_path / "t.txt").write_text(json.dumps(template))
+    rows = [("protein", "p", "ACD", "", 2, 1), ("protein", "p", "AC", "", 1, 2), ("protein", "p 2", "A", "", 1, 3), ("protein", 'q"', "A", "", 1, 4)]
+    recs = spark.createDataFrame(rows, "kind string, id_hint string, payload string, description string, count int, line int")
+    made = records.expand(records.read_template(spark, str(tmp_path / "t.txt")), None, "base", recs)
+    got = {r.line: json.loads(r.document) for r in made.collect()}
+    assert [got[k]["name"] for k in (1, 2, 3)] == ["base__p", "base__p_2", "base__p_2_2"]
+    assert got[1]["sequences"][-1]["protein"]["id"] == ["B", "D"] and got[2]["sequences"][-1]["protein"]["id"] == "B"
+    assert all(d["modelSeeds"] == [7] and d["dialect"] == "x" and d["sequences"][0] == protein(3, ["A", "C"]) for d in got.values())
+    api.write_documents(made, str(tmp_path / "out"))
+    jobs, rejects = documents.scan(spark, str(tmp_path / "out" / "part-*"), LADDER)
+    assert {r.tokens for r in jobs.collect()} == {6 + 6, 6 + 2, 6 + 1} and rejects.count() == 0
