@@ -28,6 +28,12 @@ def crc_mod(col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes that stand for a row's id and text; nulls count, so (t, null) and (null, t) differ."""
+    one, two = F.col(id_col), F.col(text_col)
+    return F.xxhash64(one.isNull(), one, two.isNull(), two), F.hash(two, two.isNull(), one, one.isNull())
+
+
 # ---------------------------------------------------------------- batches
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm._shared import row_keys
 from jobloom.storage import materialize
 
 WINDOW = 5
@@ -112,8 +113,8 @@ def longest_run(places: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("k1"), F.hash(text, F.col(id_col)).alias("k2"), F.col(id_col).alias("id"), text.alias("text"))
+    k1, k2 = row_keys(id_col, text_col)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -186,7 +187,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which no benchmark item is found, all columns kept."""
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.hash(F.col(text_col), F.col(id_col)).alias("k2"), F.struct(*docs.columns).alias("row"))
+    k1, k2 = row_keys(id_col, text_col)
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*docs.columns).alias("row"))
     bad = contamination(docs, items, id_col, text_col, item_col, item_text)
     return keyed.join(bad.select("k1", "k2"), ["k1", "k2"], "left_anti").select("row.*")
 

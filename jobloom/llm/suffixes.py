@@ -24,7 +24,9 @@ quicksort: both give the same neighbours.
 
 Defined results: a null text is empty; a text shorter than ``LENGTH`` keeps
 all bytes; rows with equal id and text count as places of their own, so they
-repeat each other; an empty table gives no rows; matches never cross texts.
+repeat each other, also where a boundary falls between them; very long texts
+are taken whole; an empty table gives no rows; matches never cross texts; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import Rolling, mix64, slices, texts_of
+from jobloom.llm._shared import Rolling, mix64, row_keys, slices, texts_of
 from jobloom.llm.bits import build_bits, test
 from jobloom.storage import materialize
 
@@ -87,7 +89,8 @@ def runs_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.hash(F.col(text_col), F.col(id_col)).alias("key2")
+    key, key2 = row_keys(id_col, text_col)
+    return key.alias("key"), key2.alias("key2")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
@@ -203,7 +206,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(key, key2, at, span): places that a repeated string of ``LENGTH`` bytes covers."""
     places = materialize(compared_runs(sorted_runs(docs, id_col, text_col)), "runs")
     fine = repeated_windows(open_windows(docs, places.filter("open"), id_col, text_col))
-    return places.filter("repeated").select("key", "key2", "at", "span").unionByName(fine)
+    # a partition opens a run's content once, so a place that two of them open belongs to equal rows on both sides of a boundary
+    twins = places.filter("open").groupBy("key", "key2", "at", "span").agg(F.count("*").alias("n")).filter("n > 1")
+    place = ("key", "key2", "at", "span")
+    return places.filter("repeated").select(*place).unionByName(twins.select(*place)).unionByName(fine)
 
 
 def cut(raw: bytes, at: np.ndarray, span: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:

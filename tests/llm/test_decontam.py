@@ -135,3 +135,13 @@ def test_large_benchmarks_are_joined_by_a_shuffle(spark, items, monkeypatch):
 def test_main_path_is_native(spark, items):
     plan = decontam.contamination_report(table(spark), items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_text_ids_and_nulls_are_told_apart(spark):
+    from jobloom.llm.decontam import contamination_report, decontaminate
+
+    t = "how many apples does the careful farmer sell to the baker on the second morning of the long winter market"
+    docs = spark.createDataFrame([(t, None), (None, t), ("z", t), ("y", "nothing of the kind")], "doc_id string, text string")
+    items = spark.createDataFrame([(1, t)], "item_id long, text string")
+    assert {(r.doc_id, r.contaminated) for r in contamination_report(docs, items).collect()} == {(t, False), (None, True), ("z", True), ("y", False)}
+    assert {r.doc_id for r in decontaminate(docs, items).collect()} == {t, "y"}

@@ -65,3 +65,30 @@ def test_windows_lie_in_exactly_one_run():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_equal_rows_on_both_sides_of_a_boundary(spark):
+    """Each run in a partition of its own, or nearly: copies are compared across boundaries."""
+    rnd = random.Random(5)
+    text = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n)).decode()
+    t = text(3000)
+    data = [(1, t), (1, t), (2, text(2500)), (3, t[500:1200] + text(100)), (4, text(900)), (4, None), (5, None), (5, None)]
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for parts in ("4", "64"):
+            for n, v in zip(names, ("false", parts), strict=True):
+                spark.conf.set(n, v)
+            for rows_ in (data, [*data, (1, t)], [(i, t) for i in (1, 1, 2, 2)]):
+                full = [(*r, None, None, None, None, None, None) for r in rows_]
+                assert run(spark, full) == expected(full)
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+
+
+def test_text_ids_and_nulls_are_told_apart(spark):
+    t = "".join(random.Random(6).choice("abcdefgh") for _ in range(700))
+    docs = spark.createDataFrame([(t, None), (None, t), ("z", t)], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.n_bytes, r.n_removed) for r in suffixes.repeat_digest(docs).collect())
+    assert got == [("", 700, 700), (t, 0, 0), ("z", 700, 700)]
