@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from jobloom.operators import expressions, extras, more, naming, relational  # noqa: F401  registers
+from jobloom.operators import expressions, extras, more, naming, relational, verify  # noqa: F401  registers
 from jobloom.plans import queries as plan_queries  # noqa: F401  registers
 from jobloom.registry import QUERIES, SQL, Query
 from jobloom.sources import queries as source_queries  # noqa: F401  registers
+from jobloom.sources import synthetic  # noqa: F401  registers
 from jobloom.streaming import queries as stream_queries  # noqa: F401  registers
 
 

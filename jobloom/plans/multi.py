@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 INF = 10**18
 #: Inputs of at most so many jobs are planned exactly: 3 ** 12 pairs of disjoint sets an executor.
 EXACT_JOBS = 12
-#: Costs that are remembered at once, and halvings of a deadline's interval.
-MEMO, HALVINGS = 1 << 16, 10
+#: What remembered costs may hold at once, in classes with units (some 70 MB), and halvings of a deadline's interval.
+MEMO, HALVINGS = 1 << 19, 10
 #: What the moves of one search may cost, in pairs of classes that are looked at.
 CELLS = 1_000_000
 
@@ -33,7 +33,7 @@ class Costs:
     """
 
     def __init__(self, compile_cost: list[list[int]], infer_cost: list[list[int]]):
-        self.compile, self.infer, self.memo, self.worth, self.cells = compile_cost, infer_cost, {}, {}, 0
+        self.compile, self.infer, self.memo, self.held, self.worth, self.cells = compile_cost, infer_cost, {}, 0, {}, 0
 
     def of(self, kind: int, units: tuple[int, ...]) -> int:
         return self.of_used(kind, [(k, u) for k, u in enumerate(units) if u], len(units))
@@ -42,8 +42,10 @@ class Costs:
         """The same from the classes that hold units, in order."""
         key = (kind, *used)
         if key not in self.memo:
-            if len(self.memo) >= MEMO:
+            self.held += len(used) + 1
+            if self.held > MEMO:
                 self.memo.clear()
+                self.held = len(used) + 1
             best = [0]  # the least cost of the first classes in use
             for b in range(len(used)):
                 best.append(self.with_last(kind, used[: b + 1], best, used[b + 1][0] if b + 1 < len(used) else n_classes))
@@ -227,6 +229,26 @@ def descend(costs: Costs, kinds: list[int], types: list[tuple[int, int, int]], s
     return loads, state
 
 
+def exact_rounds(costs: list[DataFrame], key: str) -> DataFrame:
+    """(key, makespan): the least makespan of each key's jobs over several executors, a round of joins an executor.
+
+    ``costs`` has a table an executor: (key, n, mask, cost), what each set of
+    the key's n jobs costs there, a bit a job.  A round joins what the first
+    executors may have taken with disjoint sets of the next one, and keeps the
+    least for each union; the last one takes what is left.  A key has 2 ** n
+    sets, and n is at most ``EXACT_JOBS``; keys are independent and any number.
+    """
+    best = costs[0].select(key, "n", "mask", F.col("cost").alias("top"))
+    for g, table in enumerate(costs[1:]):
+        own = table.select(key, F.col("mask").alias("mine"), "cost")
+        if g == len(costs) - 2:
+            left = best.withColumn("mine", F.call_function("shiftleft", F.lit(1), F.col("n")) - 1 - F.col("mask"))
+            return left.join(own, [key, "mine"]).groupBy(key).agg(F.min(F.greatest("top", "cost")).alias("makespan"))
+        pairs = best.join(own, key).filter(F.col("mask").bitwiseAND(F.col("mine")) == 0)
+        best = pairs.groupBy(key, "n", F.col("mask").bitwiseOR(F.col("mine")).alias("mask")).agg(F.min(F.greatest("top", "cost")).alias("top"))
+    return best.filter(F.col("mask") == F.call_function("shiftleft", F.lit(1), F.col("n")) - 1).groupBy(key).agg(F.min("top").alias("makespan"))
+
+
 def few(types: list[tuple[int, int, int]]) -> bool:
     """Whether there are so few jobs that all deals can be compared."""
     return sum(n for _, _, n in types) <= EXACT_JOBS
