@@ -35,6 +35,47 @@ def default_timing(spark: SparkSession) -> DataFrame:
     return spark.range(ALIGN, TABLE_MAX + 1, ALIGN).coalesce(1).select(b.alias("bucket"), inf.alias("inf"), comp.alias("comp"))
 
 
+#: The columns of a measured table's file.
+TIMING_CSV = "Bucket_size bigint, Inference_modifier double, Compilation_modifier double"
+
+
+def read_timing(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, inf, comp) from a CSV file with a header; columns are found by name, in any order, others are left.
+
+    A row without a whole positive bucket or a positive factor is an error, and
+    so is a bucket that is there twice.
+    """
+    raw = spark.read.csv(path, header=True)
+    names = [c.split()[0] for c in TIMING_CSV.split(", ")]
+    if missing := [c for c in names if c not in raw.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    b, i, c = F.col(names[0]).try_cast("bigint"), F.col(names[1]).try_cast("double"), F.col(names[2]).try_cast("double")
+    fine = F.coalesce((b > 0) & (i > 0) & (c > 0) & (i < float("inf")) & (c < float("inf")), F.lit(False))
+    told = F.concat(F.lit(f"{path}: no timing in the row "), F.to_json(F.struct(*names)))
+    rows = raw.select(F.when(fine, b).otherwise(F.raise_error(told).cast("bigint")).alias("bucket"), i.alias("inf"), c.alias("comp"))
+    twice = F.concat(F.lit(f"{path}: more than one row for bucket "), F.col("bucket"))
+    one = rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.first("inf").alias("inf"), F.first("comp").alias("comp"))
+    return one.select(F.when(F.col("_n") == 1, F.col("bucket")).otherwise(F.raise_error(twice).cast("bigint")).alias("bucket"), "inf", "comp")
+
+
+class TimingTables:
+    """Timing tables by name: files, or DataFrames (bucket, inf, comp); ``default`` is the one by rule."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, str | DataFrame] | None = None):
+        self.spark, self.tables = spark, dict(tables or {})
+
+    def names(self) -> list[str]:
+        return sorted({"default", *self.tables})
+
+    def table(self, name: str) -> DataFrame:
+        if name in self.tables:
+            found = self.tables[name]
+            return read_timing(self.spark, found) if isinstance(found, str) else found.select("bucket", "inf", "comp")
+        if name == "default":
+            return default_timing(self.spark)
+        raise ValueError(f"no timing table {name!r}; there are {', '.join(self.names())}")
+
+
 def table_array(timing: DataFrame) -> list[tuple[int, float, float]]:
     """The table's rows in order; a few hundred at most, so they travel as a literal."""
     rows = sorted((r.bucket, r.inf, r.comp) for r in timing.limit(10_001).collect())

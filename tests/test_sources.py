@@ -202,3 +202,49 @@ def test_templates_are_checked_and_expanded_documents_scan(spark, tmp_path):
     api.write_documents(made, str(tmp_path / "out"))
     jobs, rejects = documents.scan(spark, str(tmp_path / "out" / "part-*"), LADDER)
     assert {r.tokens for r in jobs.collect()} == {6 + 6, 6 + 2, 6 + 1} and rejects.count() == 0
+
+
+def test_timing_tables_by_name(spark, tmp_path):
+    from jobloom import api
+    from jobloom.functions.timing import Timing, TimingTables, read_timing, table_array
+
+    (tmp_path / "t.csv").write_text("note,Compilation_modifier,Bucket_size,Inference_modifier\nx,0.5,128,0.1\ny,1.0,64,0.05\n")
+    tables = TimingTables(spark, {"fast": str(tmp_path / "t.csv"), "own": spark.createDataFrame([(10, 1.0, 2.0, "z")], "bucket long, inf double, comp double, more string")})
+    assert tables.names() == ["default", "fast", "own"]
+    assert table_array(tables.table("fast")) == [(64, 0.05, 1.0), (128, 0.1, 0.5)]
+    assert table_array(tables.table("own")) == [(10, 1.0, 2.0)] and len(table_array(tables.table("default"))) == 80
+    with pytest.raises(ValueError, match="no timing table 'slow'; there are default, fast, own"):
+        tables.table("slow")
+    jobs = spark.createDataFrame([("a", 60, 1), ("b", 100, 2)], "job_id string, tokens long, n_seeds long")
+    executors = spark.createDataFrame([(0, 0, 0, 1000)], "slot long, kind long, compile_us long, infer_us long")
+    assert {(r.job_id, r["shape"]) for r in api.plan(jobs, executors, tables.table("fast")).collect()} == {("a", 64), ("b", 128)}
+    assert spark.range(1).select(Timing(table_array(tables.table("fast"))).inference_us(F.lit(1000), F.lit(64).cast("long")).alias("x")).first().x == 50
+    for text, why in (("Bucket_size,Inference_modifier\n1,2\n", "Compilation_modifier"), ("Bucket_size,Inference_modifier,Compilation_modifier\n1.5,1,1\n", "no timing"), ("Bucket_size,Inference_modifier,Compilation_modifier\n64,1,1\n64,2,2\n", "more than one"), ("Bucket_size,Inference_modifier,Compilation_modifier\n64,nan,1\n", "no timing")):
+        (tmp_path / "bad.csv").write_text(text)
+        with pytest.raises(Exception, match=why):
+            read_timing(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_only_clean_measurements_are_kept(spark, tmp_path):
+    schema = "gpu_key string, host string, t_ms array<double>, at double"
+    clean, noisy = [1000.0, 200.0, 180.0, 220.0], [500.0, 400.0, 100.0, 200.0]
+    first = spark.createDataFrame([("a", "h", clean, 1.0), ("b", "h", noisy, 1.0), ("c", "h", [1.0, 2.0], 1.0), (None, "h", clean, 1.0), ("d", None, clean, 2.0), ("e", "h", [1.0, None, 1.0, 1.0], 1.0)], schema)
+    path = str(tmp_path / "cache")
+    for _ in range(2):
+        assert [r.gpu_key for r in ledger.cache_measurements(first, path, 0).collect()] == ["b"]
+    ledger.cache_measurements(spark.createDataFrame([("a", "h", [10.0, 10.0, 100.0, 100.0], 5.0), ("d", None, noisy, 9.0)], schema), path, 1)
+    cached = ledger.cached_measurements(spark, path)
+    assert sorted((r.gpu_key, r.s_ms, r.contaminated) for r in cached.collect()) == [("a", 100.0, False), ("d", 200.0, False)]
+    executors = spark.createDataFrame([(0, "K", "a"), (1, "K", "x"), (2, "L", "y"), (3, "M", "d")], "slot long, kind string, gpu_key string")
+    got = {r.slot: (r.s_ms, r.origin) for r in ledger.reused_measurements(executors, cached).collect()}
+    assert got == {0: (100.0, "own"), 1: (100.0, "kind"), 2: (None, "none"), 3: (200.0, "own")}
+
+
+def test_rankings_and_best_results(spark, tmp_path):
+    rows = [("a", 1, 0, 0.5), ("a", 1, 1, 0.9), ("a", 2, 0, 0.9), ("b", 1, 0, float("nan")), ("b", 2, 0, -1.0), ("c", 1, 0, None)]
+    results = spark.createDataFrame(rows, "job string, seed int, sample int, ranking_score double").repartition(3)
+    assert sorted(tuple(r) for r in ledger.best_results(results).collect()) == [("a", 1, 1, 0.9), ("b", 2, 0, -1.0), ("c", 1, 0, None)]
+    for _ in range(2):
+        ledger.write_rankings(results, str(tmp_path))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "rankings" / "job=a").glob("*.csv")))
+    assert text.replace("seed,sample,ranking_score\n", "").splitlines() == ["1,0,0.5", "1,1,0.9", "2,0,0.9"]
