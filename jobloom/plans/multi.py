@@ -299,11 +299,13 @@ def plan_multi(types: DataFrame, costs: DataFrame, executors: DataFrame, seeds:
             for seed in batch["id"]:
                 loads, state = search(Costs(*table), own, coded, len(shapes), int(seed), moves)
                 key = ",".join(f"{x:019d}" for x in sorted(loads, reverse=True))
-                yield pd.DataFrame([(int(seed), key, slots[g], shapes[c], s, n, loads[g], max(loads)) for g, counts in enumerate(state) for (c, s, _), n in zip(coded, counts, strict=True) if n], columns=["seed", "key", "slot", "shape", "n_seeds", "n_jobs", "load", "makespan"])
+                rows = [(int(seed), None, slots[g], shapes[c], s, n, loads[g], max(loads)) for g, counts in enumerate(state) for (c, s, _), n in zip(coded, counts, strict=True) if n]
+                rows[0] = (rows[0][0], key, *rows[0][2:])  # the key is as long as there are executors: one row has it
+                yield pd.DataFrame(rows, columns=["seed", "key", "slot", "shape", "n_seeds", "n_jobs", "load", "makespan"])
 
     seeds = 1 if few(coded) or len(slots) == 1 else seeds  # a single answer
     found = spark.range(0, seeds, 1, seeds).mapInPandas(run, "seed long, key string, slot long, shape long, n_seeds long, n_jobs long, load long, makespan long").persist()
-    best = found.agg(F.min(F.struct("key", "seed"))["seed"].alias("seed"))
+    best = found.filter("key is not null").agg(F.min(F.struct("key", "seed"))["seed"].alias("seed"))
     return found.join(F.broadcast(best), "seed").drop("seed", "key")
 
 
