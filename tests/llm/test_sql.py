@@ -11,7 +11,7 @@ from jobloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, sf, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         duck.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df = queries.queries()[name](spark, sf)
     columns = sorted(df.columns)
