@@ -22,7 +22,8 @@ def unique_names(rows: DataFrame, base: str, order: list[str], out: str) -> Data
     series skips it, or the base's own rows begin at ``x_2_2``.  Series are
     settled from those whose base is no such name on, a turn a link of such
     chains; in a turn, each number that two could have is compared until no
-    answer changes.  Tables without such names take no turn.
+    answer changes.  Tables without such names take no turn.  A null base is no
+    name: it stays null.
     """
     timed = row_numbers(row_numbers(rows, [], order, "_t"), [base], ["_t"], "_n")
     timed = materialize(timed, "named-rows")
@@ -30,7 +31,7 @@ def unique_names(rows: DataFrame, base: str, order: list[str], out: str) -> Data
     children = bases.select(F.regexp_extract("_b", SUFFIX, 1).alias("_p"), F.regexp_extract("_b", SUFFIX, 2).try_cast("bigint").alias("_k"), F.col("_b").alias("_child"), F.col("_t0").alias("_taken_at")).filter("_k is not null")
     links = materialize(children.join(bases.select(F.col("_b").alias("_p")), "_p"), "links")
     moved = _settle(timed.select(F.col(base).alias("_b"), "_t", "_n"), bases, links) if not links.isEmpty() else None
-    plain = F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("_", base, "_n"))
+    plain = F.when((F.col("_n") == 1) | F.col(base).isNull(), F.col(base)).otherwise(F.concat_ws("_", base, "_n"))
     kept = [F.col(c) for c in rows.columns]
     if moved is None:
         return timed.select(*kept, plain.alias(out))

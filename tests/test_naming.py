@@ -50,3 +50,10 @@ def test_random_cascades(spark):
 
 def test_no_rows(spark):
     assert unique_names(spark.createDataFrame([], "at long, base string"), "base", ["at"], "name").collect() == []
+
+
+def test_null_bases_stay_null(spark):
+    for more in ([], [(3, "x"), (4, "x_2"), (5, "x")]):
+        df = spark.createDataFrame([(0, None), (1, None), (2, "x"), *more], "at long, base string")
+        got = [r.name for r in unique_names(df, "base", ["at"], "name").orderBy("at").collect()]
+        assert got == [None, None, *plain(["x", *(b for _, b in more)])]
