@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,7 +37,7 @@ def model():
 def test_neighbours_are_exact(model):
     texts, _ = corpus()
     vectors = [model.vector(*model.count(t)) for t in texts[:400]]
-    dense = np.zeros((400, len(model.vocabulary) + 1))  # the last term stands for all other words
+    dense = np.zeros((400, len(model.vocabulary)))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
     for t in texts[400:]:
@@ -55,6 +58,64 @@ def test_held_out_accuracy_and_calibration(model):
     assert abs(scores.mean() - y.mean()) < 0.05 and scores.min() >= 0 and scores.max() <= 1
 
 
+def plain_scores(train, labels, texts):
+    """Scores without an index: every cosine of every pair, term by term."""
+    n, n1 = len(train), sum(labels)
+    bags = []
+    for text in [*train, *texts]:
+        bag = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            bag.update([word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) > k)])
+        bags.append(bag)
+    weight = {}
+    for t in set().union(*bags[:n]):
+        a = sum(1 for b, y in zip(bags, labels, strict=False) if y and t in b)
+        d = sum(1 for b in bags[:n] if t in b)
+        b, c, e = d - a, n1 - a, n - n1 - (d - a)
+        value = n * (a * e - b * c) ** 2 / ((a + b) * (c + e) * (a + c) * (b + e) + 1e-9)
+        share = max(0.2, min(1.0, value / 30)) if a * e > b * c else 0.2
+        if share > 0.2 or not t.endswith("*"):
+            weight[t] = (math.log((1 + n) / (1 + d)) + 1) * share
+    vectors = []
+    for bag in bags:
+        v = {t: m * weight[t] for t, m in bag.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors.append({t: x / size for t, x in v.items()})
+
+    def vote(v, without=-1):
+        sims = [(sum(x * u.get(t, 0.0) for t, x in v.items()), -i) for i, u in enumerate(vectors[:n]) if i != without]
+        near = sorted((x for x in sims if x[0] > 0), reverse=True)[:25]
+        return sum(x * labels[-i] for x, i in near) / sum(x for x, _ in near) if near else None
+
+    hits, size = [0] * 10, [0] * 10
+    for i in range(n):
+        if (v := vote(vectors[i], i)) is not None:
+            hits[min(int(v * 10), 9)] += labels[i]
+            size[min(int(v * 10), 9)] += 1
+    mean = lambda i, j: sum(hits[k] + (k + 0.5) / 10 for k in range(i, j + 1)) / sum(size[k] + 1 for k in range(i, j + 1))
+    bins = [max(min(mean(i, j) for j in range(k, 10)) for i in range(k + 1)) for k in range(10)]
+    return [float(np.interp(vote(v), (np.arange(10) + 0.5) / 10, bins)) for v in vectors[n:]]
+
+
+def test_scores_equal_a_plain_version(model):
+    texts, labels = corpus()
+    got = [model.score(t)[0] for t in texts[400:460]]
+    assert np.allclose(got, plain_scores(texts[:400], labels[:400], texts[400:460]), atol=1e-5)
+
+
+def test_every_text_is_searched(model):
+    texts, labels = corpus()
+    clean = [t for t, y in zip(texts[400:], labels[400:], strict=True) if not y]
+    assert all(len(model.score(t)[1]) == toxicity.NEIGHBOURS for t in clean) and max(model.score(t)[0] for t in clean) < toxicity.TOXIC_AT
+
+
+def test_ids_that_repeat_stay_within_the_bound(spark):
+    texts, labels = corpus(60)
+    docs = spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert len(toxicity.fit_on(docs, lab, limit=12).labels) <= 12
+
+
 def test_chance_hits_in_long_texts_score_low(model):
     plain = " ".join(corpus(40, 9)[0])
     assert model.score("zorgle blenkish quarpous zorgles")[0] > 0.8
@@ -87,7 +148,7 @@ def test_cluster_and_driver_fit_the_same_model(spark):
     lab = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
     a, b = toxicity.fit_on(table(spark, data), lab), toxicity.fit([texts[i] for i in train], [labels[i] for i in train])
-    assert a.vocabulary == b.vocabulary and np.allclose(a.idf, b.idf) and np.allclose(a.bins, b.bins) and a.prior == b.prior
+    assert a.vocabulary == b.vocabulary and np.allclose(a.weights, b.weights) and np.allclose(a.bins, b.bins) and a.prior == b.prior
     named = lambda got: (got[0], [{**e, "example": str(train[int(e["example"])])} for e in got[1]])
     assert all(a.score(t) == named(b.score(t)) for t in texts)
     # what the cluster returns is what the plain model gives, evidence included
