@@ -163,3 +163,10 @@ def test_edge_rows(spark):
     assert toxicity.toxicity(table(spark, []), lab).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(table(spark), none).collect()} == {0.0}
+
+
+def test_samples_without_words(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "") for i in range(40)] + [(100, "some words")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, lab).collect()
+    assert len(got) == 41 and len({r.score for r in got}) == 1 and 0 < got[0].score < 1 and not any(r.evidence for r in got)
