@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,31 @@ def test_proportional_deals_whole_types_by_speed():
     assert [c[0] for c in state] == [600, 200, 100] and min(map(min, state)) >= 0
 
 
+def test_searches_over_many_executors_take_little():
+    """4,000 executors and 400 types: what no executor has takes no place, and moves are not listed."""
+    rnd = random.Random(14)
+    n = 40
+    comp = [[rnd.randint(0, 50) for _ in range(n)] for _ in range(3)]
+    inf = [sorted(rnd.randint(5, 60) for _ in range(n)) for _ in range(3)]
+    kinds = [g % 3 for g in range(4000)]
+    types = [(c, s, 10 + 3 * s) for c in range(n) for s in range(1, 11)]
+    for seed in (1, 2):
+        tracemalloc.start()
+        loads, state = multi.search(multi.Costs(comp, inf), kinds, types, n, seed, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16e6  # a number for each executor and type: over 40 MB
+        assert [sum(x) for x in zip(*state, strict=True)] == [m for _, _, m in types]
+        assert loads == [multi.load(multi.Costs(comp, inf), k, types, list(c), n) for k, c in zip(kinds, state, strict=True)]
+
+
+def test_moves_are_the_listed_ones():
+    state = [[0, 5, 1], [2, 0, 0], [1, 0, 8]]
+    for a in range(3):
+        listed = [(t, b, n) for t in range(3) if state[a][t] for b in range(3) if b != a for n in {1, state[a][t] // 2, state[a][t]} if n]
+        assert list(multi.Moves(state, a)) == listed
+
+
 def test_a_shape_that_no_job_has_may_be_the_cheapest(spark):
     """Costs need not rise with the shape: the plan compiles 76 for a job of 72, and both bounds stay below it."""
     from jobloom import api
