@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -69,19 +69,25 @@ class Progress(StatefulProcessor):
         self.now = handle.getValueState("now", "done bigint, current string, shape bigint, tokens bigint, ordinal int, place int, ts double, due bigint")
         self.jobs = handle.getMapState("jobs", "job string", "ts double", self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done, current, shape, tokens, ordinal, place, last, due = self.now.get() if self.now.exists() else (0, "", -1, -1, -1, -1, float("-inf"), -1)
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                if r.event == "job_done":
-                    done += not self.jobs.containsKey((r.job,))
-                    self.jobs.updateValue((r.job,), (float(r.ts),))
-                ts = float("-inf") if pd.isna(r.ts) else float(r.ts)
-                if ts >= last:
-                    same = r.job == current
-                    known = lambda new, old: int(new) if not pd.isna(new) else (old if same else -1)  # noqa: B023, E731
-                    shape, tokens = known(r.shape, shape), known(r.tokens, tokens)
-                    current, ordinal, place, last = r.job, int(r.ordinal), int(r.place), ts
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # each call to the state is a message: one a job and not one an event, and none for entries that a new slot cannot have
+        state = self.now.get()
+        done, current, shape, tokens, ordinal, place, last, due = (0, "", -1, -1, -1, -1, float("-inf"), -1) if state is None else state
+        reported: dict[str, float] = {}
+        for r in rows:
+            ts = float("-inf") if r.ts is None or r.ts != r.ts else float(r.ts)
+            if r.event == "job_done":
+                reported[r.job] = ts
+            if ts >= last:
+                same = r.job == current
+                known = lambda new, old: int(new) if new is not None else (old if same else -1)  # noqa: B023, E731
+                shape, tokens = known(r.shape, shape), known(r.tokens, tokens)
+                current, ordinal, place, last = r.job, int(r.ordinal), int(r.place), ts
+        for job, ts in reported.items():
+            new = state is None or not self.jobs.containsKey((job,))
+            done += new
+            if new or self.keep_ms is not None:
+                self.jobs.updateValue((job,), (ts,))
         if due >= 0:
             self.handle.deleteTimer(due)
         due = -1
@@ -91,7 +97,7 @@ class Progress(StatefulProcessor):
         self.now.update((done, current, shape, tokens, ordinal, place, last, due))
         yield self._row(key[0], done, current, shape, tokens, ordinal, place, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         if self.now.exists():
             done, current, shape, tokens, ordinal, place, last, due = self.now.get()
             if due == expiredTimerInfo.getExpiryTimeInMs():
@@ -99,8 +105,8 @@ class Progress(StatefulProcessor):
                 yield self._row(key[0], done, current, shape, tokens, ordinal, place, True)
 
     @staticmethod
-    def _row(*values) -> pd.DataFrame:
-        return pd.DataFrame({c.split()[0]: [v] for c, v in zip(PROGRESS.split(", "), values, strict=True)})
+    def _row(*values) -> Row:
+        return Row(**{c.split()[0]: v for c, v in zip(PROGRESS.split(", "), values, strict=True)})
 
     def close(self) -> None:
         pass
@@ -122,7 +128,7 @@ def progress(stream: DataFrame, stale_after: str | None = "60 seconds", keep: st
     millis = lambda text: None if text is None else int(pd.Timedelta(text).total_seconds() * 1000)
     placed = stream if "ordinal" in stream.columns else stream.withColumns({"ordinal": F.lit(-1), "place": F.lit(-1)})
     rows = job_events(placed).select("slot", "event", "ts", "job", "shape", "tokens", "ordinal", "place")
-    return rows.groupBy("slot").transformWithStateInPandas(Progress(millis(stale_after), millis(keep)), PROGRESS, "Update", "None" if stale_after is None and keep is None else "ProcessingTime")
+    return rows.groupBy("slot").transformWithState(Progress(millis(stale_after), millis(keep)), PROGRESS, "Update", "None" if stale_after is None and keep is None else "ProcessingTime")
 
 
 def use_state_store(spark: SparkSession) -> None:

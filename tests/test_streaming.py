@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from jobloom.streaming import progress, sinks, tail
@@ -152,6 +153,33 @@ def test_progress_equals_distinct_counts_over_many_batches(spark, tmp_path):
     assert {r.slot: r["count"] for r in counted} == got
 
 
+class Calls:
+    """Map or value state in memory that counts the messages a state store would get."""
+
+    def __init__(self, calls: list):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattr__(self, name: str):
+        told = {"get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "exists": lambda: self.value is not None, "keys": lambda: iter(list(self.map)), "containsKey": lambda k: k in self.map, "updateValue": self.map.__setitem__}[name]
+        return lambda *args: (self.calls.append(name), told(*args))[1]
+
+
+def test_progress_asks_the_state_once_a_job():
+    """500 events of three jobs: a message an event took over 1,000."""
+    calls, rnd = [], random.Random(5)
+    p = progress.Progress(None, None)
+    p.now, p.jobs = Calls(calls), Calls(calls)
+    event = lambda k, job: Row(event="job_done", ts=float(k) if k % 7 else None, job=job, shape=None, tokens=k, ordinal=-1, place=-1)
+    seen = set()
+    for batch in (["a", "b"], ["a", "b", "c"], ["a", "c"], [f"j{k}" for k in range(40)], ["x"]):
+        jobs = [rnd.choice(batch) for _ in range(500)]
+        calls.clear()
+        (got,) = p.handleInputRows(("s",), iter([event(k, j) for k, j in enumerate(jobs)]), None)
+        seen |= set(jobs)
+        assert got.done == len(seen) == len(p.jobs.map) and (got.current, got.tokens) == (jobs[499], 499)
+        assert len(calls) <= 3 + 2 * len(batch)
+
+
 def test_stream_static_join_drops_late_windows(spark, tmp_path):
     jobs = spark.createDataFrame([("a", 10), ("b", 20)], "job string, tokens long")
     schema = "job string, tokens long, at timestamp"
