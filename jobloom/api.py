@@ -47,7 +47,7 @@ def realised(placed: DataFrame, costs: DataFrame) -> tuple[DataFrame, DataFrame]
     ``costs`` (kind, shape, ...) all candidates, also those that no job has.
     """
     loads = placed.groupBy("slot", "kind", "shape").agg(F.sum("n_seeds").alias("units"))
-    compiled = compiled_shapes(loads, costs)
+    compiled = materialize(compiled_shapes(loads, costs), "compiled")  # read twice
     at = F.try_element_at(F.filter("shapes", lambda s: s >= F.col("_class")), F.lit(1))
     moved = placed.withColumnRenamed("shape", "_class").join(compiled.select("slot", "shapes"), "slot")
     return moved.withColumn("shape", at).drop("_class", "shapes"), compiled

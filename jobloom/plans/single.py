@@ -131,18 +131,42 @@ def groups(units: DataFrame, plan: DataFrame) -> DataFrame:
     return placed.groupBy("kind", F.col("at").alias("shape")).agg(F.sum("n_jobs").alias("n_jobs"), F.sum("units").alias("n_inf"))
 
 
+def worthwhile(costs: DataFrame) -> DataFrame:
+    """(kind, shape, options): of each shape those from it on that no smaller one of these equals or beats in both costs, in order.
+
+    A shape that is left out would serve the same jobs as the smaller one, and
+    not cheaper.  A group is a kind's candidates, a bounded table.
+    """
+    costs = costs.select("kind", *(F.col(c).cast("bigint") for c in ("shape", "compile_cost", "infer_cost")))
+    kind = costs.schema["kind"].dataType.simpleString()
+
+    def fold(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("shape", "compile_cost", "infer_cost")), strict=True), reverse=True)
+        kept, lists = [], []
+        for s, c, i in rows:
+            kept = [(s, c, i), *((x, y, z) for x, y, z in kept if y < c or z < i)]
+            lists.append([{"shape": x, "compile_cost": y, "infer_cost": z} for x, y, z in kept])
+        option = pa.struct([(c, pa.int64()) for c in ("shape", "compile_cost", "infer_cost")])
+        return pa.table({"kind": pa.concat_arrays(table["kind"].slice(0, 1).chunks * len(rows)), "shape": pa.array([s for s, _, _ in rows], pa.int64()), "options": pa.array(lists, pa.list_(option))})
+
+    return costs.groupBy("kind").applyInArrow(fold, f"kind {kind}, shape bigint, options array<struct<shape:bigint,compile_cost:bigint,infer_cost:bigint>>")
+
+
 def compiled_shapes(loads: DataFrame, costs: DataFrame) -> DataFrame:
     """(slot, load, shapes): the cheapest shapes for each executor to compile, and what its jobs then cost.
 
     ``loads`` (slot, kind, shape, units) are the units placed on each executor
-    by class.  Any shape with costs is a candidate; the table has a row an
-    executor and shape, whatever the number of jobs.
+    by class.  Any shape with costs is a candidate; an executor's table has the
+    ``worthwhile`` ones between each of its classes and the next, so many
+    executors of few jobs each take little.
     """
-    slots = loads.select("slot", "kind").distinct().join(costs, "kind")
-    own = loads.groupBy("slot", "shape").agg(F.sum("units").alias("units"))
-    upto = F.sum(F.coalesce("units", F.lit(0))).over(Window.partitionBy("slot").orderBy("shape").rowsBetween(Window.unboundedPreceding, 0))
-    hist = slots.join(own, ["slot", "shape"], "left").select("slot", "shape", upto.alias("upto"), "compile_cost", "infer_cost")
-    return cheapest_choices(hist, "slot").withColumnRenamed("cost_us", "load")
+    own = loads.groupBy("slot", "kind", "shape").agg(F.sum("units").alias("units")).join(F.broadcast(worthwhile(costs)), ["kind", "shape"])
+    run = Window.partitionBy("slot").orderBy("shape")
+    upto = F.sum(F.coalesce("units", F.lit(0))).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.lead("shape").over(run)
+    classes = own.select("slot", upto.alias("upto"), below.alias("below"), "options")
+    options = classes.select("slot", "upto", F.explode(F.filter("options", lambda o: F.col("below").isNull() | (o["shape"] < F.col("below")))).alias("o"))
+    return cheapest_choices(options.select("slot", "o.*", "upto"), "slot").withColumnRenamed("cost_us", "load")
 
 
 #: The reference inference time of the fluid bound's executor, in microseconds.

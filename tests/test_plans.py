@@ -5,6 +5,7 @@ import random
 import time
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,25 @@ def test_proportional_deals_whole_types_by_speed():
     assert [c[0] for c in state] == [600, 200, 100] and min(map(min, state)) >= 0
 
 
+def test_executors_look_at_worthwhile_candidates(spark):
+    """The same choice as among all candidates, ties and zero units included, from a few rows an executor."""
+    rnd = random.Random(15)
+    shapes = list(range(1, 61))
+    costs = [(k, s, rnd.choice((0, 5, 10, 20)), s * 3 + rnd.choice((0, 0, 2, 7))) for k in range(2) for s in shapes]
+    loads = [(slot, slot % 2, s, rnd.randint(0, 3)) for slot in range(30) for s in rnd.sample(shapes, rnd.randint(1, 9))]
+    costs_df = spark.createDataFrame(costs, "kind long, shape long, compile_cost long, infer_cost long")
+    loads_df = spark.createDataFrame(loads, "slot long, kind long, shape long, units long")
+    want = {}
+    for slot in range(30):
+        units = {s: u for g, _, s, u in loads if g == slot}
+        mine = [(s, c, i) for k, s, c, i in costs if k == slot % 2]
+        table = np.array([(s, sum(u for x, u in units.items() if x <= s), c, i) for s, c, i in mine], np.int64).T
+        want[slot] = single.best_choice(*table)
+    assert {r.slot: (r.load, r.shapes) for r in single.compiled_shapes(loads_df, costs_df).collect()} == want
+    worth = single.worthwhile(costs_df).selectExpr("max(size(options)) as n").first().n
+    assert worth < 20
+
+
 def test_searches_over_many_executors_take_little():
     """4,000 executors and 400 types: what no executor has takes no place, and moves are not listed."""
     rnd = random.Random(14)
