@@ -12,6 +12,15 @@ from jobloom.operators.expressions import _LADDER_SQL, ladder
 from jobloom.operators.running import row_numbers, running_total
 from jobloom.registry import query, table
 
+#: Rows of two numbers that a task sorts or hashes at once, some 100 MB.
+TASK_ROWS = 1_000_000
+
+
+def partitions(spark: SparkSession, rows: int) -> int:
+    """How many partitions keep a task's share of the rows the same, however many there are; at least the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -110,9 +119,13 @@ def skyline_shapes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l.l_orderkey, l.l_linenumber, min(g.ord) AS ord FROM lineitem l JOIN (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord FROM orders) g ON g.o_orderkey = l.l_orderkey GROUP BY 1, 2")
 def group_of_job(spark: SparkSession, d: str) -> DataFrame:
     """The ordinal of the first group that holds a job."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    # a task's tables are as large as its partition: the number of partitions grows with the rows, which the files' footers tell
+    parts = partitions(spark, lines.count())
     ord_ = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint")
-    groups = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), ord_.alias("ord"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(groups, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("ord").alias("ord"))
+    groups = orders.select("o_custkey", "o_orderkey").repartition(parts, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), ord_.alias("ord"))
+    first = groups.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.min("ord").alias("ord"))
+    return lines.repartition(parts, "l_orderkey").distinct().join(first, "l_orderkey")
 
 
 # ---------------------------------------------------------------- aggregates

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from jobloom.operators import relational
 from jobloom.operators.verify import verified
 from jobloom.plans import multi
 from jobloom.sources import documents, synthetic
@@ -115,3 +116,11 @@ def test_many_jobs_of_a_key_are_planned_exactly(spark):
     sets = [[(key, len(q), m, start + speed * sum(x for j, x in enumerate(q) if m >> j & 1) if m else 0) for key, q in jobs.items() for m in range(1 << len(q))] for start, speed in prices]
     frames = [spark.createDataFrame(pd.DataFrame(s, columns=["key", "n", "mask", "cost"])) for s in sets]
     assert {r.key: r.makespan for r in multi.exact_rounds(frames, "key").collect()} == {k: want[k] for k in jobs}
+
+
+def test_group_of_job_has_more_partitions_for_more_rows(spark, sf, monkeypatch):
+    """A task's share of the rows stays the same: the session's fixed number of partitions let it grow with the tables."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(relational, "TASK_ROWS", 100)
+    plan = relational.group_of_job(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {-(-lines // 100)}") >= 3 and relational.partitions(spark, 1) == 4
