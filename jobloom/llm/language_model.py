@@ -8,16 +8,18 @@ from a least level on, at least level 2; a probe that ends below that level
 decides nothing.  What it does not hold is exchanged exactly, so none is left
 out at any size:
 
-1. Texts are dealt into blocks of about ``BLOCK_BYTES``.  The n-grams of a
-   share of the key space are counted first; they tell, to within a little, how
-   many n-grams have each level, and so what the filter can hold.
+1. Texts are dealt into blocks of about ``BLOCK_BYTES`` and written compressed,
+   some ``PACK_BYTES`` a row.  The n-grams of a share of the key space are
+   counted first; they tell, to within a little, how many n-grams have each
+   level, and so what the filter can hold.
 2. Each block sends its distinct n-grams with their counts in it, so an entry
    stands for all places of an n-gram in a block, and a hot n-gram has one
    entry a block at most.  Entries travel as packed runs of ascending keys.
 3. The entries of one range of keys are summed.  N-grams from the least level
-   on go to the filter, frequent words to a table; an entry of any other goes
-   back to each block whose own count does not tell the whole one.
-4. Each block meets its entries and is scored.
+   on go to the filter, frequent words to a table; the count of any other goes
+   back to each block whose own count does not tell the whole one.  Counts go
+   without keys, as a block finds its ascending keys again.
+4. Each block meets its counts and is scored.
 
 The filter is blocked: all probes of one n-gram lie in one segment, so each task
 builds whole segments from the n-grams dealt to it, and only the finished bits
@@ -69,6 +71,10 @@ LOAD = 0.35
 HEAD_WORDS = 250_000
 #: Bytes of text in a block, or one longer text.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that a row has, compressed, or one longer text.
+PACK_BYTES = 1 << 16
+#: Rows of packed texts that are counted at once, and keys that are probed at once.
+COUNTED, PROBED = 32, 1 << 17
 #: Block numbers of rows that go to no block: an n-gram's count, how many n-grams have a level, the sum of word counts.
 WHOLE, LEVEL, TOKENS = -1, -2, -3
 #: The share of the key space that is counted to choose levels, and entries that one range of keys has, about.
@@ -134,6 +140,9 @@ class Filter:
         self.bits, self.segments = bits, len(bits) * 8 // SEGMENT_BITS
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(self._levels(keys[i : i + PROBED]) for i in range(0, len(keys), PROBED))])
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         level, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(open_) and level[open_[0]] < MAX_LEVEL:
             p = positions(keys[open_], level[open_] + 1, self.segments)
@@ -149,22 +158,42 @@ class Filter:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, id, held, text): the documents, as a written table, dealt into blocks in the order they are read."""
+    """(block, ids, held, lengths, texts): the documents, as a written table, dealt into blocks in the order they are read; some texts a row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, size = TaskContext.get().partitionId() << 24, 0
+        first, size, packer = TaskContext.get().partitionId() << 24, 0, pa.Codec("zstd", compression_level=5)
         for batch in freed(batches):
-            ends = size + byte_view(texts_of(batch.column(2)))[1][1:]
-            if batch.num_rows:
-                size = int(ends[-1])
+            texts = texts_of(batch.column(2))
+            off = byte_view(texts)[1]
             # a text belongs to the block that its last byte falls in
-            block = pa.array(first + np.maximum(ends - 1, 0) // BLOCK_BYTES)
-            yield pa.RecordBatch.from_arrays([block, *batch.columns], ["block", "id", "held", "text"])
+            block = first + np.maximum(size + off[1:] - 1, 0) // BLOCK_BYTES
+            size += int(off[-1])
+            cuts, lengths, packs = [0], [], []
+            for a, z in stretches(block):
+                for _, j, data, own in slices(texts.slice(a, z - a), PACK_BYTES):
+                    cuts.append(a + j)
+                    lengths.append(np.diff(own).astype("<i4").tobytes())
+                    packs.append(packer.compress(data.tobytes(), asbytes=True))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column(k)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), *lists, pa.array(lengths, pa.binary()), pa.array(packs, pa.binary())], ["block", "ids", "held", "lengths", "texts"])
 
     held = crc_mod(F.col(id_col), 7) == 2
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
-    return materialize(in_small_batches(rows).mapInArrow(deal, f"block long, id {kind}, held boolean, text string"), "pieces")
+    return materialize(in_small_batches(rows).mapInArrow(deal, f"block long, ids array<{kind}>, held array<boolean>, lengths binary, texts binary"), "pieces")
+
+
+def stretches(block: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of equal numbers."""
+    edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+    return ((i, j) for i, j in zip(edges, edges[1:], strict=False) if i < j)
+
+
+def unpacked_texts(lengths: bytes, texts: bytes) -> pa.Array:
+    """The texts of a row of ``pieces``."""
+    off = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, "<i4")))).astype(np.int32)
+    data = pa.decompress(texts, int(off[-1]), "zstd") if off[-1] else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(off), data])
 
 
 def tally(texts: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
@@ -189,23 +218,29 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def by_block(batches: Iterator[pa.RecordBatch], counted: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(block, distinct keys, counts) of runs of rows (block, held, text) of one block."""
+    """(block, distinct keys, counts) of runs of rows (block, held, lengths, texts) of one block."""
     have, parts = None, []
     for batch in freed(batches):
-        block, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        for i, j in zip(edges, edges[1:], strict=False):
-            if i == j:
-                continue
+        block = batch.column(0).to_numpy()
+        for i, j in stretches(block):
             if parts and block[i] != have:
                 yield have, *_summed(parts)
                 parts = []
             have = int(block[i])
-            parts.append(counted(texts_of(batch.column(2).slice(i, j - i)), held[i:j]))
+            for k in range(i, j, COUNTED):
+                some = batch.slice(k, min(COUNTED, j - k))
+                parts.append(counted(*rows_of(some.column(1), some.column(2), some.column(3))))
+                give_back()
     if parts:
         yield have, *_summed(parts)
 
 
+def rows_of(held: pa.Array, lengths: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(texts, whether each is held out) of rows of ``pieces``."""
+    parts = [unpacked_texts(n, x) for n, x in zip(lengths.to_pylist(), texts.to_pylist(), strict=True)]
+    return pa.concat_arrays(parts), held.flatten().to_numpy(zero_copy_only=False)
+
+
 def sampled_counts(rows: DataFrame) -> tuple[dict[int, int], dict[int, int], int]:
     """(words by level, pairs by level, entries of all blocks), estimated from one of ``SAMPLE`` parts of the key space."""
 
@@ -223,7 +258,7 @@ def sampled_counts(rows: DataFrame) -> tuple[dict[int, int], dict[int, int], int
         for _, keys, n in by_block(batches, some):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    counts = in_small_batches(rows.select("block", "held", "text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
+    counts = in_small_batches(rows.select("block", "held", "lengths", "texts")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
     level = F.when(F.col("n") > 0, level_column(F.col("n"))).otherwise(0)
     words, pairs, entries = {}, {}, 0
     for r in counts.groupBy(level.alias("level"), F.pmod("key", F.lit(2)).alias("kind")).agg(F.count("*").alias("keys"), F.sum("entries").alias("entries")).collect():  # two rows a level
@@ -242,6 +277,19 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts, most of them small: how many, the bytes of each, and their compressed byte planes."""
+    kind = np.min_scalar_type(int(n.max(initial=0)))
+    planes = np.ascontiguousarray(n.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+    return np.array([len(n), kind.itemsize], "<i8").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    size, width = np.frombuffer(raw, "<i8", 2).tolist()
+    planes = np.frombuffer(pa.decompress(raw[16:], size * width, "zstd"), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"u{width}").ravel().astype(np.int64)
+
+
 ENTRIES = "part int, block long, keys binary, n binary"
 
 
@@ -253,27 +301,34 @@ def block_counts(rows: DataFrame, parts: int) -> DataFrame:
         for block, keys, n in by_block(batches, lambda texts, held: tally(texts, held)[:2]):
             part, first = np.unique(keys // width, return_index=True)
             ends = [*first[1:].tolist(), len(keys)]
-            runs = [(packed(keys[i:j]), n[i:j].astype(np.uint32).tobytes()) for i, j in zip(first.tolist(), ends, strict=True)]
+            runs = [(packed(keys[i:j]), packed_counts(n[i:j])) for i, j in zip(first.tolist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), block, np.int64)), pa.array([r[0] for r in runs], pa.binary()), pa.array([r[1] for r in runs], pa.binary())], ["part", "block", "keys", "n"])
 
-    return in_small_batches(rows.select("block", "held", "text")).mapInArrow(count, ENTRIES)
+    return in_small_batches(rows.select("block", "held", "lengths", "texts")).mapInArrow(count, ENTRIES)
 
 
 def whole_counts(counts: DataFrame, parts: int, least: int, frequent: int) -> DataFrame:
-    """(block, key, n, keys, sums): whole counts of n-grams from their levels on, statistics, and the answers to blocks as packed runs."""
-    names = ["block", "key", "n", "keys", "sums"]
+    """(block, key, n, sums): whole counts of n-grams from their levels on, statistics, and the answers to blocks.
+
+    An answer has its range of keys as ``key``, and for each of the block's
+    ascending keys in it the whole count, or 0 where the block needs none.
+    """
+    names = ["block", "key", "n", "sums"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, tokens = np.zeros(2 * (MAX_LEVEL + 1), np.int64), 0
 
         def plain(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(key), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(n), none, none], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.binary())], names)
 
-        def made(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        def made(part: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             nonlocal tokens
-            runs = [unpacked(r[1]) for r in held]
-            n = np.concatenate([np.frombuffer(r[2], np.uint32) for r in held]).astype(np.int64)
+            blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for block, run, own in held:
+                blocks.setdefault(block, []).append((unpacked(run), unpacked_counts(own)))
+            # a block that was read in parts has more runs than one
+            runs, own = zip(*(x[0] if len(x) == 1 else _summed(x) for x in blocks.values()), strict=True)
+            n = np.concatenate(own)
             keys, of = np.unique(np.concatenate(runs), return_inverse=True)
             total = np.bincount(of, n, len(keys)).astype(np.int64)
             level, word = np.where(total > 0, levels(total), 0), keys & np.uint64(1) == 0
@@ -284,35 +339,27 @@ def whole_counts(counts: DataFrame, parts: int, least: int, frequent: int) -> Da
             # a word that is frequent is read from the table, and an n-gram from the least level on from the filter
             asked = np.where(word, level < max(least, frequent), level < least)
             differs = (level[of] != np.where(n > 0, levels(n), 0)) | word[of] & (total[of] != n)
-            answer = asked[of] & differs
-            edges = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
-            to, out_keys, out_sums = [], [], []
-            for (block, _, _), i, j in zip(held, edges.tolist(), edges[1:].tolist(), strict=False):
-                use = of[i:j][answer[i:j]]
-                if len(use):
-                    to.append(block)
-                    out_keys.append(packed(keys[use]))
-                    out_sums.append(total[use].astype("<i8").tobytes())
-            if to:
-                none = pa.nulls(len(to), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), none, none, pa.array(out_keys, pa.binary()), pa.array(out_sums, pa.binary())], names)
+            answer = np.where(asked[of] & differs, total[of], 0)
+            edges = np.cumsum([len(r) for r in runs])[:-1]
+            sums = [packed_counts(x) for x in np.split(answer, edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(np.full(len(blocks), part, np.int64)), pa.nulls(len(blocks), pa.int64()), pa.array(sums, pa.binary())], names)
 
         last, held = None, []
         for batch in batches:
             for part, block, keys, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if part != last and held:
-                    yield from made(held)
+                    yield from made(last, held)
                     held = []
                 last = part
                 held.append((block, keys, n))
         if held:
-            yield from made(held)
+            yield from made(last, held)
         at = np.flatnonzero(stats)
         yield plain(LEVEL, at, stats[at])
         yield plain(TOKENS, np.zeros(1, np.int64), np.array([tokens]))
 
     ordered = counts.repartition(parts, "part").sortWithinPartitions("part")
-    return ordered.mapInArrow(walk, "block long, key long, n long, keys binary, sums binary")
+    return ordered.mapInArrow(walk, "block long, key long, n long, sums binary")
 
 
 def is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,7 +448,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     segments = n_segments(sum(by_level.values()), max_bits)
     least, frequent = least_level(by_level, segments * SEGMENT_BITS), head_level(words, HEAD_WORDS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE))
-    whole = materialize(whole_counts(block_counts(rows, parts), parts, least, frequent), "counts")
+    whole = materialize(whole_counts(block_counts(rows, parts), parts, least, frequent), "counts", once=True)
     release(spark)
     words, n_train = {}, 0
     for r in whole.filter(F.col("block").isin(LEVEL, TOKENS)).groupBy("block", "key").agg(F.sum("n").alias("n")).collect():  # two rows a level
@@ -424,14 +471,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bits_, head_keys, head_counts = shared.value
         model = Filter(bits_)
         texts = texts.combine_chunks()
-        held = texts["held"].to_numpy()
-        keys, own, seen = tally(texts_of(texts["text"]), held)
-        told = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in answers["keys"].to_pylist())])
-        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in answers["sums"].to_pylist())])
-        order = np.argsort(told)
-        told, n = told[order], n[order]
-        known, at = is_in(told, keys)
-        exact = np.where(known, n[at], own) if len(told) else own
+        whole_texts, held = rows_of(*(texts[c].combine_chunks() for c in ("held", "lengths", "texts")))
+        keys, own, seen = tally(whole_texts, held)
+        told = [unpacked_counts(x) for x in answers.sort_by("key")["sums"].to_pylist()]
+        told = np.concatenate(told) if told else np.zeros(0, np.int64)
+        if len(told) != len(keys):
+            raise RuntimeError("a block's answers do not fit its n-grams")
+        exact = np.where(told > 0, told, own)
+        del told, own
         known, at = is_in(head_keys, keys)
         exact = np.where(known, head_counts[at], exact) if len(head_keys) else exact
         level = model.levels(keys)
@@ -451,11 +498,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for x, values in zip(out, (np.diff(bounds), np.add.reduceat((exact[uni] > 0).astype(np.int64), bounds[:-1]), np.add.reduceat(base_log[uni], bounds[:-1]), np.add.reduceat(terms, bounds[:-1])), strict=True):
                 x.append(values)
         columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        del seen, keys, own, told, n, exact, level, base_log
+        del seen, keys, exact, level, base_log, whole_texts
         give_back()
-        return pa.table([texts["id"], texts["held"], *(pa.array(c) for c in columns)], ["id", "held", "n_tokens", "n_known", "base", "score"])
+        return pa.table([texts["ids"].combine_chunks().flatten(), pa.array(held), *(pa.array(c) for c in columns)], ["id", "held", "n_tokens", "n_known", "base", "score"])
 
-    answers = whole.filter(F.col("block") >= 0).select("block", "keys", "sums")
+    answers = whole.filter(F.col("block") >= 0).select("block", "key", "sums")
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
     return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

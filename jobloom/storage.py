@@ -32,13 +32,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/jobloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, once: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage at a copy that survives the loss of any executor.
+    ``once``: nothing else will run ``df``, so its shuffle files go as soon as
+    it is written, and don't wait for the driver to collect its garbage.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    try:
+        if once:
+            conf.set(name, "true")
+            df = df.select("*")  # it is looked up when a plan is made
+        df.write.parquet(path)
+    finally:
+        if once:
+            conf.set(name, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["_scratch"] = path
     return out

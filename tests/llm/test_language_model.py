@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from jobloom.llm import language_model as lm
 from tests.llm.fixtures import rows, table
 
+lm_materialize = lm.materialize
+
 
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), None]
@@ -64,6 +67,12 @@ def test_packed_keys_come_back():
     assert (lm.unpacked(lm.packed(keys)) == keys).all() and len(lm.unpacked(lm.packed(keys[:0]))) == 0
 
 
+def test_packed_counts_come_back():
+    for n in ([], [0], [0, 3, 255], [1, 70_000], [2**40, 0, 256]):
+        assert lm.unpacked_counts(lm.packed_counts(np.array(n, np.int64))).tolist() == n
+    assert len(lm.packed_counts(np.arange(10_000) % 2)) < 2000
+
+
 def test_full_filters_hold_the_most_frequent(spark):
     keys = np.random.default_rng(3).integers(-(2**62), 2**62, 300_000)
     df = spark.range(len(keys)).select(F.xxhash64("id").alias("key"), F.when(F.col("id") < 5000, 40).otherwise(1).cast("long").alias("n"))
@@ -153,3 +162,36 @@ def test_empty_tables(spark):
     only_held = next(i for i in range(100) if held(i))
     r = lm.score_documents(table(spark, [(only_held, "a b", "en", "s", 1, 1, "x", "y")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_tables_on_disk_are_smaller_than_the_texts(spark, monkeypatch):
+    """Texts lie compressed, and what goes back to blocks has no keys."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(8000)]
+    data = [(i, " ".join(rnd.choices(vocabulary, k=200)), "en", "s", 1, 1, "x", "y") for i in range(1000)]
+    written = []
+    monkeypatch.setattr(lm, "materialize", lambda df, label, **how: written.append((label, lm_materialize(df, label, **how))) or written[-1][1])
+    assert lm.score_documents(table(spark, data)).count() == 1000
+    size = {label: sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles()) for label, df in written}
+    text = sum(len(r[1]) for r in data)
+    assert size["pieces"] < 0.7 * text and size["counts"] < 0.6 * text
+
+
+def test_blocks_read_in_parts_are_scored_whole(spark, monkeypatch):
+    """A file of pieces may be split among tasks, so a block's n-grams come in several runs."""
+    monkeypatch.setattr(lm, "PACK_BYTES", 500)
+    want = sorted((-1 if r.doc_id is None else r.doc_id, r.n_known, r.base_score, r.score) for r in lm.score_documents(table(spark)).collect())
+    monkeypatch.setattr(lm, "materialize", lambda df, label, **how: lm_materialize(df, label, **how).repartition(7))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_known, r.base_score, r.score) for r in lm.score_documents(table(spark)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2:] for g in got], [w[2:] for w in want])
+
+
+def test_shuffle_files_go_with_the_table_they_made(spark):
+    """A query that goes on must not find the disk full of them."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {f for f in (str(b) for b in local.getAllBlocks().mkString(",").split(",")) if f.startswith("shuffle")}
+    before = left()
+    df = lm_materialize(spark.range(10_000).repartition(5, "id"), "shuffled", once=True)
+    assert left() <= before and df.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
