@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -41,6 +42,7 @@ _KEYWORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w
 ASSIGN = re.compile(rf"""({_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+_THIRDS = re.compile(r"[0-9a-f]{8}")
 KINDS = ("assign", "access", "hex", "crf")
 
 #: The bound of the sample that the field is trained on: texts with base spans, and as many without.
@@ -60,14 +62,23 @@ _CUES = frozenset("password passwd secret token api_key apikey key auth bearer c
 Place = tuple[int, int, tuple[str, str, str, str]]
 
 
+@lru_cache(4)
+def _has_keyword(text: str) -> bool:
+    """Whether a keyword of ``ASSIGN`` or of ``_file`` may be in a text; if not, neither is."""
+    low = text.lower()
+    return "passw" in low or "token" in low or "secret" in low or "api_key" in low or "apikey" in low
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start and kind."""
     out = []
-    if "=" in text or ":" in text:
+    if _has_keyword(text) and ("=" in text or ":" in text):
         out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    # of 24 characters in a row, eight are among those at every third place
+    if _THIRDS.search(text[2::3]):
+        out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -107,6 +118,24 @@ def _shape(token: str) -> tuple[str, ...]:
     return ("bias", f"word={word}", f"classes={classes}", f"alphabet={alphabet}", f"length={n}", f"alphabet,length={alphabet},{min(n, 6)}", f"digits={digits * 4 // len(token)},{digits > 0}", f"turns={min(turns, 8)}", f"humps={min(inner, 3)}", f"head={head}", f"dots={min(token.count('.'), 4)}", f"dashes={min(token.count('-'), 3)}")
 
 
+_ALL, _NONE = float("inf"), float("-inf")
+_CLASSES = str.maketrans({c: "a" if c.islower() else "A" if c.isupper() else "0" for c in string.ascii_letters + string.digits})
+
+
+def _shape_key(token: str) -> object:
+    """Equal for tokens of equal shape."""
+    if token.isalpha():
+        if token.islower():
+            return len(token) >> 2, not token.strip("abcdef")
+        if token.isupper():
+            return len(token) >> 2, "HEX", not token.strip("ABCDEF")
+        if token.istitle():
+            return len(token) >> 2, "title"
+    if token[:4].isupper() and token[:4].isalpha():
+        return token
+    return token.translate(_CLASSES), not token.strip("0123456789abcdef"), not token.strip("0123456789ABCDEF")
+
+
 @lru_cache(1 << 16)
 def _neighbours(near: tuple[str, str, str, str], place: int) -> tuple[str, ...]:
     a, b, c, after = near
@@ -115,7 +144,7 @@ def _neighbours(near: tuple[str, str, str, str], place: int) -> tuple[str, ...]:
 
 @lru_cache(4)
 def _file(text: str) -> tuple[str, ...]:
-    keyword = bool(re.search("[Pp]assw|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey", text))
+    keyword = _has_keyword(text) and bool(re.search("[Pp]assw|[Ss]ecret|[Tt]oken|[Aa][Pp][Ii]_?[Kk]ey", text))
     return (f"file_size={len(text).bit_length()}", f"file_keyword={keyword}", f"file_assign={'=' in text}")
 
 
@@ -134,6 +163,10 @@ class Field:
     pair: np.ndarray = field(default_factory=lambda: np.zeros((TAGS, TAGS)))
 
     memo: dict = field(default_factory=dict)
+    #: How far chunks between white space may be lifted, their neighbours and the file apart.
+    chunks: dict[str, float] = field(default_factory=dict)
+    #: What ``_rest`` found.
+    rest: tuple[float, float, frozenset[str]] | None = None
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         return np.array([self.unary[[self.index[f] for f in r if f in self.index]].sum(axis=0) for r in rows])
@@ -153,21 +186,89 @@ class Field:
         pair of tags is above outside-outside; where every token alone loses
         twice that, no stretch can pay.
         """
-        gain = 2 * max(0.0, float(self.pair[_FORBIDDEN == 0].max() - self.pair[2, 2])) + 1e-9
-        least, known = -gain - self._lead(None, _file(text)), self.memo
+        lead = self._lead(None, _file(text))
+        least, known = -self._gain() - lead, self.memo
+        if self._is_calm(text, lead):
+            return
         for run in runs(text):
             for k, (s, e, near) in enumerate(run):
-                word = text[s:e]
-                key = (e - s >> 2, not word.strip("abcdef")) if word.islower() and word.isalpha() else word  # plain words of one shape
-                if (a := known.get(key)) is None:
-                    a = self._lead(key, _shape(word))
-                place = (near, k if k < 3 else 3)
+                a, place = self._word(text[s:e]), (near, k if k < 3 else 3)
                 if (b := known.get(place)) is None:
                     b = self._lead(place, _neighbours(*place))
                 if a + b >= least:
                     yield run
                     break
 
+    def _gain(self) -> float:
+        return 2 * max(0.0, float(self.pair[_FORBIDDEN == 0].max() - self.pair[2, 2])) + 1e-9
+
+    def _word(self, word: str) -> float:
+        key = _shape_key(word)
+        a = self.memo.get(key)
+        return self._lead(key, _shape(word)) if a is None else a
+
+    def _rest(self) -> tuple[float, float, frozenset[str]]:
+        """(how far neighbours may lift a token, how far its place may, the neighbours that may lift it further)."""
+        of = lambda name: self.scores([[name]])[0].tolist() if name in self.index else [0.0] * 3
+        lift = lambda name: max((x := of(name))[0], x[1]) - x[2]
+        plain, sides, pair = ("", "word", "number", "letters", ",", "."), ("prev", "prev2", "prev3", "next"), "prev,prev2={},{}".format
+        kinds = {x.split("=", 1)[1] for x in self.index if x.split("=", 1)[0] in sides} - _CUES
+        tops = {side: max(0.0, *(lift(f"{side}={k}") for k in plain)) for side in sides}
+        top = max(0.0, *(lift(pair(a, b)) for a in plain for b in plain))
+        loud = {k for k in kinds for side in sides if lift(f"{side}={k}") > tops[side]}
+        loud |= {k for a in kinds for b in kinds if lift(pair(a, b)) > top for k in (a, b)}
+        return sum(tops.values()) + top + lift("cue=False"), max(lift(f"place={k}") for k in range(4)), frozenset(loud.difference(plain) | _CUES)
+
+    def _is_calm(self, text: str, lead: float) -> bool:
+        """Whether surely no token of a text may begin a secret; most texts are told by their chunks between white space.
+
+        A calm chunk has plain neighbours only and no token that these could
+        lift.  A token's neighbours stand at most three chunks before its own
+        and one behind, so only tokens near other chunks are looked at.
+        """
+        if self.rest is None:
+            self.rest = self._rest()
+        known, chunks = self.chunks, text.split()
+        if len(known) >= 1 << 17:
+            known.clear()
+        lifts = [*map(known.get, chunks)]
+        for j in [j for j, x in enumerate(lifts) if x is None]:
+            c = chunks[j]
+            lifts[j] = x = self._chunk(c)
+            if len(c) < 32:
+                known[c] = x
+        least = -self._gain() - lead - self.rest[0] - self.rest[1]
+        loud = [j for j, x in enumerate(lifts) if x >= least]
+        if 5 * len(loud) > len(chunks):
+            return False
+        least, known, upto = -self._gain() - lead - self.rest[1], self.memo, 0
+        while upto < len(loud):
+            first = end = loud[upto]
+            while upto < len(loud) and loud[upto] <= end + 6:
+                end, upto = loud[upto], upto + 1
+            window = " ".join(chunks[max(0, first - 4) : end + 5])
+            for run in runs(window):
+                for s, e, near in run:
+                    if (b := known.get(near)) is None:
+                        b = self._lead(near, _neighbours(near, 0)[:-1])
+                    if self._word(window[s:e]) + b >= least:
+                        return False
+        return True
+
+    def _chunk(self, chunk: str) -> float:
+        """The most that shapes lift a token of a chunk; all if it has a neighbour that may lift others."""
+        word = chunk.rstrip(",.")
+        if word.isalpha() and word.isascii():
+            return _ALL if word.lower() in _CUES else _NONE if len(word) < MIN_LENGTH else self._word(word)
+        most = _NONE
+        for m in _LEXEME.finditer(chunk):
+            g, w = m.lastindex, m[0]
+            if (_kind(w) if g == 1 else "letters" if g == 2 else w) in self.rest[2]:
+                return _ALL
+            if g == 1 and len(w) >= MIN_LENGTH and len(bare := w.rstrip(".")) >= MIN_LENGTH:
+                most = max(most, self._word(bare))
+        return most
+
     def viterbi(self, rows: list[list[str]]) -> list[int]:
         """The best tags of a run; both of its ends touch a token fixed to outside."""
         u = self.scores(rows)

@@ -124,3 +124,48 @@ def test_no_base_spans_no_field(spark):
     assert 0 < len(data) < len(rows())
     got = secrets.secret_digest(table(spark, data)).collect()
     assert len(got) == len(data) and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
+
+
+def odd_texts(n=300, seed=9):
+    """Words, marks, cues, values and letters beyond ASCII, with any white space between them."""
+    rnd = random.Random(seed)
+    value = lambda: "".join(rnd.choice("abcdefXYZ0123456789+/_.-") for _ in range(rnd.randint(4, 30)))
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 12)))
+    odd = ["token", "Password", "key", "api_key=", '"', "=", "naïve", "étéabcdef", "x.", "...", "中文abcdef", "AKIA", "com", "HTTP", "well-known", "O'Neill", "EUROPE", "İstanbul"]
+    for _ in range(n):
+        share = rnd.choice([0, 0.02, 0.3])
+        parts = [value() if (x := rnd.random()) < share / 2 else rnd.choice(odd) if x < share else word() + rnd.choice(["", "", "", ",", ".", ".,", '"', ")"]) for _ in range(rnd.randint(0, 120))]
+        yield "".join(p + rnd.choice([" ", " ", " ", "\n", " ", "\x1f", ""]) for p in parts)
+
+
+def test_calm_texts_are_told_by_their_chunks(monkeypatch):
+    """Plain texts are not cut into runs, and none with a run to decode counts as calm."""
+    rnd = random.Random(3)
+    plain = [" ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 12))) for _ in range(400)) for _ in range(100)]
+    model = secrets.fit_texts(planted() + plain[50:])
+    looked = []
+    monkeypatch.setattr(secrets, "runs", lambda text, real=secrets.runs: looked.append(len(text)) or real(text))
+    texts = [*odd_texts(), *planted(seed=6)]
+    got = [list(model.candidates(t)) for t in texts]
+    monkeypatch.setattr(secrets.Field, "_is_calm", lambda *_: False)
+    assert got == [list(model.candidates(t)) for t in texts] and any(got)
+    monkeypatch.undo()
+    monkeypatch.setattr(secrets, "runs", lambda text, real=secrets.runs: looked.append(len(text)) or real(text))
+    looked.clear()
+    assert [list(model.candidates(t)) for t in plain[:50]] == [[]] * 50 and sum(looked) < 0.1 * sum(map(len, plain[:50]))
+
+
+def test_equal_keys_have_equal_shapes():
+    shapes = {}
+    for text in [*odd_texts(seed=10), *planted(seed=11)]:
+        for run in secrets.runs(text):
+            for s, e, _ in run:
+                assert shapes.setdefault(secrets._shape_key(text[s:e]), secrets._shape(text[s:e])) == secrets._shape(text[s:e])
+
+
+def test_base_spans_of_odd_texts_match_brute_force():
+    rnd = random.Random(12)
+    for text in odd_texts(seed=13):
+        at = rnd.randint(0, len(text))
+        text = text[:at] + rnd.choice(["pAssWd:abcdef", "İSECRET = abc-def", "Api_Key='xxxxxx", "0123456789abcdef01234567", "a" * 23, "b" * 25]) + text[at:]
+        assert secrets.base_spans(text) == brute(text)
