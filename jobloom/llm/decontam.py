@@ -72,22 +72,36 @@ UNIT_AFTER = r" ?\b(" + "|".join(UNITS) + r")\b"
 SEPARATORS = r"[^\p{L}\p{M}\p{N}" + NAME + NUMBER + UNIT + "]+"
 
 
+def _first(words: list[str]) -> str:
+    return "".join(dict.fromkeys(w[0] for w in words))
+
+
+#: The same for Java's matcher, which rules out most places by one character ahead and looks behind instead of trying two ways in at
+#: each.  What a match of ``GUARDED`` ends with can't begin the next one, hence ``\G``.
+#: A letter beyond 16 bits has Java look behind by characters instead of by halves of them.
+WIDE = "\U00010400"
+AHEAD_GUARDED = rf"(?=[{_first(STARTERS)}])(?:^|(?<![\p{{L}}\p{{N}}{WIDE}])(?!\G))({_by_letter(STARTERS)})([^\p{{L}}\p{{N}}]|$)"
+AHEAD_NAMES = rf"{CAPITAL}(?<![\p{{L}}\p{{N}}{GUARD}{WIDE}])" + r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
+AHEAD_NUMBERS = f"(?=[0-9{_first(NUMBER_WORDS)}])" + NUMBERS
+MARKS = f"{NAME}-{UNIT}"
+
+
 def marked(text: Column) -> Column:
     """The text, lower-cased, each slot between its type's mark and an end mark."""
-    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), GUARDED, rf"$1{GUARD}$2$3")
-    named = F.regexp_replace(guarded, NAMES, rf"$1 {NAME}$2{END} ")
-    numbered = F.regexp_replace(F.lower(named), NUMBERS, rf" {NUMBER}$1{END} ")
+    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), AHEAD_GUARDED, rf"{GUARD}$1$2")
+    named = F.regexp_replace(guarded, AHEAD_NAMES, rf" {NAME}$1{END} ")
+    numbered = F.regexp_replace(F.lower(named), AHEAD_NUMBERS, rf" {NUMBER}$1{END} ")
     return F.regexp_replace(numbered, f"({NUMBER}[^{END}]*{END}) {UNIT_AFTER}", rf"$1 {UNIT}$2{END} ")
 
 
 def template_tokens(marked_text: Column) -> Column:
-    bare = F.regexp_replace(marked_text, f"([{NAME}{NUMBER}{UNIT}])[^{END}]*{END}", " $1 ")
+    bare = F.regexp_replace(marked_text, f"([{MARKS}])[^{END}]*{END}", " $1 ")
     return F.array_remove(F.split(bare, SEPARATORS), "")
 
 
 def slot_values(marked_text: Column) -> Column:
     """The values of all slots, in the order of their placeholders."""
-    return F.regexp_extract_all(marked_text, F.lit(f"[{NAME}{NUMBER}{UNIT}]([^{END}]*){END}"), 1)
+    return F.regexp_extract_all(marked_text, F.lit(f"[{MARKS}]([^{END}]*){END}"), 1)
 
 
 def windows(hashes: Column, width: int) -> Column:
@@ -97,6 +111,18 @@ def windows(hashes: Column, width: int) -> Column:
     return F.when(last < 0, F.array().cast("array<struct<at:int,window:bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run))
 
 
+def positions(tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """One row (k1, k2, at, window) a start and width, as ``windows`` has them; in generated code, as functions of array elements are not."""
+    # of a plain column the optimizer would infer a filter on its size, for which texts would be cut twice
+    first = F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - (min(widths) - 1)))
+    starts = tokens.select("k1", "k2", "tokens", F.posexplode(first).alias("at", "first"))
+    hash_of = lambda w: F.xxhash64("first", *(F.get("tokens", F.col("at") + k) for k in range(1, w)))
+    if len(widths) == 1:
+        return starts.select("k1", "k2", "at", hash_of(widths[0]).alias("window"))
+    each = F.array(*(F.when(F.col("at") <= F.size("tokens") - w, hash_of(w)) for w in widths))
+    return starts.select("k1", "k2", "at", F.explode(each).alias("window")).filter("window is not null")
+
+
 def hashed(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
@@ -140,7 +166,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     keyed = _keyed(docs, id_col, text_col)
     tokens = keyed.select("k1", "k2", hashed(template_tokens(marked(F.col("text")))).alias("tokens"))
-    runs = tokens.select("k1", "k2", F.inline(F.concat(*(windows(F.col("tokens"), w) for w in widths))))
+    runs = positions(tokens, widths).select("k1", "k2", "at", "window")
     hits = runs.join(hint(rows.select("item", "window", F.col("at").alias("place"))), "window")
     # an alignment holds at most the windows of one item
     aligned = hits.groupBy("k1", "k2", "item", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobloom.llm import decontam
 from tests.llm.fixtures import rows, table
@@ -145,3 +146,26 @@ def test_text_ids_and_nulls_are_told_apart(spark):
     items = spark.createDataFrame([(1, t)], "item_id long, text string")
     assert {(r.doc_id, r.contaminated) for r in contamination_report(docs, items).collect()} == {(t, False), (None, True), ("z", True), ("y", False)}
     assert {r.doc_id for r in decontaminate(docs, items).collect()} == {t, "y"}
+
+
+def test_positions_are_those_of_windows(spark, sf):
+    """All starts of all widths, for which texts are cut into tokens once."""
+    df = spark.range(60).selectExpr("id k1", "id k2", "transform(sequence(0, id % 9), x -> x * id) tokens").union(spark.sql("SELECT 99L, 99L, cast(array() AS array<bigint>)"))
+    for widths in ([5], [1, 3, 5], [2]):
+        want = df.select("k1", "k2", F.inline(F.concat(*(decontam.windows(F.col("tokens"), w) for w in widths))))
+        assert sorted(decontam.positions(df, widths).collect()) == sorted(want.collect())
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit(1).alias("k1"), F.lit(1).alias("k2"), decontam.hashed(decontam.template_tokens(decontam.marked(F.col("text")))).alias("tokens"))
+    plan = decontam.positions(texts, [5])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "lambda at" not in plan
+
+
+def test_patterns_ahead_mark_what_the_plain_ones_do(spark):
+    rnd = random.Random(4)
+    odd = ["The", "If", "Berlin", "New York", "two", "Twenty", "3.5", "1,000", "km", "é", "Über", "\U0001d49c", "\U00010400", "́", ".", "-", "\n", "THE", "ItIs", decontam.NAME, decontam.END, decontam.GUARD, "two\n", "The\n"]
+    texts = spark.createDataFrame([("".join(rnd.choice(odd) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 30))),) for _ in range(2000)], "text string")
+    guarded = F.regexp_replace("text", decontam.GUARDED, rf"$1{decontam.GUARD}$2$3")
+    named = F.regexp_replace(guarded, decontam.NAMES, rf"$1 {decontam.NAME}$2{decontam.END} ")
+    numbered = F.regexp_replace(F.lower(named), decontam.NUMBERS, rf" {decontam.NUMBER}$1{decontam.END} ")
+    n, e, u = decontam.NUMBER, decontam.END, decontam.UNIT
+    plain = F.regexp_replace(numbered, f"({n}[^{e}]*{e}) {decontam.UNIT_AFTER}", rf"$1 {u}$2{e} ")
+    assert texts.filter(plain != decontam.marked(F.col("text"))).count() == 0
