@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm._shared import released
 from jobloom.storage import discard, materialize
 
 #: Rows that a task contracts at most.
 TASK_ROWS = 1 << 20
+#: Bytes of a link.
+WIDTH = 16
 
 
 def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +45,7 @@ def stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[leaf], nodes[root[leaf]]
 
 
+@released
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         a, b = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in range(2))
@@ -59,31 +63,33 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(held)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50, n_links: int | None = None) -> DataFrame:
     """(node, component): each linked node with the least node reachable from it, as a written table.
 
     Nodes without a link have no row; links to oneself and repeated links
     count for nothing; null ends are dropped.  Contractions that are not stable
     after ``most_rounds`` raise an error, as their stars may be split components.
+    ``n_links``: about how many links there are, for the number of files.
     """
     spark = links.sparkSession
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna().filter("a <> b")
-    edges, before = materialize(ends.mapInArrow(_contract, "a long, b long"), "stars"), None
+    edges, before = materialize(ends.mapInArrow(_contract, "a long, b long"), "stars", size=None if n_links is None else WIDTH * n_links), None
     for _ in range(most_rounds):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now[0] == 0 or tuple(now) == before:
             break
         before = tuple(now)
         parts = max(least_parts, -(-now[0] // (TASK_ROWS // 2)))
-        met = materialize(edges.repartition(parts, "a").mapInArrow(_contract, "a long, b long"), "met")
+        size = WIDTH * now[0]  # contracting makes no more rows
+        met = materialize(edges.repartition(parts, "a").mapInArrow(_contract, "a long, b long"), "met", size=size)
         up = met.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "b")
-        jumped = materialize(met.join(up, "b", "left").select("a", F.coalesce("root", "b").alias("b")), "stars")
+        jumped = materialize(met.join(up, "b", "left").select("a", F.coalesce("root", "b").alias("b")), "stars", size=size)
         discard(met, edges)
         edges = jumped
     else:
         raise RuntimeError(f"components are not stable after {most_rounds} rounds")
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = materialize(leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct()), "components")
+    out = materialize(leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct()), "components", size=2 * WIDTH * now[0])
     discard(edges)
     return out

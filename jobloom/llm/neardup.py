@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm._shared import freed, hash_words, in_small_batches, list_array, mix64, shingle_hashes, slices, texts_of
+from jobloom.llm._shared import freed, hash_words, in_small_batches, list_array, mix64, released, shingle_hashes, slices, texts_of
 from jobloom.llm.bits import build_bits, test
 from jobloom.llm.components import components
 from jobloom.storage import discard, materialize, release
@@ -61,6 +61,8 @@ SHORT = 64
 STAR_ROUNDS = 2
 #: For lists from full sets, of which nothing is left out.
 WHOLE = 1 << 40
+#: Bytes of a pair, of a list's member, and of a class's row without its sketch.
+PAIR, MEMBER, CLASS = 16, 48, 96
 #: Pairs that the last turn looks at in one step.
 STEP = 1 << 21
 BLOOM_BITS = 1 << 26
@@ -124,7 +126,7 @@ def _bucket_counts(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    sums = classes.select("sketch").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = classes.select("sketch").mapInArrow(released(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     rows = sums.toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
@@ -153,7 +155,7 @@ def postings(classes: DataFrame, k: int, threshold: float) -> DataFrame:
             salt = np.where(parts > 1, part, 0).astype(np.int32)  # 0: the list is whole
             yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(salt), pa.array(cid[own]), pa.array(n[own]), pa.array(rank.astype(np.int32))], ["v", "salt", "cid", "n", "p"])
 
-    return classes.select("cid", "n", "sketch").mapInArrow(post, "v long, salt int, cid long, n long, p int")
+    return classes.select("cid", "n", "sketch").mapInArrow(released(post), "v long, salt int, cid long, n long, p int")
 
 
 def possible(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, k: int, percent: int) -> np.ndarray:
@@ -190,7 +192,7 @@ def _stars(lists: DataFrame, k: int, percent: int) -> DataFrame:
             yield out.filter(pa.array(~first | (salt > 0)))
 
     ordered = lists.repartition("v", "salt").sortWithinPartitions("v", "salt", "p", "cid")
-    return ordered.select("v", "salt", "cid", "n", "p", "comp").mapInArrow(walk, "v long, cid long, n long, p int, hub long, near boolean")
+    return ordered.select("v", "salt", "cid", "n", "p", "comp").mapInArrow(released(walk), "v long, cid long, n long, p int, hub long, near boolean")
 
 
 def _rest(lists: DataFrame, k: int, percent: int) -> DataFrame:
@@ -241,7 +243,7 @@ def _rest(lists: DataFrame, k: int, percent: int) -> DataFrame:
             yield from pairs(held)
 
     ordered = cells.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "n", "cid")
-    return ordered.select(*names).mapInArrow(walk, "a long, b long")
+    return ordered.select(*names).mapInArrow(released(walk), "a long, b long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -334,49 +336,51 @@ def similar_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col:
     threshold = percent / 100
     comp: DataFrame | None = None
 
-    def follow(pairs: DataFrame) -> None:
-        """Confirm the links among the pairs and join them to the components found before."""
+    def follow(pairs: DataFrame, size: int | None = None) -> None:
+        """Confirm the links among the pairs, of ``size`` bytes, and join them to the components found before."""
         nonlocal comp
-        likely = materialize(_estimated(pairs.distinct(), classes, k, threshold), "likely")
-        if not likely.isEmpty():
+        likely = materialize(_estimated(pairs.distinct(), classes, k, threshold), "likely", size=size)
+        if n := likely.count():
             needed = likely.select(F.col("a").alias("cid")).union(likely.select(F.col("b").alias("cid"))).distinct()
             sets = _full_sets(docs, classes, needed, id_col, text_col, width)
-            found = materialize(_confirmed(likely, sets, percent), "links")
+            found = materialize(_confirmed(likely, sets, percent), "links", size=PAIR * n)
             before = comp
-            comp = components(found if before is None else found.union(before.toDF("a", "b")))
+            comp = components(found if before is None else found.union(before.toDF("a", "b")), n_links=n + (0 if before is None else before.count()))
             discard(found, before)
         discard(likely)
         release(spark)
 
-    def hubs(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(pairs with hubs, the lists without the hubs that met all members, the table of both)."""
-        stars = materialize(_stars(lists, k, percent), "stars")
+    def hubs(lists: DataFrame, k: int, members: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs with hubs, the lists without the hubs that met all members, the table of both); ``members``: the lists' rows at most."""
+        stars = materialize(_stars(lists, k, percent), "stars", size=MEMBER * members)
         near = stars.filter("near").select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b"))
         return near, stars.select("v", F.lit(0).alias("salt"), "cid", "n", "p"), stars
 
     def split(lists: DataFrame) -> DataFrame:
         """The lists that still join several components, with their members' number."""
+        size = MEMBER * lists.count()
         if comp is None:
             named = lists.withColumn("comp", F.col("cid"))
         else:
             named = lists.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         several = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("v", "members")
-        return materialize(named.join(several, "v"), "lists")
+        return materialize(named.join(several, "v"), "lists", size=size)
 
-    near, rest, stars = hubs(postings(classes, k, threshold).withColumn("comp", F.col("cid")), k)
-    follow(near)
+    near, rest, stars = hubs(postings(classes, k, threshold).withColumn("comp", F.col("cid")), k, classes.count() * prefix_length(k, k, threshold))
+    follow(near, PAIR * near.count())
     first = split(rest)
     discard(stars)
     pairs = _rest(first.filter(F.col("members") <= SHORT), k, percent)
-    long = materialize(first.filter(F.col("members") > SHORT).select("cid", "comp").distinct(), "long")
+    long = materialize(first.filter(F.col("members") > SHORT).select("cid", "n", "comp").distinct(), "long", size=MEMBER * first.count())
     if long.isEmpty():
         follow(pairs)
         discard(first, long)
     else:
-        sets = materialize(_full_sets(docs, classes, long.select("cid"), id_col, text_col, width), "sets")
-        lists = exact_lists(sets, long, percent)
+        values = long.agg(F.sum("n")).first()[0]
+        sets = materialize(_full_sets(docs, classes, long.select("cid"), id_col, text_col, width), "sets", size=8 * values)
+        lists = exact_lists(sets, long.drop("n"), percent)
         for turn in range(STAR_ROUNDS):
-            near, rest, stars = hubs(lists, WHOLE)
+            near, rest, stars = hubs(lists, WHOLE, lists.count() if turn else values)
             follow(near if turn else near.union(pairs))
             before = None if turn == 0 else lists
             lists = split(rest).drop("members")
@@ -395,11 +399,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group of copies is gathered.
     """
     signed = materialize(signatures(docs, id_col, text_col, width, k), "signed")
-    classes = materialize(classes_of(signed), "classes")
+    classes = materialize(classes_of(signed), "classes", size=(8 * k + CLASS) * signed.count())
     joined = similar_classes(docs, classes, id_col, text_col, width, percent, k)
     grouped = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("c1", "c2", "n", "first", F.coalesce("component", "cid").alias("group"))
     least = grouped.groupBy("group").agg(F.min("first").alias("least"))
-    of_class = materialize(grouped.join(least, "group").select("c1", "c2", "n", F.col("least.id").alias("least"), F.col("least.key").alias("chosen_key")), "groups")
+    of_class = materialize(grouped.join(least, "group").select("c1", "c2", "n", F.col("least.id").alias("least"), F.col("least.key").alias("chosen_key")), "groups", size=CLASS * classes.count())
     discard(joined)
     release(docs.sparkSession)
     rows = signed.drop("sketch")

@@ -40,7 +40,8 @@ from jobloom.storage import scratch_path
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 48 << 20
-MEMO_WORDS = 800_000
+#: Words that a worker remembers; some 150 bytes each, which it holds as long as it lives.
+MEMO_WORDS = 200_000
 NULL_ID = -(1 << 63)
 
 

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a file of a table of known size holds.
+FILE_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
@@ -32,13 +35,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/jobloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, once: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, once: bool = False, size: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage at a copy that survives the loss of any executor.
     ``once``: nothing else will run ``df``, so its shuffle files go as soon as
     it is written, and don't wait for the driver to collect its garbage.
+    ``size``: about how many bytes its rows have; a small table then has a file
+    for each core or for each ``FILE_BYTES``, not one for each shuffle
+    partition.  Hadoop's local file system starts two processes a file
+    (``chmod``), each for a moment as large as the executor that starts it.
     """
+    if size is not None:
+        df = df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
     path = scratch_path(df.sparkSession, label)
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(name, "false")

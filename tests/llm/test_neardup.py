@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from jobloom.llm import neardup
+from jobloom.llm import _shared, neardup
+from jobloom.llm import components as components_of
 from jobloom.llm.components import components
 from tests.llm.fixtures import rows, table
 
@@ -126,3 +127,34 @@ def test_components_that_are_not_stable_raise(spark):
     with pytest.raises(RuntimeError, match="not stable after 1 rounds"):
         components(chain, most_rounds=1)
     assert {r.component for r in components(chain).collect()} == {0}
+
+
+def test_small_tables_have_a_file_a_core_not_one_a_shuffle_partition(spark, monkeypatch):
+    """Local file systems start two processes a file, each as large as the executor for a moment."""
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {k: spark.conf.get(k) for k in settings}, {}
+    keep = neardup.materialize
+
+    def noted(df, label, *args, **sized):
+        out = keep(df, label, *args, **sized)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    for module in (neardup, components_of):
+        monkeypatch.setattr(module, "materialize", noted)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert run(spark, rows(n=120), 4) == brute(rows(n=120), 4)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    assert {"classes", "stars", "links", "met", "components", "lists", "groups"} <= set(files)
+    assert all(n <= cores for label in files.keys() - {"signed", "likely"} for n in files[label])
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(_shared, "give_back", lambda: calls.append(1))
+    assert list(_shared.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and calls == [1]
